@@ -26,7 +26,7 @@ def test_capacity_is_the_smallest(spark):
     rnd = random.Random(1)
     for n, top in ((40, 9), (300, 2000), (25, 1), (500, 100000)):
         sizes = [rnd.randint(1, top) for _ in range(n)]
-        keys = sorted(rnd.sample(range(-(2**63), 2**63), n))
+        keys = sorted({rnd.randrange(-(2**63), 2**63) for _ in range(2 * n)})[:n]
         groups = spark.createDataFrame(list(zip(keys, sizes)), "key long, bytes long")
         cuts, capacity = minimax_cuts(groups, 7)
         assert capacity == smallest(sizes, 7)
