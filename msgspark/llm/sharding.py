@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import cut, discard
 
 BUCKET_BITS = 12  # buckets of the group order, for prefix sums in many tasks
-CELLS = 8192  # cells of each grid that comes to the driver
+CELLS = 32768  # cells of each grid that comes to the driver
 CHUNKS = 512  # row chunks a shard, for gapless slots in many tasks
 
 
@@ -26,13 +26,18 @@ class _Ends:
         self.cells = sorted({*kept, *cells})
         self.firsts = [c[0] for c in self.cells]
 
+    def around(self, x: int, y: int) -> tuple[int, int]:
+        """The span from x to y, widened to whole cells."""
+        first, _ = self.cells[bisect_right(self.firsts, x) - 1]
+        return first - 1, max(y, self.cells[bisect_right(self.firsts, y) - 1][1])
+
     def between(self, t: int) -> tuple[int, int]:
         least, most = self.cells[bisect_right(self.firsts, t) - 1]
         return (most, most) if most <= t else (least, t) if least < most else (least, least)
 
 
-def _walk(ends: _Ends, capacity: int, shards: int, total: int, side: int) -> list[tuple[int, int]]:
-    """Greedy cuts under a capacity, as bounds. side 0 takes the lower bound of each cut, side 1 the upper."""
+def _walk(ends: _Ends, capacity: int, shards: int, total: int) -> list[tuple[int, int]]:
+    """Lower and upper bounds of the greedy cuts under a capacity."""
     cuts, lo, hi = [], 0, 0
     for _ in range(shards):
         lo, hi = ends.between(min(lo + capacity, total))[0], ends.between(min(hi + capacity, total))[1]
@@ -68,27 +73,26 @@ def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     spark = groups.sparkSession
     offsets = spark.createDataFrame(sorted(base.items()), "bucket int, base long")
     placed = cut(ran.join(F.broadcast(offsets), "bucket").select("key", (F.col("run") + F.col("base")).alias("end")))  # offsets: as many as buckets
-    ends, spans = _Ends(), [(0, total)]
+    ends, spans, width = _Ends(), [(0, total)], 2 * total
     lo, hi = max(largest, -(-total // shards)), -(-total // shards) + largest
     while True:
-        width = max(1, sum(y - x for x, y in spans) // CELLS)
+        width = max(1, min(width // 2, sum(y - x for x, y in spans) // CELLS))
         inside = F.lit(False)
         for x, y in spans:
             inside = inside | ((F.col("end") > x) & (F.col("end") <= y))
         rows = placed.where(inside).groupBy(F.expr(f"end div {width}").alias("cell")).agg(F.min("end").alias("x"), F.max("end").alias("y")).collect()  # about CELLS rows
         ends.add([(r.x, r.y) for r in rows], spans)
-        lo = _smallest(lambda c: _walk(ends, c, shards, total, 1)[-1][1] >= total, lo, hi)
-        hi = _smallest(lambda c: _walk(ends, c, shards, total, 0)[-1][0] >= total, lo, hi)
-        low, high = _walk(ends, lo, shards, total, 0), _walk(ends, hi, shards, total, 1)
+        lo = _smallest(lambda c: _walk(ends, c, shards, total)[-1][1] >= total, lo, hi)
+        hi = _smallest(lambda c: _walk(ends, c, shards, total)[-1][0] >= total, lo, hi)
+        low, high = _walk(ends, lo, shards, total), _walk(ends, hi, shards, total)
         if lo == hi and all(x == y for x, y in low):
             break
         spans = []
-        for (x, _), (_, y) in zip(low, high):
-            x, y = ends.between(x)[0] - 1 if x else 0, y
-            if x < y and (not spans or spans[-1][1] < x):
-                spans.append((x, y))
-            elif x < y:
+        for x, y in sorted(ends.around(x, y) for (x, _), (_, y) in zip(low, high, strict=True)):
+            if spans and x <= spans[-1][1]:
                 spans[-1] = (spans[-1][0], max(y, spans[-1][1]))
+            else:
+                spans.append((x, y))
     wanted = sorted({x for x, _ in low[:-1] if 0 < x < total})
     keys = sorted(r.key for r in placed.where(F.col("end").isin(wanted)).select("key").collect())  # shards - 1 at most
     discard(ran, placed)
