@@ -218,10 +218,7 @@ def remove_repeated(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     def with_text(found: DataFrame, *columns: str) -> DataFrame:
         return source.alias("d").join(found.alias("f"), same("d", "f")).select("d.doc_id", "d.text_hash", "d.text", *[f"f.{c}" for c in columns])
 
-    # Equal rows of docs are one row here, and all of them count: n is how many there are.
-    copies = rows.groupBy("doc_id", "text_hash").agg(F.count("*").alias("copies"))
-    distinct_docs = with_text(asked, "anchors").dropDuplicates(["doc_id", "text_hash"]) if False else with_text(asked, "anchors")
-    places = cut(distinct_docs.mapInArrow(stretch, f"doc_id {kind}, text_hash long, at int, unit binary, route long, text string"))
+    places = cut(with_text(asked, "anchors").mapInArrow(stretch, f"doc_id {kind}, text_hash long, at int, unit binary, route long, text string"))
     folded = cut(places.groupBy("unit", "route", "text").agg(F.count("*").alias("n")))
     hot = cut(folded.groupBy("route").agg(F.count("*").alias("k")).where(F.col("k") > HOT).select("route"))  # few: over HOT stretches each
 
@@ -253,16 +250,18 @@ def remove_repeated(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, digests, kepts = [], [], []
+            counts, removed, digests, kepts = [], [], [], []
             for t, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 words = t.encode().split()
                 gone = covered([(x["s"], x["e"]) for x in spans], len(words))
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                counts.append(len(words))
                 removed.append(int(gone.sum()))
                 digests.append(_digest(kept))
                 kepts.append(b" ".join(kept).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(kepts, pa.string())], ["doc_id", "text_hash", "n_removed", "kept_sha256", "kept"])
+            columns = [pa.array(c, t) for c, t in zip((counts, removed, digests, kepts), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "text_hash", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    changed = with_text(found, "spans").mapInArrow(remove, f"doc_id {kind}, text_hash long, n_removed long, kept_sha256 string, kept string")
-    joined = rows.drop("anchors", "row").alias("r").join(changed.alias("c"), same("r", "c"), "left")
-    return joined.select("r.doc_id", "r.text_hash", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha256", "digest").alias("kept_sha256"), "kept")
+    changed = with_text(found, "spans").mapInArrow(remove, f"doc_id {kind}, text_hash long, n_words long, n_removed long, kept_sha256 string, kept string")
+    same_rows = rows.alias("r").join(found.alias("f"), same("r", "f"), "left_anti")
+    return changed.union(same_rows.select("doc_id", "text_hash", "n_words", F.lit(0).cast("long"), "digest", F.lit(None).cast("string")))

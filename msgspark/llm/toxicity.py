@@ -100,7 +100,7 @@ class Transducer:
                         plain += 1
                 if state & THREAT and state & TARGET and not state & (NEGATION | REPORT):
                     threat += 1
-                state, low = 0, 0.0
+                state, low = kind & REPORT, 0.0  # 'he said:' reports what follows
         if not (plain or aimed or negated or reported or threat):
             return None
         return [math.log1p(x) for x in (plain, aimed, negated, reported, threat)] + [best, min(1.0, 20.0 * insults / len(words))]
@@ -159,10 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
     g = 2 * (p * F.log(p / expected) + F.when(q > 0, q * F.log(q / (p + q - expected))).otherwise(0.0))
     weight = F.log((p + 0.5) / (pos + 1)) - F.log((q + 0.5) / (neg + 1))
     found = counted.where((p > 2) & (p > expected)).withColumn("g", g).withColumn("weight", weight).where((F.col("g") >= least_g) & (F.col("weight") > 2.5))
-    entries = {r.entry: r.weight for r in found.orderBy(F.desc("g"), "entry").limit(candidates).collect()}
-    if not entries:
+    chosen_entries = found.orderBy(F.desc("g"), "entry").limit(candidates).collect()
+    entries, support = {r.entry: r.weight for r in chosen_entries}, {r.entry: r.p for r in chosen_entries}
+    # A beginning gives way to a longer one that is as frequent in toxic texts and more telling.
+    better = {"^" + f.removeprefix("^")[:n] for f in entries for n in STEMS for e in ["^" + f.removeprefix("^")[:n]] if e != f and e in entries and entries[f] > entries[e] + 0.3 and support[f] >= 0.9 * support[e]}
+    order = [e for e in entries if e not in better]
+    if not order:
         return Grammar()
-    order = list(entries)
     at = {e: i for i, e in enumerate(order)}
 
     def holds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
