@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as A
 from .functions import text as T
-from .operators import catalogs, graph, keys, planning, scanning, validation
+from .operators import catalogs, graph, jsx_strings, keys, planning, scanning, validation
 from .plans import translate as plan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -520,3 +520,23 @@ def translate_prompt(s, d):
     rows = planning.fixed_batches(A.table(s, d, "part"), ["p_type"], 50, "p_partkey")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_brand", "p_name"))), lambda x: F.concat(F.lit('  "'), x["p_brand"], F.lit('": "'), x["p_name"], F.lit('"')))
     return rows.groupBy("p_type", "batch_id").agg(lines.alias("l")).select("p_type", "batch_id", F.concat(F.lit("Translate to "), "p_type", F.lit(":\n"), F.array_join("l", "\n")).alias("prompt"))
+
+
+# JSX sources: pages turned into components
+
+
+def components(s, d):
+    """Each page's text nodes as paragraphs of a React component's source."""
+    own = A.strings(s, d).where(~F.col("text").rlike("[{}<>&]")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("all"))
+    lines = F.array_join(F.transform("all", lambda x: F.concat(F.lit("<p>"), x["text"], F.lit("</p>"))), "\n")
+    return own.select(F.col("file").alias("path"), F.concat(F.lit("export default function Page() {\n return <main>\n"), lines, F.lit("\n</main>;\n}\n")).alias("content"))
+
+
+@query("SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS seq, text, 'jsx-text' AS type, 'Page' AS component, 'p' AS tag FROM str WHERE NOT regexp_matches(text, '[{}<>&]')", "str")
+def extract_jsx(s, d):
+    return jsx_strings.extract_strings(components(s, d)).select("file", "seq", "text", "type", "component", "tag")
+
+
+@query("SELECT file AS path, count(*)::INT AS replaced FROM str JOIN map USING (text) WHERE NOT regexp_matches(text, '[{}<>&]') GROUP BY 1", "map str")
+def rewrite_jsx(s, d):
+    return jsx_strings.rewrite_sources(components(s, d), A.text_map(s, d)).select("path", "replaced").where("replaced > 0")
