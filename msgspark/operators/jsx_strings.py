@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -297,15 +298,15 @@ def is_client(code: str) -> bool:
     return any(re.match(r"\s*use[A-Z]\w*", n) and n.split()[0] != "useT" for n in names if n.strip())
 
 
-def rewrite(code: str, keys: dict[str, str], module: str = "next-intl") -> tuple[str, int, bool]:
+def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: str = "keys", inline_module: str = "@/components/t") -> tuple[str, int, bool]:
     """(code, replaced, client) with mapped strings as t(...) calls [CG2, CG4-6]: JSX text, attributes, expressions, ternary branches and content properties of components.
 
-    Each component with a replaced string gets a translator at the start of its body, with the namespace if all its keys share one, then without it in the keys; the import is added or extended. Strings outside a block
+    mode "inline" [CG3] keeps the source text: <T id="key">text</T> for JSX text and t("text", "key") for the rest, from inline_module. In mode "keys" each component with a replaced string gets a translator at the start of its body, with the namespace if all its keys share one, then without it in the keys; the import is added or extended. Strings outside a block
     body are left. The result is read again; if that fails, or nothing is replaced, the code comes back unchanged. Running twice changes nothing.
     """
     x = Extractor(code)
     found = [f for f in x.run() if f.text in keys and f.node is not None and f.scope.component and re.match("[A-Z]|__default__$|use[A-Z]", f.scope.component) and f.scope.body is not None and f.type != "module-object-property"]
-    client = is_client(code)
+    client, inline = is_client(code), mode == "inline"
     if not found:
         return code, 0, client
     spaces: dict[int, str | None] = {}
@@ -317,8 +318,12 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl") -> tuple
         key, ns = keys[f.text], spaces[f.scope.body]
         short = key[len(ns) + 1 :] if ns else key
         values = J.template_values(f.node) if f.node.kind == "template" else []
+        if inline and f.type == "jsx-text":
+            raw = code[f.node.start : f.node.end]
+            edits.append((f.node.start + len(raw) - len(raw.lstrip()), f.node.end - len(raw) + len(raw.rstrip()), f'<T id="{key}">{raw.strip()}</T>'))
+            continue
         extra = ", { " + ", ".join(n if n == e else f"{n}: {e}" for n, e in values) + " }" if values else ""
-        call = f't("{short}"{extra})'
+        call = f"t({json.dumps(f.text, ensure_ascii=False)}, {json.dumps(key)}{extra})" if inline else f't("{short}"{extra})'
         if f.type == "jsx-text":
             raw = code[f.node.start : f.node.end]
             lead, tail = len(raw) - len(raw.lstrip()), len(raw) - len(raw.rstrip())
@@ -327,7 +332,12 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl") -> tuple
             edits.append((f.node.start, f.node.end, "{" + call + "}"))
         else:
             edits.append((f.node.start, f.node.end, call))
+    calls = {f.scope.body for f in found if not (inline and f.type == "jsx-text")}
     for body, ns in spaces.items():
+        if inline:
+            if body in calls and not re.match(r"\s*const t = (?:useT|createT)\(", code[body : body + 200]):
+                edits.append((body, body, "\n\tconst t = useT();"))
+            continue
         head = code[body : body + 200]
         argument = f'"{ns}"' if ns else ""
         make = f"useTranslations({argument})" if client or not re.search(r"async\b[^{}]{0,200}$", code[max(0, body - 220) : body - 1]) else f"await getTranslations({argument})"
@@ -336,6 +346,17 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl") -> tuple
     out = code
     for start, end, new in sorted(edits, reverse=True):
         out = out[:start] + new + out[end:]
+    if inline:
+        used = [n for n, p in (("T", r"<T[ >]"), ("useT", r"\buseT\(")) if re.search(p, out)]
+        had = re.search(r"import\s*\{([^}]*)\}\s*from\s*['\"]" + re.escape(inline_module) + "['\"]", out)
+        names = sorted({*(n.strip() for n in had[1].split(",") if n.strip()), *used}) if had else used
+        line = f'import {{ {", ".join(names)} }} from "{inline_module}"'
+        if had:
+            out = out[: had.start()] + line + out[had.end() :]
+        elif names:
+            directive = re.match(r"""\s*['"]use (?:client|server)['"];?\s*?\n""", out)
+            at = directive.end() if directive else 0
+            out = out[:at] + line + ";\n" + out[at:]
     for name, source in (("useTranslations", module), ("getTranslations", f"{module}/server")):
         if re.search(rf"\b{name}\(", out) and not re.search(rf"import\s*\{{[^}}]*\b{name}\b", out):
             line = f'import {{ {name} }} from "{source}";\n'

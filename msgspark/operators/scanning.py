@@ -67,3 +67,10 @@ def prompt_groups(strings: DataFrame) -> DataFrame:
     block = F.array_join(F.transform("all", lambda x: F.concat(F.lit('  "'), x["text"], F.lit('"'), F.when(F.length(x["component"]) > 0, F.concat(F.lit(", component: "), x["component"])).otherwise(""), F.when(F.length(x["tag"]) > 0, F.concat(F.lit(", tag: "), x["tag"])).otherwise(""))), "\n")
     return lines.select("file", F.size("all").cast("long").alias("n"), block.alias("block"))
 
+
+
+def key_prompts(strings: DataFrame, mapping: DataFrame, known: int = 30) -> DataFrame:
+    """file, prompt: the first `known` map entries for consistency, then the file's strings [STR15, WIN8]. The entries are `known` rows at most, so they go to all tasks as one literal."""
+    head = mapping.orderBy("seq").limit(known).collect()
+    lines = "\n".join(f'  {r.key} <- "{r.text}"' for r in head)
+    return prompt_groups(strings).select("file", F.concat(F.lit(f"Known keys:\n{lines}\nStrings of "), "file", F.lit(":\n"), "block").alias("prompt"))

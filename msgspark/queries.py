@@ -540,3 +540,14 @@ def extract_jsx(s, d):
 @query("SELECT file AS path, count(*)::INT AS replaced FROM str JOIN map USING (text) WHERE NOT regexp_matches(text, '[{}<>&]') GROUP BY 1", "map str")
 def rewrite_jsx(s, d):
     return jsx_strings.rewrite_sources(components(s, d), A.text_map(s, d)).select("path", "replaced").where("replaced > 0")
+
+
+@query("SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS seq, text || ' <b>{1}</b> {n}' AS composite FROM str WHERE NOT regexp_matches(text, '[{}<>&]')", "str")
+def composite_context(s, d):
+    files = components(s, d).withColumn("content", F.replace("content", F.lit("</p>"), F.lit(" <b></b>{n}</p>")))
+    return jsx_strings.extract_strings(files).select("file", "seq", "composite")
+
+
+@query("SELECT file, 'Known keys:' || chr(10) || (SELECT string_agg('  ' || key || ' <- \"' || text || '\"', chr(10) ORDER BY seq) FROM (SELECT * FROM map ORDER BY seq LIMIT 30)) || chr(10) || 'Strings of ' || file || ':' || chr(10) || string_agg('  \"' || text || '\"' || coalesce(', component: ' || component, '') || ', tag: ' || tag, chr(10) ORDER BY seq) AS prompt FROM str GROUP BY file", "map str")
+def keygen_prompt(s, d):
+    return scanning.key_prompts(A.strings(s, d), A.text_map(s, d))

@@ -83,6 +83,17 @@ def test_rewrite():
     assert 'await getTranslations()' in mixed and '{t("a.b")}' in mixed and "next-intl/server" in mixed
 
 
+def test_rewrite_inline():
+    keys = {"Hello there": "card.hello", "Card title": "card.title"}
+    out, n, _ = X.rewrite(CARD, keys, mode="inline")
+    assert n == 2
+    for part in ('<h2><T id="card.hello">Hello there</T></h2>', 'title={t("Card title", "card.title")}', "const t = useT();", 'import { T, useT } from "@/components/t";'):
+        assert part in out
+    assert X.rewrite(out, keys, mode="inline")[0] == out
+    found = {(f[0], f[1], f[6]) for f in X.extract(out) if f[1] in ("T-component", "t-call")}
+    assert ("Hello there", "T-component", "div") not in found and {x[0] for x in found} >= {"Hello there", "Card title"}
+
+
 def test_operators(spark):
     files = spark.createDataFrame([("src/Card.tsx", CARD), ("bad.tsx", "<p>"), ("none.tsx", None), ("plain.ts", "export const x = 1;")], "path string, content string")
     got = X.extract_strings(files).collect()
