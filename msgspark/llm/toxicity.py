@@ -122,11 +122,11 @@ def _batches(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, n)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", max_labelled: int = 30_000, max_entries: int = 2000, candidates: int = 3000, least_g: float = 22.0) -> Grammar:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", max_labelled: int = 30_000, max_entries: int = 2000, candidates: int = 3000, least_g: float = 22.0, max_alike: int = 8000) -> Grammar:
     """Grammar from at most max_labelled labelled rows that aren't held out (those with the least hashes of their ids); a document's label is the largest of its rows'.
 
     Candidates are the words and word beginnings whose presence in distinct texts goes with the label most significantly (G >= least_g). Near copies of one toxic text would make all its rare words telling: candidates
-    that stand in nearly the same texts as those of several other roots are left out. The clause weights are a ridge logistic regression.
+    that stand in nearly the same texts (of max_alike toxic ones) as those of several other roots are left out. The clause weights are a ridge logistic regression.
     No labelled rows, or no toxic ones, give a grammar without entries that scores low.
     """
     known = labels.select(F.col(row_id).cast("long").alias("_id"), F.col("toxic").alias("_toxic")).where("_id IS NOT NULL AND _toxic IS NOT NULL")
@@ -174,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
                 rows = [sorted({at[b] for w in words_of(t or "") for b in beginnings(w) if b in at}) for t in batch.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["held"])
 
-    held = [r.held for r in distinct.where("_toxic > 0").mapInArrow(holds, "held array<int>").collect()]  # max_labelled rows at most
+    held = sorted(r.held for r in distinct.where("_toxic > 0").orderBy(F.xxhash64("_text")).limit(max_alike).mapInArrow(holds, "held array<int>").collect())
     has = np.zeros((len(order), len(held)), np.float32)
     for i, row in enumerate(held):
         has[row, i] = 1
