@@ -105,11 +105,14 @@ def pigeonhole_links(distinct: DataFrame, dim: int, n: int, cosine: float) -> Da
         x = _decode(table["v"].combine_chunks(), dim)
         h, g = np.flatnonzero(home), np.flatnonzero(~home)
         turned = x @ turn
-        left, right, links = [], [], np.zeros(len(node), np.int64)
+        names, first = np.unique(node, return_inverse=True)  # a node may be here as home and as guest
+        member = root = np.empty(0, np.int64)
+        links = np.zeros(len(node), np.int64)
         part = turned[:, blocks[k]]
         squares = (part**2).sum(axis=1)
-        for at in range(0, len(h), 256):
-            own = h[at : at + 256]
+        for at in range(0, len(h), 128):
+            own = h[at : at + 128]
+            left, right = [member], [root]
             near = squares[own][:, None] + squares[g] - 2 * (part[own] @ part[g].T) <= shares[k] + 1e-9
             a, b = np.nonzero(near)
             for s in range(0, len(a), 65536):
@@ -124,13 +127,11 @@ def pigeonhole_links(distinct: DataFrame, dim: int, n: int, cosine: float) -> Da
                 true = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
                 p, q = p[true], q[true]
                 np.add.at(links, p, copies[q])
-                left.append(p)
-                right.append(q)
-        # A node may be here as home and as guest: name both by its first row.
-        names, first = np.unique(node, return_inverse=True)
+                left.append(first[p])
+                right.append(first[q])
+            if len(left) > 1:  # only a spanning star of all links so far is kept
+                member, root = _stars(np.concatenate(left), np.concatenate(right), len(names))
         counted = np.bincount(first, weights=links, minlength=len(names)).astype(np.int64)
-        empty = np.empty(0, np.int64)
-        member, root = _stars(first[np.concatenate([empty, *left])], first[np.concatenate([empty, *right])], len(names))
         to = names.copy()
         to[member] = names[root]
         out = (counted > 0) | (to != names)
