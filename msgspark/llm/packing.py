@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -15,14 +16,18 @@ from pyspark.sql import functions as F
 from .common import cut, discard
 
 GROUP = 8192  # pieces that one best-fit run takes
-CACHED, LONGEST = 300_000, 48  # words that a worker's cache holds at most, and bytes of the longest word in it
+CACHED, LONGEST = 700_000, 48  # words that each cache of a worker holds at most, about, and the longest word in it
+#: Fixed value: the pieces of tokenizers for which words may be taken apart.
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe, which some tokenizers join with what follows
 
 
 class WordTokenizer:
-    """Ids of whole texts, as little-endian unsigned 32-bit bytes, from a cache of white-space-free words.
+    """Ids of whole texts, as little-endian unsigned 32-bit bytes, from caches of white-space-free words and of their cores.
 
-    Exact for tokenizers whose pieces never span ASCII white space and whose normalizer treats it as a boundary (word_bpe_49k.json is such a one); words not in
-    the cache are encoded by the tokenizer itself, together for a batch of texts. The cache is bounded and emptied when full.
+    That is exact if the tokenizer lower-cases, treats white space as a boundary and makes each run of letters one piece (LETTERS; word_bpe_49k.json is such a one); other tokenizers
+    encode whole texts. A word not in the cache is its core (letters, lower-cased) and a tail of punctuation where it has this form, else itself. A core is one piece for the model's merges, which skips
+    the rest of the tokenizer's work; all else goes through the tokenizer. Full caches keep what they have, and start anew if over a third of recent words miss.
     """
 
     def __init__(self, path: str) -> None:
@@ -30,21 +35,72 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}, {}])
+        self.by_words = (
+            split[0].get("pattern") == {"Regex": LETTERS} and [x.get("type") for x in split] == ["Split", "ByteLevel"] and not split[1]["add_prefix_space"] and not split[1]["use_regex"]
+            and [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and spec["model"]["type"] == "BPE"
+        )
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in printable]
+        self.symbol = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}  # of a byte, in byte-level vocabularies
+        self.words: dict[bytes, bytes] = {}
+        self.cores: dict[str, bytes] = {}
+        self.seen = self.missed = 0
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """Core and tail; a word that isn't letters and then punctuation is all core, unchanged."""
+        core = word.rstrip(TAIL)
+        if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+            return core.lower(), word[len(core) :]
+        return word, ""
+
+    def _core(self, core: str) -> bytes:
+        piece = core if core.isascii() else "".join(map(self.symbol.__getitem__, core.encode()))
+        return np.array([t.id for t in self.tokenizer.model.tokenize(piece)], "<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        cache = self.cache
-        if len(cache) > CACHED:
-            cache.clear()
+        if not self.by_words:
+            for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+            return
+        words, cores = self.words, self.cores
+        if 3 * self.missed > self.seen > 2_000_000 and len(words) >= CACHED:
+            words.clear()
+        if len(cores) >= CACHED:
+            cores.clear()
+        if self.seen > 2_000_000:
+            self.seen = self.missed = 0
         split = [(t or "").encode().split() for t in texts]
-        new = list(set().union(*split).difference(cache))
-        extra: dict[bytes, bytes] = {}
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                (cache if len(w) <= LONGEST else extra)[w] = np.array(e.ids, "<u4").tobytes()
-        for words in split:
-            yield b"".join([extra[w] if w in extra else cache[w] for w in words] if extra else map(cache.__getitem__, words))
+        new = set().union(*split).difference(words)
+        self.seen += sum(map(len, split))
+        if new:
+            pairs = {w: self.parts(w.decode()) for w in new}
+            own: dict[str, bytes] = {"": b""}
+            ask = []
+            for p in {p for pair in pairs.values() for p in pair if p}.difference(cores):
+                if p.isalpha() and p.islower() and max(p) < "\u0250":
+                    (cores if len(p) <= LONGEST else own)[p] = self._core(p)
+                else:
+                    ask.append(p)
+            for i in range(0, len(ask), 10_000):
+                part = ask[i : i + 10_000]
+                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    (cores if len(p) <= LONGEST else own)[p] = np.array(e.ids, "<u4").tobytes()
+            get = lambda p: own[p] if p in own else cores[p]
+            extra = {w: get(core) + get(tail) for w, (core, tail) in pairs.items()}
+            if len(words) < CACHED:
+                words.update(x for x in extra.items() if len(x[0]) <= LONGEST)
+            self.missed += len(new)
+            for ws in split:
+                try:
+                    yield b"".join(map(words.__getitem__, ws))
+                except KeyError:  # a long word, or the cache is full
+                    yield b"".join([words[w] if w in words else extra[w] for w in ws])
+        else:
+            for ws in split:
+                yield b"".join(map(words.__getitem__, ws))
 
 
 @lru_cache(maxsize=4)

@@ -85,3 +85,19 @@ def test_bound_never_exceeds_the_optimum():
         lengths = [rnd.randint(1, 30) for _ in range(rnd.randint(1, 9))]
         assert P.lower_bound(np.bincount(lengths, minlength=31), 30) <= best(lengths, 30)
     assert P.lower_bound(np.bincount([16] * 5, minlength=31), 30) == 5
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    t = Tokenizer.from_file(path)
+    texts = ["Hello  there, world", None, "", "Tabs\tand\nlines"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in P.WordTokenizer(path).encode(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_words_are_exact():
+    """Case, tails, apostrophes, marks and letters outside Latin, and full caches."""
+    w, t = P.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    rnd = random.Random(1)
+    letters = "aBcéÉßÀøŁıİſςΣжЖ漢ªºǅ́'’0²-!?.,<|"
+    for text in [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 7))) for _ in range(400)) for _ in range(5)] + ["THE!! dog's dogs' l'ÉTÉ É. É́."]:
+        assert [np.frombuffer(b, "<u4").tolist() for b in w.encode([text])] == [t.encode(text, add_special_tokens=False).ids]
