@@ -13,7 +13,8 @@ from .common import components, cut, discard
 from .simhash import _stars
 
 BLOCKS = 8
-HOME, GUEST = 2048, 8192  # vectors of a cell that one task holds as homes and as guests, about
+HOME, GUEST = 16_384, 65_536  # vectors of a cell that one task holds as homes and as guests, about
+TILE = 4_000_000  # pairs that are compared at once
 MAX_DEPTH = 6  # halvings of a block's space, so at most 2 ** MAX_DEPTH cells
 SAMPLE = 4096  # vectors that the cells' borders are taken from; results don't depend on them
 SLACK = 1e-6  # of budgets, for rounding
@@ -104,26 +105,30 @@ def pigeonhole_links(distinct: DataFrame, dim: int, n: int, cosine: float) -> Da
         node, copies, home = (table[c].to_numpy() for c in ("node", "copies", "home"))
         x = _decode(table["v"].combine_chunks(), dim)
         h, g = np.flatnonzero(home), np.flatnonzero(~home)
-        turned = x @ turn
+        turned = np.einsum("ij,jk->ik", x, turn)  # the same bits for a vector in whatever task
+
+        def within(block: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            d = turned[p][:, blocks[block]] - turned[q][:, blocks[block]]
+            return (d**2).sum(axis=1) <= shares[block]
+
         names, first = np.unique(node, return_inverse=True)  # a node may be here as home and as guest
         member = root = np.empty(0, np.int64)
         links = np.zeros(len(node), np.int64)
-        part = turned[:, blocks[k]]
+        part = turned[:, blocks[k]].astype(np.float32)
         squares = (part**2).sum(axis=1)
-        for at in range(0, len(h), 128):
-            own = h[at : at + 128]
+        guests, bound = np.ascontiguousarray(part[g].T), (squares[g] - np.float32(shares[k] + 1e-5)) / 2
+        rows = max(1, TILE // max(1, len(g)))
+        for at in range(0, len(h), rows):
+            own = h[at : at + rows]
             left, right = [member], [root]
-            near = squares[own][:, None] + squares[g] - 2 * (part[own] @ part[g].T) <= shares[k] + 1e-9
-            a, b = np.nonzero(near)
+            a, b = np.nonzero(part[own] @ guests - (squares[own] / 2)[:, None] >= bound)  # in single precision with slack; exact tests follow
             for s in range(0, len(a), 65536):
                 p, q = own[a[s : s + 65536]], g[b[s : s + 65536]]
                 other = node[p] != node[q]
                 p, q = p[other], q[other]
-                for earlier in range(k):  # counted there
-                    if len(p):
-                        d = turned[np.ix_(p, blocks[earlier])] - turned[np.ix_(q, blocks[earlier])]
-                        fresh = (d**2).sum(axis=1) > shares[earlier]
-                        p, q = p[fresh], q[fresh]
+                for block in (k, *range(k)):  # a pair that an earlier block admits is counted there
+                    good = within(block, p, q) == (block == k)
+                    p, q = p[good], q[good]
                 true = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
                 p, q = p[true], q[true]
                 np.add.at(links, p, copies[q])
