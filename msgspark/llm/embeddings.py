@@ -15,6 +15,7 @@ from .simhash import _stars
 BLOCKS = 8
 HOME, GUEST = 16_384, 65_536  # vectors of a cell that one task holds as homes and as guests, about
 TILE = 4_000_000  # pairs that are compared at once
+CELL = 4096  # vectors at home in a cell, about, until MAX_DEPTH
 MAX_DEPTH = 6  # halvings of a block's space, so at most 2 ** MAX_DEPTH cells
 SAMPLE = 4096  # vectors that the cells' borders are taken from; results don't depend on them
 SLACK = 1e-6  # of budgets, for rounding
@@ -68,7 +69,7 @@ def pigeonhole_links(distinct: DataFrame, dim: int, n: int, cosine: float) -> Da
     turn, blocks = rotation(dim), _split(dim)
     budget = 2 - 2 * cosine
     shares = [budget * len(b) / dim * (1 + SLACK) + SLACK for b in blocks]
-    depth = max(0, min(MAX_DEPTH, min(len(b) for b in blocks), int(np.log2(max(1, n / HOME)))))
+    depth = max(0, min(MAX_DEPTH, min(len(b) for b in blocks), int(np.log2(max(1, n / CELL)))))
     sample = [np.frombuffer(r.v, np.float64) @ turn for r in distinct.orderBy(F.xxhash64("node")).limit(SAMPLE).select("v").collect()] if depth else []
     borders = cell_borders(np.array(sample).reshape(-1, dim), depth)
 

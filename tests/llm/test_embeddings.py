@@ -41,6 +41,7 @@ def test_against_brute_force(spark, monkeypatch):
     rows += [(900, None), (901, []), (902, [0.0] * 24), (903, [math.nan] + [1.0] * 23), (904, [None] + [1.0] * 23), (905, [math.inf] * 24), (None, base[1].tolist()), (7, base[7].tolist()), (906, [1.0, 2.0]), (907, [2.0, 4.0])]
     assert sum(n > 0 for _, n, _ in compare(spark, rows)) > 100
     monkeypatch.setattr(E, "HOME", 8)
+    monkeypatch.setattr(E, "CELL", 20)
     monkeypatch.setattr(E, "GUEST", 50)
     compare(spark, rows)
 
