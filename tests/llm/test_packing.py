@@ -59,6 +59,58 @@ def test_groups_exchange(spark, monkeypatch):
     assert bound <= check(rows, 1000) <= 1.02 * bound + 1
 
 
+def test_certified_partitions_keep_their_bins(spark, monkeypatch):
+    """Bins and bounds of every partition against plain counts; certified ones move nothing but their emptiest bin."""
+    monkeypatch.setattr(P, "GROUP", 50)
+    rnd = random.Random(8)
+    lengths = [rnd.choice([rnd.randint(1, 90), 334, rnd.randint(480, 700)]) for _ in range(700)]
+    pieces = spark.createDataFrame([(i, n, "p") for i, n in enumerate(lengths)], "doc_id long, length long, partition_id string")
+    rows = P.pack(pieces, 1000).collect()
+    assert sorted((r.doc_id, r.length) for r in rows) == list(enumerate(lengths))
+    total, bound = check(rows, 1000), P.lower_bound(np.bincount(lengths, minlength=1001), 1000)
+    assert bound <= total <= 1.03 * bound + 1
+    by = defaultdict(list)
+    for r in rows:
+        by[r.partition_id, r.partition_bins, r.partition_bound].append(r)
+    assert len({p for p, *_ in by}) == len(by) > 10
+    certified = 0
+    for (partition, bins, least), own in by.items():
+        settled = defaultdict(int)
+        for r in own:
+            settled[r.sequence_id] += r.length
+        assert least <= bins and len(settled) <= bins
+        if bins == least and partition >> 56 == 0:
+            certified += 1
+            assert len(settled) >= bins - 1
+            if len(settled) == bins:
+                assert P.lower_bound(np.bincount([r.length for r in own], minlength=1001), 1000) == least
+        elif bins > least and partition >> 56 == 0:
+            assert all(n == 1000 for n in settled.values())
+    assert certified
+
+
+def test_merges_are_the_tokenizers():
+    """Random pieces, single bytes and long repetitions, against the model's own merges."""
+    t, m = Tokenizer.from_file(PATH), P.WordTokenizer(PATH).merges
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("etaoinshrdlué") for _ in range(rnd.randint(1, 30))) for _ in range(2000)] + list("abé.") + ["a" * n for n in range(1, 90)] + ["....", "!?" * 20]
+    raw = [w.encode() for w in words] + [b""]
+    ids, counts = m(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    ends = np.cumsum(counts)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends.tolist(), counts.tolist())] == [t.encode(w, add_special_tokens=False).ids for w in words] + [[]]
+
+
+def test_very_long_and_repetitive_texts(spark):
+    rnd = random.Random(9)
+    texts = ["x y " * 500_000, "".join(rnd.choice("abc é.") for _ in range(500_000)), "a" * 200_000, None, ""]
+    t = Tokenizer.from_file(PATH)
+    got = defaultdict(list)
+    for r in P.token_pieces(frame(spark, list(enumerate(texts))), PATH, with_ids=True).orderBy("doc_id", "piece").collect():
+        assert r.start == len(got[r.doc_id])
+        got[r.doc_id] += r.ids
+    assert [got[i] for i in range(5)] == [t.encode(x or "", add_special_tokens=False).ids + [1] for x in texts]
+
+
 def best(lengths, size):
     """Fewest bins, by trying all ways."""
     least = len(lengths)
