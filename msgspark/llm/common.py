@@ -21,14 +21,22 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder if the master is local (tests), else ValueError: executors would not see the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         found = "file://" + tempfile.mkdtemp(prefix="msgspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def packed_rows(df: DataFrame, *keys: Column) -> DataFrame:
+    """Keys beside a struct `row` of all columns of df: helper columns cannot clash with the caller's names. select("row.*") gives the rows again."""
+    return df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row"), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later stages survive the loss of executors and never recompute it."""
     spark = df.sparkSession
@@ -45,8 +53,6 @@ def discard(*tables: DataFrame) -> None:
         jvm = df.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        jvm.System.gc()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Toxicity: a weighted finite-state pattern grammar over clauses, its insult lexicon and clause weights fitted on labelled rows."""
+"""Toxicity: insult, threat, target, negation and report transducers composed into one weighted grammar of clauses; its lexicon and weights are fitted on labelled rows."""
 
 from __future__ import annotations
 
@@ -6,13 +6,16 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .automata import Machine, compose, machine
 from .common import cut
+from .wordtable import chunks, split_words
 
 #: Closed word classes of the transducers other than insults, which are learned.
 TARGETS = frozenset("you your yours yourself u they them their he she him her his we us people everyone those these du ihr dich euch dein deine sie vous toi ton ta tu te eux ustedes vosotros usted ti ellos".split())
@@ -21,11 +24,63 @@ REPORTED = frozenset("said says say called calls quote quoted wrote claimed repo
 THREATS = frozenset("kill hurt destroy burn shoot stab beat punish crush murder attack töten schlagen vernichten tuer frapper détruire matar golpear destruir".split())
 STEMS = range(3, 7)  # lengths of word beginnings that may be learned, besides whole words
 CACHED, LONGEST = 300_000, 48
-INSULT, TARGET, NEGATION, REPORT, THREAT, END = 1, 2, 4, 8, 16, 32
-FEATURES = ["insult", "aimed", "negated", "reported", "threat", "weight", "share"]
+DENIED, QUOTED, AIMED, GUESSED, THREATENED = 4, 10, 3, 2, 2  # scopes in symbols: of negation, report, a target before, a target after an insult, a target after a threat
+REACH = QUOTED + 2  # words on either side of an insult or threat that can matter
+FEATURES = ["plain", "aimed", "denied", "reported", "threat", "weight", "share"]
 _BOUNDS = re.compile(r"^[^\w]+|[^\w]+$")
 
 
+def negation() -> Machine:
+    """Reads other o, insult i, target t, negation n, report r, threat h, comma c. After a negation, within DENIED symbols and before a comma, insults become denied j, threats denied k."""
+    rules = []
+    for k in range(DENIED + 1):
+        down = str(max(0, k - 1))
+        rules += [(str(k), "otr", None, down, 0.0), (str(k), "i", "j" if k else "i", down, 0.0), (str(k), "h", "k" if k else "h", down, 0.0), (str(k), "n", None, str(DENIED), 0.0), (str(k), "c", None, "0", 0.0)]
+    return machine(rules, map(str, range(DENIED + 1)))
+
+
+def report() -> Machine:
+    """Insults become quoted q and threats quoted u within QUOTED symbols after a verb or mark of report, or if one follows a comma: '"you idiot", he said'."""
+    rules = [("0", "otnc", None, "0", 0.0), ("0", "ijhk", None, "0", 0.0), ("0", "r", None, str(QUOTED), 0.0), ("0", "ij", "q", "v2", 2.0), ("0", "hk", "u", "v2", 2.0)]
+    for k in range(1, QUOTED + 1):
+        down = str(k - 1)
+        rules += [(str(k), "otnc", None, down, 0.0), (str(k), "ij", "q", down, 0.0), (str(k), "hk", "u", down, 0.0), (str(k), "r", None, str(QUOTED), 0.0)]
+    for k in range(3):  # guesses: up to two symbols, a comma, up to two symbols, the report
+        rules += [(f"v{k}", "c", None, "w2", 0.0), (f"w{k}", "r", None, "0", 0.0)]
+        if k:
+            rules += [(f"v{k}", "ot", None, f"v{k - 1}", 0.0), (f"v{k}", "ij", "q", f"v{k - 1}", 0.0), (f"v{k}", "hk", "u", f"v{k - 1}", 0.0), (f"w{k}", "ot", None, f"w{k - 1}", 0.0)]
+    return machine(rules, map(str, range(QUOTED + 1)))
+
+
+def aim() -> Machine:
+    """Insults become aimed a within AIMED symbols after a target, over commas too ('you, idiot'), or if a target follows within GUESSED symbols ('idiots like you')."""
+    rules = [("0", "ojqunrhkci", None, "0", 0.0), ("0", "t", None, f"s{AIMED}", 0.0), ("0", "i", "a", f"g{GUESSED}", 1.0)]
+    for k in range(1, AIMED + 1):
+        down = f"s{k - 1}" if k > 1 else "0"
+        rules += [(f"s{k}", "ojqunrhkc", None, down, 0.0), (f"s{k}", "i", "a", down, 1.0), (f"s{k}", "t", None, f"s{AIMED}", 0.0)]
+    for k in range(1, GUESSED + 1):
+        rules += [(f"g{k}", "t", None, f"s{AIMED}", 0.0)]
+        if k > 1:
+            rules += [(f"g{k}", "oc", None, f"g{k - 1}", 0.0), (f"g{k}", "i", "a", f"g{k - 1}", 1.0)]
+    return machine(rules, ["0", *(f"s{k}" for k in range(1, AIMED + 1))])
+
+
+def threat() -> Machine:
+    """A threat stays one, as x, if a target follows within THREATENED symbols ('kill you', but not 'kill the lights' or 'you kill'); else it is another word."""
+    rules = [("0", "oiajqutnrkc", None, "0", 0.0), ("0", "h", "o", "0", 0.0), ("0", "h", "x", f"p{THREATENED}", 1.0)]
+    for k in range(1, THREATENED + 1):
+        rules += [(f"p{k}", "t", None, "0", 0.0)]
+        if k > 1:
+            rules += [(f"p{k}", "o", None, f"p{k - 1}", 0.0)]
+    return machine(rules, ["0"])
+
+
+@lru_cache(maxsize=1)
+def clauses() -> Machine:
+    """The grammar of clauses: negation, report, aim and threat, composed."""
+    return reduce(compose, (negation(), report(), aim(), threat()))
+
+
 @dataclass
 class Grammar:
     """The fitted model: weights of insult stems and words, and of clause features. Small: max_entries lexicon entries at most."""
@@ -41,75 +96,108 @@ def beginnings(word: str) -> list[str]:
 
 
 class Transducer:
-    """Reads white-space-free chunks; each gives its word class, by the automata of the lexicon and the closed classes. Clauses end at punctuation."""
+    """Tags words by the lexicon and the closed classes, and reads the clauses around insults and threats by the composed grammar."""
 
     def __init__(self, grammar: Grammar) -> None:
-        self.grammar, self.cache = grammar, {}
+        self.grammar, self.cache, self.read = grammar, {}, {}
+        self.machine = clauses()
 
-    def classify(self, chunk: bytes) -> tuple[int, float]:
+    def classify(self, chunk: bytes) -> tuple[str, float]:
+        """Symbols of a white-space-free chunk: its class, then c for a comma-like or . for a sentence-ending mark at its end; and the weight of an insult."""
         text = chunk.decode()
+        mark = "." if text[-1] in ".!?|" else "c" if text[-1] in ",;:" else ""
         word = _BOUNDS.sub("", text).lower()
         if not word:
-            return (END if text and text[-1] in ".!?;:|" else 0), 0.0
+            return mark, 0.0
         lexicon = self.grammar.lexicon
         weight = max((lexicon[b] for b in beginnings(word) if b in lexicon), default=0.0)
-        kind = INSULT * (weight > 0) | TARGET * (word in TARGETS) | NEGATION * (word in NEGATIONS or word.endswith("n't")) | REPORT * (word in REPORTED) | THREAT * (word in THREATS) | END * (text[-1] in ".!?;:|,\n")
-        return kind, weight
-
-    def read(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """Class and weight of each chunk."""
-        cache = self.cache
-        if len(cache) > CACHED:
-            cache.clear()
-        extra = {}
-        for w in set(words).difference(cache):
-            (cache if len(w) <= LONGEST else extra)[w] = self.classify(w)
-        return [extra[w] if w in extra else cache[w] for w in words] if extra else list(map(cache.__getitem__, words))
+        for kind, ok in (("i", weight > 0), ("h", word in THREATS), ("r", word in REPORTED), ("n", word in NEGATIONS or word.endswith("n't")), ("t", word in TARGETS)):
+            if ok:
+                return kind + mark, weight
+        return "o" + mark, 0.0
+
+    def tag(self, words: list[bytes]) -> list[tuple[str, float]]:
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        out = []
+        for w in words:
+            found = self.cache.get(w)
+            if found is None:
+                found = self.classify(w)
+                if len(w) <= LONGEST:
+                    self.cache[w] = found
+            out.append(found)
+        return out
+
+    def clause(self, symbols: str) -> str:
+        """What the grammar makes of a clause; plain words always have a path."""
+        out = self.read.get(symbols)
+        if out is None:
+            out = self.machine.best(symbols)[1]
+            if len(symbols) <= LONGEST and len(self.read) < CACHED:
+                self.read[symbols] = out
+        return out
+
+    def of_tags(self, tags: list[tuple[str, float]], of: np.ndarray, ends: np.ndarray, hits: np.ndarray) -> list[float] | None:
+        """Features of a text whose words have the tags `of`; ends: words that end a sentence; hits: words that are insults or threats.
+
+        A clause is the words within REACH of insults and threats, in one sentence. Its insults are aimed, plain, denied or reported, whichever of these is the strongest. Only aimed and plain insults add to weight and share.
+        """
+        counts = dict.fromkeys("aijqx", 0)
+        best, insults = 0.0, 0
+        cut = np.searchsorted(ends, hits)  # of a hit the sentence
+        lo = np.maximum(hits - REACH, np.where(cut > 0, ends[cut - 1] + 1 if len(ends) else 0, 0))
+        hi = np.minimum(hits + REACH + 1, np.where(cut < len(ends), ends[np.minimum(cut, len(ends) - 1)] + 1 if len(ends) else len(of), len(of)))
+        new = np.flatnonzero(np.concatenate([[True], lo[1:] >= hi[:-1]]))
+        for a, b in zip(lo[new].tolist(), hi[np.append(new[1:] - 1, len(hits) - 1)].tolist(), strict=True):
+            here = [tags[k] for k in of[a:b].tolist()]
+            symbols = "".join([x for x, _ in here]).replace(".", "")
+            out = self.clause(symbols)
+            kept = [o for s, o in zip(symbols, out, strict=True) if s == "i"]
+            weights = [w for (x, w) in here if x[:1] == "i"]
+            strongest = next((k for k in "aijq" if k in kept), None)
+            if strongest:
+                counts[strongest] += 1
+            counts["x"] += "x" in out
+            for k, w in zip(kept, weights, strict=True):
+                if k in "ai":
+                    best, insults = max(best, w), insults + 1
+        if not any(counts.values()):
+            return None
+        return [math.log1p(counts[k]) for k in "iajqx"] + [best, min(1.0, 20.0 * insults / len(of))]
+
+    def all_features(self, texts: pa.Array) -> list[list[float] | None]:
+        """Features of every text, None if no clause of it matched anything. Words are tagged once for each distinct one."""
+        words = split_words(texts)
+        out: list[list[float] | None] = [None] * len(texts)
+        if not len(words):
+            return out
+        kinds = words.array().dictionary_encode()
+        tags, of = self.tag(kinds.dictionary.to_pylist()), kinds.indices.to_numpy()
+        hit = np.array([x[:1] in ("i", "h") for x, _ in tags])
+        end = np.array([x.endswith(".") for x, _ in tags])
+        hits, ends = np.flatnonzero(hit[of]), None
+        at = np.searchsorted(hits, words.first)
+        for d in np.flatnonzero(at[1:] > at[:-1]).tolist():
+            a, b = int(words.first[d]), int(words.first[d + 1])
+            mine = of[a:b]
+            ends = np.flatnonzero(end[mine])
+            out[d] = self.of_tags(tags, mine, ends, hits[at[d] : at[d + 1]] - a)
+        return out
 
     def features(self, text: str | None) -> list[float] | None:
-        """Clause features of a text, None if no clause holds an insult or an aimed threat.
+        return self.all_features(pa.array([text], pa.string()))[0]
 
-        In each clause the transducers run side by side: negation before an insult turns it to negated, a verb or mark of report before it to
-        reported; an insult beside a target is aimed; a threat counts with a target only.
-        """
-        words = (text or "").encode().split()
-        tags = self.read(words)
-        if not any(k & (INSULT | THREAT) for k, _ in tags):
-            return None
-        plain = aimed = negated = reported = threat = 0
-        best, state, insults, low = 0.0, 0, 0, 0.0
-        for i, (kind, weight) in enumerate(tags):
-            if kind & INSULT:
-                insults += 1
-                low = max(low, weight)
-                if state & NEGATION:
-                    state |= INSULT << 8
-                elif state & REPORT:
-                    state |= INSULT << 9
-            state |= kind & ~END
-            if kind & END or i == len(tags) - 1:
-                if state & INSULT:
-                    best = max(best, low)
-                    if state & INSULT << 8:
-                        negated += 1
-                    elif state & INSULT << 9:
-                        reported += 1
-                    elif state & TARGET:
-                        aimed += 1
-                    else:
-                        plain += 1
-                if state & THREAT and state & TARGET and not state & (NEGATION | REPORT):
-                    threat += 1
-                state, low = kind & REPORT, 0.0  # 'he said:' reports what follows
-        if not (plain or aimed or negated or reported or threat):
-            return None
-        return [math.log1p(x) for x in (plain, aimed, negated, reported, threat)] + [best, min(1.0, 20.0 * insults / len(words))]
+    def scores(self, texts: pa.Array) -> list[float]:
+        """1 / (1 + e^-z), z being the bias and the weighted features."""
+        out = []
+        for found in self.all_features(texts):
+            z = self.grammar.bias + (sum(w * x for w, x in zip(self.grammar.weights, found, strict=True)) if found else 0.0)
+            out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+        return out
 
     def score(self, text: str | None) -> float:
-        z = self.grammar.bias
-        if found := self.features(text):
-            z += sum(w * x for w, x in zip(self.grammar.weights, found, strict=True))
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        return self.scores(pa.array([text], pa.string()))[0]
 
 
 def held_out(row_id: Column) -> Column:
@@ -187,13 +275,14 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
             lexicon[e] = entries[e]
     grammar = Grammar(lexicon)
 
-    def clauses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Transducer(grammar)
-        for batch in batches:
-            rows = [reader.features(t) or [0.0] * len(FEATURES) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+        for whole in batches:
+            for batch in chunks(whole, 0):
+                rows = [x or [0.0] * len(FEATURES) for x in reader.all_features(batch.column(0))]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    sample = distinct.mapInArrow(clauses, "x array<double>, y int").groupBy("x", "y").count().collect()  # max_labelled rows at most
+    sample = distinct.mapInArrow(matched, "x array<double>, y int").groupBy("x", "y").count().collect()  # max_labelled rows at most
     x, y, n = np.array([r.x for r in sample]), np.array([float(r.y > 0) for r in sample]), np.array([float(r["count"]) for r in sample])
     scale = np.maximum(x.std(axis=0), 1e-6)
     z = np.hstack([np.ones((len(x), 1)), x / scale])
@@ -209,22 +298,28 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
 
 
 def score_documents(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
-    """docs with `score` double added (a column of this name is replaced). Every row is read whole and on its own; null and empty texts have the bias's score."""
+    """docs with `score` double added (a column of this name is replaced, all others stay whatever their names). Every row is read whole and on its own, so repeated rows score alike; null and empty texts have the bias's score.
+
+    Very long texts are one chunk; memory follows the longest text.
+    """
     docs = docs.drop("score")
     at = docs.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Transducer(grammar)
-        for batch in batches:
-            scores = [reader.score(t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
+        for whole in batches:
+            for batch in chunks(whole, at):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reader.scores(batch.column(at)), pa.float64())], [*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs. Scores depend on the text alone."""
+    """doc_id, held_out, score, predicted for every row of docs. Scores depend on the text alone.
+
+    Null and empty texts score the bias alone; repeated rows and ids, null ids (held out as the empty text's crc32 says) and ties score row by row; labels with null columns are ignored; without usable labels all score low; other columns are ignored.
+    """
     grammar = fit(docs, labels, text, row_id)
     rows = score_documents(docs.select(F.col(row_id).alias("doc_id"), F.col(text).alias("text")), grammar)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

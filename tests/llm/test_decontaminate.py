@@ -23,6 +23,21 @@ def test_against_brute_force(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not w[-1] for w in want)
 
 
+def test_repetitive_and_very_long_texts(spark):
+    """Equal windows fold: a million repetitive words meet a repetitive item without pairs of places."""
+    item = "x y " * 2000
+    rows = [(1, item), (2, "x y " * 500_000), (3, "lead " * 30 + "x y " * 7 + "tail " * 30), (4, "y x " * 6), (5, " ".join(f"w{i}" for i in range(300_000))), (6, None)]
+    bench = spark.createDataFrame([(1, item), (2, "Y x " * 300), (3, " ".join(f"w{i}" for i in range(1000, 1400))), (4, "x y x")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in D.decontamination(frame(spark, rows), bench).collect()}
+    assert got == {1: (4000, 4000, 3, True), 2: (1_000_000, 1_000_000, 3, True), 3: (74, 14, 3, True), 4: (12, 11, 1, True), 5: (300_000, 400, 1, False), 6: (0, 0, 0, False)}
+
+
+def test_stage_columns_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "m", "n"), (1, "a b", 8, "m", "n"), (None, None, 9, "m", None)], "doc_id long, text string, id int, hash string, `row.x` string")
+    bench = spark.createDataFrame([(1, "c d")], "item_id long, text string")
+    assert sorted(map(tuple, D.clean_documents(docs, bench).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
 def test_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert D.decontamination(frame(spark, []), bench).collect() == []
