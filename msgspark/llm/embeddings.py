@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 from .common import components, cut, discard
 from .simhash import _stars
 
-BLOCKS = 8
-HOME, GUEST = 16_384, 65_536  # vectors of a cell that one task holds as homes and as guests, about
-TILE = 4_000_000  # pairs that are compared at once
-CELL = 4096  # vectors at home in a cell, about, until MAX_DEPTH
-MAX_DEPTH = 6  # halvings of a block's space, so at most 2 ** MAX_DEPTH cells
+BLOCKS = 4  # of the rotated coordinates, by which vectors are dealt out; each is halved again within its tasks
+HOME, GUEST = 65_536, 131_072  # vectors of a cell that one task holds as homes and as guests, about
+CELL = 65_536  # vectors at home in a cell, about, as long as the block has coordinates to halve
 SAMPLE = 4096  # vectors that the cells' borders are taken from; results don't depend on them
+BOXES = (512, 32)  # vectors of the outer and the inner boxes of a task's tree
+VERIFIED = 65_536  # candidate pairs that are verified at once
 SLACK = 1e-6  # of budgets, for rounding
 
 
@@ -26,117 +27,186 @@ def rotation(dim: int, seed: int = 7) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0]
 
 
-def _decode(cells: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(cells.to_pylist()), np.float64).reshape(-1, dim)
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; row by row, so that a vector gives the same bits in whatever task."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] + 0.0  # + 0.0: no negative zeros
 
 
-def unit_vectors(vectors: DataFrame, vector: str, row_id: str) -> DataFrame:
-    """vec_id, v (binary, doubles of length 1; null where the vector is null, empty, zero or holds a null or non-finite component), dim."""
+def known_vectors(vectors: DataFrame, vector: str, row_id: str) -> DataFrame:
+    """vec_id, x (binary, the components as they came, floats or doubles), digest (128 bits of the direction), dim; x and digest are null where the vector is null, empty, zero or holds a null or non-finite component."""
+    kind = vectors.schema[vector].dataType.elementType.simpleString()
+    width = np.float32 if kind == "float" else np.float64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x in batch.column(1).to_pylist():
-                v = np.array(x if x is not None and None not in x else [], np.float64)
-                top = np.abs(v).max() if len(v) else 0.0
-                if not len(v) or not np.isfinite(v).all() or top == 0:
-                    out.append(None)
-                else:
-                    v = v / top
-                    out.append((v / np.sqrt(v @ v) + 0.0).tobytes())  # + 0.0: no negative zeros
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array([len(x or b"") // 8 for x in out], pa.int32())], ["vec_id", "v", "dim"])
+            lists = batch.column(1)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
+            starts = np.cumsum(sizes) - sizes
+            xs, digests = [None] * len(sizes), [None] * len(sizes)
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == n)
+                x = values[starts[rows][:, None] + np.arange(n)]
+                good = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                rows, x = rows[good], x[good]
+                if len(rows):
+                    for i, raw, u in zip(rows.tolist(), x.astype(width), unit(x), strict=True):
+                        xs[i], digests[i] = raw.tobytes(), blake2b(u.tobytes(), digest_size=16).digest()
+            dims = [len(x) // width().nbytes if x else 0 for x in xs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(xs, pa.binary()), pa.array(digests, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "x", "digest", "dim"])
 
-    return vectors.select(F.col(row_id).cast("long").alias("vec_id"), F.col(vector).alias("x")).mapInArrow(run, "vec_id long, v binary, dim int")
+    return vectors.select(F.col(row_id).cast("long").alias("vec_id"), F.col(vector).alias("x")).mapInArrow(run, "vec_id long, x binary, digest binary, dim int")
 
 
-def _split(dim: int) -> list[np.ndarray]:
-    return [p for p in np.array_split(np.arange(dim), BLOCKS) if len(p)]
+def _split(coordinates: np.ndarray, parts: int) -> list[np.ndarray]:
+    return [p for p in np.array_split(coordinates, parts) if len(p)]
 
 
 def cell_borders(sample: np.ndarray, depth: int) -> list[np.ndarray]:
     """For each block the medians by which its first `depth` coordinates halve the space."""
-    return [np.median(sample[:, block[:depth]], axis=0) if len(sample) else np.zeros(min(depth, len(block))) for block in _split(sample.shape[1])]
+    return [np.median(sample[:, block[:depth]], axis=0) if len(sample) else np.zeros(min(depth, len(block))) for block in _split(np.arange(sample.shape[1]), BLOCKS)]
 
 
-def pigeonhole_links(distinct: DataFrame, dim: int, n: int, cosine: float) -> DataFrame:
-    """distinct: node, v, copies; n rows. Rows (node, links, root): links to other nodes' copies found in one task, and a spanning star of them.
+def reached(off: np.ndarray, budget: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and cells (bit c: above border c) whose cell a ball of squared radius `budget` around the row reaches; off: the row's offsets from the borders."""
+    rows, cells, used = np.arange(len(off)), np.zeros(len(off), np.int64), np.zeros(len(off))
+    for c in range(off.shape[1]):
+        d = off[rows, c]
+        above = (d > 0).astype(np.int64)
+        cross = np.flatnonzero(used + d * d <= budget)
+        rows, cells, used = np.concatenate([rows, rows[cross]]), np.concatenate([cells | above << c, cells[cross] | (1 - above[cross]) << c]), np.concatenate([used, used[cross] + d[cross] ** 2])
+    return rows, cells
 
-    cosine >= c means squared distance <= 2 - 2c, so some block of the rotated vectors is within that block's share, proportional to its width. In each block the space is halved along some coordinates
-    (at medians of a bounded sample); a vector is at home in one cell and a guest in every cell that its ball reaches. Homes meet guests in matrix products over
-    tiles, and pairs within the budget are verified by the full product. A pair counts in the first block whose budget it meets, so in one place only.
+
+def _boxes(x: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Rows in groups of at most `size`, halved at the median of the coordinate that varies most."""
+    todo = [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            yield rows
+        else:
+            p, h = x[rows], len(rows) // 2
+            order = np.argpartition(p[:, int(p.std(axis=0).argmax())], h)
+            todo += [rows[order[h:]], rows[order[:h]]]
+
+
+def near_pairs(a: np.ndarray, b: np.ndarray, budget: float, sizes: tuple[int, ...], count: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row of a, row of b) within the squared distance, and few others for rounding: the range join of one block of coordinates.
+
+    a is split into boxes within boxes; a box goes on with those rows of b that are within reach of it, and a smallest box is compared with what is left. count[0] grows by the pairs compared.
+    """
+    limit = np.float32(budget + 1e-5)
+
+    def go(rows: np.ndarray, others: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not len(others):
+            return
+        p, q = a[rows], b[others]
+        if level == len(sizes):
+            if count is not None:
+                count[0] += len(p) * len(q)
+            i, j = np.nonzero(p @ q.T >= (np.einsum("ij,ij->i", p, p) / 2)[:, None] + (np.einsum("ij,ij->i", q, q) - limit) / 2)
+            yield rows[i], others[j]
+            return
+        for box in _boxes(p, sizes[level]):
+            x = p[box]
+            d = q - np.minimum(np.maximum(q, x.min(axis=0)), x.max(axis=0))
+            yield from go(rows[box], others[np.einsum("ij,ij->i", d, d) <= limit], level + 1)
+
+    if len(a):
+        yield from go(np.arange(len(a)), np.arange(len(b)), 0)
+
+
+def pigeonhole_links(distinct: DataFrame, dim: int, n: int, width: type, cosine: float) -> DataFrame:
+    """distinct: node, x, copies; n rows. Rows (node, links, root): links to other nodes' copies found in one task, and a spanning star of them.
+
+    cosine >= c means squared distance <= 2 - 2c, so some block of the rotated vectors is within that block's share, proportional to its width. Over CELL vectors, a block's space is halved along as many coordinates as it takes
+    (at medians of a bounded sample); a vector is at home in one cell and a guest in every cell that its ball reaches, and moves once to each. In a task the block is halved again, by the same argument, and each half is
+    range-joined by boxes (near_pairs); the union of candidates is verified by the full product. A pair counts in the first block and half whose share it meets, so in one place only.
     Cells with more vectors than a task should hold are split into chunks of homes by chunks of guests. Pairs never leave a task: it gives counts and a spanning star.
     """
-    turn, blocks = rotation(dim), _split(dim)
-    budget = 2 - 2 * cosine
-    shares = [budget * len(b) / dim * (1 + SLACK) + SLACK for b in blocks]
-    depth = max(0, min(MAX_DEPTH, min(len(b) for b in blocks), int(np.log2(max(1, n / CELL)))))
-    sample = [np.frombuffer(r.v, np.float64) @ turn for r in distinct.orderBy(F.xxhash64("node")).limit(SAMPLE).select("v").collect()] if depth else []
-    borders = cell_borders(np.array(sample).reshape(-1, dim), depth)
+    turn, blocks = rotation(dim), _split(np.arange(dim), BLOCKS)
+    share = lambda part, whole, of: of * len(part) / whole * (1 + SLACK) + SLACK
+    shares = [share(b, dim, 2 - 2 * cosine) for b in blocks]
+    depth = max(0, min(*(len(b) for b in blocks), int(np.log2(max(1, n / CELL)))))
+    decode = lambda cells: unit(np.frombuffer(b"".join(cells.to_pylist()), width).reshape(-1, dim).astype(np.float64))
+    turned_of = lambda x: np.einsum("ij,jk->ik", x, turn)  # noqa: E731  # the same bits for a vector in whatever task
+    sample = [r.x for r in distinct.orderBy(F.xxhash64("node")).limit(SAMPLE).select("x").collect()] if depth else []
+    borders = cell_borders(turned_of(decode(pa.array(sample, pa.binary()))) if sample else np.empty((0, dim)), depth)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
-                x = _decode(batch.column(1), dim) @ turn
+                turned = turned_of(decode(batch.column(1)))
                 rows, codes, homes = [], [], []
                 for k, (block, border) in enumerate(zip(blocks, borders, strict=True)):
-                    off = x[:, block[: len(border)]] - border
-                    reach = np.sqrt(shares[k])
+                    off = turned[:, block[: len(border)]] - border
                     own = (off > 0) @ (1 << np.arange(len(border)))
-                    for cell in range(1 << len(border)):
-                        side = np.where(cell >> np.arange(len(border)) & 1, 1.0, -1.0)
-                        inside = np.flatnonzero((np.maximum(0.0, -off * side) ** 2).sum(axis=1) <= reach**2)
-                        rows.append(inside)
-                        codes.append(np.full(len(inside), k << MAX_DEPTH | cell))
-                        homes.append(own[inside] == cell)
-                rows = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows)), pa.array(np.concatenate(codes), pa.int32()), pa.array(np.concatenate(homes))], ["node", "v", "copies", "cell", "home"])
-
-    dealt = distinct.select("node", "v", "copies").mapInArrow(deal, "node long, v binary, copies long, cell int, home boolean")
-    sizes = {r.cell: (r.h, r.g) for r in dealt.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count("*").alias("g")).collect()}  # BLOCKS * 2 ** MAX_DEPTH rows at most
-    chunks = distinct.sparkSession.createDataFrame([(c, -(-h // HOME) or 1, -(-g // GUEST)) for c, (h, g) in sizes.items()], "cell int, hs int, gs int")
+                    r, cells = reached(off, shares[k])
+                    rows.append(r)
+                    codes.append(k << 32 | cells)
+                    homes.append(own[r] == cells)
+                of = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), pa.array(np.concatenate(codes)), pa.array(np.concatenate(homes))], ["node", "x", "copies", "cell", "home"])
+
+    dealt = distinct.select("node", "x", "copies").mapInArrow(deal, "node long, x binary, copies long, cell long, home boolean")
+    if depth or n > min(HOME, GUEST):
+        sizes = {r.cell: (r.h, r.g) for r in dealt.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count("*").alias("g")).collect()}  # BLOCKS * n / CELL rows, BLOCKS * 2 ** (dim / BLOCKS) at most
+    else:
+        sizes = {k << 32: (n, n) for k in range(len(blocks))}
+    chunks = distinct.sparkSession.createDataFrame([(c, -(-h // HOME) or 1, -(-g // GUEST)) for c, (h, g) in sizes.items()], "cell long, hs int, gs int")
     mixed = lambda salt, m: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(m)).cast("int")
-    dealt = dealt.join(F.broadcast(chunks), "cell")
-    as_home = dealt.where("home").withColumn("i", mixed(1, "hs")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("gs") - 1)))
-    as_guest = dealt.withColumn("home", F.lit(False)).withColumn("j", mixed(2, "gs")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("hs") - 1)))
-    tiles = as_home.unionByName(as_guest).select("cell", "i", "j", "node", "v", "copies", "home")
+    tile = lambda i, j, h, g: F.struct(i.alias("i"), j.alias("j"), h.alias("home"), g.alias("guest"))
+    dealt = dealt.join(F.broadcast(chunks), "cell").withColumn("i", mixed(1, "hs")).withColumn("j", mixed(2, "gs"))
+    as_home = F.transform(F.filter(F.sequence(F.lit(0), F.col("gs") - 1), lambda j: F.col("home")), lambda j: tile(F.col("i"), j, F.lit(True), j == F.col("j")))
+    as_guest = F.transform(F.filter(F.sequence(F.lit(0), F.col("hs") - 1), lambda i: ~(F.col("home") & (i == F.col("i")))), lambda i: tile(i, F.col("j"), F.lit(False), F.lit(True)))
+    tiles = dealt.select("cell", "node", "x", "copies", F.explode(F.concat(as_home, as_guest)).alias("t")).select("cell", "t.*", "node", "x", "copies")
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
-        k = key[0].as_py() >> MAX_DEPTH
-        node, copies, home = (table[c].to_numpy() for c in ("node", "copies", "home"))
-        x = _decode(table["v"].combine_chunks(), dim)
-        h, g = np.flatnonzero(home), np.flatnonzero(~home)
-        turned = np.einsum("ij,jk->ik", x, turn)  # the same bits for a vector in whatever task
-
-        def within(block: int, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-            d = turned[p][:, blocks[block]] - turned[q][:, blocks[block]]
-            return (d**2).sum(axis=1) <= shares[block]
+        k = key[0].as_py() >> 32
+        node, copies, home, guest = (table[c].to_numpy() for c in ("node", "copies", "home", "guest"))
+        x = decode(table["x"].combine_chunks())
+        h, g = np.flatnonzero(home), np.flatnonzero(guest)
+        turned = turned_of(x)
+        halves = _split(blocks[k], 2)
+        budgets = [share(half, len(blocks[k]), shares[k]) for half in halves]
+
+        def within(part: np.ndarray, budget: float, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            d = turned[p][:, part] - turned[q][:, part]
+            return np.einsum("ij,ij->i", d, d) <= budget
 
         names, first = np.unique(node, return_inverse=True)  # a node may be here as home and as guest
-        member = root = np.empty(0, np.int64)
-        links = np.zeros(len(node), np.int64)
-        part = turned[:, blocks[k]].astype(np.float32)
-        squares = (part**2).sum(axis=1)
-        guests, bound = np.ascontiguousarray(part[g].T), (squares[g] - np.float32(shares[k] + 1e-5)) / 2
-        rows = max(1, TILE // max(1, len(g)))
-        for at in range(0, len(h), rows):
-            own = h[at : at + rows]
-            left, right = [member], [root]
-            a, b = np.nonzero(part[own] @ guests - (squares[own] / 2)[:, None] >= bound)  # in single precision with slack; exact tests follow
-            for s in range(0, len(a), 65536):
-                p, q = own[a[s : s + 65536]], g[b[s : s + 65536]]
-                other = node[p] != node[q]
-                p, q = p[other], q[other]
-                for block in (k, *range(k)):  # a pair that an earlier block admits is counted there
-                    good = within(block, p, q) == (block == k)
-                    p, q = p[good], q[good]
-                true = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
-                p, q = p[true], q[true]
-                np.add.at(links, p, copies[q])
-                left.append(first[p])
-                right.append(first[q])
-            if len(left) > 1:  # only a spanning star of all links so far is kept
-                member, root = _stars(np.concatenate(left), np.concatenate(right), len(names))
+        links, stars = np.zeros(len(node), np.int64), [(np.empty(0, np.int64), np.empty(0, np.int64))]
+
+        def verify(half: int, p: np.ndarray, q: np.ndarray) -> None:
+            other = node[p] != node[q]
+            p, q = p[other], q[other]
+            tests = [(halves[half], budgets[half], True), (blocks[k], shares[k], True), *((halves[i], budgets[i], False) for i in range(half)), *((blocks[i], shares[i], False) for i in range(k))]
+            for part, budget, want in tests:  # a pair that an earlier part admits is counted there
+                good = within(part, budget, p, q) == want
+                p, q = p[good], q[good]
+            true = np.einsum("ij,ij->i", x[p], x[q]) >= cosine
+            p, q = p[true], q[true]
+            np.add.at(links, p, copies[q])
+            stars.append((first[p], first[q]))
+            if sum(len(s) for s, _ in stars) > 10 * VERIFIED:  # only a spanning star of all links so far is kept
+                stars[:] = [_stars(*map(np.concatenate, zip(*stars, strict=True)), len(names))]
+
+        for half, part in enumerate(halves):
+            low = turned[:, part].astype(np.float32)
+            waiting: list[tuple[np.ndarray, np.ndarray]] = []
+            for i, j in near_pairs(low[h], low[g], budgets[half], BOXES):
+                waiting.append((h[i], g[j]))
+                if sum(len(w) for w, _ in waiting) >= VERIFIED:
+                    p, q = map(np.concatenate, zip(*waiting, strict=True))
+                    for at in range(0, len(p), VERIFIED):
+                        verify(half, p[at : at + VERIFIED], q[at : at + VERIFIED])
+                    waiting = []
+            if waiting:
+                verify(half, *map(np.concatenate, zip(*waiting, strict=True)))
+        member, root = _stars(*map(np.concatenate, zip(*stars, strict=True)), len(names))
         counted = np.bincount(first, weights=links, minlength=len(names)).astype(np.int64)
         to = names.copy()
         to[member] = names[root]
@@ -152,12 +222,13 @@ def embedding_groups(vectors: DataFrame, vector: str = "embedding", row_id: str
     Two vectors link at a cosine >= `cosine` in double precision. Vectors of equal direction to the last bit are folded first and counted by their number. Null, empty and zero vectors and those with null or non-finite components link with
     nothing, nor do vectors of different lengths. Each row is a vector of its own, also if its id repeats; a null id is never a component's name while another is there. No rows give no rows; other columns are ignored.
     """
-    rows = cut(unit_vectors(vectors, vector, row_id).withColumn("row", F.monotonically_increasing_id()))
-    # A node is the least row number of equal vectors.
-    nodes = cut(rows.where("v IS NOT NULL").groupBy("dim", "v").agg(F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
+    width = np.float32 if vectors.schema[vector].dataType.elementType.simpleString() == "float" else np.float64
+    rows = cut(known_vectors(vectors, vector, row_id).withColumn("row", F.monotonically_increasing_id()))
+    # A node is the least row number of vectors of one direction; any of them stands for all.
+    nodes = cut(rows.where("digest IS NOT NULL").groupBy("dim", "digest").agg(F.first("x").alias("x"), F.min("row").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("least")))
     found = None
     for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect():  # as many as there are lengths of vectors
-        links = pigeonhole_links(nodes.where(F.col("dim") == r.dim), r.dim, r.n, cosine)
+        links = pigeonhole_links(nodes.where(F.col("dim") == r.dim), r.dim, r.n, width, cosine)
         found = links if found is None else found.unionByName(links)
     if found is None:
         found = rows.sparkSession.createDataFrame([], "node long, links long, root long")
@@ -165,10 +236,10 @@ def embedding_groups(vectors: DataFrame, vector: str = "embedding", row_id: str
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "top")
     counted = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.join(counted, "node", "left").join(roots, "node", "left")
-    known = cut(known.select("dim", "v", "copies", "least", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("top", "node").alias("top")))
+    known = cut(known.select("dim", "digest", "copies", "least", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("top", "node").alias("top")))
     least = cut(known.groupBy("top").agg(F.min("least").alias("component_id")))
-    known = cut(known.join(least, "top").select("dim", "v", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"))
+    known = cut(known.join(least, "top").select("dim", "digest", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id"))
     discard(nodes, found, least)
-    linked = rows.where("v IS NOT NULL").join(known, ["dim", "v"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = rows.where("digest IS NOT NULL").join(known, ["dim", "digest"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("digest IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

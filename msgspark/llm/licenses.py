@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .wordtable import chunks
+
 #: Texts of license notices by name.
 TEMPLATES = {
     "apache-2.0-short": "Licensed under the Apache License, Version 2.0",
@@ -28,132 +31,182 @@ TEMPLATES = {
 }
 WORD = re.compile(r"\w+")
 GRAM, WINNOW = 3, 2  # words of a fingerprint, k-grams of a window: every shared run of GRAM + WINNOW - 1 words is seen
-MAX_WORDS = 1_000_000  # of all templates together: the size of the index that goes to every task
+INDEX_WORDS = 200_000  # words of the templates of one index, about; more templates make more indexes and passes
+CELLS = 1_000_000  # of alignment matrices that are held at once, about
+CACHED = 300_000
+_ONE = np.int64(1 << 24)  # a score of 1; matched words are counted below it
 
 
-@dataclass
 class Index:
-    """Inverted index: fingerprint -> (template, place). names, words: the templates."""
+    """Templates as word ids, and the inverted index of their winnowed fingerprints: sorted codes of k-grams beside (template, place), for each k."""
+
+    def __init__(self, templates: list[tuple[str, list[str]]]) -> None:
+        self.names = [n for n, _ in templates]
+        vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in templates for w in ws}))}
+        self.base = len(vocabulary) + 1
+        self.vocabulary, self.cache = vocabulary, {}
+        self.words = [np.array([vocabulary[w] for w in ws], np.int64) for _, ws in templates]
+        found: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for t, ids in enumerate(self.words):
+            k = min(GRAM, len(ids))
+            code = self.codes(ids, k)
+            found[k] += [(int(code[i]), t, i) for i in winnow(code.tolist(), WINNOW)]
+        self.posting = {k: np.array(sorted(rows), np.int64).T for k, rows in found.items()}
+
+    def codes(self, ids: np.ndarray, k: int) -> np.ndarray:
+        out = np.zeros(max(0, len(ids) - k + 1), np.int64)
+        for i in range(k):
+            out = out * self.base + ids[i : i + len(out)]
+        return out
+
+    def read(self, words: list[str]) -> list[int]:
+        """Ids of words, 0 for those that no template has."""
+        if len(self.cache) > CACHED:
+            self.cache.clear()
+        out = []
+        for w in words:
+            i = self.cache.get(w)
+            if i is None:
+                i = self.vocabulary.get(w.lower(), 0)
+                if len(w) <= 48:
+                    self.cache[w] = i
+            out.append(i)
+        return out
+
+
+def winnow(grams: list[int], window: int) -> set[int]:
+    """Places of the least k-gram of each window, the leftmost of equal ones."""
+    last = max(1, len(grams) - window + 1)
+    return {min(range(i, min(i + window, len(grams))), key=lambda j: (grams[j] * 0x9E3779B97F4A7C15 % (1 << 64), j)) for i in range(last)} if grams else set()
 
-    names: list[str]
-    words: list[list[str]]
-    posting: dict[tuple[str, ...], list[tuple[int, int]]]
 
+def build_indexes(templates: dict[str, str]) -> list[Index]:
+    """Indexes of about INDEX_WORDS words each. A template of fewer words than a fingerprint is one fingerprint of all; those without words are left out."""
+    parts, size = [[]], 0
+    for name, text in templates.items():
+        if words := WORD.findall((text or "").lower()):
+            if parts[-1] and size + len(words) > INDEX_WORDS:
+                parts, size = [*parts, []], 0
+            parts[-1].append((name, words))
+            size += len(words)
+    return [Index(p) for p in parts if p]
 
-def winnow(grams: list[tuple[str, ...]], window: int) -> set[int]:
-    """Places of the least k-gram (by order of its words, reversed) of each window, the leftmost of equal ones."""
-    last = max(1, len(grams) - window + 1)
-    return {min(range(i, min(i + window, len(grams))), key=lambda j: (grams[j][::-1], j)) for i in range(last)} if grams else set()
 
+def align(template: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray, shift: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Banded alignments of the whole template, one for each (low, high, shift), with words[low:high] near the diagonal that puts template word i beside word i + shift.
 
-def build_index(templates: dict[str, str]) -> Index:
-    """ValueError if the templates have over MAX_WORDS words. Templates of fewer words than a fingerprint are one fingerprint of all; those without words are left out."""
-    names, words, posting = [], [], defaultdict(list)
-    for name, text in templates.items():
-        w = WORD.findall((text or "").lower())
-        if not w:
-            continue
-        grams = [tuple(w[i : i + GRAM]) for i in range(max(1, len(w) - GRAM + 1))]
-        for i in winnow(grams, WINNOW):
-            posting[grams[i]].append((len(names), i))
-        names.append(name)
-        words.append(w)
-    if sum(map(len, words)) > MAX_WORDS:
-        raise ValueError(f"the templates have over {MAX_WORDS} words")
-    return Index(names, words, dict(posting))
-
-
-def align(template: list[str], words: list[str], shift: int, band: int) -> tuple[int, int, int]:
-    """Banded alignment of the whole template with words near the diagonal `shift` (template word i beside words[i + shift]).
-
-    Matches score 2, substitutions -1, gaps -1; words before and after the match are free. Returns matched template words, and the first and the last word matched, exclusive; (0, 0, 0) without a match.
+    Matches score 2, substitutions -1, gaps -1; words before and after the match are free. The best score counts, then more matched words; among equal steps a word beside a word comes before a missing template word, that before a
+    word that the template lacks, and among equal ends the one nearest to the diagonal, the lower one first. Returns matched words, and the first and the last word matched, exclusive (0, 0, 0 without a match). Rows advance together, one
+    template word at a time; gaps along a row are a running maximum.
     """
     m, width = len(template), 2 * band + 1
-    low = -(10**9)
-    score = [0] * width
-    trace = []
+    column = np.arange(width)
+    place = shift[:, None] + np.arange(-band, m + band)
+    inside = (place >= low[:, None]) & (place < high[:, None])
+    window = np.where(inside, words[np.clip(place, 0, len(words) - 1)], -1)
+    score = np.zeros((len(shift), width), np.int64)
+    first, last = np.full(score.shape, -1, np.int64), np.full(score.shape, -1, np.int64)
+    least = np.iinfo(np.int64).min // 4
     for i in range(m):
-        new, came = [low] * width, [0] * width
-        for k in range(width):
-            j = i + shift + k - band  # word beside template word i
-            options = []
-            if 0 <= j < len(words):
-                options.append((score[k] + (2 if template[i] == words[j] else -1), 1))
-                if k > 0:
-                    options.append((new[k - 1] - 1, 3))  # a word that the template lacks
-            if k + 1 < width:
-                options.append((score[k + 1] - 1, 2))  # a template word that is missing
-            if options:
-                new[k], came[k] = max(options, key=lambda x: (x[0], -x[1]))
-        score = new
-        trace.append(came)
-    k, i = max(range(width), key=lambda q: (score[q], -abs(q - band))), m - 1
-    matched, first, last = 0, 0, 0
-    while i >= 0:
-        j, step = i + shift + k - band, trace[i][k]
-        if step == 1:
-            if template[i] == words[j]:
-                matched, first, last = matched + 1, j, last or j + 1
-            i -= 1
-        elif step == 2:
-            i, k = i - 1, k + 1
-        elif step == 3:
-            k -= 1
-        else:
-            break
-    return matched, first, last
-
-
-def scan_text(text: str | None, index: Index, least: float) -> list[tuple[str, float, int, int, int]]:
-    """(template, coverage, matched words, start, end) of every aligned occurrence of coverage >= least: code points, end exclusive; of overlapping ones of a template the best."""
-    places = [m.span() for m in WORD.finditer(text or "")]
-    if not places:
-        return []
-    lowered = [text[s:e].lower() for s, e in places]
-    grams = list(zip(*(lowered[i:] for i in range(GRAM)))) if len(lowered) >= GRAM else [tuple(lowered)]
-    shifts: dict[int, set[int]] = defaultdict(set)
-    for at, gram in enumerate(grams):
-        for t, i in index.posting.get(gram, ()):
-            shifts[t].add(at - i)
-    out = []
-    for t, of in shifts.items():
-        template = index.words[t]
-        band = 2 + len(template) // 8
-        found, last = [], None
-        for shift in sorted(of):
-            if last is not None and shift - last <= band // 2:
-                continue
-            last = shift
-            matched, first, end = align(template, lowered, shift, band)
-            if matched and matched / len(template) >= least:
-                found.append((matched, -first, end))
-        taken: list[tuple[int, int]] = []
-        for matched, first, end in sorted(found, reverse=True):
-            first = -first
-            if all(end <= s or first >= e for s, e in taken):
-                taken.append((first, end))
-                out.append((index.names[t], matched / len(template), matched, places[first][0], places[end - 1][1]))
-    return sorted(out, key=lambda x: (x[3], x[0]))
+        here, valid, at = window[:, i : i + width], inside[:, i : i + width], place[:, i : i + width]
+        same = here == template[i]
+        beside = np.where(valid, score + np.where(same, 2 * _ONE + 1, -_ONE), least)
+        missing = np.full(score.shape, least)
+        missing[:, :-1] = score[:, 1:] - _ONE
+        step = beside >= missing
+        best = np.where(step, beside, missing)
+        pad = lambda x: np.concatenate([x[:, 1:], x[:, -1:]], axis=1)
+        first2 = np.where(step, np.where(same & (first < 0), at, first), pad(first))
+        last2 = np.where(step, np.where(same, at, last), pad(last))
+        before = np.cumsum(valid, axis=1) == 0  # columns before the text; a gap may begin at the last of them
+        before[:, :-1] &= before[:, 1:]
+        reach = np.where(before, least, best) + column * _ONE
+        top = np.maximum.accumulate(reach, axis=1)
+        source = np.maximum.accumulate(np.where(reach == top, column, 0), axis=1)
+        gap = valid & (source < column)
+        score = np.where(gap, top - column * _ONE, best)
+        first = np.where(gap, np.take_along_axis(first2, source, axis=1), first2)
+        last = np.where(gap, np.take_along_axis(last2, source, axis=1), last2)
+    order = np.argsort(np.abs(column - band), kind="stable")
+    end = order[score[:, order].argmax(axis=1)]
+    row = np.arange(len(shift))
+    matched = score[row, end] & int(_ONE - 1)
+    return matched, np.where(matched > 0, first[row, end], 0), np.where(matched > 0, last[row, end] + 1, 0)
+
+
+def scan_texts(texts: list[str | None], index: Index, least: float) -> list[list[tuple[str, float, int, int, int]]]:
+    """Of each text (template, coverage, matched words, start, end) of every aligned occurrence of coverage >= least: code points, end exclusive; of overlapping ones of a template the best (more words, then earlier, then longer)."""
+    out: list[list[tuple[str, float, int, int, int]]] = [[] for _ in texts]
+    ids, ends = [], []
+    for t in texts:
+        ids += index.read(WORD.findall(t or ""))
+        ends.append(len(ids))
+    words, high_of = np.array(ids, np.int64), np.array(ends, np.int64)
+    low_of = np.concatenate([[0], high_of[:-1]])
+    asked: dict[int, list[np.ndarray]] = defaultdict(list)
+    for k, (codes, template, place) in index.posting.items():
+        grams = index.codes(words, k)
+        lo, hi = np.searchsorted(codes, grams, "left"), np.searchsorted(codes, grams, "right")
+        hit = np.flatnonzero(hi > lo)
+        text = np.searchsorted(high_of, hit, "right")
+        hit = hit[hit + k <= high_of[text]]
+        for at, a, b in zip(hit.tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
+            for row in range(a, b):
+                asked[int(template[row])].append((at, at - int(place[row])))
+    found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+    for t, pairs in asked.items():
+        m = len(index.words[t])
+        band = 2 + m // 8
+        at, shift = np.array(pairs, np.int64).T
+        text = np.searchsorted(high_of, at, "right")
+        text, shift = np.unique(np.stack([text, shift]), axis=1)
+        low, high = low_of[text], high_of[text]
+        own = np.zeros(index.base, bool)
+        own[index.words[t]] = True
+        some = np.concatenate([[0], np.cumsum(own[words])])
+        enough = (some[np.clip(shift + m + band, low, high)] - some[np.clip(shift - band, low, high)]) / m >= least  # words that could match
+        text, shift, low, high = text[enough], shift[enough], low[enough], high[enough]
+        rows = max(1, CELLS // (m + 4 * band))
+        for a in range(0, len(text), rows):
+            s = slice(a, a + rows)
+            matched, first, end = align(index.words[t], words, low[s], high[s], shift[s], band)
+            for i in np.flatnonzero((matched > 0) & (matched / m >= least)).tolist():
+                found[int(text[s][i])].append((t, int(matched[i]), int(first[i] - low[s][i]), int(end[i] - low[s][i])))
+    for d, rows in found.items():
+        spans = [x.span() for x in WORD.finditer(texts[d])]
+        taken: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of each template, sorted
+        for t, matched, first, end in sorted(set(rows), key=lambda x: (x[0], -x[1], x[2], -x[3])):
+            i = bisect_left(taken[t], (first, end))
+            if (i == 0 or taken[t][i - 1][1] <= first) and (i == len(taken[t]) or taken[t][i][0] >= end):
+                taken[t].insert(i, (first, end))
+                out[d].append((index.names[t], matched / len(index.words[t]), matched, spans[first][0], spans[end - 1][1]))
+        out[d].sort(key=lambda x: (x[3], x[0]))
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", row_id: str = "doc_id", coverage: float = 0.8) -> DataFrame:
     """doc_id, template, coverage, matched, start, end for every match in every row of docs; rows without a match give none.
 
-    One pass without a shuffle: rows are judged on their own, so hot sources, repeated rows and ties need no care. The index of the templates is bounded by MAX_WORDS. Words are runs of letters, digits and _, lower-cased; the document's
-    k-grams are all looked up, the templates' winnowed, so that every run of GRAM + WINNOW - 1 words in common is seen. Null and empty texts match nothing.
+    Passes without a shuffle: rows are judged on their own, so hot sources, repeated rows and ties need no care. Templates of any number are dealt into indexes of about INDEX_WORDS words, one pass each. Words are runs of letters, digits and _, lower-cased; the document's
+    k-grams are all looked up, the templates' winnowed, so that every run of GRAM + WINNOW - 1 words in common is seen; every diagonal so found that holds enough of the template's words is aligned. Null and empty texts match nothing.
+    Rows are worked on in chunks of about wordtable.CHUNK bytes, a longer text alone; alignments in parts of about CELLS cells. Null and repeated ids are kept as they are; other columns are ignored.
     """
-    index = build_index(TEMPLATES if templates is None else templates)
     rows = docs.select(F.col(row_id).alias("doc_id"), F.col(text).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner, found = [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                hits = scan_text(t, index, coverage)
-                owner += [i] * len(hits)
-                found += hits
-            columns = list(zip(*found, strict=True)) or [[]] * 5
-            kinds = (pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(owner, np.int64))), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "template", "coverage", "matched", "start", "end"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, template string, coverage double, matched int, start long, end long")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, template string, coverage double, matched int, start long, end long"
+
+    def scan(index: Index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in chunks(whole, 1):
+                    hits = scan_texts(batch.column(1).to_pylist(), index, coverage)
+                    owner = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
+                    columns = list(zip(*[x for h in hits for x in h], strict=True)) or [[]] * 5
+                    kinds = (pa.string(), pa.float64(), pa.int32(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "template", "coverage", "matched", "start", "end"])
+
+        return rows.mapInArrow(run, schema)
+
+    passes = [scan(index) for index in build_indexes(TEMPLATES if templates is None else templates)]
+    if not passes:
+        return rows.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.unionAll, passes)

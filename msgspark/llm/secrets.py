@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -39,32 +39,32 @@ def base_spans(text: str) -> list[Span]:
 
 
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
-    """Weak identifiers, secrets and endpoints with their complements in scope: an interval join by sorted starts.
+    """Weak identifiers, secrets and endpoints with their complements in scope: an interval join by sorted starts and ends.
 
-    A weak identifier needs a secret (weak, or a base assignment); a weak secret needs an identifier (weak, or a base access key); an endpoint needs both. Weak parts that overlap a base span are not reported again.
+    A weak identifier needs a secret (weak, or a base assignment or hex string); a weak secret needs an identifier (weak, or a base access key); an endpoint needs both. Two parts are in scope if at most `reach` code points and no blank line lie
+    between them; parts that overlap are not complements. Of the parts on one side the nearest decides, so a text costs its parts times the logarithm of their number, however long they are. Weak parts that overlap a base span are not reported again.
     """
-    strong = lambda kinds: [(s, e) for k, s, e in base if k in kinds]
+    strong = lambda *kinds: [(s, e) for k, s, e in base if k in kinds]
     weak_ids = [m.span() for m in WEAK_ID.finditer(text)] if "=" in text or ":" in text else []
-    ids = sorted(weak_ids + strong(("access",)))
+    ids = weak_ids + strong("access")
     if not ids:
         return []
     weak_secrets = [m.span() for m in WEAK_SECRET.finditer(text)]
-    secrets = sorted(weak_secrets + strong(("assign",)))
+    secrets = weak_secrets + strong("assign", "hex")
     if not secrets:
         return []
     breaks = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
     taken = sorted((s, e) for _, s, e in base)
     last = list(accumulate((e for _, e in taken), max))
-    longest = max(e - s for s, e in ids + secrets)
+    sides = {id(parts): (sorted(s for s, _ in parts), sorted(e for _, e in parts)) for parts in (ids, secrets)}
+
+    def near(end: int, start: int) -> bool:
+        return start - end <= reach and bisect_left(breaks, end) == bisect_left(breaks, start)
 
     def meets(span: tuple[int, int], parts: list[tuple[int, int]]) -> bool:
-        i = bisect_left(parts, (span[0] - reach - longest, 0))
-        while i < len(parts) and parts[i][0] <= span[1] + reach:
-            a, b = sorted((span, parts[i]))
-            if a != b and b[0] >= a[1] and b[0] - a[1] <= reach and bisect_left(breaks, a[1]) == bisect_left(breaks, b[0]):
-                return True
-            i += 1
-        return False
+        starts, ends = sides[id(parts)]
+        after, before = bisect_left(starts, span[1]), bisect_right(ends, span[0])
+        return (after < len(starts) and near(span[1], starts[after])) or (before > 0 and near(ends[before - 1], span[0]))
 
     def free(span: tuple[int, int]) -> bool:
         i = bisect_left(taken, (span[1], 0))
@@ -90,7 +90,7 @@ def find_secrets(docs: DataFrame, text: str = "text", reach: int = REACH) -> Dat
     """docs with `spans` array<struct<kind, start, end>>: code points, end exclusive, by start, then kind in the order of KINDS.
 
     One pass without a shuffle: every row is judged on its own, so that repeated rows, ties and hot sources need no care. Null and empty texts have no
-    spans. A column named spans in docs is replaced.
+    spans; very long ones are read whole, in time that follows their length and number of parts. A column named spans in docs is replaced, all others stay whatever their names.
     """
     docs = docs.drop("spans")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, spans array<struct<kind:string,start:bigint,end:bigint>>"
@@ -117,7 +117,10 @@ def secret_report(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of the text replaced by `mark` (overlapping spans by one); texts without spans and all other columns unchanged."""
+    """docs with every span of the text replaced by `mark` (overlapping spans by one); texts without spans, null texts and all other columns unchanged.
+
+    Every row is masked on its own: repeated rows and ids stay repeated, no rows give no rows, a very long text is held whole.
+    """
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

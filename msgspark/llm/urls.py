@@ -31,8 +31,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     longest fitting rule wins, at equal length the one with the longer host, then 'block' before 'allow'. Without a fitting rule,
     rule is null and verdict is `default`.
 
-    Each distinct (host, path) is expanded once into every suffix of the host's labels times the path's prefixes, of those lengths
-    that the rules' paths have; the first `short` hex digits of each expression's SHA-256 are equi-joined with the rules', and the full
+    Each distinct (host, path) is expanded once into the host's suffixes of as many labels as rules' hosts have, times the path's prefixes of those lengths
+    that the rules' paths have, so that long hosts and paths cost their length only; the first `short` hex digits of each expression's SHA-256 are equi-joined with the rules', and the full
     digests confirm. Spark broadcasts the rules only if they are under its size limit, else it shuffles both sides. A host with a third of all rows is
     pre-aggregated by the distinct. Null and odd URLs have host and path '' and fit no rule; rules with null host or path fit nothing.
     """
@@ -42,8 +42,9 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     lengths = sorted(r.n for r in rules.select(F.length("r_path").alias("n")).distinct().collect())  # at most as many as characters in a path
     host, path = host_and_path(F.col(url))
     parsed = pages.drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    dots = lambda c: F.length(c) - F.length(F.replace(c, F.lit("."), F.lit("")))
+    depths = sorted(r.n for r in rules.select((dots(F.col("r_host")) + 1).alias("n")).distinct().collect())  # at most as many as labels in a host
+    suffixes = F.array_compact(F.array(*[F.when(dots(F.col("host")) + 1 >= n, F.substring_index("host", ".", -n)) for n in depths]).cast("array<string>"))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     kinds = parsed.where("host <> ''").select("host", "path").distinct()
     asked = kinds.select("host", "path", F.explode(suffixes).alias("suffix"), prefixes.alias("prefixes")).select("host", "path", "suffix", F.explode("prefixes").alias("prefix"))

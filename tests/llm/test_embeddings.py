@@ -53,6 +53,39 @@ def test_dense_cluster(spark, monkeypatch):
     assert min(n for _, n, _ in compare(spark, rows)) > 200
 
 
+def test_few_pairs_are_compared():
+    """The boxes find every pair of a block within the budget, and compare under a twentieth of all pairs."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(51_282, 64))
+    x[1000:1300] = x[:300] + rng.normal(size=(300, 64)) * 0.2
+    low = (E.unit(x) @ E.rotation(64))[:, :8].astype(np.float32)
+    count, found = [0], 0
+    for i, j in E.near_pairs(low, low, 0.0125, E.BOXES, count):
+        found += int((((low[i].astype(np.float64) - low[j]) ** 2).sum(axis=1) <= 0.0125).sum())
+    print(f"compared {count[0] / len(low) ** 2:.4f} of all pairs, within the budget {found / len(low) ** 2:.6f}")
+    assert count[0] < 0.05 * len(low) ** 2
+    some = low[:500].astype(np.float64)
+    want = sum(int((((low.astype(np.float64) - v) ** 2).sum(axis=1) <= 0.0125).sum()) for v in some)
+    assert want == sum(int((((low[i].astype(np.float64) - low[j]) ** 2).sum(axis=1) <= 0.0125).sum()) for i, j in E.near_pairs(low[:500], low, 0.0125, E.BOXES))
+
+
+def test_reached_cells():
+    rng = np.random.default_rng(4)
+    off = rng.normal(size=(200, 5))
+    rows, cells = E.reached(off, 0.8)
+    got = sorted(zip(rows.tolist(), cells.tolist()))
+    want = [(r, c) for r in range(200) for c in range(32) if sum(off[r, b] ** 2 for b in range(5) if (off[r, b] > 0) != (c >> b & 1)) <= 0.8]
+    assert got == want
+
+
+def test_doubles(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(60, 12))
+    rows = list(enumerate(np.vstack([base, base + rng.normal(size=(60, 12)) * 0.1, base[:9] * 1e200]).tolist()))
+    got = E.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute([(i, (np.array(x) / max(map(abs, x))).tolist()) for i, x in rows], 0.95))
+
+
 def test_empty(spark):
     assert compare(spark, []) == []
     assert compare(spark, [(1, None)]) == [(1, 0, 1)]

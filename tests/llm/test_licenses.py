@@ -1,4 +1,5 @@
 import difflib
+import random
 
 from msgspark.llm import licenses as L
 
@@ -31,6 +32,91 @@ def test_against_brute_force(spark):
     assert whole.coverage == 1.0 and texts[50_000][whole.start : whole.end] == " ".join(apache)[: whole.end - whole.start]
 
 
+def plain_align(template, words, shift, band):
+    """One cell at a time: the specification of align."""
+    m, width, low = len(template), 2 * band + 1, (-(10**9), 0)
+    row = [((0, 0), -1, -1)] * width
+    for i in range(m):
+        new = []
+        for k in range(width):
+            j = i + shift + k - band
+            valid = 0 <= j < len(words)
+            options = []
+            if valid:
+                (s, n), f, e = row[k]
+                same = words[j] == template[i]
+                options.append(((s + 2, n + 1), j if f < 0 else f, j) if same else ((s - 1, n), f, e))
+            if k + 1 < width:
+                (s, n), f, e = row[k + 1]
+                options.append(((s - 1, n), f, e))
+            if valid and k:
+                (s, n), f, e = new[k - 1]
+                options.append(((s - 1, n), f, e))
+            new.append(max(options, key=lambda x: x[0]) if options else (low, -1, -1))
+        row = new
+    best = max(sorted(range(width), key=lambda k: (abs(k - band), k)), key=lambda k: row[k][0])
+    (_, n), f, e = row[best]
+    return (n, f, e + 1) if n else (0, 0, 0)
+
+
+def plain_scan(text, templates, least):
+    """Every diagonal on which a winnowed fingerprint stands, aligned by plain_align."""
+    (index,) = L.build_indexes(templates)
+    places = [x.span() for x in L.WORD.finditer(text)]
+    words = [text[s:e].lower() for s, e in places]
+    out = []
+    for t, name in enumerate(index.names):
+        want = L.WORD.findall(templates[name].lower())
+        k = min(L.GRAM, len(want))
+        keys = {int(p) for row in index.posting[k].T.tolist() if row[1] == t for p in [row[2]]}
+        shifts = {a - p for p in keys for a in range(len(words) - k + 1) if words[a : a + k] == want[p : p + k]}
+        found = {plain_align(want, words, s, 2 + len(want) // 8) for s in shifts}
+        taken = []
+        for n, f, e in sorted(found, key=lambda x: (-x[0], x[1], -x[2])):
+            if n and n / len(want) >= least and all(e <= a or f >= b for a, b in taken):
+                taken.append((f, e))
+                out.append((name, n / len(want), n, places[f][0], places[e - 1][1]))
+    return sorted(out, key=lambda x: (x[3], x[0]))
+
+
+def test_coverage_and_spans_against_plain_alignment():
+    rnd = random.Random(4)
+    templates = {f"t{i}": " ".join(rnd.choice("abcdefgh") for _ in range(n)) for i, n in enumerate((1, 2, 3, 5, 9, 14, 20, 40))}
+    texts = []
+    for _ in range(120):
+        words = [rnd.choice("abcdefghxyz") for _ in range(rnd.randint(0, 30))]
+        for _ in range(rnd.randint(0, 3)):
+            copy = rnd.choice(list(templates.values())).split()
+            for _ in range(rnd.randint(0, 4)):
+                at = rnd.randrange(len(copy) + 1)
+                copy[at : at + rnd.randint(0, 2)] = [rnd.choice("abcxyz") for _ in range(rnd.randint(0, 2))]
+            at = rnd.randint(0, len(words))
+            words[at:at] = copy
+        texts.append("".join(w + rnd.choice([" ", ", ", " é "]) for w in words))
+    (index,) = L.build_indexes(templates)
+    for least in (0.5, 0.8):
+        got = L.scan_texts([None, "", *texts], index, least)
+        assert got[:2] == [[], []] and got[2:] == [plain_scan(t, templates, least) for t in texts]
+    assert sum(map(len, got)) > 200
+
+
+def test_repetitive_and_very_long_texts():
+    (index,) = L.build_indexes(L.TEMPLATES)
+    mit = L.TEMPLATES["mit"]
+    texts = ["software without restriction " * 6000, "word " * 500_000 + mit + " word" * 500_000, (L.TEMPLATES["mit-short"] + ". ") * 3000]
+    a, b, c = L.scan_texts(texts, index, 0.8)
+    assert a == [] and [(x[0], x[1], texts[1][x[3] : x[4]]) for x in b] == [("mit", 1.0, mit.rstrip("."))]
+    assert [x[0] for x in c] == ["mit-short"] * 3000
+
+
+def test_many_templates_make_more_indexes(spark, monkeypatch):
+    docs = documents(spark, 100)
+    want = sorted(map(tuple, L.scan_licenses(frame(spark, docs)).collect()), key=str)
+    monkeypatch.setattr(L, "INDEX_WORDS", 30)
+    assert len(L.build_indexes(L.TEMPLATES)) > 5
+    assert sorted(map(tuple, L.scan_licenses(frame(spark, docs)).collect()), key=str) == want
+
+
 def test_own_templates_and_empty(spark):
     docs = frame(spark, [(1, "Alpha beta"), (2, None), (3, "")])
     assert [(r.doc_id, r.template) for r in L.scan_licenses(docs, {"t": "alpha Beta", "none": "", "gone": None}).collect()] == [(1, "t")]

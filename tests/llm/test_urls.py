@@ -14,7 +14,7 @@ def brute(url):
 
 
 URLS = [None, "", "nothing", "://", "http://com/", "http://COM", "https://www.Example.com/en/x?y#z", "https://example.com/en", "http://a.example.com/en/", "http://aexample.com/en/", "ftp://b.net/es/1", "ftp://b.net/fr/", "http://net/es/x#/fr/",
-        "http://x.org/a://com/", "http://ÉX.com/é", "http://a..com/", "http://www.example.com/en/", "http://z.www.example.com/en/q", "http://" + "a." * 300 + "com/" + "p/" * 500, "http://www.example.com/en/"]
+        "http://x.org/a://com/", "http://ÉX.com/é", "http://a..com/", "http://www.example.com/en/", "http://z.www.example.com/en/q", "http://" + "a." * 300 + "com/" + "p/" * 500, "http://www.example.com/en/", "http://" + "." * 100_000 + "net/es/", "http://" + "a." * 50_000 + "example.com/en/" + "q" * 100_000]
 
 
 def test_against_brute_force(spark):
