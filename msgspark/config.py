@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import posixpath
 import re
 from dataclasses import dataclass, field
 
@@ -88,6 +90,23 @@ def alias_targets(source: str, aliases: dict[str, list[str]]) -> list[str]:
     return out
 
 
+def path_aliases(tsconfig: str | None, jsconfig: str | None = None) -> list[tuple[str, bool, list[str]]]:
+    """(prefix, exact, targets from the project's root) of the first of two configurations that can be read, the longest prefix first [SRC10]. Comments are allowed; a configuration without paths gives none."""
+    for text in (tsconfig, jsconfig):
+        try:
+            options = json.loads(re.sub(r"(?m)^\s*//.*$", "", re.sub(r"(?s)/\*.*?\*/", "", text or ""))).get("compilerOptions") or {}
+        except (ValueError, AttributeError):
+            continue
+        base, out = options.get("baseUrl") if isinstance(options.get("baseUrl"), str) else ".", []
+        for pattern, places in (options.get("paths") or {}).items():
+            wild = pattern.endswith("/*")
+            targets = [posixpath.normpath(posixpath.join(base, p[:-1] if wild and p.endswith("/*") else p)) for p in places if isinstance(p, str)] if isinstance(places, list) else []
+            if targets:
+                out.append((pattern[:-1] if wild else pattern, not wild, targets))
+        return sorted(out, key=lambda x: -len(x[0]))
+    return []
+
+
 def include_patterns(folders: set[str]) -> list[str]:
     """Globs for a project with these top-level folders (src's as 'src/x'): known ones, src first; else everything [SRC9]."""
     known = ["app", "pages", "components"]

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from bisect import bisect_right
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 _SPACE = re.compile(r"(?:\s|//[^\n]*|/\*.*?\*/)+", re.DOTALL)
@@ -213,15 +216,148 @@ class Reader:
                 j = child.end
 
 
+@contextmanager
+def deep(code: str) -> Iterator[None]:
+    """Lets pure Python functions recurse as deep as the code can nest. Such frames live on the heap, so depth costs memory only."""
+    old = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(old, 6 * len(code) + 1000))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(old)
+
+
+def read(code: str) -> list[Token]:
+    """The tokens of a file, however deep it nests."""
+    with deep(code):
+        return Reader(code).read()
+
+
 def has_jsx(tokens: list) -> bool:
-    for t in tokens:
-        if isinstance(t, Token) and (t.kind == "jsx" or t.kind == "group" and has_jsx(t.parts)):
-            return True
-        if isinstance(t, Token) and t.kind == "template" and any(has_jsx(p) for p in t.parts if isinstance(p, list)):
-            return True
+    todo = [tokens]
+    while todo:
+        for t in todo.pop():
+            if isinstance(t, Token):
+                if t.kind == "jsx":
+                    return True
+                if t.kind == "group":
+                    todo.append(t.parts)
+                elif t.kind == "template":
+                    todo += [p for p in t.parts if isinstance(p, list)]
     return False
 
 
+def names_in(tokens: list) -> set[str]:
+    """All names in tokens, at any depth."""
+    todo, found = [tokens], set()
+    while todo:
+        for t in todo.pop():
+            if isinstance(t, Token):
+                if t.kind == "name":
+                    found.add(t.text)
+                todo += [[p] if isinstance(p, Token) else p for p in t.parts if not isinstance(p, str)]
+                todo += [[v] for *_, v in t.attributes if v is not None] + [t.children]
+    return found
+
+
+def bound_names(tokens: list, deeply: bool = True) -> set[str]:
+    """Names that tokens declare: variables, functions, classes, parameters, and what patterns may bind (all names in them); at any depth, or on this level only."""
+    todo, found = [tokens], set()
+    while todo:
+        here = [t for t in todo.pop() if isinstance(t, Token)]
+        for i, t in enumerate(here):
+            after = here[i + 1] if i + 1 < len(here) else None
+            if t.kind == "name" and t.text in ("const", "let", "var", "function", "class", "catch") and after is not None:
+                found |= {after.text} if after.kind == "name" else names_in(after.parts) if after.kind == "group" else set()
+                later = here[i + 2] if i + 2 < len(here) else None
+                if t.text == "function" and later is not None and later.kind == "group" and later.text == "(":
+                    found |= names_in(later.parts)
+            elif t.kind == "punct" and t.text == "=>" and i:
+                before = here[i - 1]
+                found |= {before.text} if before.kind == "name" else names_in(before.parts) if before.kind == "group" else set()
+            if deeply:
+                todo += ([t.parts] if t.kind in ("group", "hole") else []) + [p for p in t.parts if isinstance(p, list)]
+                todo += [[v] for *_, v in t.attributes if v is not None] + [t.children]
+    return found
+
+
+@dataclass(frozen=True)
+class Import:
+    """One import or re-export. names: (imported, local); default and * are imported under these names."""
+
+    source: str
+    names: tuple[tuple[str, str], ...]
+    type_only: bool
+    start: int
+    end: int
+    group: Token | None = None  # the braces of named imports
+
+
+def _clause(tokens: list[Token]) -> tuple[list[tuple[str, str]], bool, Token | None]:
+    """Names of an import clause, whether all of them are types, and its braces."""
+    names, types, group = [], [], None
+    for i, t in enumerate(tokens):
+        if t.kind == "group" and t.text == "{":
+            group, item = t, []
+            for x in [*t.parts, Token("punct", ",", t.end)]:
+                if x.kind == "punct" and x.text == ",":
+                    words = [y.text for y in item]
+                    typed = len(words) > 1 and words[0] == "type" and words[1] != "as"
+                    words = words[1:] if typed else words
+                    if words:
+                        names.append((words[0], words[-1]))
+                        types.append(typed)
+                    item = []
+                else:
+                    item.append(x)
+        elif t.kind == "punct" and t.text == "*":
+            names.append(("*", tokens[i + 2].text if i + 2 < len(tokens) else "*"))
+            types.append(False)
+        elif t.kind == "name" and t.text not in ("as", "type") and not (i and tokens[i - 1].text == "as"):
+            names.append(("default", t.text))
+            types.append(False)
+    return names, bool(types) and all(types), group
+
+
+def imports(tokens: list[Token]) -> list[Import]:
+    """Import declarations and re-exports of a module's top level, in order."""
+    out, i = [], 0
+    while i < len(tokens):
+        t = tokens[i]
+        if t.kind == "name" and t.text in ("import", "export") and not (i and tokens[i - 1].text == "."):
+            j = i + 1
+            typed = j < len(tokens) and tokens[j].text == "type" and j + 1 < len(tokens) and tokens[j + 1].text not in ("from", ",")
+            clause = j + typed
+            while j < len(tokens) and j - clause < 8 and (tokens[j].kind == "name" and tokens[j].text not in ("from", "const", "let", "var", "function", "class", "import", "export", "default") or tokens[j].text in ("*", ",") or tokens[j].kind == "group" and tokens[j].text == "{"):
+                j += 1
+            if t.text == "import" and j < len(tokens) and tokens[j].kind == "string" and j == i + 1:
+                out.append(Import(tokens[j].text, (), False, t.start, tokens[j].end))
+                i = j
+            elif j + 1 < len(tokens) and tokens[j].text == "from" and tokens[j + 1].kind == "string":
+                names, all_types, group = _clause(tokens[clause:j])
+                only = typed or (all_types and t.text == "import")
+                out.append(Import(tokens[j + 1].text, tuple(names) if t.text == "import" else (), only, t.start, tokens[j + 1].end, group))
+                i = j + 1
+        i += 1
+    return out
+
+
+def runtime_imports(tokens: list[Token]) -> list[str]:
+    """Distinct sources that a file loads when it runs [AGG17]: imports and re-exports but those of types alone, and import() of a string at any depth."""
+    found = dict.fromkeys(x.source for x in imports(tokens) if not x.type_only)
+    todo = [tokens]
+    while todo:
+        here = todo.pop()
+        for i, t in enumerate(here):
+            if not isinstance(t, Token):
+                continue
+            if t.kind == "name" and t.text == "import" and not (i and isinstance(here[i - 1], Token) and here[i - 1].text == ".") and i + 1 < len(here) and here[i + 1].kind == "group" and here[i + 1].text == "(" and here[i + 1].parts and here[i + 1].parts[0].kind == "string":
+                found[here[i + 1].parts[0].text] = None
+            todo += ([t.parts] if t.kind in ("group", "hole") else []) + [p for p in t.parts if isinstance(p, list)]
+            todo += [[v] for *_, v in t.attributes if v is not None] + [t.children]
+    return list(found)
+
+
 def template_text(t: Token) -> str | None:
     """A template with its expressions as {name}; a.b.c becomes aBC, repeated names get 2, 3 ...; None if an expression is neither a name nor a path."""
     out, used = "", set()

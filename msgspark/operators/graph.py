@@ -4,37 +4,115 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jsx as J
+
 #: Extensions of source files, in the order in which they are tried.
 EXTENSIONS = [".tsx", ".ts", ".jsx", ".js", ".mts", ".cts", ".mjs", ".cjs"]
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written to the shared folder in spark.checkpoint.dir and read again; a folder of our own where that is unset."""
+def saved_path(df: DataFrame) -> str:
+    """Writes df to the shared folder in spark.checkpoint.dir; where that is unset, to a temporary folder if the master is local (tests), else ValueError: executors would not share it."""
     spark: SparkSession = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="msgspark-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: later steps neither recompute it nor lose it with an executor."""
+    return df.sparkSession.read.schema(df.schema).parquet(saved_path(df))
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """node: all that can be reached from roots (node) over edges (src, dst), the roots included; cycles are fine [CG8].
+    """node: all that can be reached from roots (node) over edges (src, dst), the roots included; cycles, nulls and repeated edges are fine [CG8].
 
-    A frontier loop: each round joins the new nodes with the edges and drops those seen; written rounds keep the plan short and survive lost executors.
+    A frontier loop over edges that are written once: each round joins the new nodes with the edges, drops those seen and appends its frontier, so a round writes its own nodes only.
     """
-    seen = frontier = saved(roots.select("node").where("node IS NOT NULL").distinct())
-    while not frontier.isEmpty():
-        step = frontier.join(edges.where("src IS NOT NULL AND dst IS NOT NULL"), frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = saved(step.join(seen, "node", "left_anti"))
-        seen = saved(seen.union(frontier))
-    return seen
+    spark = roots.sparkSession
+    frontier = roots.select("node").where("node IS NOT NULL").distinct()
+    schema, paths = frontier.schema, []
+    edges = saved(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst"))
+    while True:
+        paths.append(saved_path(frontier))
+        now = spark.read.schema(schema).parquet(paths[-1])
+        seen = spark.read.schema(schema).parquet(*paths)
+        if now.isEmpty():
+            return seen
+        frontier = now.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+
+
+def file_facts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path, client (whether the file runs in the browser by itself), sources (its runtime imports, distinct, in order) of each file that can be read [AGG17, CG7]. Null contents have no row."""
+    from .jsx_strings import is_client
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for file, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    sources = J.runtime_imports(J.read(code)) if code is not None else None
+                except J.Unreadable:
+                    sources = None
+                if sources is not None:
+                    for col, v in zip(out, (file, is_client(code), sources), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.list_(pa.string()))], ["path", "client", "sources"])
+
+    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInArrow(run, "path string, client boolean, sources array<string>")
+
+
+def normalized(path: Column) -> Column:
+    """A path from the project's root without '.', '..' and empty parts."""
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.lit(0), F.size(acc) - 1))).otherwise(F.concat(acc, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def import_bases(importer: Column, source: Column, aliases: list[tuple[str, bool, list[str]]]) -> Column:
+    """Places that an import may mean, in order [JN12]: relative to the importer; '@/' under src, then the root; '~/' and '/' under the root; else by aliases (prefix, exact, targets), all that fit, as ordered."""
+    folder = F.regexp_replace(importer, "/?[^/]*$", "")
+    rest = lambda n: F.substring(source, F.lit(n), F.length(source))
+    none = F.array().cast("array<string>")
+    by_alias = none
+    for prefix, exact, targets in aliases:
+        fits = source == prefix if exact else F.startswith(source, F.lit(prefix))
+        places = F.array(*[F.lit(t) if exact else F.concat(F.lit(t.rstrip("/") + "/"), rest(len(prefix) + 1)) for t in targets])
+        by_alias = F.concat(by_alias, F.when(fits, places).otherwise(none))
+    found = (
+        F.when(F.startswith(source, F.lit(".")), F.array(F.concat(folder, F.lit("/"), source)))
+        .when(F.startswith(source, F.lit("@/")), F.array(F.concat(F.lit("src/"), rest(3)), rest(3)))
+        .when(F.startswith(source, F.lit("~/")), F.array(rest(3)))
+        .when(F.startswith(source, F.lit("/")), F.array(rest(2)))
+        .otherwise(by_alias)
+    )
+    return F.transform(found, normalized)
+
+
+def import_edges(facts: DataFrame, aliases: list[tuple[str, bool, list[str]]] | None = None) -> DataFrame:
+    """src, dst: which files of facts (path, sources) import which others at run time: the first place, then the first candidate file, that is a known file [JN12]. Two equi-joins; nothing is broadcast by hand."""
+    asked = facts.select(F.col("path").alias("src"), F.explode("sources").alias("source"))
+    places = asked.select("src", "source", F.posexplode(import_bases(F.col("src"), F.col("source"), aliases or [])).alias("p", "base"))
+    files = places.select("src", "source", "p", F.posexplode(candidates(F.col("base"))).alias("q", "file"))
+    known = facts.select(F.col("path").alias("file")).distinct()
+    return files.join(known, "file").groupBy("src", "source").agg(F.min_by("file", F.struct("p", "q")).alias("dst")).select("src", "dst").distinct()
+
+
+def client_files(files: DataFrame, aliases: list[tuple[str, bool, list[str]]] | None = None, path: str = "path", content: str = "content") -> DataFrame:
+    """path of every file that reaches the browser: client files and all that they import at run time, at any depth [CG8, AGG17]."""
+    facts = saved(file_facts(files, path, content))
+    return reachable(facts.where("client").select(F.col("path").alias("node")), import_edges(facts, aliases)).select(F.col("node").alias("path"))
 
 
 def candidates(base: Column) -> Column:

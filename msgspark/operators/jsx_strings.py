@@ -32,6 +32,7 @@ class Scope:
     shows: bool = False  # the function around has JSX
     tag: str | None = None
     body: int | None = None  # where the component's body begins
+    waits: bool = False  # the component is async
 
 
 @dataclass
@@ -54,9 +55,13 @@ class Extractor:
         self.reader = J.Reader(code)
         self.props = T.TRANSLATABLE_PROPS if props is None else props
         self.found: list[Found] = []
+        self.tokens: list[J.Token] = []
+        self.bodies: dict[int, tuple[list[J.Token], list[J.Token]]] = {}  # of components: parameters and body, by where the body begins
 
     def run(self) -> list[Found]:
-        self.statements(self.reader.read(), Scope())
+        with J.deep(self.reader.code):
+            self.tokens = self.reader.read()
+            self.statements(self.tokens, Scope())
         return sorted(self.found, key=lambda f: f.at)
 
     def add(self, text: str | None, kind: str, at: int, end: int, scope: Scope, node: J.Token | None = None, **more: str | None) -> None:
@@ -114,7 +119,8 @@ class Extractor:
     def declared(self, tokens: list[J.Token], i: int, scope: Scope) -> int:
         """A function or a class from its keyword on; returns what follows."""
         before = tokens[i - 1] if i else None
-        if before and before.text == "async":
+        waits = before is not None and before.text == "async"
+        if waits:
             before = tokens[i - 2] if i > 1 else None
         statement = before is None or before.text in (";", "export", "default") or before.kind == "group" and before.text == "{" or before.kind in ("string", "jsx")
         j, name = i + 1, None
@@ -131,8 +137,11 @@ class Extractor:
             return i + 1
         default = before is not None and before.text == "default"
         own = (name or ("__default__" if default else None)) if statement else None if scope.function else scope.carrier
-        body = tokens[j]
-        inner = replace(scope, component=own or scope.component, carrier=None, function=True, shows=J.has_jsx(body.parts), const=None, tag=None, body=body.start + 1 if own else scope.body)
+        body, is_class = tokens[j], tokens[i].text == "class"
+        at = None if is_class else body.start + 1  # a class has no body that a translator could stand in
+        inner = replace(scope, component=own or scope.component, carrier=None, function=True, shows=J.has_jsx(body.parts), const=None, tag=None, body=at if own or is_class else scope.body, waits=waits if own else scope.waits)
+        if own and at:
+            self.bodies[at] = (tokens[params:j], body.parts)
         for t in tokens[params:j]:
             self.token(t, None, inner)
         self.statements(body.parts, inner)
@@ -141,9 +150,15 @@ class Extractor:
     def arrow(self, tokens: list[J.Token], i: int, scope: Scope) -> int:
         own = None if scope.function else scope.carrier
         body = tokens[i + 1] if i + 1 < len(tokens) else None
-        inner = replace(scope, component=own or scope.component, carrier=None, function=True, const=None, tag=None)
+        first = i - 1  # the parameters, before them perhaps async; a result type may stand between
+        while first > 0 and not (tokens[first].kind == "group" and tokens[first].text == "(" and (first + 1 == i or tokens[first + 1].text == ":")) and not (first + 1 == i and tokens[first].kind == "name"):
+            first -= 1
+        waits = first > 0 and tokens[first - 1].text == "async"
+        inner = replace(scope, component=own or scope.component, carrier=None, function=True, const=None, tag=None, waits=waits if own else scope.waits)
         if body is not None and body.kind == "group" and body.text == "{":
             inner = replace(inner, shows=J.has_jsx(body.parts), body=body.start + 1 if own else scope.body)
+            if own:
+                self.bodies[body.start + 1] = (tokens[max(0, first) : i], body.parts)
             self.statements(body.parts, inner)
             return i + 2
         j = i + 1
@@ -273,7 +288,7 @@ def extract(code: str, props: list[str] | None = None) -> list[tuple]:
 
 
 def extract_strings(files: DataFrame, props: list[str] | None = None, path: str = "path", content: str = "content") -> DataFrame:
-    """SCHEMA: the strings of each source file, in source order [SRC2, EXT1-11]. Files that cannot be read give no rows, null contents neither. Each file is a row of its own; nothing is shuffled."""
+    """SCHEMA: the strings of each source file, in source order [SRC2, EXT1-11]. Files that cannot be read give no rows, null contents neither; nesting has no limit but memory. Each file is a row of its own; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,7 +296,7 @@ def extract_strings(files: DataFrame, props: list[str] | None = None, path: str
             for file, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     rows += [(file, i, *r) for i, r in enumerate(extract(code or "", props))]
-                except (J.Unreadable, RecursionError):
+                except J.Unreadable:
                     continue
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6]
             names = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -298,32 +313,92 @@ def is_client(code: str) -> bool:
     return any(re.match(r"\s*use[A-Z]\w*", n) and n.split()[0] != "useT" for n in names if n.strip())
 
 
-def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: str = "keys", inline_module: str = "@/components/t") -> tuple[str, int, bool]:
-    """(code, replaced, client) with mapped strings as t(...) calls [CG2, CG4-6]: JSX text, attributes, expressions, ternary branches and content properties of components.
-
-    mode "inline" [CG3] keeps the source text: <T id="key">text</T> for JSX text and t("text", "key") for the rest, from inline_module. In mode "keys" each component with a replaced string gets a translator at the start of its body, with the namespace if all its keys share one, then without it in the keys; the import is added or extended. Strings outside a block
-    body are left. The result is read again; if that fails, or nothing is replaced, the code comes back unchanged. Running twice changes nothing.
+@dataclass(frozen=True)
+class Translator:
+    """The translator of a component: its name, its namespace (None: none), and whether the component has it already."""
+
+    name: str
+    space: str | None
+    there: bool
+
+
+def translator_in(body: list[J.Token], makers: set[str]) -> Translator | None:
+    """A `const name = [await] maker("namespace")` among a body's statements; makers: names under which a file can call one."""
+    for i, t in enumerate(body):
+        if t.text == "const" and i + 3 < len(body) and body[i + 1].kind == "name" and body[i + 2].text == "=":
+            j = i + 3 + (body[i + 3].text == "await")
+            if j + 1 < len(body) and body[j].text in makers and body[j + 1].kind == "group" and body[j + 1].text == "(":
+                args = body[j + 1].parts
+                if not args or len(args) == 1 and args[0].kind == "string":
+                    return Translator(body[i + 1].text, args[0].text if args else None, True)
+    return None
+
+
+def translator_for(found: list[J.Token], params: list[J.Token], keys: set[str], makers: set[str], outer: set[str]) -> Translator:
+    """The component's own translator if all keys lie in its namespace, else a new one under a name that nothing in the component or around it (outer) binds; existing calls are never touched [CG5, CG6]."""
+    own = translator_in(found, makers)
+    if own and (own.space is None or all(k.startswith(own.space + ".") for k in keys)):
+        return own
+    spaces = {k.split(".")[0] if k.find(".") > 0 else None for k in keys}
+    taken, n, name = J.names_in(params) | J.bound_names(found) | outer, 1, "t"
+    while name in taken:
+        n, name = n + 1, "tr" if n == 1 else f"tr{n}"
+    return Translator(name, spaces.pop() if len(spaces) == 1 else None, False)
+
+
+def local_names(imported: list[J.Import], name: str, source: str) -> list[str]:
+    """The names under which a file has imported something [CG14]."""
+    return [local for x in imported if x.source == source and not x.type_only for other, local in x.names if other == name]
+
+
+def with_import(code: str, name: str, source: str) -> str:
+    """code that imports name from source: unchanged if it does, in the braces of an import from there, else in a line of its own after a directive [CG14]."""
+    imported = J.imports(J.read(code))
+    if local_names(imported, name, source):
+        return code
+    for x in imported:
+        if x.source == source and x.group is not None and not x.type_only and x.names:
+            inner = code[x.group.start + 1 : x.group.end - 1].strip().rstrip(",")
+            return f"{code[: x.group.start]}{{ {inner}, {name} }}{code[x.group.end :]}"
+    directive = re.match(r"""\s*['"]use (?:client|server)['"];?\s*?\n""", code)
+    at = directive.end() if directive else 0
+    return f'{code[:at]}import {{ {name} }} from "{source}";\n{code[at:]}'
+
+
+def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: str = "keys", inline_module: str = "@/components/t", client: bool | None = None) -> tuple[str, int, bool]:
+    """(code, replaced, client) with mapped strings as calls of a translator [CG2, CG4-6]: JSX text, attributes, expressions, ternary branches and content properties of components.
+
+    mode "inline" [CG3] keeps the source text: <T id="key">text</T> for JSX text and t("text", "key") for the rest, from inline_module. In mode "keys" each component with a replaced string gets a translator at the start of its body, with the namespace if all its keys share one, then without it in the keys.
+    A translator that is there is used where it fits, else a new one gets a name of its own (translator_for); imports are reused under their aliases, extended or added. client: whether the file reaches the browser (see graph.client_files); by itself judged by is_client. Async components of other files await their translator.
+    Strings outside a block body are left. The result is read again; if that fails, or nothing is replaced, the code comes back unchanged. Running twice changes nothing.
     """
     x = Extractor(code)
-    found = [f for f in x.run() if f.text in keys and f.node is not None and f.scope.component and re.match("[A-Z]|__default__$|use[A-Z]", f.scope.component) and f.scope.body is not None and f.type != "module-object-property"]
-    client, inline = is_client(code), mode == "inline"
+    found = [f for f in x.run() if f.text in keys and f.node is not None and f.scope.component and re.match("[A-Z]|__default__$|use[A-Z]", f.scope.component) and f.scope.body in x.bodies and f.type != "module-object-property"]
+    client, inline = is_client(code) if client is None else client, mode == "inline"
     if not found:
         return code, 0, client
-    spaces: dict[int, str | None] = {}
+    imported = J.imports(x.tokens)
+    hook, getter = (("useT", "createT"), (inline_module, inline_module)) if inline else (("useTranslations", "getTranslations"), (module, f"{module}/server"))
+    makers = {n: local_names(imported, n, source) for n, source in zip(hook, getter, strict=True)}
+    every = {n for names in makers.values() for n in names} | set(hook)
+    outer = J.bound_names(x.tokens, deeply=False) | {local for i in imported for _, local in i.names}
+    translators: dict[int, Translator] = {}
+    calls = {f.scope.body for f in found if not (inline and f.type == "jsx-text")}
     for body in {f.scope.body for f in found}:
-        own = {k.split(".")[0] if k.find(".") > 0 else None for k in (keys[f.text] for f in found if f.scope.body == body)}
-        spaces[body] = own.pop() if len(own) == 1 else None
+        params, parts = x.bodies[body]
+        own = translator_in(parts, every) if inline else None
+        translators[body] = own or translator_for(parts, params, set() if inline else {keys[f.text] for f in found if f.scope.body == body}, set() if inline else every, outer)
     edits: list[tuple[int, int, str]] = []
     for f in found:
-        key, ns = keys[f.text], spaces[f.scope.body]
-        short = key[len(ns) + 1 :] if ns else key
+        key, tr = keys[f.text], translators[f.scope.body]
+        short = key[len(tr.space) + 1 :] if tr.space and not inline else key
         values = J.template_values(f.node) if f.node.kind == "template" else []
         if inline and f.type == "jsx-text":
             raw = code[f.node.start : f.node.end]
             edits.append((f.node.start + len(raw) - len(raw.lstrip()), f.node.end - len(raw) + len(raw.rstrip()), f'<T id="{key}">{raw.strip()}</T>'))
             continue
         extra = ", { " + ", ".join(n if n == e else f"{n}: {e}" for n, e in values) + " }" if values else ""
-        call = f"t({json.dumps(f.text, ensure_ascii=False)}, {json.dumps(key)}{extra})" if inline else f't("{short}"{extra})'
+        call = f"{tr.name}({json.dumps(f.text, ensure_ascii=False)}, {json.dumps(key)}{extra})" if inline else f'{tr.name}("{short}"{extra})'
         if f.type == "jsx-text":
             raw = code[f.node.start : f.node.end]
             lead, tail = len(raw) - len(raw.lstrip()), len(raw) - len(raw.rstrip())
@@ -332,60 +407,57 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: st
             edits.append((f.node.start, f.node.end, "{" + call + "}"))
         else:
             edits.append((f.node.start, f.node.end, call))
-    calls = {f.scope.body for f in found if not (inline and f.type == "jsx-text")}
-    for body, ns in spaces.items():
-        if inline:
-            if body in calls and not re.match(r"\s*const t = (?:useT|createT)\(", code[body : body + 200]):
-                edits.append((body, body, "\n\tconst t = useT();"))
+    waits = {f.scope.body: f.scope.waits for f in found}
+    needed: set[tuple[str, str]] = set()
+    for body, tr in translators.items():
+        if tr.there or inline and body not in calls:
             continue
-        head = code[body : body + 200]
-        argument = f'"{ns}"' if ns else ""
-        make = f"useTranslations({argument})" if client or not re.search(r"async\b[^{}]{0,200}$", code[max(0, body - 220) : body - 1]) else f"await getTranslations({argument})"
-        if not re.match(r"\s*const t = (?:await )?(?:use|get)Translations\(", head):
-            edits.append((body, body, f"\n\tconst t = {make};"))
+        k = 1 if not inline and not client and waits[body] else 0
+        if not makers[hook[k]]:
+            needed.add((hook[k], getter[k]))
+        argument = f'"{tr.space}"' if tr.space and not inline else ""
+        edits.append((body, body, f"\n\tconst {tr.name} = {'await ' * k}{(makers[hook[k]] or [hook[k]])[0]}({argument});"))
+    if inline and any(f.type == "jsx-text" for f in found):
+        needed.add(("T", inline_module))
     out = code
     for start, end, new in sorted(edits, reverse=True):
         out = out[:start] + new + out[end:]
-    if inline:
-        used = [n for n, p in (("T", r"<T[ >]"), ("useT", r"\buseT\(")) if re.search(p, out)]
-        had = re.search(r"import\s*\{([^}]*)\}\s*from\s*['\"]" + re.escape(inline_module) + "['\"]", out)
-        names = sorted({*(n.strip() for n in had[1].split(",") if n.strip()), *used}) if had else used
-        line = f'import {{ {", ".join(names)} }} from "{inline_module}"'
-        if had:
-            out = out[: had.start()] + line + out[had.end() :]
-        elif names:
-            directive = re.match(r"""\s*['"]use (?:client|server)['"];?\s*?\n""", out)
-            at = directive.end() if directive else 0
-            out = out[:at] + line + ";\n" + out[at:]
-    for name, source in (("useTranslations", module), ("getTranslations", f"{module}/server")):
-        if re.search(rf"\b{name}\(", out) and not re.search(rf"import\s*\{{[^}}]*\b{name}\b", out):
-            line = f'import {{ {name} }} from "{source}";\n'
-            directive = re.match(r"""\s*['"]use (?:client|server)['"];?\s*?\n""", out)
-            at = directive.end() if directive else 0
-            out = out[:at] + line + out[at:]
     try:
-        J.Reader(out).read()
-    except (J.Unreadable, RecursionError):
+        for name, source in sorted(needed):
+            out = with_import(out, name, source)
+        J.read(out)
+    except J.Unreadable:
         return code, 0, client
     return out, len(found), client
 
 
-def rewrite_sources(files: DataFrame, mapping: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """path, content, replaced, client of every file [CG1, SNK8]. Each file meets only the keys of its own texts: its strings are joined with the map (text, key) and gathered by file."""
+def rewrite_sources(files: DataFrame, mapping: DataFrame, path: str = "path", content: str = "content", clients: DataFrame | None = None) -> DataFrame:
+    """path, content, replaced, client of every file [CG1, SNK8]. Each file meets only the keys of its own texts: its strings are joined with the map (text, key) and gathered by file.
+
+    clients: paths of files that reach the browser over imports (graph.client_files); without it each file is judged by itself. Files that cannot be read come back unchanged.
+    """
     strings = extract_strings(files, path=path, content=content).select(F.col("file").alias(path), "text").distinct()
     own = strings.join(mapping.select("text", "key"), "text").groupBy(path).agg(F.map_from_entries(F.collect_set(F.struct("text", "key"))).alias("keys"))
     joined = files.select(path, content).join(own, path, "left")
+    known = joined.withColumn("client", F.lit(None).cast("boolean")) if clients is None else joined.join(clients.select(F.col("path").alias(path), F.lit(True).alias("client")).distinct(), path, "left").na.fill(False, ["client"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], []]
-            for code, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for code, keys, reaches in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+                judged = is_client(code or "") if reaches is None else reaches
                 try:
-                    row = rewrite(code, dict(keys)) if code and keys else (code, 0, is_client(code or ""))
-                except (J.Unreadable, RecursionError):
-                    row = (code, 0, False)
+                    row = rewrite(code, dict(keys), client=judged) if code and keys else (code, 0, judged)
+                except J.Unreadable:
+                    row = (code, 0, judged)
                 for col, v in zip(out, row, strict=True):
                     col.append(v)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_())], [path, "content", "replaced", "client"])
 
-    return joined.mapInArrow(run, f"{path} string, content string, replaced int, client boolean")
+    return known.mapInArrow(run, f"{path} string, content string, replaced int, client boolean")
+
+
+def totals(rewritten: DataFrame) -> DataFrame:
+    """One row: files, files_modified, strings_wrapped, files_skipped, client_files of rewrite_sources' rows [AGG15]."""
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    return rewritten.agg(F.count("*").alias("files"), n(F.col("replaced") > 0).alias("files_modified"), n(F.col("replaced")).alias("strings_wrapped"), n(F.col("replaced") == 0).alias("files_skipped"), n(F.col("client")).alias("client_files"))

@@ -100,3 +100,52 @@ def test_operators(spark):
     assert {r.file for r in got} == {"src/Card.tsx"} and [r.seq for r in got] == list(range(15))
     out = {r.path: r for r in X.rewrite_sources(files, spark.createDataFrame([("Hello there", "card.hello"), ("Nowhere", "x.y")], "text string, key string")).collect()}
     assert out["src/Card.tsx"].replaced == 1 and out["bad.tsx"].content == "<p>" and out["none.tsx"].content is None and len(out) == 4
+
+
+PAGE = """import { getTranslations as load } from "next-intl/server";
+export default async function Page({ params }) {
+  const t = 5;
+  return <main><h1>Hello there</h1>{[1].map(t => <b key={t}>More of it</b>)}</main>;
+}
+export const Side = async ({ a }: { a: string }): Promise<X> => {
+  const tt = await load("page");
+  return <p title="Close panel">{tt("old")} Some text</p>;
+};
+function Plain(props: Props) {
+  return <i>Hello there</i>;
+}
+class Old extends React.Component { render() { return <u>Hello there</u>; } }
+"""
+
+
+def test_hooks_names_and_aliases():
+    keys = {"Hello there": "page.hello", "More of it": "page.more", "Close panel": "page.close", "Some text": "page.some"}
+    out, n, client = X.rewrite(PAGE, keys)
+    assert (n, client) == (5, False)
+    for part in ('const tr = await load("page");', '<h1>{tr("hello")}</h1>', '<b key={t}>{tr("more")}</b>', 'title={tt("close")}', '{tt("some")}', 'const t = useTranslations("page");', '<i>{t("hello")}</i>', "<u>Hello there</u>"):
+        assert part in out, part
+    assert out.count("getTranslations") == 1 and out.count("const tt =") == 1 and 'import { useTranslations } from "next-intl";' in out
+    assert X.rewrite(out, keys)[1] == 0
+    long = "export default async function P({ " + ", ".join(f"name{i}" for i in range(200)) + " }) { return <p>Hello there</p>; }"
+    assert 'const t = await getTranslations("page");' in X.rewrite(long, keys)[0]
+    assert 'const t = useTranslations("page");' in X.rewrite(long, keys, client=True)[0]
+
+
+def test_imports_are_extended():
+    code = 'import { useLocale, } from "next-intl";\nexport function A() { return <p>Hello there</p>; }'
+    assert 'import { useLocale, useTranslations } from "next-intl";' in X.rewrite(code, {"Hello there": "hello"})[0]
+
+
+def test_deep_nesting():
+    code = "export default function P() { return " + "<a>" * 4000 + "Hello there" + "</a>" * 4000 + "; }"
+    assert [r[0] for r in X.extract(code)] == ["Hello there"]
+    assert X.rewrite(code, {"Hello there": "a.b"})[1] == 1
+    assert [r[0] for r in X.extract("const a = " + "(" * 20000 + ")" * 20000 + "; export const P = () => { return <p>Some text</p> }")] == ["Some text"]
+
+
+def test_runtime_imports():
+    code = """import React, { type X, useState as u } from "react"; import type { A } from "./a"; import { type B } from './b'; import "./c.css";
+    export { d } from "./d"; export * from "./e"; export type { F } from "./f"; const g = () => import("./g"); const h = <p onClick={() => import('./h')}>{import("./i")}</p>; // import "./j"
+    foo.import("./k"); const s = 'import "./l"';"""
+    assert sorted(jsx.runtime_imports(jsx.read(code))) == ["./c.css", "./d", "./e", "./g", "./h", "./i", "react"]
+    assert jsx.imports(jsx.read(code))[0].names == (("default", "React"), ("X", "X"), ("useState", "u"))
