@@ -53,12 +53,25 @@ def strings(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def text_map(spark: SparkSession, sf: str) -> DataFrame:
-    """A map text -> key of the texts of bare strings' paragraphs, first occurrence first."""
-    s = strings(spark, sf).where("tag = 'p'")
+def text_map(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
+    """A map text -> key of the texts of bare strings' paragraphs, first occurrence first. found: strings(), if they are at hand."""
+    s = (strings(spark, sf) if found is None else found).where("tag = 'p'")
     return s.groupBy("text").agg(F.min("seq").alias("seq")).select("text", F.concat(F.lit("p.m"), F.length("text")).alias("key"), "seq")
 
 
+def sources(spark: SparkSession, sf: str) -> DataFrame:
+    """A16: pages as source files that import each other: page n loads pages 2n and 3n, and takes types of page n + 1; every tenth runs in the browser."""
+    n = F.col("page_id")
+    page = lambda x: F.concat(F.lit("p"), x.cast("string"), F.lit("/page"))
+    head = F.when(n % 10 == 1, F.lit('"use client";\n')).otherwise("")
+    code = F.concat(head, F.lit('import a, { type B } from "../'), page(2 * n), F.lit('";\nimport type { C } from "@/app/'), page(n + 1), F.lit('";\nimport z from "zod";\nexport const D = () => import("#app/'), page(3 * n), F.lit('.js");\n'))
+    return table(spark, sf, "pages").select(F.concat(F.lit("src/app/"), page(n), F.lit(".tsx")).alias("path"), code.alias("content"))
+
+
+#: Aliases of the project that sources() makes.
+ALIASES = [("#app/", False, ["src/none/", "src/app/"])]
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """A6: conversations as files, roles as components, turns as order."""
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("role").alias("component"), F.col("turn").alias("seq"), "text")

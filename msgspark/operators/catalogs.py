@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import saved
 
 ID = ["locale", "key"]
 
@@ -77,24 +79,22 @@ def stale_partitions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("locale", "ns").distinct().join(new.select("locale", "ns").distinct(), ["locale", "ns"], "left_anti")
 
 
-def flatten_json(docs: DataFrame, column: str, *keep: str, depth: int = 8) -> DataFrame:
-    """keep, key, value: the string leaves of JSON objects by dotted path; arrays, numbers, booleans and nulls vanish [STR6].
+def flatten_json(docs: DataFrame, column: str, *keep: str) -> DataFrame:
+    """keep, key, value: the string leaves of JSON objects by dotted path; arrays, numbers, booleans and nulls vanish, as do documents that are no object or no JSON [STR6].
 
-    Level by level with Spark's variant functions, each level one explode; `depth` bounds the plan, and deeper objects raise by an assertion in the plan.
+    Level by level with Spark's variant functions: a round explodes the objects of one level, once, and writes its string leaves and the objects below them, until there are none; so any depth is read.
     """
-    level = docs.select(*keep, F.lit(None).cast("string").alias("_path"), F.parse_json(F.col(column)).alias("_v"))
-    leaves = None
-    for i in range(depth + 1):
-        level = level.where(F.schema_of_variant("_v").startswith("OBJECT"))
-        level.createOrReplaceTempView("_msgspark_level")
-        carried = ", ".join(f"`{k}`" for k in (*keep, "_path"))
-        exploded = level.sparkSession.sql(f"SELECT {carried}, t.key AS _k, t.value AS _v FROM _msgspark_level, LATERAL variant_explode(_v) t")
-        if i == depth:
-            exploded = exploded.where(F.assert_true(~F.schema_of_variant("_v").startswith("OBJECT"), "JSON nested too deep").isNull())
-        level = exploded.select(*keep, F.concat_ws(".", "_path", "_k").alias("_path"), "_v")
-        found = level.where(F.schema_of_variant("_v") == "STRING").select(*keep, F.col("_path").alias("key"), F.col("_v").cast("string").alias("value"))
-        leaves = found if leaves is None else leaves.unionByName(found)
-    return leaves
+    spark = docs.sparkSession
+    level = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.lit(None).cast("string").alias("path"), F.col(column).alias("json"))
+    kept, found = [f"k{i}" for i in range(len(keep))], []
+    while True:
+        parsed = level.select(*kept, "path", F.try_parse_json("json").alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+        each = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "below")).select(*kept, F.concat_ws(".", "path", "name").alias("path"), "below", F.schema_of_variant("below").alias("kind"))
+        rows = saved(each.select(*kept, "path", F.when(F.col("kind") == "STRING", F.col("below").cast("string")).alias("value"), F.when(F.startswith("kind", F.lit("OBJECT")), F.to_json("below")).alias("json")).where("value IS NOT NULL OR json IS NOT NULL"))
+        found.append(rows.where("value IS NOT NULL").select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], F.col("path").alias("key"), "value"))
+        level = rows.where("json IS NOT NULL").select(*kept, "path", "json")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
 
 
 def unflatten_documents(catalog: DataFrame, *by: str) -> DataFrame:
@@ -120,6 +120,24 @@ def unflatten_documents(catalog: DataFrame, *by: str) -> DataFrame:
     return catalog.select(*by, "key", "value", "seq").groupBy(*by).applyInArrow(build, f"{schema}, document string")
 
 
+def flat_documents(catalog: DataFrame, *by: str) -> DataFrame:
+    """One flat JSON document for each group of `by`, keys as they are, in seq order; of a repeated key the last value [SNK1, SNK4]. A document is one value, so a group must fit in a task by nature."""
+
+    def build(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("seq")
+        flat = dict(zip(table["key"].to_pylist(), table["value"].to_pylist(), strict=True))
+        return pa.table({**{b: [x.as_py()] for b, x in zip(by, key, strict=True)}, "document": [json.dumps(flat, indent=2, ensure_ascii=False) + "\n"]})
+
+    schema = ", ".join(f"{b} {catalog.schema[b].dataType.simpleString()}" for b in by)
+    return catalog.select(*by, "key", "value", "seq").groupBy(*by).applyInArrow(build, f"{schema}, document string")
+
+
+def run_summary(diff: DataFrame) -> DataFrame:
+    """One row: translated, cached, locales of a diff [SNK10, AGG2]."""
+    status = lambda *names: F.coalesce(F.sum(F.col("status").isin(*names).cast("long")), F.lit(0).cast("long"))
+    return diff.agg(status("added", "modified").alias("translated"), status("unchanged").alias("cached"), F.countDistinct("locale").alias("locales"))
+
+
 def type_declarations(catalog: DataFrame) -> DataFrame:
     """locale, declaration: imports and members of a typed message module, one for each namespace in order [SNK7]."""
     names = F.array_sort(F.collect_set(T.partition_of("key")))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,10 +28,13 @@ def new_strings(strings: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def supplement_map(mapping: DataFrame, strings: DataFrame) -> DataFrame:
-    """Texts that the map lacks get the id of a T component, else of a t call; first by seq [JN9]."""
+    """Texts that the map lacks get the id of a T component, else of a t call; first by seq [JN9]. One union and one grouping by text: the map's entries come before all ids, so no anti-join is needed. Texts that the map repeats keep all their entries."""
     found = strings.where(F.col("type").isin("T-component", "t-call") & F.col("id").isNotNull() & (F.col("id") != ""))
-    ranked = found.groupBy("text").agg(F.min_by("id", F.struct((F.col("type") == "t-call").cast("int"), "seq")).alias("key"))
-    return mapping.select("text", "key").unionByName(ranked.join(mapping.select("text").distinct(), "text", "left_anti"))
+    rank = F.struct((F.col("type") == "t-call").cast("int").alias("r"), F.col("seq").cast("long").alias("s"), F.col("id").alias("key"))
+    best = found.groupBy("text").agg(F.min(rank).alias("_b"))
+    both = best.select("text", "_b.key", F.lit(False).alias("_own")).unionByName(mapping.select("text", "key", F.lit(True).alias("_own")))
+    gathered = both.groupBy("text").agg(F.collect_list(F.when(F.col("_own"), F.struct("key"))).alias("own"), F.min(F.when(~F.col("_own"), F.col("key"))).alias("other"))
+    return gathered.select("text", F.explode(F.when(F.size("own") > 0, F.transform("own", lambda x: x["key"])).otherwise(F.array("other"))).alias("key"))
 
 
 def bare_strings(strings: DataFrame) -> DataFrame:
@@ -39,15 +42,24 @@ def bare_strings(strings: DataFrame) -> DataFrame:
     return strings.where((F.col("type") != "t-call") & ~((F.col("type") == "T-component") & F.col("id").isNotNull()))
 
 
+def family(key: Column) -> Column:
+    """A key without the digits at its end. Suffixes of a key never leave its family, so families are settled on their own."""
+    return F.regexp_replace(key, "[0-9]+$", "")
+
+
 def resolve_collisions(proposed: DataFrame, existing: DataFrame) -> DataFrame:
     """proposed (key, seq, ...) with final_key: the first free of k, k2, k3 ... in seq order, existing keys being taken [WIN10].
 
-    Suffixes never leave a namespace, so each is settled on its own, as one stream in seq order; the names in use are all that a task keeps. A key's namespace is what
-    precedes its first dot, so proposals must have one (see auto_prefix).
+    Families (see family) of one proposed key without existing keys are numbered by a window in the JVM, which sorts with spilling; so are all keys that collide with nothing. Only families of several different proposed keys, or with existing ones, are settled
+    as streams in seq order, where the names in use are all that a task keeps. Rows with a null key get a null final_key.
     """
-    ns = F.coalesce(T.first_segment("key"), F.lit(""))
-    taken = existing.select(F.col("key").alias("_key")).distinct().select("_key", F.coalesce(T.first_segment("_key"), F.lit("")).alias("_ns"))
-    mine = proposed.withColumn("_ns", ns)
+    columns = proposed.columns
+    mine = proposed.withColumn("_f", family(F.col("key")))
+    taken = existing.select(F.col("key").alias("_key")).where("_key IS NOT NULL").distinct().withColumn("_f", family(F.col("_key")))
+    several = mine.groupBy("_f").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("_f")
+    hard = several.union(taken.select("_f")).where("_f IS NOT NULL").distinct()
+    n = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
+    numbered = mine.join(hard, "_f", "left_anti").withColumn("_n", n).select(*columns, F.when(F.col("_n") == 1, F.col("key")).otherwise(F.concat("key", F.col("_n").cast("string"))).alias("final_key"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in proposed.schema.fields) + ", final_key string"
 
     def settle(key: tuple, table: pa.Table, old: pa.Table) -> pa.Table:
@@ -64,9 +76,10 @@ def resolve_collisions(proposed: DataFrame, existing: DataFrame) -> DataFrame:
                 last[k] = n  # smaller suffixes of k are all taken
             used.add(name)
             final.append(name)
-        return table.drop_columns(["_ns"]).append_column("final_key", pa.array(final, pa.string()))
+        return table.select(columns).append_column("final_key", pa.array(final, pa.string()))
 
-    return mine.groupBy("_ns").cogroup(taken.groupBy("_ns")).applyInArrow(settle, schema)
+    left, right = mine.join(hard, "_f", "left_semi"), taken.join(mine.select("_f").distinct(), "_f", "left_semi")
+    return numbered.unionByName(left.groupBy("_f").cogroup(right.groupBy("_f")).applyInArrow(settle, schema))
 
 
 def ancestors(key: str = "key") -> F.Column:
@@ -82,31 +95,38 @@ def leaf_branch_conflicts(keys: DataFrame) -> DataFrame:
 
 
 def rename_conflicts(mapping: DataFrame) -> DataFrame:
-    """mapping (text, key, seq) with final_key: leaves that are branches too become key + 'Label', then with the first free number from 2 on [WIN11]."""
-    conflicts = leaf_branch_conflicts(mapping).withColumn("_hit", F.lit(True))
-    marked = mapping.join(conflicts, "key", "left").withColumn("_ns", F.coalesce(T.first_segment("key"), F.lit("")))
-    # Only namespaces with a conflict need the sequential step.
-    hot = marked.where("_hit").select("_ns").distinct()
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mapping.schema.fields) + ", final_key string"
+    """mapping (text, key, seq) with final_key: leaves that are branches too become key + 'Label', then with the first free number from 2 on, in seq order [WIN11].
+
+    A conflict takes names of one family only, its key + 'Label' and digits. So each meets that family's keys, and the rows of those that are conflicts too, each of which frees its name; all other rows stay in the JVM.
+    """
     columns = mapping.columns
+    hits = leaf_branch_conflicts(mapping).withColumn("_hit", F.lit(True))
+    marked = mapping.join(hits, "key", "left")
+    asked = marked.where("_hit").withColumn("_f", F.concat("key", F.lit("Label")))
+    names = marked.where("_hit IS NULL").select("key", F.lit(None).cast("long").alias("_at")).distinct().union(marked.where("_hit").select("key", F.col("seq").cast("long")))
+    names = names.select(F.col("key").alias("_key"), "_at", family(F.col("key")).alias("_f")).join(asked.select("_f").distinct(), "_f", "left_semi")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mapping.schema.fields) + ", final_key string"
 
-    def settle(key: tuple, table: pa.Table) -> pa.Table:
+    def settle(key: tuple, table: pa.Table, others: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
-        keys = table["key"].to_pylist()
-        used, final = set(keys), []
-        for k, hit in zip(keys, table["_hit"].to_pylist(), strict=True):
-            name = k
-            if hit:
-                used.discard(k)
-                name, n = f"{k}Label", 2
-                while name in used:
-                    name, n = f"{k}Label{n}", n + 1
-                used.add(name)
+        used = set(others["_key"].to_pylist())
+        freed = sorted((at, k) for k, at in zip(others["_key"].to_pylist(), others["_at"].to_pylist(), strict=True) if at is not None)
+        final, i, least = [], 0, 2
+        for k, seq in zip(table["key"].to_pylist(), table["seq"].to_pylist(), strict=True):
+            while i < len(freed) and freed[i][0] < seq:
+                used.discard(freed[i][1])
+                i, least = i + 1, 2
+            name = f"{k}Label"
+            if name in used:
+                while f"{k}Label{least}" in used:
+                    least += 1
+                name = f"{k}Label{least}"
+            used.add(name)
             final.append(name)
         return table.select(columns).append_column("final_key", pa.array(final, pa.string()))
 
-    touched = marked.join(hot, "_ns", "left_semi").groupBy("_ns").applyInArrow(settle, schema)
-    return touched.unionByName(marked.join(hot, "_ns", "left_anti").select(*columns, F.col("key").alias("final_key")))
+    touched = asked.groupBy("_f").cogroup(names.groupBy("_f")).applyInArrow(settle, schema)
+    return touched.unionByName(marked.where("_hit IS NULL").select(*columns, F.col("key").alias("final_key")))
 
 
 def unanimous_namespace(keys: DataFrame, *by: str) -> DataFrame:
@@ -123,8 +143,6 @@ def component_keys(sites: DataFrame) -> DataFrame:
 
 def keygen_order(strings: DataFrame) -> DataFrame:
     """strings with rank in each file: by component, then seq; files are ordered by name, so (file, rank) is the batch order [WIN6]."""
-    from pyspark.sql import Window
-
     return strings.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.coalesce("component", F.lit("")), "seq")))
 
 

@@ -2,36 +2,93 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import saved
 
 
-def token_batches(entries: DataFrame, *by: str, target_tokens: int = 2000, max_entries: int = 50, order: tuple[str, ...] = ("seq",)) -> DataFrame:
-    """entries (by, order, tokens, ...) with batch_id from 0 in each group of `by` [WIN3].
+CHUNK = 65_536  # rows of a group that one task takes
+
 
-    A new batch begins before an entry if the batch isn't empty and would exceed target_tokens, or holds max_entries. The rule is sequential, so a group is one sorted stream;
-    give it the columns of the order and the tokens only, so that texts don't move. Choose `by` so that a group is what one model run takes (a locale, a namespace).
+def group_index(df: DataFrame, by: list[str], order: list[str], name: str = "_i") -> DataFrame:
+    """df, written, with the place (from 0) of each row in its group of `by` by `order`, which must tie nothing within a group. No group needs to fit in a task.
+
+    Rows are range-partitioned by group and order and ranked in their partition; the partitions' counts by group give the offsets. So there are as many offsets as partitions and groups, and one sort.
     """
+    part = "_part"
+    ranged = df.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id())
+    rows = saved(ranged.withColumn("_r", F.row_number().over(Window.partitionBy(part, *by).orderBy(*order)) - 1))
+    ahead = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(part, *by).agg(F.count("*").alias("_n"))
+    offsets = counts.withColumn("_o", F.coalesce(F.sum("_n").over(ahead), F.lit(0).cast("long"))).drop("_n")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (part, *by)]
+    joined = rows.alias("l").join(offsets.alias("r"), same)
+    return joined.select(*[F.col(f"l.{c}") for c in df.columns], (F.col("l._r") + F.col("r._o")).alias(name))
+
 
-    def chunk(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in order])
-        ids, batch, total, count = [], 0, 0, 0
-        for t in table["tokens"].to_pylist():
-            if count and (total + t > target_tokens or count >= max_entries):
-                batch, total, count = batch + 1, 0, 0
-            total, count = total + t, count + 1
-            ids.append(batch)
-        return table.append_column("batch_id", pa.array(ids, pa.int64()))
+def token_batches(entries: DataFrame, *by: str, target_tokens: int = 2000, max_entries: int = 50, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """entries (by, order, tokens, ...) with batch_id from 0 in each group of `by` [WIN3].
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields) + ", batch_id long"
-    return entries.groupBy(*by).applyInArrow(chunk, schema)
+    A new batch begins before an entry if the batch isn't empty and would exceed target_tokens, or holds max_entries. A group is cut into chunks of CHUNK rows in order. A batch holds max_entries at most, so the first batch that begins in a chunk
+    begins at one of its first max_entries rows; for each of these a chunk finds how many batches begin in it and where the first one of the next chunk begins. Chunks are composed by these jumps (only groups of several chunks; max_entries
+    numbers for each chunk), and each chunk then numbers its rows. `order` must tie nothing within a group; null tokens count as 0. Give it the columns of the order and the tokens only, so that texts don't move.
+    """
+    by, columns = list(by), entries.columns
+    rows = group_index(entries, by, list(order)).withColumn("_c", F.floor(F.col("_i") / CHUNK))
+    spark, taken = entries.sparkSession, max_entries
+    groups = rows.groupBy(*by).agg(F.max("_i").alias("_last")).where(F.col("_last") >= CHUNK)
+    ahead = rows.where((F.col("_c") > 0) & (F.col("_i") % CHUNK < taken)).withColumn("_c", F.col("_c") - 1)
+    light = [*by, "_c", "_i", "tokens"]
+    wide = rows.select(*light).union(ahead.select(*light)).alias("l").join(groups.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], "left_semi")
+
+    def nexts(tokens: list[int | None]) -> np.ndarray:
+        """For every row where the next batch begins if one begins there."""
+        sums = np.concatenate([[0], np.cumsum([t or 0 for t in tokens])])
+        here = np.arange(len(tokens))
+        return np.clip(np.searchsorted(sums, sums[:-1] + target_tokens, "right") - 1, here + 1, here + taken)
+
+    def jumps(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("_i")
+        after, n = np.append(nexts(table["tokens"].to_pylist()), 0), min(CHUNK, table.num_rows)
+        at, begun = np.arange(taken), np.zeros(taken, np.int64)
+        while (at < n).any():
+            go = at < n
+            begun += go
+            at = np.where(go, after[np.minimum(at, n)], at)
+        return pa.table({**{c: pa.array([k.as_py()], t.type) for c, k, t in zip([*by, "_c"], key, key, strict=True)}, "to": [(at - n).tolist()], "begun": [begun.tolist()]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    groupings = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    found = wide.groupBy(*by, "_c").applyInArrow(jumps, f"{groupings}, _c long, to array<long>, begun array<long>").orderBy(*by, "_c").collect() if not groups.isEmpty() else []
+    starts, state = [], {}
+    for r in found:  # one row for each chunk of a group of several
+        group = tuple(r[c] for c in by)
+        entry, base = state.get(group, (0, 0))
+        starts.append((*group, r["_c"], entry, base))
+        state[group] = (r["to"][entry], base + r["begun"][entry]) if r["to"][entry] >= 0 else (0, base)
+    known = spark.createDataFrame(starts, f"{groupings}, _c long, _entry long, _base long")
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_c")]
+    numbered = rows.alias("l").join(known.alias("r"), same, "left").select("l.*", F.coalesce("r._entry", F.lit(0).cast("long")).alias("_entry"), F.coalesce("r._base", F.lit(0).cast("long")).alias("_base"))
+
+    def number(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("_i")
+        entry, base = table["_entry"][0].as_py(), table["_base"][0].as_py()
+        after, begins, at = nexts(table["tokens"].to_pylist()), np.zeros(table.num_rows, np.int64), entry
+        while at < table.num_rows:
+            begins[at] = 1
+            at = int(after[at])
+        return table.select(columns).append_column("batch_id", pa.array(base - 1 + np.cumsum(begins)))
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", batch_id long"
+    return numbered.groupBy(*by, "_c").applyInArrow(number, schema)
 
 
 def fixed_batches(df: DataFrame, by: list[str], size: int, order: str = "seq") -> DataFrame:
-    """df with batch_id: each `size` rows of a group in order [WIN4]."""
+    """df with batch_id: each `size` rows of a group in order [WIN4]. The window sorts with spilling; for groups beyond a task use group_index."""
     return df.withColumn("batch_id", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size))
 
 
@@ -67,6 +124,12 @@ def cost_estimate(catalog: DataFrame, *by: str, locales: int = 1, batch_size: in
     return out.select(*by, ((F.col("_t") + overhead * F.col("batches")) * locales).cast("long").alias("input_tokens"), (F.col("_t") * locales).cast("long").alias("output_tokens"), "batches")
 
 
+def usage_totals(usage: DataFrame, *by: str) -> DataFrame:
+    """by, tokens_in, tokens_out, total of usage (tokens_in, tokens_out); missing numbers count as 0 [AGG3]."""
+    n = lambda c: F.coalesce(F.sum(F.coalesce(c, F.lit(0))), F.lit(0)).cast("long").alias(c)
+    return usage.groupBy(*by).agg(n("tokens_in"), n("tokens_out")).withColumn("total", F.col("tokens_in") + F.col("tokens_out"))
+
+
 def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """usage (model, tokens_in, tokens_out, ...) with usd: by the model's price for a million tokens, null for unknown models [STR20]."""
     out = usage.join(prices.select("model", "usd_in", "usd_out"), "model", "left")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .graph import saved
 
 TAG_AND_TEXT = r"<(/?[\w-]+)[^<>]*>([^<>]*)"
 ATTRIBUTE = r"""\s([a-zA-Z-]+)="([^"<>]*)\""""
@@ -14,11 +15,12 @@ ATTRIBUTE = r"""\s([a-zA-Z-]+)="([^"<>]*)\""""
 def text_nodes(pages: DataFrame, html: str = "html", row_id: str = "page_id") -> DataFrame:
     """row_id, pos, tag, text of each text node that anyone may translate [EXT1]. tag: the mark right before the text; a closing one has a slash.
 
-    Built-in functions only, so the scan, the regular expression and the filters run in the JVM. Text inside ignored tags (script, style, code ...) is left out.
+    Built-in functions only, so the scan, the regular expression (one pass, of whole matches) and the filters run in the JVM. Text inside ignored tags (script, style, code ...) is left out.
     """
-    both = F.arrays_zip(F.regexp_extract_all(html, F.lit(TAG_AND_TEXT), 1).alias("tag"), F.regexp_extract_all(html, F.lit(TAG_AND_TEXT), 2).alias("text"))
-    rows = pages.select(row_id, F.posexplode(both).alias("pos", "n")).select(row_id, (F.col("pos") + 1).cast("long").alias("pos"), F.lower("n.tag").alias("tag"), T.trim_unicode("n.text").alias("text"))
-    return rows.where(~T.is_ignored_tag("tag") & ~T.is_ignored_text("text"))
+    rows = pages.select(row_id, F.posexplode(F.regexp_extract_all(html, F.lit(TAG_AND_TEXT), 0)).alias("pos", "n"))
+    mark = F.lower(F.regexp_extract("n", r"^<(/?[\w-]+)", 1))
+    rows = rows.select(row_id, (F.col("pos") + 1).cast("long").alias("pos"), mark.alias("tag"), F.substring(F.col("n"), F.instr("n", ">") + 1, F.length("n")).alias("n"))
+    return rows.where(~T.is_ignored_tag("tag")).select(row_id, "pos", "tag", T.trim_unicode("n").alias("text")).where(~T.is_ignored_text("text"))
 
 
 def attributes(pages: DataFrame, html: str = "html", row_id: str = "page_id", custom: list[str] | None = None) -> DataFrame:
@@ -49,8 +51,8 @@ def section_headings(strings: DataFrame, file: str = "file", tag: str = "tag") -
 
 
 def enrich(strings: DataFrame) -> DataFrame:
-    """strings (file, component, tag, seq, text) with route, siblings and heading [EXT12]."""
-    return section_headings(sibling_texts(strings)).withColumn("route", T.route_path("file"))
+    """strings (file, component, tag, seq, text) with route, siblings and heading [EXT12]. The strings are written once, so that their extraction is not repeated for each of the joins."""
+    return section_headings(sibling_texts(saved(strings))).withColumn("route", T.route_path("file"))
 
 
 def context_entries(mapping: DataFrame, strings: DataFrame) -> DataFrame:
@@ -62,15 +64,57 @@ def context_entries(mapping: DataFrame, strings: DataFrame) -> DataFrame:
 
 
 def prompt_groups(strings: DataFrame) -> DataFrame:
-    """file, n, block: the lines about a file's strings in a key prompt [AGG10, WIN9]. A prompt is one value, so give it a batch's strings."""
-    lines = strings.groupBy(F.coalesce(F.nullif("file", F.lit("")), F.lit("(unknown)")).alias("file")).agg(F.array_sort(F.collect_list(F.struct("seq", "text", "component", "tag"))).alias("all"))
-    block = F.array_join(F.transform("all", lambda x: F.concat(F.lit('  "'), x["text"], F.lit('"'), F.when(F.length(x["component"]) > 0, F.concat(F.lit(", component: "), x["component"])).otherwise(""), F.when(F.length(x["tag"]) > 0, F.concat(F.lit(", tag: "), x["tag"])).otherwise(""))), "\n")
-    return lines.select("file", F.size("all").cast("long").alias("n"), block.alias("block"))
+    """file, n, block: the lines about a file's strings in a key prompt [AGG10, WIN9]. A prompt is one value, so give it a batch's strings.
 
+    A line has the text, then component, tag, prop, const, section (heading), the first three siblings and the composite context, as far as the columns are there and filled.
+    """
+    named = [(c, label) for c, label in (("component", "component"), ("tag", "tag"), ("prop", "prop"), ("const", "const"), ("heading", "section"), ("composite", "composite")) if c in strings.columns]
+    more = ["siblings"] if "siblings" in strings.columns else []
+    lines = strings.groupBy(F.coalesce(F.nullif("file", F.lit("")), F.lit("(unknown)")).alias("file")).agg(F.array_sort(F.collect_list(F.struct("seq", "text", *[c for c, _ in named], *more))).alias("all"))
+
+    def line(x: Column) -> Column:
+        quoted = lambda c, label: F.concat(F.lit(f'{label}: "'), x[c], F.lit('"')) if label in ("section", "composite") else F.concat(F.lit(f"{label}: "), x[c])
+        parts = [F.concat(F.lit('"'), x["text"], F.lit('"')), *[F.when(F.length(x[c]) > 0, quoted(c, label)) for c, label in named]]
+        if more:
+            shown = F.array_join(F.transform(F.slice(x["siblings"], 1, 3), lambda t: F.concat(F.lit('"'), t, F.lit('"'))), ", ")
+            parts.append(F.when(F.size(x["siblings"]) > 0, F.concat(F.lit("siblings: ["), shown, F.lit("]"))))
+        return F.concat(F.lit("  "), F.array_join(F.array_compact(F.array(*parts)), ", "))
+
+    return lines.select("file", F.size("all").cast("long").alias("n"), F.array_join(F.transform("all", line), "\n").alias("block"))
+
+
+RULES = """Give each text of this user interface a key of two parts, namespace.name, both in camelCase.
+All texts of one component have one namespace: of its route, else of the component, else of its folder.
+Use the namespaces common, auth, nav, form and error only for texts that many unrelated components share.
+Equal texts have equal keys. Keys are short and say what the text means."""
 
 
-def key_prompts(strings: DataFrame, mapping: DataFrame, known: int = 30) -> DataFrame:
-    """file, prompt: the first `known` map entries for consistency, then the file's strings [STR15, WIN8]. The entries are `known` rows at most, so they go to all tasks as one literal."""
+def key_prompts(strings: DataFrame, mapping: DataFrame, known: int = 30, rules: str = "") -> DataFrame:
+    """file, prompt: rules (see RULES), the first `known` map entries for consistency, then the file with its route and its strings [STR15, WIN8]. The entries are `known` rows at most, so they go to all tasks as one literal."""
     head = mapping.orderBy("seq").limit(known).collect()
     lines = "\n".join(f'  {r.key} <- "{r.text}"' for r in head)
-    return prompt_groups(strings).select("file", F.concat(F.lit(f"Known keys:\n{lines}\nStrings of "), "file", F.lit(":\n"), "block").alias("prompt"))
+    start = f"{rules}\n\n" * bool(rules) + f"Known keys:\n{lines}\n" * bool(head)
+    groups = prompt_groups(strings)
+    route = F.coalesce(F.concat(F.lit(" (route: "), T.route_path("file"), F.lit(")")), F.lit("")) if rules else F.lit("")
+    return groups.select("file", F.concat(F.lit(f"{start}Strings of "), "file", route, F.lit(":\n"), "block").alias("prompt"))
+
+
+def translation_prompts(batches: DataFrame, language: str, key: str = "key", text: str = "text", order: str = "seq", by: tuple[str, ...] = ("batch_id",), tone: str | None = None, glossary: dict[str, str] | None = None, hint: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
+    """by, prompt: what a model is asked for each batch of texts [STR14]. A prompt is one value; batches are bounded by planning.
+
+    language: a column of `by`. Tone and glossary are the project's; hint: a column shown after its text; earlier: (by, key, source, value) of translations that a batch is shown, in key order.
+    """
+    fields = [F.col(order), F.col(key).alias("k"), F.col(text).alias("t"), (F.col(hint) if hint else F.lit(None).cast("string")).alias("h")]
+    line = lambda x: F.concat(F.lit('  "'), x["k"], F.lit('": "'), x["t"], F.lit('"'), F.coalesce(F.concat(F.lit(" ("), F.nullif(x["h"], F.lit("")), F.lit(")")), F.lit("")))
+    rows = batches.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("l"))
+    parts = [F.concat(F.lit("Translate to "), F.col(language), F.lit(":"))]
+    if tone:
+        parts.append(F.lit(f"Tone: {tone}"))
+    if glossary:
+        parts.append(F.lit("Terms:\n" + "\n".join(f'  "{a}" is "{b}"' for a, b in glossary.items())))
+    if earlier is not None:
+        shown = F.transform(F.array_sort(F.collect_list(F.struct(F.col("key").alias("k"), F.col("source").alias("s"), F.col("value").alias("v")))), lambda x: F.concat(F.lit('  "'), x["s"], F.lit('" is "'), x["v"], F.lit('"')))
+        rows = rows.join(earlier.groupBy(*by).agg(F.array_join(shown, "\n").alias("e")), list(by), "left")
+        parts.append(F.when(F.col("e").isNotNull(), F.concat(F.lit("Translated earlier:\n"), "e")))
+    parts.append(F.array_join(F.transform("l", line), "\n"))
+    return rows.select(*by, F.array_join(F.array_compact(F.array(*parts)), "\n").alias("prompt"))

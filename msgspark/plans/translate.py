@@ -119,20 +119,28 @@ def run_wave(wave: DataFrame, context: DataFrame, model: Translator, fallback: T
 _ARROW = pa.schema([("locale", pa.string()), ("key", pa.string()), ("value", pa.string()), ("batch_id", pa.int64()), ("tokens_in", pa.int64()), ("tokens_out", pa.int64()), ("valid", pa.bool_()), ("error", pa.string())])
 
 
-def translate(entries: DataFrame, model: Translator, fallback: Translator | None = None, options: Options | None = None) -> DataFrame:
+def translate(entries: DataFrame, model: Translator, fallback: Translator | None = None, options: Options | None = None, on_progress: Callable[[int, int], None] | None = None, on_usage: Callable[[int, int], None] | None = None) -> DataFrame:
     """Translations of entries (locale, key, value, seq, rank) [UDF1]: OUT's columns.
 
     Waves run one after another, a wave's batches side by side over the cluster; each wave's answers are written before the next, so lost executors never repeat a
-    paid wave. A wave is shown up to context_limit earlier translations of its locale.
+    paid wave. A wave is shown up to context_limit earlier translations of its locale. After each wave on_progress is told the entries answered and all, at the end on_usage the tokens [UDF7].
     """
     options = options or Options()
     batches = saved(plan_batches(entries, options))
     waves = batches.agg(F.max("wave_id")).first()[0]
-    done = entries.sparkSession.createDataFrame([], OUT)
+    done, answered, total = entries.sparkSession.createDataFrame([], OUT), 0, None
     for w in range(int(waves) + 1 if waves is not None else 0):
         recent = catalogs.first_by(done.where("key IS NOT NULL").select("locale", "key", "value", "batch_id"), ["locale", "key"], "batch_id")
         shown = recent.withColumn("_n", F.row_number().over(Window.partitionBy("locale").orderBy("batch_id", "key"))).where(F.col("_n") <= options.context_limit).select("locale", "key", "value")
-        done = done.unionByName(saved(run_wave(batches.where(F.col("wave_id") == w), shown, model, fallback, options)))
+        wave = saved(run_wave(batches.where(F.col("wave_id") == w), shown, model, fallback, options))
+        done = done.unionByName(wave)
+        if on_progress:
+            answered, total = answered + wave.where("key IS NOT NULL").count(), batches.count() if total is None else total
+            on_progress(answered, total)
+    if on_usage:
+        used = done.agg(F.sum("tokens_in"), F.sum("tokens_out")).first()
+        if used[0] or used[1]:
+            on_usage(used[0], used[1])
     return done
 
 
@@ -148,24 +156,26 @@ class CostLimit(Exception):
     """The estimate exceeds the limit."""
 
 
-def run(source: DataFrame, target: DataFrame, lock: DataFrame, model: Translator, fallback: Translator | None = None, options: Options | None = None, force: bool = False, max_usd: float | None = None, prices: tuple[float, float] | None = None, dry: bool = False) -> Result:
+def run(source: DataFrame, target: DataFrame, lock: DataFrame, model: Translator, fallback: Translator | None = None, options: Options | None = None, force: bool = False, max_usd: float | None = None, prices: tuple[float, float] | None = None, dry: bool = False, confirm: Callable[[float | None], bool] | None = None, on_progress: Callable[[int, int], None] | None = None, on_usage: Callable[[int, int], None] | None = None) -> Result:
     """Diff, translate what is new or changed, merge and update the lock, for all locales at once [§3.1].
 
     The lock is keyed by (locale, key) and read once, so a locale's run never hides another's changes. A locale with a failed batch publishes nothing: its catalog and lock
     stay (its removed keys too). force: an empty lock, so all targets are modified. max_usd with prices (USD for a million tokens in and out): CostLimit if the estimate of the
-    delta is higher; without prices nothing blocks. dry: no model call; the report has the counts.
+    delta is higher; without prices nothing blocks. confirm is asked with the estimate (None without prices); False ends the run with nothing changed and an empty report [UDF6]. dry: no model call; the report has the counts.
     """
     diff = saved(catalogs.catalog_diff(source, target, lock.where("false") if force else lock))
     todo = catalogs.to_translate(diff)
-    if max_usd is not None and prices is not None and not dry:
+    if (max_usd is not None or confirm) and not dry and not todo.isEmpty():
         e = planning.cost_estimate(todo).first()
-        usd = (e.input_tokens * prices[0] + e.output_tokens * prices[1]) / 1e6 if e else 0.0
-        if usd > max_usd:
+        usd = (e.input_tokens * prices[0] + e.output_tokens * prices[1]) / 1e6 if prices else None
+        if usd is not None and max_usd is not None and usd > max_usd:
             raise CostLimit(f"{usd:.4f} > {max_usd}")
+        if confirm and not confirm(usd):
+            return Result(target, lock, catalogs.diff_counts(diff).where("false"), diff)
     counts = catalogs.diff_counts(diff)
     if dry:
         return Result(target, lock, counts, diff)
-    done = saved(translate(todo, model, fallback, options))
+    done = saved(translate(todo, model, fallback, options, on_progress, on_usage))
     failed = done.where("error IS NOT NULL").select("locale").distinct()
     good = done.where("error IS NULL").join(failed, "locale", "left_anti")
     kept = diff.where("status = 'unchanged'").join(failed, "locale", "left_anti")

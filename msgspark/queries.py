@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from . import adapters as A
 from .functions import text as T
 from .operators import catalogs, graph, jsx_strings, keys, planning, scanning, validation
+from .plans import keygen
 from .plans import translate as plan
+from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -78,8 +81,12 @@ def lock_upsert(s, d):
 
 @query("SELECT locale, key, hash FROM lck", "lck")
 def lock_snapshot(s, d):
-    document = A.lock(s, d).select("locale", F.to_json(F.create_map("key", "hash")).alias("document"))
-    return document.select("locale", F.explode(F.from_json("document", "map<string,string>", {"mode": "FAILFAST"})).alias("key", "hash"))
+    """Locks written as one file for each locale and read again."""
+    documents = catalogs.flat_documents(A.lock(s, d).select("locale", "key", F.col("hash").alias("value"), F.col("key").alias("seq")), "locale")
+    folder = graph.saved_path(documents.limit(0))
+    names = files.write_documents(documents.select(F.concat("locale", F.lit(".json")).alias("name"), "document"), folder)
+    read = [files.read_string_map(s, f"{folder}/{n}", strict=True).select(F.lit(n.removesuffix(".json")).alias("locale"), "key", "hash") for n in names]
+    return reduce(DataFrame.unionAll, read)
 
 
 @query("SELECT locale, split_part(key, '.', 1) AS ns, count(*) AS entries, min(substr(key, instr(key, '.') + 1)) AS first_rest, max(substr(key, instr(key, '.') + 1)) AS last_rest FROM src GROUP BY ALL", "src")
@@ -122,12 +129,14 @@ def typegen_split(s, d):
 @query("SELECT doc_id, source || '.lang' AS key, lang AS value FROM documents UNION ALL SELECT doc_id, source || '.deep.inner.name' AS key, source || '/' || lang FROM documents")
 def flatten_json(s, d):
     nested = F.concat(F.lit('{"'), "source", F.lit('": {"lang": "'), "lang", F.lit('", "n": '), "n_chars", F.lit(', "tags": ["x"], "none": null, "on": true, "deep": {"inner": {"name": "'), "source", F.lit("/"), "lang", F.lit('"}, "empty": {}}}}'))
-    return catalogs.flatten_json(A.table(s, d, "documents").select("doc_id", nested.alias("j")), "j", "doc_id", depth=4)
+    return catalogs.flatten_json(A.table(s, d, "documents").select("doc_id", nested.alias("j")), "j", "doc_id")
 
 
-@query("SELECT event_id, k AS key, v AS value FROM (SELECT event_id, '' AS k, '' AS v FROM events WHERE false)")
+@query("SELECT event_id, 'of.kind' AS key, event_type AS value FROM events")
 def flatten_numbers_only(s, d):
-    return catalogs.flatten_json(A.table(s, d, "events").select("event_id", "props"), "props", "event_id", depth=2)
+    """Numbers vanish beside the strings."""
+    both = F.concat(F.lit('{"props": '), F.coalesce("props", F.lit("null")), F.lit(', "of": {"kind": "'), "event_type", F.lit('"}}'))
+    return catalogs.flatten_json(A.table(s, d, "events").select("event_id", both.alias("j")), "j", "event_id")
 
 
 @query("SELECT s.locale, s.key, s.seq FROM src s WHERE split_part(s.key, '.', 1) IN (SELECT source FROM documents GROUP BY source HAVING count(DISTINCT lang) = 4) OR s.key IN (SELECT source || '.d' || doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)", "src")
@@ -343,8 +352,8 @@ def cost_estimate(s, d):
 @query("SELECT conv_id, sum(CASE role WHEN 'user' THEN t ELSE 0 END)::BIGINT AS tokens_in, sum(CASE role WHEN 'assistant' THEN t ELSE 0 END)::BIGINT AS tokens_out, sum(CASE WHEN role IN ('user', 'assistant') THEN t ELSE 0 END)::BIGINT AS total FROM (SELECT conv_id, role, greatest(1, ceil(length(text) / 4.0)::BIGINT) AS t FROM conversations) GROUP BY 1")
 def usage_totals(s, d):
     t = A.table(s, d, "conversations").withColumn("t", T.estimate_tokens("text"))
-    total = lambda role: F.sum(F.when(F.col("role") == role, F.col("t")).otherwise(0))
-    return t.groupBy("conv_id").agg(total("user").alias("tokens_in"), total("assistant").alias("tokens_out")).withColumn("total", F.col("tokens_in") + F.col("tokens_out"))
+    of = lambda role: F.when(F.col("role") == role, F.col("t"))
+    return planning.usage_totals(t.select("conv_id", of("user").alias("tokens_in"), of("assistant").alias("tokens_out")), "conv_id")
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN o_custkey * 0.5 / 1000000 WHEN 'O' THEN o_custkey * 2.0 / 1000000 END::DOUBLE AS usd FROM orders")
@@ -356,8 +365,7 @@ def usage_cost(s, d):
 
 @query("SELECT sum((status IN ('added', 'modified'))::BIGINT)::BIGINT AS translated, sum((status = 'unchanged')::BIGINT)::BIGINT AS cached, count(DISTINCT locale) AS locales FROM dif", "dif")
 def run_summary(s, d):
-    c = catalogs.diff_counts(diff_of(s, d))
-    return c.agg(F.sum(F.col("added") + F.col("modified")).alias("translated"), F.sum("unchanged").alias("cached"), F.count("*").alias("locales"))
+    return catalogs.run_summary(diff_of(s, d))
 
 
 # Keys
@@ -371,17 +379,20 @@ def dedupe_first(s, d):
 
 @query("SELECT m.text, m.key FROM map m WHERE text IN (SELECT text FROM str WHERE component = 'li' OR component = 'p')", "map str")
 def active_map(s, d):
-    return keys.active_entries(A.text_map(s, d), A.strings(s, d).where("component IN ('li', 'p')")).select("text", "key")
+    found = graph.saved(A.strings(s, d))
+    return keys.active_entries(A.text_map(s, d, found), found.where("component IN ('li', 'p')")).select("text", "key")
 
 
 @query("SELECT text, min(seq) AS seq FROM str WHERE text NOT IN (SELECT text FROM map) GROUP BY text", "map str")
 def new_strings(s, d):
-    return keys.new_strings(A.strings(s, d), A.text_map(s, d)).select("text", "seq")
+    found = graph.saved(A.strings(s, d))
+    return keys.new_strings(found, A.text_map(s, d, found)).select("text", "seq")
 
 
 @query("SELECT text FROM str UNION SELECT text FROM map", "map str")
 def all_texts(s, d):
-    return A.strings(s, d).select("text").union(A.text_map(s, d).select("text")).distinct()
+    found = graph.saved(A.strings(s, d))
+    return found.select("text").union(A.text_map(s, d, found).select("text")).distinct()
 
 
 @query("SELECT file, seq, text FROM str WHERE type <> 't-call' AND NOT (type = 'T-component' AND id IS NOT NULL)", "str")
@@ -391,17 +402,22 @@ def bare_strings(s, d):
 
 @query("SELECT text, key FROM map UNION ALL SELECT text, arg_min(id, (type = 't-call', seq)) AS key FROM str WHERE type IN ('t-call', 'T-component') AND text NOT IN (SELECT text FROM map) GROUP BY text", "map str")
 def map_supplement(s, d):
-    return keys.supplement_map(A.text_map(s, d), A.strings(s, d))
+    found = graph.saved(A.strings(s, d))
+    return keys.supplement_map(A.text_map(s, d, found), found)
 
 
 @query("SELECT file, seq, key FROM str JOIN map USING (text)".replace("seq", "str.seq"), "map str")
 def replacement_sites(s, d):
-    return keys.replacement_sites(A.strings(s, d), A.text_map(s, d)).select("file", "seq", "key")
+    found = graph.saved(A.strings(s, d))
+    return keys.replacement_sites(found, A.text_map(s, d, found)).select("file", "seq", "key")
 
 
-@query("SELECT seq, key, CASE rn WHEN 1 THEN key ELSE key || rn END AS final_key FROM (SELECT seq, key, row_number() OVER (PARTITION BY key ORDER BY seq) AS rn FROM pro)", "pro")
+@query("SELECT seq, key, CASE n WHEN 1 THEN key ELSE key || n END AS final_key FROM (SELECT seq, key, row_number() OVER (PARTITION BY key ORDER BY seq) + (key IN (SELECT lower(replace(p_brand, '#', '')) || '.' || replace(p_name, ' ', '') FROM part WHERE p_size = 1))::INT AS n FROM pro)", "pro")
 def key_collisions(s, d):
-    return keys.resolve_collisions(A.proposals(s, d), s.createDataFrame([], "key string"))
+    """Keys of parts of size 1 are taken already."""
+    rows = A.proposals(s, d)
+    taken = rows.join(A.table(s, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("seq")), "seq", "left_semi").select("key")
+    return keys.resolve_collisions(rows, taken).select("seq", "key", "final_key")
 
 
 @query("SELECT DISTINCT key FROM lay a WHERE key IN (SELECT split_part(key, '.', 1) FROM lay WHERE instr(key, '.') > 0) OR key IN (SELECT split_part(key, '.', 1) || '.' || split_part(key, '.', 2) FROM lay WHERE length(key) - length(replace(key, '.', '')) >= 2)", "lay")
@@ -478,8 +494,9 @@ def enriched_strings(s, d):
 
 @query("SELECT m.key, m.text, f.tag, f.type FROM map m JOIN (SELECT text, arg_min(tag, seq) AS tag, arg_min(type, seq) AS type FROM str GROUP BY 1) f USING (text)", "map str")
 def context_entries(s, d):
-    with_text = A.text_map(s, d).select("text", F.concat_ws("\n", "key", "text").alias("key"))
-    out = scanning.context_entries(with_text, A.strings(s, d)).withColumn("c", F.from_json("context", "type string, tag string"))
+    found = graph.saved(A.strings(s, d))
+    with_text = A.text_map(s, d, found).select("text", F.concat_ws("\n", "key", "text").alias("key"))
+    out = scanning.context_entries(with_text, found).withColumn("c", F.from_json("context", "type string, tag string"))
     return out.select(F.substring_index("key", "\n", 1).alias("key"), F.regexp_replace("key", "^[^\n]*\n", "").alias("text"), "c.tag", "c.type")
 
 
@@ -505,44 +522,70 @@ def graph_reachability(s, d):
 
 @query("SELECT locale, key, 'translated_' || key AS value FROM dif WHERE status IN ('added', 'modified')", "dif")
 def translate_stub(s, d):
-    options = plan.Options(target_tokens=200_000, max_entries=5_000, validate=False)
+    options = plan.Options(concurrency=256, wait=lambda seconds: None)
     return plan.translate(catalogs.to_translate(diff_of(s, d)), plan.StubTranslator(), options=options).select("locale", "key", "value")
 
 
-@query("SELECT text, min(seq) AS seq, 'k' || substr(sha256(text), 1, 8) AS key FROM str WHERE text NOT IN (SELECT text FROM map) GROUP BY text", "map str")
+@query("SELECT text, seq, 'gen.k' || substr(sha256(text), 1, 8) AS key FROM (SELECT text, min(seq) AS seq FROM str WHERE text NOT IN (SELECT text FROM map) GROUP BY text) UNION ALL SELECT text, seq, key FROM map", "map str")
 def keygen_stub(s, d):
-    fresh = keys.new_strings(A.strings(s, d), A.text_map(s, d))
-    return fresh.select("text", "seq", F.concat(F.lit("k"), F.substring(F.sha2("text", 256), 1, 8)).alias("key"))
+    found = graph.saved(A.strings(s, d))
+    return keygen.generate_keys(found, A.text_map(s, d, found), keygen.StubKeys(), options=plan.Options(concurrency=8)).select("text", "seq", "key")
 
 
-@query("SELECT p_type, batch_id, 'Translate to ' || p_type || ':' || chr(10) || string_agg('  \"' || p_brand || '\": \"' || p_name || '\"', chr(10) ORDER BY p_partkey) AS prompt FROM (SELECT *, (row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1) // 50 AS batch_id FROM part) GROUP BY p_type, batch_id")
+@query("SELECT p_type, batch_id, 'Translate to ' || p_type || ':' || chr(10) || 'Tone: formal' || chr(10) || 'Terms:' || chr(10) || '  \"a\" is \"b\"' || chr(10) || string_agg('  \"' || p_brand || '\": \"' || p_name || '\" (size ' || p_size || ')', chr(10) ORDER BY p_partkey) AS prompt FROM (SELECT *, (row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) - 1) // 50 AS batch_id FROM part) GROUP BY p_type, batch_id")
 def translate_prompt(s, d):
-    rows = planning.fixed_batches(A.table(s, d, "part"), ["p_type"], 50, "p_partkey")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_brand", "p_name"))), lambda x: F.concat(F.lit('  "'), x["p_brand"], F.lit('": "'), x["p_name"], F.lit('"')))
-    return rows.groupBy("p_type", "batch_id").agg(lines.alias("l")).select("p_type", "batch_id", F.concat(F.lit("Translate to "), "p_type", F.lit(":\n"), F.array_join("l", "\n")).alias("prompt"))
+    rows = planning.fixed_batches(A.table(s, d, "part"), ["p_type"], 50, "p_partkey").withColumn("hint", F.concat(F.lit("size "), F.col("p_size").cast("string")))
+    return scanning.translation_prompts(rows, "p_type", "p_brand", "p_name", "p_partkey", ("p_type", "batch_id"), tone="formal", glossary={"a": "b"}, hint="hint")
 
 
 # JSX sources: pages turned into components
 
 
-def components(s, d):
+ESCAPED = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("{", "&#123;"), ("}", "&#125;")]
+ESCAPED_SQL = "text"
+for _from, _to in ESCAPED:
+    ESCAPED_SQL = f"replace({ESCAPED_SQL}, '{_from}', '{_to}')"
+
+
+def components(s, d, found=None):
     """Each page's text nodes as paragraphs of a React component's source."""
-    own = A.strings(s, d).where(~F.col("text").rlike("[{}<>&]")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("all"))
-    lines = F.array_join(F.transform("all", lambda x: F.concat(F.lit("<p>"), x["text"], F.lit("</p>"))), "\n")
+    own = (A.strings(s, d) if found is None else found).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("all"))
+    escaped = lambda c: reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ESCAPED, c)
+    lines = F.array_join(F.transform("all", lambda x: F.concat(F.lit("<p>"), escaped(x["text"]), F.lit("</p>"))), "\n")
     return own.select(F.col("file").alias("path"), F.concat(F.lit("export default function Page() {\n return <main>\n"), lines, F.lit("\n</main>;\n}\n")).alias("content"))
 
 
-@query("SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS seq, text, 'jsx-text' AS type, 'Page' AS component, 'p' AS tag FROM str WHERE NOT regexp_matches(text, '[{}<>&]')", "str")
+@query("SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS seq, text, 'jsx-text' AS type, 'Page' AS component, 'p' AS tag FROM str", "str")
 def extract_jsx(s, d):
     return jsx_strings.extract_strings(components(s, d)).select("file", "seq", "text", "type", "component", "tag")
 
 
-@query("SELECT file AS path, count(*)::INT AS replaced FROM str JOIN map USING (text) WHERE NOT regexp_matches(text, '[{}<>&]') GROUP BY 1", "map str")
+@query(f"""SELECT file AS path, count(key)::INT AS replaced, sha256('import {{ useTranslations }} from "next-intl";' || chr(10) || 'export default function Page() {{' || chr(10) || chr(9) || 'const t = useTranslations("p");' || chr(10) || ' return <main>' || chr(10)
+  || string_agg('<p>' || CASE WHEN key IS NULL THEN {ESCAPED_SQL} ELSE '{{t("' || substr(key, 3) || '")}}' END || '</p>', chr(10) ORDER BY str.seq) || chr(10) || '</main>;' || chr(10) || '}}' || chr(10)) AS code FROM str LEFT JOIN map USING (text) GROUP BY 1 HAVING count(key) > 0""", "map str")
 def rewrite_jsx(s, d):
-    return jsx_strings.rewrite_sources(components(s, d), A.text_map(s, d)).select("path", "replaced").where("replaced > 0")
+    """The whole code is compared."""
+    found = graph.saved(A.strings(s, d))
+    done = jsx_strings.rewrite_sources(components(s, d, found), A.text_map(s, d, found))
+    return done.where("replaced > 0").select("path", "replaced", F.sha2("content", 256).alias("code"))
+
+
+@query("SELECT count(*) AS files, count(*) FILTER (WHERE n > 0) AS files_modified, sum(n)::BIGINT AS strings_wrapped, count(*) FILTER (WHERE n = 0) AS files_skipped, 0::BIGINT AS client_files FROM (SELECT file, count(key) AS n FROM str LEFT JOIN map USING (text) GROUP BY 1)", "map str")
+def codegen_totals(s, d):
+    found = graph.saved(A.strings(s, d))
+    return jsx_strings.totals(jsx_strings.rewrite_sources(components(s, d, found), A.text_map(s, d, found)))
+
+
+@query("SELECT 'src/app/p' || a.page_id || '/page.tsx' AS src, 'src/app/p' || b.page_id || '/page.tsx' AS dst FROM pages a JOIN pages b ON b.page_id = 2 * a.page_id UNION SELECT 'src/app/p' || a.page_id || '/page.tsx', 'src/app/p' || b.page_id || '/page.tsx' FROM pages a JOIN pages b ON b.page_id = 3 * a.page_id")
+def import_edges(s, d):
+    return graph.import_edges(graph.saved(graph.file_facts(A.sources(s, d))), A.ALIASES)
+
+
+@query(", t(id) AS (SELECT page_id FROM pages WHERE page_id % 10 = 1 UNION SELECT page_id FROM t JOIN pages ON page_id = 2 * id OR page_id = 3 * id) SELECT 'src/app/p' || id || '/page.tsx' AS path FROM t", "src", True)
+def client_files(s, d):
+    return graph.client_files(A.sources(s, d), A.ALIASES)
 
 
-@query("SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS seq, text || ' <b>{1}</b> {n}' AS composite FROM str WHERE NOT regexp_matches(text, '[{}<>&]')", "str")
+@query("SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS seq, text || ' <b>{1}</b> {n}' AS composite FROM str", "str")
 def composite_context(s, d):
     files = components(s, d).withColumn("content", F.replace("content", F.lit("</p>"), F.lit(" <b></b>{n}</p>")))
     return jsx_strings.extract_strings(files).select("file", "seq", "composite")
@@ -550,4 +593,5 @@ def composite_context(s, d):
 
 @query("SELECT file, 'Known keys:' || chr(10) || (SELECT string_agg('  ' || key || ' <- \"' || text || '\"', chr(10) ORDER BY seq) FROM (SELECT * FROM map ORDER BY seq LIMIT 30)) || chr(10) || 'Strings of ' || file || ':' || chr(10) || string_agg('  \"' || text || '\"' || coalesce(', component: ' || component, '') || ', tag: ' || tag, chr(10) ORDER BY seq) AS prompt FROM str GROUP BY file", "map str")
 def keygen_prompt(s, d):
-    return scanning.key_prompts(A.strings(s, d), A.text_map(s, d))
+    found = graph.saved(A.strings(s, d))
+    return scanning.key_prompts(found, A.text_map(s, d, found))

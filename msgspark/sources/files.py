@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import text as T
+from ..operators import catalogs
 
 
 def glob_pattern(glob: str) -> str:
@@ -66,10 +69,114 @@ def read_string_map(spark: SparkSession, path: str, strict: bool, key: str = "ke
     return found.select(F.explode(parsed).alias(key, value))
 
 
-def write_split(catalog: DataFrame, path: str) -> None:
-    """A catalog as a table partitioned by locale and ns: only partitions that it holds are replaced [SNK2]; drop stale ones by stale_partitions."""
-    parts = catalog.withColumn("ns", T.partition_of("key")).withColumn("rest", T.key_in_partition("key"))
-    parts.select("locale", "ns", "rest", "value", "seq").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("locale", "ns").parquet(path)
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """The path and its file system, as Java objects."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_documents(documents: DataFrame, folder: str) -> list[str]:
+    """Writes each row (name, document) as the file folder/name with one newline at its end, replacing what is there; returns the names [SNK1].
+
+    Executors write the texts, partitioned by name, to a folder beside; the driver then only moves the files, so it sees names and never a document. A name in two rows raises ValueError before anything is replaced.
+    """
+    spark = documents.sparkSession
+    beside = f"{folder.rstrip('/')}/_writing-{uuid.uuid4().hex}"
+    rows = documents.select("name", F.regexp_replace("document", "\\n$", "").alias("value"))
+    several = rows.groupBy("name").count().where("count > 1").first()
+    if several:
+        raise ValueError(f"{several[0]} has several documents")
+    rows.repartition("name").write.partitionBy("name").text(beside)
+    top, fs = _hadoop(spark, beside)
+    unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    moves = []
+    try:
+        for part in fs.listStatus(top):
+            if part.isDirectory():
+                name = unescape(part.getPath().getName().removeprefix("name="))
+                files = [f.getPath() for f in fs.listStatus(part.getPath()) if f.getPath().getName().startswith("part-")]
+                moves.append((name, files[0]))
+        for name, file in moves:
+            to, _ = _hadoop(spark, f"{folder.rstrip('/')}/{name}")
+            fs.mkdirs(to.getParent())
+            fs.delete(to, False)
+            fs.rename(file, to)
+            fs.delete(to.getParent().suffix(f"/.{to.getName()}.crc"), False)
+    finally:
+        fs.delete(top, True)
+    return sorted(n for n, _ in moves)
+
+
+def write_catalogs(catalog: DataFrame, folder: str, flat: bool = False) -> list[str]:
+    """One JSON file for each locale, nested (or flat) in seq order, two spaces, a newline at the end [SNK1]. A file is one value by nature; for large catalogs use write_split."""
+    documents = catalogs.flat_documents(catalog, "locale") if flat else catalogs.unflatten_documents(catalog, "locale")
+    return write_documents(documents.select(F.concat("locale", F.lit(".json")).alias("name"), "document"), folder)
+
+
+def write_map(mapping: DataFrame, folder: str, name: str = "map.json") -> list[str]:
+    """The map text -> key as one flat JSON file in seq order [SNK4]; an empty map is {}."""
+    rows = mapping.select(F.lit(name).alias("name"), F.col("text").alias("key"), F.col("key").alias("value"), "seq")
+    documents = catalogs.flat_documents(rows, "name")
+    if documents.isEmpty():
+        documents = mapping.sparkSession.createDataFrame([(name, "{}")], "name string, document string")
+    return write_documents(documents, folder)
+
+
+def write_split(catalog: DataFrame, path: str, delete_stale: bool = True) -> list[tuple[str, str]]:
+    """A catalog as a table partitioned by locale and ns: partitions that it holds are replaced, and those of its locales that it no longer holds are deleted and returned [SNK2]. Partitions are listed and compared by name; no file is read for that."""
+    spark = catalog.sparkSession
+    rows = catalogs.split(catalog).select("locale", "ns", "rest", "value", "seq")
+    before = partitions(spark, path) if delete_stale else None
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("locale", "ns").parquet(path)
+    if before is None:
+        return []
+    locales = rows.select("locale").distinct()
+    stale = [(r.locale, r.ns, r.folder) for r in catalogs.stale_partitions(before.join(locales, "locale", "left_semi"), rows).join(before, ["locale", "ns"]).collect()]
+    for *_, folder in stale:
+        p, fs = _hadoop(spark, folder)
+        fs.delete(p, True)
+    return sorted((a, b) for a, b, _ in stale)
+
+
+def partitions(spark: SparkSession, path: str) -> DataFrame:
+    """locale, ns, folder of each partition of a split catalog; none if it is missing."""
+    found = []
+    if _exists(spark, path):
+        top, fs = _hadoop(spark, path)
+        unescape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        for outer in fs.globStatus(top.suffix("/locale=*/ns=*")):
+            p = outer.getPath()
+            found.append((unescape(p.getParent().getName().removeprefix("locale=")), unescape(p.getName().removeprefix("ns=")), str(p)))
+    return spark.createDataFrame(found, "locale string, ns string, folder string")
+
+
+def write_source_locale(mapping: DataFrame, config: Config, folder: str) -> None:
+    """The source locale's messages from the map text -> key: nested, or split by namespace; none in inline mode, where sources hold the texts [SNK6]."""
+    if config.mode == "inline":
+        return
+    first = mapping.groupBy("key").agg(F.min("seq").alias("seq"))
+    rows = catalogs.invert_map(mapping).join(first, "key").select(F.lit(config.source_locale).alias("locale"), "key", "value", "seq")
+    if config.split_by_namespace:
+        write_split(rows, folder)
+    else:
+        write_catalogs(rows, folder)
+
+
+def read_context(spark: SparkSession, path: str) -> DataFrame:
+    """key, context (JSON) of a file of contexts by key; no rows if it is missing or malformed [SRC6]."""
+    return read_string_map(spark, path, strict=False, value="context").where("key IS NOT NULL")
+
+
+def read_source_catalog(spark: SparkSession, config: Config, folder: str, map_file: str | None = None) -> DataFrame:
+    """locale, key, value, seq of the source locale [SRC8]: in inline mode from the map (the last text of a key), split from partitions, else from the locale's nested JSON file."""
+    if config.mode == "inline":
+        entries = read_json_document(spark, map_file or f"{folder}/map.json").select(F.posexplode(F.map_entries(F.from_json("document", "map<string,string>"))).alias("seq", "e"))
+        rows = catalogs.invert_map(entries.select(F.col("e.key").alias("text"), F.col("e.value").alias("key"), F.col("seq").cast("long")))
+        return rows.select(F.lit(config.source_locale).alias("locale"), "key", "value", F.xxhash64("key").alias("seq"))
+    if config.split_by_namespace:
+        return read_split(spark, folder).where(F.col("locale") == config.source_locale)
+    rows = catalogs.flatten_json(read_json_document(spark, f"{folder}/{config.source_locale}.json"), "document")
+    return rows.select(F.lit(config.source_locale).alias("locale"), "key", "value", F.row_number().over(Window.orderBy("key")).cast("long").alias("seq"))
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:

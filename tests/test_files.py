@@ -1,6 +1,9 @@
 """Sources, sinks and the streaming extension."""
 
+import json
+
 import pytest
+from msgspark.config import Config
 from msgspark.functions.text import source_hash
 from msgspark.sources import files as S
 from msgspark.streaming.incremental import follow
@@ -43,3 +46,52 @@ def test_stream(spark, tmp_path):
     seen = []
     follow(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda: lock, lambda df, epoch: seen.extend(df.collect()), str(tmp_path / "cp")).awaitTermination(60)
     assert [(r.key, r.value) for r in seen] == [("a", "new")]
+
+
+def test_writers(spark, tmp_path):
+    rows = [("de", "a.b", "Ä", 1), ("de", "a.c", 'q"', 2), ("fr", "a.b", "é", 1), ("fr", "x", "y", 0)]
+    catalog = spark.createDataFrame(rows, "locale string, key string, value string, seq long")
+    folder = f"file://{tmp_path}/messages"
+    assert S.write_catalogs(catalog, folder) == ["de.json", "fr.json"]
+    assert (tmp_path / "messages/de.json").read_text() == json.dumps({"a": {"b": "Ä", "c": 'q"'}}, indent=2, ensure_ascii=False) + "\n"
+    S.write_catalogs(catalog, folder, flat=True)
+    assert (tmp_path / "messages/fr.json").read_text() == '{\n  "x": "y",\n  "a.b": "é"\n}\n'
+    assert sorted(p.name for p in (tmp_path / "messages").iterdir()) == ["de.json", "fr.json"]
+    mapping = spark.createDataFrame([("Two", "k.b", 2), ("One", "k.a", 1), ("Uno", "k.a", 3)], "text string, key string, seq long")
+    S.write_map(mapping, folder)
+    assert json.loads((tmp_path / "messages/map.json").read_text()) == {"One": "k.a", "Two": "k.b", "Uno": "k.a"}
+    S.write_map(mapping.where("false"), folder, "empty.json")
+    assert (tmp_path / "messages/empty.json").read_text() == "{}\n"
+    with pytest.raises(ValueError, match="several"):
+        S.write_documents(spark.createDataFrame([("a", "1"), ("a", "2")], "name string, document string"), folder)
+    assert not (tmp_path / "messages/a").exists()
+
+
+def test_source_locale(spark, tmp_path):
+    mapping = spark.createDataFrame([("Two", "k.b", 2), ("One", "k.a", 1), ("Uno", "k.a", 3)], "text string, key string, seq long")
+    want = {("k.a", "Uno"), ("k.b", "Two")}
+    for split in (False, True):
+        folder = f"file://{tmp_path}/{split}"
+        c = Config("en", ("de",), split_by_namespace=split)
+        S.write_source_locale(mapping, c, folder)
+        got = S.read_source_catalog(spark, c, folder)
+        assert {(r.key, r.value) for r in got.collect()} == want and {r.locale for r in got.collect()} == {"en"}
+    c = Config("en", ("de",), mode="inline", inline_component="@/t")
+    S.write_source_locale(mapping, c, f"file://{tmp_path}/inline")
+    assert not (tmp_path / "inline").exists()
+    S.write_map(mapping, f"file://{tmp_path}/inline")
+    assert {(r.key, r.value) for r in S.read_source_catalog(spark, c, f"file://{tmp_path}/inline").collect()} == want
+
+
+def test_stale_partitions_are_deleted(spark, tmp_path):
+    schema, folder = "locale string, key string, value string, seq long", f"file://{tmp_path}/split"
+    assert S.write_split(spark.createDataFrame([("de", "a.x", "1", 1), ("de", "b/c.x", "2", 2), ("fr", "b.x", "3", 1)], schema), folder) == []
+    assert S.write_split(spark.createDataFrame([("de", "a.y", "4", 1)], schema), folder) == [("de", "b/c")]
+    assert sorted((r.locale, r.key, r.value) for r in S.read_split(spark, folder).collect()) == [("de", "a.y", "4"), ("fr", "b.x", "3")]
+
+
+def test_context_files(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"a.b": {"tag": "p"}, "a.c": {"tag": "b"}}')
+    (tmp_path / "bad.json").write_text('{"a.b": {')
+    assert {(r.key, json.loads(r.context)["tag"]) for r in S.read_context(spark, f"file://{tmp_path}/c.json").collect()} == {("a.b", "p"), ("a.c", "b")}
+    assert S.read_context(spark, f"file://{tmp_path}/bad.json").collect() == [] == S.read_context(spark, f"file://{tmp_path}/none.json").collect()

@@ -1,13 +1,16 @@
 """Operators on the examples and invariants that fix their meaning."""
 
 import json
+import random
 from collections import Counter
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from msgspark import config
 from msgspark.functions.text import source_hash
 from msgspark.operators import catalogs, graph, keys, planning, scanning, validation
+from msgspark.plans import keygen
 from msgspark.plans import translate as P
 from pyspark.sql import functions as F
 
@@ -50,16 +53,16 @@ def test_lock_is_kept_for_each_locale(spark):
 def test_flatten_and_unflatten(spark):
     doc = {"a": {"b": "x", "c": {"d": "y"}, "e": [1, "z"], "f": 3, "g": None, "h": {}}, "i": "w", "j": True}
     df = spark.createDataFrame([("en", json.dumps(doc))], "locale string, j string")
-    flat = {r.key: r.value for r in catalogs.flatten_json(df, "j", "locale", depth=4).collect()}
+    flat = {r.key: r.value for r in catalogs.flatten_json(df, "j", "locale").collect()}
     assert flat == {"a.b": "x", "a.c.d": "y", "i": "w"}
     again = catalogs.unflatten_documents(catalog(spark, flat, "en"), "locale").first().document
     assert json.loads(again) == {"a": {"b": "x", "c": {"d": "y"}}, "i": "w"} and again.endswith("}\n")
 
 
-def test_too_deep_raises(spark):
-    df = spark.createDataFrame([('{"a": {"b": {"c": "x"}}}',)], "j string")
-    with pytest.raises(Exception, match="too deep"):
-        catalogs.flatten_json(df, "j", depth=1).collect()
+def test_any_depth_is_read(spark):
+    deep = '{"a": ' * 30 + '"x"' + "}" * 30
+    df = spark.createDataFrame([(1, deep), (2, "no json"), (3, None), (4, "[1]"), (5, '{"a": "y"}')], "path int, j string")
+    assert sorted(map(tuple, catalogs.flatten_json(df, "j", "path").collect())) == [(1, ".".join("a" * 30), "x"), (5, "a", "y")]
 
 
 def test_pick_messages(spark):
@@ -225,3 +228,113 @@ def test_run_publishes_whole_locales(spark):
     with pytest.raises(P.CostLimit):
         P.run(src, tgt, lock, failing_in_french, max_usd=0.0, prices=(1.0, 1.0))
     assert {r.status for r in P.run(src, tgt, lock, failing_in_french, force=True, dry=True).diff.where(F.col("key") == "n.k0").where("locale = 'es'").collect()} == {"modified"}
+
+
+def greedy(rows, target, most):
+    out, state = [], {}
+    for group, seq, t in sorted(rows):
+        batch, total, count = state.get(group, (0, 0, 0))
+        if count and (total + t > target or count >= most):
+            batch, total, count = batch + 1, 0, 0
+        state[group] = (batch, total + t, count + 1)
+        out.append((group, seq, batch))
+    return out
+
+
+def test_token_batches_over_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(planning, "CHUNK", 60)
+    rnd = random.Random(3)
+    rows = [(g, i, rnd.choice([1, 5, 30, 120, 400])) for g, n in (("a", 700), ("b", 40), ("c", 121), (None, 130)) for i in range(n)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, seq long, tokens long")
+    for target, most in ((300, 50), (2000, 7), (10_000, 50), (1, 1)):
+        got = planning.token_batches(df, "g", target_tokens=target, max_entries=most).collect()
+        assert sorted((r.g or "", r.seq, r.batch_id) for r in got) == greedy([(g or "", i, t) for g, i, t in rows], target, most)
+
+
+def sequential_names(rows, taken):
+    used, out = set(taken), []
+    for key, seq in sorted(rows, key=lambda x: x[1]):
+        name, n = key, 2
+        while name in used:
+            name, n = f"{key}{n}", n + 1
+        used.add(name)
+        out.append((key, seq, name))
+    return sorted(out, key=str)
+
+
+def test_collisions_against_one_stream(spark):
+    rnd = random.Random(5)
+    bag = ["a.b", "a.b2", "a.b3", "a.b22", "a.c", "nodot", "nodot2", "x.y1", "x.y", "z.only"]
+    rows = [(rnd.choice(bag), i) for i in range(120)] + [("q.alone", 500)]
+    taken = ["a.b", "x.y12", "far.off"]
+    got = keys.resolve_collisions(spark.createDataFrame(rows, "key string, seq long"), spark.createDataFrame([(t,) for t in taken], "key string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sequential_names(rows, taken)
+    got = keys.resolve_collisions(spark.createDataFrame(rows, "key string, seq long"), spark.createDataFrame([], "key string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sequential_names(rows, [])
+
+
+def test_renames_against_one_stream(spark):
+    rnd = random.Random(6)
+    bag = ["a", "a.b", "a.b.c", "a.bLabel", "a.bLabel.x", "aLabel", "aLabel2", "a.bLabel2", "k", "k.v.w", "kLabel.z"]
+    rows = [(f"t{i}", rnd.choice(bag), i) for i in range(60)]
+    every = {k for _, k, _ in rows}
+    hits = {k for k in every if any(o.startswith(k + ".") for o in every)}
+    used, want = set(every), []
+    for t, k, i in rows:
+        name, n = k, 2
+        if k in hits:
+            used.discard(k)
+            name = f"{k}Label"
+            while name in used:
+                name, n = f"{k}Label{n}", n + 1
+            used.add(name)
+        want.append((t, k, i, name))
+    got = keys.rename_conflicts(spark.createDataFrame(rows, "text string, key string, seq long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+class Moody:
+    """Fails at first for one batch in each process; gives keys of one part too."""
+
+    def __init__(self, fails):
+        self.fails, self.calls = fails, 0
+
+    def __call__(self, strings, known):
+        self.calls += 1
+        if self.calls <= self.fails:
+            raise RuntimeError("busy")
+        return {**{i: "save" if s["text"].startswith("S") else "form.name" for i, s in enumerate(strings)}, 99: "x.y"}, 10, 5
+
+
+def test_generate_keys(spark):
+    strings = spark.createDataFrame([("Save", 3, "src/app/b/page.tsx", "Form"), ("Send", 1, "src/app/a/page.tsx", None), ("Name", 2, "src/app/a/page.tsx", None), ("Last name", 4, "src/x.tsx", "Z"), ("Save", 9, "z", "Z"), ("Old", 5, "z", "")], "text string, seq long, file string, component string")
+    mapping = spark.createDataFrame([("Old", "form.name", 1), ("Gone", "gone.text", 2)], "text string, key string, seq long")
+    used, seen = [], []
+    options = P.Options(max_entries=2, retries=2, wait=lambda s: None)
+    got = keygen.generate_keys(strings, mapping, Moody(2), options=options, on_usage=lambda a, b: used.append((a, b)), on_progress=lambda a, b: seen.append((a, b)))
+    assert sorted(map(tuple, got.collect())) == [("Last name", "form.name3", 4), ("Name", "form.name2", 2), ("Old", "form.name", 1), ("Save", "form.save", 3), ("Send", "a.save", 1)]
+    assert used == [(20, 10)] and seen == [(4, 4)]
+    with pytest.raises(keygen.KeyGenerationFailed, match="busy"):
+        keygen.generate_keys(strings, mapping, Moody(99), options=options)
+    assert keygen.generate_keys(strings, mapping, Moody(99), keygen.StubKeys(), options=options).count() == 5
+    assert [tuple(r) for r in keygen.generate_keys(strings.where("text = 'Old'"), mapping, Moody(99), options=options).collect()] == [("Old", "form.name", 1)]
+
+
+def test_confirmation_and_progress(spark):
+    source = catalog(spark, {"a.b": "x", "a.c": "y"}, "de")
+    target, lock = catalog(spark, {}, "de"), spark.createDataFrame([], "locale string, key string, hash string")
+    asked, seen, used = [], [], []
+    r = P.run(source, target, lock, P.StubTranslator(), confirm=lambda usd: asked.append(usd))
+    assert asked == [None] and r.report.count() == 0 and r.catalog.count() == 0
+    r = P.run(source, target, lock, P.StubTranslator(), confirm=lambda usd: usd > 0, prices=(1.0, 2.0), on_progress=lambda a, b: seen.append((a, b)), on_usage=lambda a, b: used.append((a, b)))
+    assert r.catalog.count() == 2 and seen == [(2, 2)] and used == [(100, 50)]
+
+
+def test_imports_of_sources(spark):
+    files = [("src/app/a.tsx", '"use client"; import x from "./b"; import y from "#lib/c"; import type { T } from "./t";'), ("src/app/b/index.ts", 'export * from "@/d.js"; import "react";'), ("src/lib/c.ts", 'const z = () => import("~/e");'), ("src/d.ts", ""), ("e.mjs", 'import "/src/app/a";'), ("src/app/t.ts", ""), ("src/app/bad.ts", "import ( {"), ("src/app/none.ts", None)]
+    df = spark.createDataFrame(files, "path string, content string")
+    aliases = config.path_aliases('{"compilerOptions": {"paths": {"#lib/*": ["src/missing/*", "src/lib/*"]}}}')
+    edges = graph.import_edges(graph.file_facts(df), aliases)
+    assert sorted(map(tuple, edges.collect())) == [("e.mjs", "src/app/a.tsx"), ("src/app/a.tsx", "src/app/b/index.ts"), ("src/app/a.tsx", "src/lib/c.ts"), ("src/app/b/index.ts", "src/d.ts"), ("src/lib/c.ts", "e.mjs")]
+    assert {r.path for r in graph.client_files(df, aliases).collect()} == {"src/app/a.tsx", "src/app/b/index.ts", "src/lib/c.ts", "src/d.ts", "e.mjs"}
