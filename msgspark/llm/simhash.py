@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, discard
+from .common import components, cut, discard, packed_rows
 
 BLOCKS, BLOCK_BITS = 8, 8
 #: Pairs up to this run length are compared one by one; longer runs look up each member's neighbours. Both ways find all pairs.
@@ -161,11 +161,14 @@ def simhash_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
 
 
 def one_of_each_group(docs: DataFrame, text: str = "text", row_id: str = "doc_id", radius: int = 2) -> DataFrame:
-    """One row of docs, with all its columns, of each group: the one with the smallest doc_id, of rows that share it the one with the least text hash, of equal rows any."""
+    """One row of docs, with all its columns whatever their names, of each group: the one with the smallest doc_id, of rows that share it the one with the least text hash, of equal rows any.
+
+    Null texts and texts without words are one group (fingerprint 0); rows with null ids stay only in groups without other ids, one of each; no rows give no rows; very long texts are fingerprinted whole.
+    """
     groups = simhash_groups(docs, text, row_id, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = F.row_number().over(Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).orderBy("text_hash"))
-    keep = cut(groups.withColumn("_first", first).where("_first = 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    marked = docs.withColumn("_id", F.col(row_id).cast("long")).withColumn("_hash", F.xxhash64(text))
-    kept = marked.alias("m").join(keep.alias("k"), F.expr("m._id <=> k._id AND m._hash = k._hash"), "left_semi")
-    again = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-    return kept.withColumn("_again", again).where("_again = 1").select(*docs.columns)
+    keep = cut(groups.withColumn("first", first).where("first = 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct())
+    marked = packed_rows(docs, F.col(row_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"))
+    kept = marked.alias("m").join(keep.alias("k"), F.expr("m.id <=> k.id AND m.hash = k.hash"), "left_semi")
+    again = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1)))
+    return kept.withColumn("again", again).where("again = 1").select("row.*")

@@ -41,3 +41,20 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert stage(spark, docs, SF).schema.simpleString() == docs.schema.simpleString()
         assert stage(spark, docs.where("false"), SF).count() == 0
     assert C.STAGES[-1][1](spark, docs.where("false"), SF).count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in every column, repeated and empty rows, a very long text, and columns whose names the stages use themselves."""
+    names = "score, id, hash, first, again, row, _id, _hash, print, spans"
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n.strip()}` string" for n in names.split(","))
+    own = tuple(f"own {n.strip()}" for n in names.split(","))
+    rows = [(1, "plain words stay here", "en", "a", *own), (1, "plain words stay here", "en", "a", *own), (2, None, None, None, *own), (None, "a null id", "en", None, *own), (3, "", "en", "a", *own), (4, "long tail " * 100_000, "en", "a", *own), (5, "token = abcdefgh123", "en", "a", *[None] * 10)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in C.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        found = got.collect()
+        assert all(tuple(r)[4:] in (own, (None,) * 10) for r in found), name
+        assert len(found) == (5 if name == "simhash_dedup" else 7), name
+    assert {r.text for r in C.secrets_stage(spark, docs, SF).collect() if r.doc_id == 5} == {"[SECRET]"}
+    assert C.packing_stage(spark, docs, SF).select("doc_id").distinct().count() == 6
