@@ -17,29 +17,32 @@ THRESHOLD = 0.3
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under THRESHOLD stay; the grammar is fitted on these documents' labels."""
+    """Documents that score under THRESHOLD stay; the grammar is fitted on these documents' labels. Null and empty texts score low and stay; repeated rows share their fate; other columns pass unchanged."""
     grammar = fit(docs, read_table(spark, sf_dir, "labels"))
-    return score_documents(docs, grammar).where(f"score < {THRESHOLD}").select(*docs.columns)
+    scored = score_documents(docs.select("text", F.struct(*docs.columns).alias("row")), grammar)  # so that no column of docs clashes with the score
+    return scored.where(f"score < {THRESHOLD}").select("row.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, the one with the least doc_id. Null texts and texts without words are one group; of repeated rows one stays; other columns pass unchanged."""
     return one_of_each_group(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark contaminates go."""
+    """Documents that the benchmark contaminates go. Null and empty texts stay; repeated rows share their fate; other columns pass unchanged."""
     return clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are masked; every document stays, with n_chars of its new text."""
+    """Secrets are masked; every document stays, with n_chars, where there is such a column, of its new text. Null texts stay null; other columns pass unchanged."""
     masked = redact(docs)
+    if "n_chars" not in docs.columns:
+        return masked
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences of 4096 tokens."""
+    """Pieces of documents with their places in sequences of 4096 tokens. Null and empty texts are the end mark alone; repeated rows are packed each; only doc_id and text are read."""
     return pack(token_pieces(docs, word_bpe()))
 
 
