@@ -29,6 +29,18 @@ class Words:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def spaced(self) -> np.ndarray:
+        """All words with one space after each: word w stands from offsets[w] + w to offsets[w + 1] + w."""
+        out = np.full(len(self.data) + len(self), 32, np.uint8)
+        out[np.arange(len(self.data)) + np.repeat(np.arange(len(self)), np.diff(self.offsets))] = self.data
+        return out
+
+    def texts(self) -> list[memoryview]:
+        """Each text's words, joined by one space."""
+        whole, starts, stops = memoryview(self.spaced()), self.first[:-1], self.first[1:]
+        at, to = self.offsets[starts] + starts, self.offsets[stops] + stops - 1
+        return [whole[a : max(a, b)] for a, b in zip(at.tolist(), to.tolist(), strict=True)]
+
 
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
