@@ -110,7 +110,7 @@ def invert_map(s, d):
     return hashed(catalogs.invert_map(mapping))
 
 
-@query()
+@query("SELECT locale, ns, '{' || chr(10) || string_agg('  ' || to_json(rest)::VARCHAR || ': ' || to_json(value)::VARCHAR, ',' || chr(10) ORDER BY seq) || chr(10) || '}' || chr(10) AS document FROM (SELECT locale, split_part(key, '.', 1) AS ns, substr(key, instr(key, '.') + 1) AS rest, value, seq FROM src) GROUP BY 1, 2", "src")
 def catalog_document(s, d):
     parts = catalogs.split(A.source(s, d)).select("locale", "ns", F.col("rest").alias("key"), "value", "seq")
     return catalogs.unflatten_documents(parts, "locale", "ns")
