@@ -72,6 +72,23 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
 ALIASES = [("#app/", False, ["src/none/", "src/app/"])]
 
 
+def content_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A17: pages as two files each, a module with a constant that holds a text, and its importer: in a component, at the top level, as a whole, or in a component of a file that may not be rewritten, by page_id mod 4."""
+    n = F.col("page_id").cast("string")
+    shown = F.lit("export function Page() {\n  return <ul>{items.map(i => <li key={i.title}>{i.title}</li>)}</ul>;\n}\n")
+    rest = F.when(F.col("page_id") % 2 == 1, F.when(F.col("page_id") % 4 == 1, "export const first = items[0];\n").otherwise(shown)).when(F.col("page_id") % 4 == 2, "export const all = items;\n").otherwise(shown)
+    clause = F.when(F.col("page_id") % 4 == 2, "* as items").otherwise("{ ITEMS as items }")
+    lib = F.struct(F.concat(F.lit("src/lib/p"), n, F.lit(".ts")).alias("path"), F.concat(F.lit('export const ITEMS = [{ title: "Title of page '), n, F.lit('" }];\n')).alias("content"), F.lit(True).alias("included"))
+    app = F.struct(F.concat(F.lit("src/app/p"), n, F.lit(".tsx")).alias("path"), F.concat(F.lit("import "), clause, F.lit(' from "../lib/p'), n, F.lit('";\n'), rest).alias("content"), (F.col("page_id") % 4 != 3).alias("included"))
+    return table(spark, sf, "pages").select(F.explode(F.array(lib, app)).alias("f")).select("f.*")
+
+
+def content_map(spark: SparkSession, sf: str) -> DataFrame:
+    """A17: keys of the texts in content_files' modules, but every fifth."""
+    n = F.col("page_id").cast("string")
+    return table(spark, sf, "pages").where("page_id % 5 <> 0").select(F.concat(F.lit("Title of page "), n).alias("text"), F.concat(F.lit("lib.p"), n).alias("key"))
+
+
 def turns(spark: SparkSession, sf: str) -> DataFrame:
     """A6: conversations as files, roles as components, turns as order."""
     return table(spark, sf, "conversations").select(F.col("conv_id").alias("file"), F.col("role").alias("component"), F.col("turn").alias("seq"), "text")

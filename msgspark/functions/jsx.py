@@ -233,6 +233,13 @@ def read(code: str) -> list[Token]:
         return Reader(code).read()
 
 
+def begins_statement(code: str, before: Token | None, keyword: Token) -> bool:
+    """Whether a function or class keyword after `before` (async left out) begins a declaration; a new line does, after what may end a statement."""
+    if before is None or before.text in (";", "export", "default") or before.kind == "group" and before.text == "{" or before.kind in ("string", "jsx"):
+        return True
+    return before.kind != "punct" and "\n" in code[before.end : keyword.start]
+
+
 def has_jsx(tokens: list) -> bool:
     todo = [tokens]
     while todo:

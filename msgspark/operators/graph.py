@@ -100,13 +100,18 @@ def import_bases(importer: Column, source: Column, aliases: list[tuple[str, bool
     return F.transform(found, normalized)
 
 
-def import_edges(facts: DataFrame, aliases: list[tuple[str, bool, list[str]]] | None = None) -> DataFrame:
-    """src, dst: which files of facts (path, sources) import which others at run time: the first place, then the first candidate file, that is a known file [JN12]. Two equi-joins; nothing is broadcast by hand."""
+def resolved_imports(facts: DataFrame, aliases: list[tuple[str, bool, list[str]]] | None = None) -> DataFrame:
+    """src, source, dst: the file of facts (path, sources) that each import means: the first place, then the first candidate file, that is a known file [JN12]. Two equi-joins; nothing is broadcast by hand."""
     asked = facts.select(F.col("path").alias("src"), F.explode("sources").alias("source"))
     places = asked.select("src", "source", F.posexplode(import_bases(F.col("src"), F.col("source"), aliases or [])).alias("p", "base"))
     files = places.select("src", "source", "p", F.posexplode(candidates(F.col("base"))).alias("q", "file"))
     known = facts.select(F.col("path").alias("file")).distinct()
-    return files.join(known, "file").groupBy("src", "source").agg(F.min_by("file", F.struct("p", "q")).alias("dst")).select("src", "dst").distinct()
+    return files.join(known, "file").groupBy("src", "source").agg(F.min_by("file", F.struct("p", "q")).alias("dst"))
+
+
+def import_edges(facts: DataFrame, aliases: list[tuple[str, bool, list[str]]] | None = None) -> DataFrame:
+    """src, dst: which files of facts (path, sources) import which others at run time [JN12]."""
+    return resolved_imports(facts, aliases).select("src", "dst").distinct()
 
 
 def client_files(files: DataFrame, aliases: list[tuple[str, bool, list[str]]] | None = None, path: str = "path", content: str = "content") -> DataFrame:

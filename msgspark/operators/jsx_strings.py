@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bindings as B
 from ..functions import jsx as J
 from ..functions import text as T
 
@@ -122,7 +123,7 @@ class Extractor:
         waits = before is not None and before.text == "async"
         if waits:
             before = tokens[i - 2] if i > 1 else None
-        statement = before is None or before.text in (";", "export", "default") or before.kind == "group" and before.text == "{" or before.kind in ("string", "jsx")
+        statement = J.begins_statement(self.reader.code, before, tokens[i])
         j, name = i + 1, None
         while j < len(tokens) and not (tokens[j].kind == "group" and tokens[j].text == "{"):
             if tokens[j].kind == "name" and name is None and j <= i + 2:
@@ -334,16 +335,16 @@ def translator_in(body: list[J.Token], makers: set[str]) -> Translator | None:
     return None
 
 
-def translator_for(found: list[J.Token], params: list[J.Token], keys: set[str], makers: set[str], outer: set[str]) -> Translator:
-    """The component's own translator if all keys lie in its namespace, else a new one under a name that nothing in the component or around it (outer) binds; existing calls are never touched [CG5, CG6]."""
+def translator_for(found: list[J.Token], params: list[J.Token], keys: set[str], makers: set[str], outer: set[str], bare: bool = False) -> Translator:
+    """The component's own translator if all keys lie in its namespace (bare: if it has none), else a new one under a name that nothing in the component or around it (outer) binds; existing calls are never touched [CG5, CG6]."""
     own = translator_in(found, makers)
-    if own and (own.space is None or all(k.startswith(own.space + ".") for k in keys)):
+    if own and (own.space is None or not bare and all(k.startswith(own.space + ".") for k in keys)):
         return own
     spaces = {k.split(".")[0] if k.find(".") > 0 else None for k in keys}
     taken, n, name = J.names_in(params) | J.bound_names(found) | outer, 1, "t"
     while name in taken:
         n, name = n + 1, "tr" if n == 1 else f"tr{n}"
-    return Translator(name, spaces.pop() if len(spaces) == 1 else None, False)
+    return Translator(name, spaces.pop() if len(spaces) == 1 and not bare else None, False)
 
 
 def local_names(imported: list[J.Import], name: str, source: str) -> list[str]:
@@ -365,17 +366,21 @@ def with_import(code: str, name: str, source: str) -> str:
     return f'{code[:at]}import {{ {name} }} from "{source}";\n{code[at:]}'
 
 
-def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: str = "keys", inline_module: str = "@/components/t", client: bool | None = None) -> tuple[str, int, bool]:
+def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: str = "keys", inline_module: str = "@/components/t", client: bool | None = None, factories: set[str] | None = None, uses: set[str] | None = None, typed: bool = True) -> tuple[str, int, bool]:
     """(code, replaced, client) with mapped strings as calls of a translator [CG2, CG4-6]: JSX text, attributes, expressions, ternary branches and content properties of components.
 
     mode "inline" [CG3] keeps the source text: <T id="key">text</T> for JSX text and t("text", "key") for the rest, from inline_module. In mode "keys" each component with a replaced string gets a translator at the start of its body, with the namespace if all its keys share one, then without it in the keys.
     A translator that is there is used where it fits, else a new one gets a name of its own (translator_for); imports are reused under their aliases, extended or added. client: whether the file reaches the browser (see graph.client_files); by itself judged by is_client. Async components of other files await their translator.
-    Strings outside a block body are left. The result is read again; if that fails, or nothing is replaced, the code comes back unchanged. Running twice changes nothing.
+    factories: constants of this file that become functions of a translator, with the mapped texts in them as its calls; uses: names of such functions, imported ones too, that components call with their translator, which then has no namespace (see factories.factory_plan) [CG12]. typed: whether the file may have types.
+    Other strings outside a block body are left. The result is read again; if that fails, or nothing is replaced, the code comes back unchanged. Running twice changes nothing.
     """
     x = Extractor(code)
     found = [f for f in x.run() if f.text in keys and f.node is not None and f.scope.component and re.match("[A-Z]|__default__$|use[A-Z]", f.scope.component) and f.scope.body in x.bodies and f.type != "module-object-property"]
     client, inline = is_client(code) if client is None else client, mode == "inline"
-    if not found:
+    wrapped = [d for d in B.constants(code, x.tokens) if d.name in factories] if factories else []
+    held = [f for f in x.found if f.type == "module-object-property" and f.node is not None and f.text in keys and any(d.value[0] <= f.node.start < d.value[1] for d in wrapped)]
+    handed = [u for u in B.Uses(code, x.tokens, uses).found if u.body in x.bodies] if uses else []
+    if not found and not held and not handed:
         return code, 0, client
     imported = J.imports(x.tokens)
     hook, getter = (("useT", "createT"), (inline_module, inline_module)) if inline else (("useTranslations", "getTranslations"), (module, f"{module}/server"))
@@ -383,14 +388,21 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: st
     every = {n for names in makers.values() for n in names} | set(hook)
     outer = J.bound_names(x.tokens, deeply=False) | {local for i in imported for _, local in i.names}
     translators: dict[int, Translator] = {}
-    calls = {f.scope.body for f in found if not (inline and f.type == "jsx-text")}
-    for body in {f.scope.body for f in found}:
+    bare = {u.body for u in handed}
+    calls = {f.scope.body for f in found if not (inline and f.type == "jsx-text")} | bare
+    for body in {f.scope.body for f in found} | bare:
         params, parts = x.bodies[body]
         own = translator_in(parts, every) if inline else None
-        translators[body] = own or translator_for(parts, params, set() if inline else {keys[f.text] for f in found if f.scope.body == body}, set() if inline else every, outer)
+        translators[body] = own or translator_for(parts, params, set() if inline else {keys[f.text] for f in found if f.scope.body == body}, set() if inline else every, outer, body in bare)
     edits: list[tuple[int, int, str]] = []
-    for f in found:
-        key, tr = keys[f.text], translators[f.scope.body]
+    for d in wrapped:
+        kind = code[d.at.end : d.equals.start].strip()
+        edits += [(d.at.end, d.value[0], f" = (t{': any' * typed}){kind} => ("), (d.value[1], d.value[1], ")")]
+    for u in handed:
+        call = f"{u.name.text}({translators[u.body].name})"
+        edits.append((u.name.start, u.name.end, f"{u.name.text}: {call}" if u.short else call))
+    for f in found + held:
+        key, tr = keys[f.text], Translator("t", None, True) if f.type == "module-object-property" else translators[f.scope.body]
         short = key[len(tr.space) + 1 :] if tr.space and not inline else key
         values = J.template_values(f.node) if f.node.kind == "template" else []
         if inline and f.type == "jsx-text":
@@ -407,7 +419,7 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: st
             edits.append((f.node.start, f.node.end, "{" + call + "}"))
         else:
             edits.append((f.node.start, f.node.end, call))
-    waits = {f.scope.body: f.scope.waits for f in found}
+    waits = {f.scope.body: f.scope.waits for f in found} | {u.body: u.waits for u in handed}
     needed: set[tuple[str, str]] = set()
     for body, tr in translators.items():
         if tr.there or inline and body not in calls:
@@ -428,36 +440,43 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: st
         J.read(out)
     except J.Unreadable:
         return code, 0, client
-    return out, len(found), client
+    return out, len(found) + len(held), client
 
 
-def rewrite_sources(files: DataFrame, mapping: DataFrame, path: str = "path", content: str = "content", clients: DataFrame | None = None) -> DataFrame:
-    """path, content, replaced, client of every file [CG1, SNK8]. Each file meets only the keys of its own texts: its strings are joined with the map (text, key) and gathered by file.
+def rewrite_sources(files: DataFrame, mapping: DataFrame, path: str = "path", content: str = "content", clients: DataFrame | None = None, factories: DataFrame | None = None, mode: str = "keys") -> DataFrame:
+    """path, content, replaced, client, modified (whether the content is new) of every file [CG1, SNK8]. Each file meets only the keys of its own texts: its strings are joined with the map (text, key) and gathered by file.
 
-    clients: paths of files that reach the browser over imports (graph.client_files); without it each file is judged by itself. Files that cannot be read come back unchanged.
+    clients: paths of files that reach the browser over imports (graph.client_files); without it each file is judged by itself. factories: rows of factories.factory_plan, whose constants and uses are rewritten too. mode: see rewrite. Files that cannot be read come back unchanged.
     """
     strings = extract_strings(files, path=path, content=content).select(F.col("file").alias(path), "text").distinct()
     own = strings.join(mapping.select("text", "key"), "text").groupBy(path).agg(F.map_from_entries(F.collect_set(F.struct("text", "key"))).alias("keys"))
     joined = files.select(path, content).join(own, path, "left")
     known = joined.withColumn("client", F.lit(None).cast("boolean")) if clients is None else joined.join(clients.select(F.col("path").alias(path), F.lit(True).alias("client")).distinct(), path, "left").na.fill(False, ["client"])
+    none = F.lit(None).cast("array<string>")
+    if factories is None:
+        known = known.withColumn("consts", none).withColumn("uses", none)
+    else:
+        planned = factories.where("reason IS NULL").groupBy(F.col("path").alias(path)).agg(F.collect_set(F.when(F.col("role") == "constant", F.col("name"))).alias("consts"), F.collect_set("name").alias("uses"))
+        known = known.join(planned, path, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for code, keys, reaches in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+            out: list[list] = [[], [], [], []]
+            for file, code, keys, reaches, consts, uses in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 judged = is_client(code or "") if reaches is None else reaches
+                typed = bool(re.search(r"\.[mc]?tsx?$", file or ""))
                 try:
-                    row = rewrite(code, dict(keys), client=judged) if code and keys else (code, 0, judged)
+                    row = rewrite(code, dict(keys or {}), client=judged, mode=mode, factories=set(consts or []), uses=set(uses or []), typed=typed) if code and (keys or uses) else (code, 0, judged)
                 except J.Unreadable:
                     row = (code, 0, judged)
-                for col, v in zip(out, row, strict=True):
+                for col, v in zip(out, (*row, row[0] != code), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_())], [path, "content", "replaced", "client"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.bool_()), pa.array(out[3], pa.bool_())], [path, "content", "replaced", "client", "modified"])
 
-    return known.mapInArrow(run, f"{path} string, content string, replaced int, client boolean")
+    return known.mapInArrow(run, f"{path} string, content string, replaced int, client boolean, modified boolean")
 
 
 def totals(rewritten: DataFrame) -> DataFrame:
     """One row: files, files_modified, strings_wrapped, files_skipped, client_files of rewrite_sources' rows [AGG15]."""
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
-    return rewritten.agg(F.count("*").alias("files"), n(F.col("replaced") > 0).alias("files_modified"), n(F.col("replaced")).alias("strings_wrapped"), n(F.col("replaced") == 0).alias("files_skipped"), n(F.col("client")).alias("client_files"))
+    return rewritten.agg(F.count("*").alias("files"), n(F.col("modified")).alias("files_modified"), n(F.col("replaced")).alias("strings_wrapped"), n(~F.col("modified")).alias("files_skipped"), n(F.col("client")).alias("client_files"))

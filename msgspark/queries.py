@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import adapters as A
 from .functions import text as T
-from .operators import catalogs, graph, jsx_strings, keys, planning, scanning, validation
+from .operators import catalogs, factories, graph, jsx_strings, keys, planning, scanning, validation
 from .plans import keygen
 from .plans import translate as plan
 from .sources import files
@@ -585,6 +585,18 @@ def client_files(s, d):
     return graph.client_files(A.sources(s, d), A.ALIASES)
 
 
+@query("SELECT p AS path, CASE WHEN role = 'constant' THEN 'ITEMS' ELSE 'items' END AS name, role, CASE page_id % 4 WHEN 1 THEN 'used outside a component' WHEN 2 THEN 'imported as a whole' WHEN 3 THEN 'imported by a file that stays as it is' END AS reason FROM (SELECT page_id, 'constant' AS role, 'src/lib/p' || page_id || '.ts' AS p FROM pages UNION ALL SELECT page_id, 'import', 'src/app/p' || page_id || '.tsx' FROM pages) WHERE page_id % 5 <> 0")
+def factory_plan(s, d):
+    return factories.factory_plan(A.content_files(s, d), A.content_map(s, d))
+
+
+@query("SELECT 'src/lib/p' || page_id || '.ts' AS path, 1 AS replaced, sha256('export const ITEMS = (t: any) => ([{ title: t(\"lib.p' || page_id || '\") }]);' || chr(10)) AS code FROM pages WHERE page_id % 4 = 0 AND page_id % 5 <> 0 UNION ALL SELECT 'src/app/p' || page_id || '.tsx', 0, sha256('import { useTranslations } from \"next-intl\";' || chr(10) || 'import { ITEMS as items } from \"../lib/p' || page_id || '\";' || chr(10) || 'export function Page() {' || chr(10) || chr(9) || 'const t = useTranslations();' || chr(10) || '  return <ul>{items(t).map(i => <li key={i.title}>{i.title}</li>)}</ul>;' || chr(10) || '}' || chr(10)) FROM pages WHERE page_id % 4 = 0 AND page_id % 5 <> 0")
+def rewrite_factories(s, d):
+    files, mapping = A.content_files(s, d), A.content_map(s, d)
+    done = jsx_strings.rewrite_sources(files.where("included"), mapping, factories=factories.factory_plan(files, mapping))
+    return done.where("modified").select("path", "replaced", F.sha2("content", 256).alias("code"))
+
+
 @query("SELECT file, row_number() OVER (PARTITION BY file ORDER BY seq) - 1 AS seq, text || ' <b>{1}</b> {n}' AS composite FROM str", "str")
 def composite_context(s, d):
     files = components(s, d).withColumn("content", F.replace("content", F.lit("</p>"), F.lit(" <b></b>{n}</p>")))
