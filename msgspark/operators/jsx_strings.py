@@ -366,24 +366,60 @@ def with_import(code: str, name: str, source: str) -> str:
     return f'{code[:at]}import {{ {name} }} from "{source}";\n{code[at:]}'
 
 
+def one_inline_source(code: str, tokens: list[J.Token], client: bool, module: str) -> str:
+    """code whose imports of the inline runtime come from the source and under the hook of its side, with the calls of that hook renamed; on the server createT(name) loses a name that nothing binds [CG13].
+
+    Client files take useT from module, others createT from module-server; module/t-server is an older name of the latter. A local alias stays.
+    """
+    ours = [i for i in J.imports(tokens) if i.source in (module, f"{module}-server", f"{module}/t-server") and i.names and not i.type_only]
+    source, old, new = (module, "createT", "useT") if client else (f"{module}-server", "useT", "createT")
+    edits, renamed, bound = [], False, J.bound_names(tokens) | {local for i in J.imports(tokens) for _, local in i.names}
+    for i in ours:
+        if i.source != source:
+            edits.append((i.end - len(i.source) - 1, i.end - 1, source))
+        for item in B.split(i.group.parts) if i.group else ():
+            if item and item[0].text == old:
+                edits.append((item[0].start, item[0].end, new))
+                renamed |= len(item) == 1
+    local = {x for i in ours for name, x in i.names if name in (old, new)}
+    todo = [tokens] if renamed or not client and local else []
+    while todo:
+        here = [t for t in todo.pop() if isinstance(t, J.Token)]
+        for k, t in enumerate(here):
+            args = here[k + 1] if k + 1 < len(here) else None
+            if t.kind == "name" and t.text in local and args is not None and args.kind == "group" and args.text == "(" and not (k and here[k - 1].text in (".", "?.", "function")):
+                if renamed and t.text == old:
+                    edits.append((t.start, t.end, new))
+                if not client and len(args.parts) == 1 and args.parts[0].kind == "name" and args.parts[0].text not in bound:
+                    edits.append((args.start, args.end, "()"))
+            todo += ([t.parts] if t.kind in ("group", "hole") else []) + [p for p in t.parts if isinstance(p, list)]
+            todo += [[v] for *_, v in t.attributes if v is not None] + [t.children]
+    for start, end, text in sorted(edits, reverse=True):
+        code = code[:start] + text + code[end:]
+    return code
+
+
 def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: str = "keys", inline_module: str = "@/components/t", client: bool | None = None, factories: set[str] | None = None, uses: set[str] | None = None, typed: bool = True) -> tuple[str, int, bool]:
     """(code, replaced, client) with mapped strings as calls of a translator [CG2, CG4-6]: JSX text, attributes, expressions, ternary branches and content properties of components.
 
-    mode "inline" [CG3] keeps the source text: <T id="key">text</T> for JSX text and t("text", "key") for the rest, from inline_module. In mode "keys" each component with a replaced string gets a translator at the start of its body, with the namespace if all its keys share one, then without it in the keys.
+    mode "inline" [CG3] keeps the source text: <T id="key">text</T> for JSX text and t("text", "key") for the rest, from inline_module, on the server from inline_module-server (one_inline_source). In mode "keys" each component with a replaced string gets a translator at the start of its body, with the namespace if all its keys share one, then without it in the keys.
     A translator that is there is used where it fits, else a new one gets a name of its own (translator_for); imports are reused under their aliases, extended or added. client: whether the file reaches the browser (see graph.client_files); by itself judged by is_client. Async components of other files await their translator.
     factories: constants of this file that become functions of a translator, with the mapped texts in them as its calls; uses: names of such functions, imported ones too, that components call with their translator, which then has no namespace (see factories.factory_plan) [CG12]. typed: whether the file may have types.
     Other strings outside a block body are left. The result is read again; if that fails, or nothing is replaced, the code comes back unchanged. Running twice changes nothing.
     """
-    x = Extractor(code)
-    found = [f for f in x.run() if f.text in keys and f.node is not None and f.scope.component and re.match("[A-Z]|__default__$|use[A-Z]", f.scope.component) and f.scope.body in x.bodies and f.type != "module-object-property"]
-    client, inline = is_client(code) if client is None else client, mode == "inline"
+    given, x = code, Extractor(code)
+    strings, client, inline = x.run(), is_client(code) if client is None else client, mode == "inline"
+    if inline and (code := one_inline_source(code, x.tokens, client, inline_module)) != given:
+        x = Extractor(code)
+        strings = x.run()
+    found = [f for f in strings if f.text in keys and f.node is not None and f.scope.component and re.match("[A-Z]|__default__$|use[A-Z]", f.scope.component) and f.scope.body in x.bodies and f.type != "module-object-property"]
     wrapped = [d for d in B.constants(code, x.tokens) if d.name in factories] if factories else []
     held = [f for f in x.found if f.type == "module-object-property" and f.node is not None and f.text in keys and any(d.value[0] <= f.node.start < d.value[1] for d in wrapped)]
     handed = [u for u in B.Uses(code, x.tokens, uses).found if u.body in x.bodies] if uses else []
     if not found and not held and not handed:
         return code, 0, client
     imported = J.imports(x.tokens)
-    hook, getter = (("useT", "createT"), (inline_module, inline_module)) if inline else (("useTranslations", "getTranslations"), (module, f"{module}/server"))
+    hook, getter = (("useT", "createT"), (inline_module, f"{inline_module}-server")) if inline else (("useTranslations", "getTranslations"), (module, f"{module}/server"))
     makers = {n: local_names(imported, n, source) for n, source in zip(hook, getter, strict=True)}
     every = {n for names in makers.values() for n in names} | set(hook)
     outer = J.bound_names(x.tokens, deeply=False) | {local for i in imported for _, local in i.names}
@@ -424,13 +460,13 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: st
     for body, tr in translators.items():
         if tr.there or inline and body not in calls:
             continue
-        k = 1 if not inline and not client and waits[body] else 0
+        k = 1 if not client and (inline or waits[body]) else 0
         if not makers[hook[k]]:
             needed.add((hook[k], getter[k]))
         argument = f'"{tr.space}"' if tr.space and not inline else ""
-        edits.append((body, body, f"\n\tconst {tr.name} = {'await ' * k}{(makers[hook[k]] or [hook[k]])[0]}({argument});"))
+        edits.append((body, body, f"\n\tconst {tr.name} = {'await ' * (k and waits[body])}{(makers[hook[k]] or [hook[k]])[0]}({argument});"))
     if inline and any(f.type == "jsx-text" for f in found):
-        needed.add(("T", inline_module))
+        needed.add(("T", getter[0 if client else 1]))
     out = code
     for start, end, new in sorted(edits, reverse=True):
         out = out[:start] + new + out[end:]
@@ -439,7 +475,7 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: st
             out = with_import(out, name, source)
         J.read(out)
     except J.Unreadable:
-        return code, 0, client
+        return given, 0, client
     return out, len(found) + len(held), client
 
 
@@ -466,7 +502,7 @@ def rewrite_sources(files: DataFrame, mapping: DataFrame, path: str = "path", co
                 judged = is_client(code or "") if reaches is None else reaches
                 typed = bool(re.search(r"\.[mc]?tsx?$", file or ""))
                 try:
-                    row = rewrite(code, dict(keys or {}), client=judged, mode=mode, factories=set(consts or []), uses=set(uses or []), typed=typed) if code and (keys or uses) else (code, 0, judged)
+                    row = rewrite(code, dict(keys or {}), client=judged, mode=mode, factories=set(consts or []), uses=set(uses or []), typed=typed) if code and (keys or uses or mode == "inline") else (code, 0, judged)
                 except J.Unreadable:
                     row = (code, 0, judged)
                 for col, v in zip(out, (*row, row[0] != code), strict=True):

@@ -61,7 +61,7 @@ def test_rewrite():
         assert part in out, part
     assert n == 2 and K.facts(out)[0] == [] and X.rewrite(out, KEYS)[1] == 0
     assert "= (t) => (" in X.rewrite('const ITEMS = [{ title: "Hello there" }];', KEYS, factories={"ITEMS"}, typed=False)[0]
-    inline = X.rewrite(code, KEYS, mode="inline", factories={"ITEMS"}, uses={"ITEMS"})[0]
+    inline = X.rewrite(code, KEYS, mode="inline", client=True, factories={"ITEMS"}, uses={"ITEMS"})[0]
     assert 't("Hello there", "list.hello")' in inline and 'import { useT } from "@/components/t";' in inline
     server = X.rewrite("export default async function P() { return <p>{ITEMS}</p>; }", {}, uses={"ITEMS"})[0]
     assert "const t = await getTranslations();" in server and "{ITEMS(t)}" in server

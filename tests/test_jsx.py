@@ -94,6 +94,21 @@ def test_rewrite_inline():
     assert ("Hello there", "T-component", "div") not in found and {x[0] for x in found} >= {"Hello there", "Card title"}
 
 
+def test_inline_sides():
+    keys = {"Hello there": "a.hello", "Close panel": "a.close"}
+    page = "export default async function P() { return <p title='Close panel'>Hello there</p>; }"
+    out = X.rewrite(page, keys, mode="inline")[0]
+    assert "const t = await createT();" in out and 'import { T, createT } from "@/components/t-server";' in out
+    assert "const t = createT();" in X.rewrite(page.replace("async ", ""), keys, mode="inline")[0]
+    client = X.rewrite(out, keys, mode="inline", client=True)[0]
+    assert 'import { T, useT } from "@/components/t";' in client and "await useT();" in client and "createT" not in client
+    old = """import { T, useT } from '@/components/t/t-server'; import { createT as make } from "@/components/t";
+const messages = 1; export function P() { const t = useT(lost), u = make(messages), v = x.useT(lost); return <p>{useT(lost)}</p> }"""
+    out, n, _ = X.rewrite(old, {}, mode="inline")
+    assert n == 0 and out == old.replace("/t/t-server'", "/t-server'").replace('"@/components/t"', '"@/components/t-server"').replace("{ T, useT }", "{ T, createT }").replace("t = useT(lost)", "t = createT()").replace("{useT(lost)}", "{createT()}")
+    assert X.rewrite(out, {}, mode="inline")[0] == out and X.rewrite(page, {}, mode="inline")[0] == page
+
+
 def test_operators(spark):
     files = spark.createDataFrame([("src/Card.tsx", CARD), ("bad.tsx", "<p>"), ("none.tsx", None), ("plain.ts", "export const x = 1;")], "path string, content string")
     got = X.extract_strings(files).collect()
