@@ -10,6 +10,7 @@ from .common import read_table
 from .decontaminate import decontamination
 from .embeddings import embedding_groups
 from .licenses import scan_licenses
+from .manifest import manifest
 from .packing import pack, token_pieces
 from .secrets import secret_report
 from .sharding import shard_documents
@@ -67,6 +68,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "pipeline": pipeline,
 }
 
@@ -133,4 +139,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL}
+OP11_SQL = """
+WITH RECURSIVE raw AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, doc_id::VARCHAR AS a, source AS b, lang AS c, n_chars::VARCHAR AS e, text AS t, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS u FROM documents),
+leaf AS (
+  SELECT r, doc_id, lang, sha256(head || coalesce(strlen(t) || ':' || t, '-')) AS leaf, sha256(head || coalesce(strlen(u) || ':' || u, '-')) AS other,
+    xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(a, ''), lambda x: ascii(x)::UBIGINT)),
+      lambda s, x: list_reduce(list_prepend(xor(s, x), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda y, z: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))), 4294967295::UBIGINT) % 3 = 0 AS tampered
+  FROM (SELECT *, coalesce(strlen(a) || ':' || a, '-') || coalesce(strlen(b) || ':' || b, '-') || coalesce(strlen(c) || ':' || c, '-') || coalesce(strlen(e) || ':' || e, '-') AS head FROM raw)),
+leaves AS (
+  SELECT r, doc_id, leaf, CASE WHEN tampered THEN other ELSE leaf END AS other, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+low(tree, level, i, n, d) AS (
+  SELECT tree, 0, i, n, leaf FROM leaves
+  UNION ALL SELECT tree, level + 1, i // 8, (max(n) + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY tree, level, i // 8),
+top(level, i, n, d) AS (
+  SELECT 0, tree - 1, count(*) OVER (), d FROM low WHERE n = 1
+  UNION ALL SELECT level + 1, i // 8, (max(n) + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY level, i // 8),
+runs AS (
+  SELECT tree, level, i, coalesce(string_agg(d, '') OVER (PARTITION BY tree, level, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(d, '') OVER (PARTITION BY tree, level, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after
+  FROM (SELECT tree, level, i, n, d FROM low UNION ALL SELECT 0, level, i, n, d FROM top) WHERE n > 1),
+steps AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY tier, level) AS s, before, after FROM (
+    SELECT r, 0 AS tier, level, before, after FROM leaves JOIN runs USING (tree) WHERE runs.i = leaves.i // (8 ** level)::BIGINT
+    UNION ALL SELECT r, 1, level, before, after FROM leaves JOIN runs ON runs.tree = 0 WHERE runs.i = (leaves.tree - 1) // (8 ** level)::BIGINT)),
+proof AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY s)) AS proof, count(*) AS k FROM steps GROUP BY r),
+fold(r, s, d) AS (SELECT r, 0, other FROM leaves UNION ALL SELECT r, steps.s, sha256(before || d || after) FROM fold JOIN steps USING (r) WHERE steps.s = fold.s + 1)
+SELECT doc_id, leaf, low.d AS subroot, top.d AS root, coalesce(proof, sha256('')) AS proof_sha256, fold.d AS folded_root, fold.d = top.d AS verified
+FROM leaves JOIN low ON low.tree = leaves.tree AND low.n = 1 JOIN top ON top.n = 1 LEFT JOIN proof USING (r) JOIN fold ON fold.r = leaves.r AND fold.s = coalesce(k, 0)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
