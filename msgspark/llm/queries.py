@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bytebpe import token_report
+from .collocations import collocations
 from .common import read_table
 from .decontaminate import decontamination
 from .embeddings import embedding_groups
@@ -84,6 +85,10 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(read_table(spark, sf_dir, "documents"), byte_bpe_ranks())
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }
 
@@ -183,4 +189,21 @@ SELECT doc_id, leaf, low.d AS subroot, top.d AS root, coalesce(proof, sha256('')
 FROM leaves JOIN low ON low.tree = leaves.tree AND low.n = 1 JOIN top ON top.n = 1 LEFT JOIN proof USING (r) JOIN fold ON fold.r = leaves.r AND fold.s = coalesce(k, 0)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL, "op11_merkle_manifest": OP11_SQL}
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(k) WHERE len(w) >= k) GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM g WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, phrase, a, p, j, array_to_string(list_slice(p, 1, j), ' ') AS x, array_to_string(list_slice(p, j + 1, k), ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+s AS (SELECT cuts.lang, cuts.k, cuts.phrase, a, p, j, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM cuts JOIN g x ON x.lang = cuts.lang AND x.phrase = cuts.x JOIN g y ON y.lang = cuts.lang AND y.phrase = cuts.y),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (SELECT lang, inner_phrase AS phrase, max(a) AS most FROM (
+      SELECT lang, a, unnest([array_to_string(list_slice(p, 1, 2), ' '), array_to_string(list_slice(p, 2, 3), ' ')]) AS inner_phrase FROM c WHERE k = 3) GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM low JOIN n USING (lang) LEFT JOIN held USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * a QUALIFY rank <= 2000
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL, "op13_collocations": OP13_SQL, "op11_merkle_manifest": OP11_SQL}
