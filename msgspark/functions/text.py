@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Lists and patterns that decide results.
 TRANSLATABLE_PROPS = ["placeholder", "title", "alt", "aria-label", "aria-description", "aria-placeholder", "label"]
@@ -19,7 +20,14 @@ APP_ROUTE, PAGES_ROUTE, COMPONENT_ROUTE = r"app/(.+?)/page\.[jt]sx?$", r"pages/(
 LOCALE = r"^[a-zA-Z0-9_-]+$"
 CHARS_PER_TOKEN = 4
 
-_SPACE = r"[\s\u000b   -     　﻿]+"
+#: Fixed value: every Unicode space, and the byte order mark.
+SPACES = "\t\n\u000b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def struct_of(fields: list[tuple[str, DataType]], ddl: str = "") -> StructType:
+    """A schema of typed columns, whatever their names, and of columns in DDL after them."""
+    more = StructType.fromDDL(ddl).fields if ddl else []
+    return StructType([*[StructField(name, kind) for name, kind in fields], *more])
 
 
 def lit_any(c: Column | str) -> Column:
@@ -27,8 +35,8 @@ def lit_any(c: Column | str) -> Column:
 
 
 def trim_unicode(c: Column | str) -> Column:
-    """Trim every Unicode space and the byte order mark at both ends [STR17]."""
-    return F.regexp_replace(lit_any(c), f"^{_SPACE}|{_SPACE}$", "")
+    """Trim every Unicode space and the byte order mark at both ends, in one look at each character [STR17]."""
+    return F.btrim(lit_any(c), F.lit(SPACES))
 
 
 def utf16_length(c: Column | str) -> Column:
@@ -55,9 +63,9 @@ def placeholders(c: Column | str) -> Column:
     return F.array_sort(F.regexp_extract_all(lit_any(c), F.lit(f"({PLACEHOLDER})"), 1))
 
 
-def is_ignored_text(c: Column | str) -> Column:
-    """Texts that nobody translates: blank, identifiers, addresses, numbers, no letter at all [FLT1-3]."""
-    t = trim_unicode(c)
+def is_ignored_text(c: Column | str, trimmed: bool = False) -> Column:
+    """Texts that nobody translates: blank, identifiers, addresses, numbers, no letter at all [FLT1-3]. trimmed: c is trimmed already, so that it isn't trimmed again for each of the rules."""
+    t = lit_any(c) if trimmed else trim_unicode(c)
     return (t == "") | t.rlike(KEBAB) | t.rlike(CONSTANT) | t.rlike(URL) | t.rlike(NUMBER) | ~t.rlike(r"\p{L}")
 
 

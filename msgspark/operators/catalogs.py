@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import json_leaves
 from ..functions import text as T
-from .graph import saved
 
 ID = ["locale", "key"]
 
@@ -79,22 +79,46 @@ def stale_partitions(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.select("locale", "ns").distinct().join(new.select("locale", "ns").distinct(), ["locale", "ns"], "left_anti")
 
 
-def flatten_json(docs: DataFrame, column: str, *keep: str) -> DataFrame:
-    """keep, key, value: the string leaves of JSON objects by dotted path; arrays, numbers, booleans and nulls vanish, as do documents that are no object or no JSON [STR6].
+def flatten_json(docs: DataFrame, column: str, *keep: str, place: str | None = None, strict: bool = False) -> DataFrame:
+    """keep, key, value and, under the name `place` if one is given, the place from 0 in the document of the string leaves of JSON objects, by dotted path; arrays, numbers, booleans and nulls vanish [STR6].
 
-    Level by level with Spark's variant functions: a round explodes the objects of one level, once, and writes its string leaves and the objects below them, until there are none; so any depth is read.
+    Each document is read once, by a tokenizer with a stack of paths (functions.json_leaves), so depth has no limit; of a repeated key the last value counts, at the place of the first. Documents that are null or no object give no rows, nor do those
+    that are no JSON, unless strict: then they raise. Nothing is shuffled. A document is one value, so it must fit in a task, and so do its leaves.
     """
-    spark = docs.sparkSession
-    level = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keep)], F.lit(None).cast("string").alias("path"), F.col(column).alias("json"))
-    kept, found = [f"k{i}" for i in range(len(keep))], []
-    while True:
-        parsed = level.select(*kept, "path", F.try_parse_json("json").alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
-        each = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "below")).select(*kept, F.concat_ws(".", "path", "name").alias("path"), "below", F.schema_of_variant("below").alias("kind"))
-        rows = saved(each.select(*kept, "path", F.when(F.col("kind") == "STRING", F.col("below").cast("string")).alias("value"), F.when(F.startswith("kind", F.lit("OBJECT")), F.to_json("below")).alias("json")).where("value IS NOT NULL OR json IS NOT NULL"))
-        found.append(rows.where("value IS NOT NULL").select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keep)], F.col("path").alias("key"), "value"))
-        level = rows.where("json IS NOT NULL").select(*kept, "path", "json")
-        if level.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    schema = T.struct_of([(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)], "key string, value string, seq long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows = [], []
+            for i, document in enumerate(batch.column(0)):
+                try:
+                    found = json_leaves.leaves(document.as_py()) if document.is_valid else []
+                except json_leaves.Malformed:
+                    if strict:
+                        raise
+                    continue
+                for start in range(0, len(found), LEAVES):
+                    part = found[start : start + LEAVES]
+                    owner += [i] * len(part)
+                    rows += [(k, v, start + j) for j, (k, v) in enumerate(part)]
+                    if len(rows) >= LEAVES:
+                        yield _leaf_batch(batch, owner, rows)
+                        owner, rows = [], []
+            if rows:
+                yield _leaf_batch(batch, owner, rows)
+
+    out = docs.select(F.col(column).cast("string").alias("document"), *kept).mapInArrow(run, schema)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "key", "value", *([F.col("seq").alias(place)] if place else []))
+
+
+LEAVES = 100_000  # of a batch of rows
+
+
+def _leaf_batch(batch: pa.RecordBatch, owner: list[int], rows: list[tuple[str, str, int]]) -> pa.RecordBatch:
+    kept = [batch.column(i).take(pa.array(owner, pa.int64())) for i in range(1, batch.num_columns)]
+    names = [*batch.schema.names[1:], "key", "value", "seq"]
+    return pa.RecordBatch.from_arrays([*kept, *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)]], names)
 
 
 def unflatten_documents(catalog: DataFrame, *by: str) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import bindings as B
@@ -20,7 +21,7 @@ _KEBAB, _CONSTANT, _URL, _NUMBER = (re.compile(p) for p in (T.KEBAB, T.CONSTANT,
 
 def ignored(text: str) -> bool:
     """Python twin of functions.text.is_ignored_text."""
-    t = text.strip().strip("﻿").strip()
+    t = text.strip(T.SPACES)
     return not t or bool(_KEBAB.match(t) or _CONSTANT.match(t) or _URL.match(t) or _NUMBER.match(t)) or not any(c.isalpha() for c in t)
 
 
@@ -288,22 +289,41 @@ def extract(code: str, props: list[str] | None = None) -> list[tuple]:
     return [(f.text, f.type, *x.reader.place(f.at), None if f.type == "module-object-property" else f.scope.component, f.prop, None if f.type.endswith("object-property") else f.scope.tag, f.id, f.scope.const if f.type == "module-object-property" else None, f.composite) for f in x.run()]
 
 
-def extract_strings(files: DataFrame, props: list[str] | None = None, path: str = "path", content: str = "content") -> DataFrame:
-    """SCHEMA: the strings of each source file, in source order [SRC2, EXT1-11]. Files that cannot be read give no rows, null contents neither; nesting has no limit but memory. Each file is a row of its own; nothing is shuffled."""
+def _read(files: DataFrame, props: list[str] | None, path: str, content: str) -> DataFrame:
+    """SCHEMA and readable: a row for each string, with readable null, and one for each file, without text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for file, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(file, i, *r) for i, r in enumerate(extract(code or "", props))]
+                    rows += [(file, i, *r, None) for i, r in enumerate(extract(code or "", props))]
+                    readable = code is not None
                 except J.Unreadable:
-                    continue
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6]
-            names = [c.split()[0] for c in SCHEMA.split(", ")]
+                    readable = False
+                rows.append((file, *[None] * 11, readable))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 6, pa.bool_()]
+            names = [*[c.split()[0] for c in SCHEMA.split(", ")], "readable"]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
-    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInArrow(run, SCHEMA)
+    return files.select(F.col(path).alias("p"), F.col(content).alias("c")).mapInArrow(run, f"{SCHEMA}, readable boolean")
+
+
+def extract_strings(files: DataFrame, props: list[str] | None = None, path: str = "path", content: str = "content") -> DataFrame:
+    """SCHEMA: the strings of each source file, in source order [SRC2, EXT1-11]. Files that cannot be read give no rows, null contents neither; nesting has no limit but memory. Each file is a row of its own; nothing is shuffled."""
+    return _read(files, props, path, content).where("text IS NOT NULL").drop("readable")
+
+
+def scan(files: DataFrame, props: list[str] | None = None, path: str = "path", content: str = "content") -> tuple[DataFrame, Observation]:
+    """The strings of each source file as extract_strings has them, and what the scan counts on the way [SRC1, SNK10]: files, unreadable (null contents among them) and strings.
+
+    The counts come with the first action on the strings, from its tasks, and no second pass is made; a task that is repeated counts once. Until then observation.get waits. Give the strings to one action, such as a write: each action would read the files again.
+    """
+    seen = Observation(f"scan-{uuid.uuid4().hex}")
+    rows = _read(files, props, path, content)
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    counted = rows.observe(seen, n(F.col("readable").isNotNull()).alias("files"), n(~F.coalesce("readable", F.lit(True))).alias("unreadable"), n(F.col("text").isNotNull()).alias("strings"))
+    return counted.where("text IS NOT NULL").drop("readable"), seen
 
 
 def is_client(code: str) -> bool:

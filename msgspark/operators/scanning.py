@@ -17,10 +17,11 @@ def text_nodes(pages: DataFrame, html: str = "html", row_id: str = "page_id") ->
 
     Built-in functions only, so the scan, the regular expression (one pass, of whole matches) and the filters run in the JVM. Text inside ignored tags (script, style, code ...) is left out.
     """
-    rows = pages.select(row_id, F.posexplode(F.regexp_extract_all(html, F.lit(TAG_AND_TEXT), 0)).alias("pos", "n"))
-    mark = F.lower(F.regexp_extract("n", r"^<(/?[\w-]+)", 1))
-    rows = rows.select(row_id, (F.col("pos") + 1).cast("long").alias("pos"), mark.alias("tag"), F.substring(F.col("n"), F.instr("n", ">") + 1, F.length("n")).alias("n"))
-    return rows.where(~T.is_ignored_tag("tag")).select(row_id, "pos", "tag", T.trim_unicode("n").alias("text")).where(~T.is_ignored_text("text"))
+    mark = lambda n: F.lower(F.regexp_extract(n, r"^<(/?[\w-]+)", 1))
+    node = lambda n: F.struct(mark(n).alias("tag"), T.trim_unicode(F.substring(n, F.instr(n, ">") + 1, F.length(n))).alias("text"))
+    found = F.transform(F.regexp_extract_all(html, F.lit(TAG_AND_TEXT), 0), node)  # marked and trimmed inside the generator, once for each node: filters above it read columns
+    rows = pages.select(row_id, F.posexplode(found).alias("pos", "n")).select(row_id, (F.col("pos") + 1).cast("long").alias("pos"), "n.tag", "n.text")
+    return rows.where(~T.is_ignored_tag("tag") & ~T.is_ignored_text("text", trimmed=True))
 
 
 def attributes(pages: DataFrame, html: str = "html", row_id: str = "page_id", custom: list[str] | None = None) -> DataFrame:

@@ -132,6 +132,13 @@ def flatten_json(s, d):
     return catalogs.flatten_json(A.table(s, d, "documents").select("doc_id", nested.alias("j")), "j", "doc_id")
 
 
+@query("SELECT doc_id, unnest([source, 'zz.lang', 'zz.a.b', 'b']) AS key, unnest(['d' || doc_id, lang, source, lang]) AS value, unnest([0, 1, 2, 3]) AS seq FROM documents")
+def flatten_ordered(s, d):
+    """Leaves in the order of their documents, which no sort by key gives; the first member, an object with a string, is replaced by the last one."""
+    nested = F.concat(F.lit('{"'), "source", F.lit('": {"gone": "x"}, "zz": {"lang": "'), "lang", F.lit('", "a": {"b": "'), "source", F.lit('"}}, "b": "'), "lang", F.lit('", "'), "source", F.lit('": "d'), "doc_id", F.lit('"}'))
+    return catalogs.flatten_json(A.table(s, d, "documents").select("doc_id", nested.alias("j")), "j", "doc_id", place="seq")
+
+
 @query("SELECT event_id, 'of.kind' AS key, event_type AS value FROM events")
 def flatten_numbers_only(s, d):
     """Numbers vanish beside the strings."""
@@ -560,6 +567,17 @@ def extract_jsx(s, d):
     return jsx_strings.extract_strings(components(s, d)).select("file", "seq", "text", "type", "component", "tag")
 
 
+@query("SELECT (SELECT count(*) FROM pages) AS files, (SELECT count(*) FROM pages WHERE page_id % 7 = 3) AS unreadable, count(*) AS strings, min(text) AS first, max(text) AS last FROM (SELECT 'Page ' || page_id AS text FROM pages WHERE page_id % 7 <> 3)")
+def scan_report(s, d):
+    """Every seventh file cannot be read, half of these having no content; the counts come from the scan that writes the strings."""
+    n = F.col("page_id")
+    code = F.when(n % 14 != 3, F.concat(F.lit("export default () => <p>Page "), n.cast("string"), F.when(n % 7 != 3, F.lit("</p>;\n")).otherwise("{</p>;\n")))
+    strings, seen = jsx_strings.scan(A.table(s, d, "pages").select(F.concat(F.lit("p"), n.cast("string")).alias("path"), code.alias("content")))
+    written = graph.saved(strings)
+    counts = s.createDataFrame([(seen.get["files"], seen.get["unreadable"], seen.get["strings"])], "files long, unreadable long, strings long")
+    return counts.crossJoin(written.agg(F.min("text").alias("first"), F.max("text").alias("last")))  # one row each
+
+
 @query(f"""SELECT file AS path, count(key)::INT AS replaced, sha256('import {{ useTranslations }} from "next-intl";' || chr(10) || 'export default function Page() {{' || chr(10) || chr(9) || 'const t = useTranslations("p");' || chr(10) || ' return <main>' || chr(10)
   || string_agg('<p>' || CASE WHEN key IS NULL THEN {ESCAPED_SQL} ELSE '{{t("' || substr(key, 3) || '")}}' END || '</p>', chr(10) ORDER BY str.seq) || chr(10) || '</main>;' || chr(10) || '}}' || chr(10)) AS code FROM str LEFT JOIN map USING (text) GROUP BY 1 HAVING count(key) > 0""", "map str")
 def rewrite_jsx(s, d):

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions import json_leaves
 from ..functions import text as T
 from ..operators import catalogs
 
@@ -62,11 +65,26 @@ def read_json_document(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("value").alias("document"))
 
 
+def read_entries(spark: SparkSession, path: str, strict: bool) -> DataFrame:
+    """key, value, seq of the strings of a flat JSON object, in the order of the file; of a repeated key the last value at the first place. Missing files are empty. strict: malformed files, and objects below the top, raise; else malformed files are empty and such objects are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for document in batch.column(0).to_pylist():
+                try:
+                    found = list(json_leaves.entries(document, strict).items())
+                except json_leaves.Malformed as e:
+                    if strict:
+                        raise json_leaves.Malformed(f"malformed map {path}: {e}") from None
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string()), pa.array(range(len(found)), pa.int64())], ["key", "value", "seq"])
+
+    return read_json_document(spark, path).mapInArrow(run, "key string, value string, seq long")
+
+
 def read_string_map(spark: SparkSession, path: str, strict: bool, key: str = "key", value: str = "hash") -> DataFrame:
-    """key, value of a flat JSON object [SRC4, SRC5]: strict for locks (malformed files raise), else for maps (malformed files are empty). Missing files are empty; the last of repeated keys wins."""
-    found = read_json_document(spark, path)
-    parsed = F.from_json("document", "map<string,string>", {"mode": "FAILFAST" if strict else "PERMISSIVE"})
-    return found.select(F.explode(parsed).alias(key, value))
+    """key, value of a flat JSON object [SRC4, SRC5]: strict for locks, else for maps, as read_entries has it."""
+    return read_entries(spark, path, strict).select(F.col("key").alias(key), F.col("value").alias(value))
 
 
 def _hadoop(spark: SparkSession, path: str) -> tuple:
@@ -163,20 +181,21 @@ def write_source_locale(mapping: DataFrame, config: Config, folder: str) -> None
 
 
 def read_context(spark: SparkSession, path: str) -> DataFrame:
-    """key, context (JSON) of a file of contexts by key; no rows if it is missing or malformed [SRC6]."""
-    return read_string_map(spark, path, strict=False, value="context").where("key IS NOT NULL")
+    """key, context (JSON) of a file of contexts by key; no rows if it is missing or malformed [SRC6]. Of a repeated key the last context counts."""
+    parsed = F.map_entries(F.from_json("document", "map<string,string>", {"mode": "PERMISSIVE"}))
+    each = read_json_document(spark, path).select(F.posexplode(parsed).alias("seq", "e"))
+    return each.where("e.key IS NOT NULL").groupBy(F.col("e.key").alias("key")).agg(F.max_by("e.value", "seq").alias("context"))
 
 
 def read_source_catalog(spark: SparkSession, config: Config, folder: str, map_file: str | None = None) -> DataFrame:
-    """locale, key, value, seq of the source locale [SRC8]: in inline mode from the map (the last text of a key), split from partitions, else from the locale's nested JSON file."""
+    """locale, key, value, seq of the source locale, seq being the place in its file [SRC8]: in inline mode from the map (the last text of a key, at the place of its first), split from partitions, else from the locale's nested JSON file. A file that is there but malformed raises."""
     if config.mode == "inline":
-        entries = read_json_document(spark, map_file or f"{folder}/map.json").select(F.posexplode(F.map_entries(F.from_json("document", "map<string,string>"))).alias("seq", "e"))
-        rows = catalogs.invert_map(entries.select(F.col("e.key").alias("text"), F.col("e.value").alias("key"), F.col("seq").cast("long")))
-        return rows.select(F.lit(config.source_locale).alias("locale"), "key", "value", F.xxhash64("key").alias("seq"))
-    if config.split_by_namespace:
+        rows = read_entries(spark, map_file or f"{folder}/map.json", strict=False).groupBy(F.col("value").alias("key")).agg(F.max_by("key", "seq").alias("value"), F.min("seq").alias("seq"))
+    elif config.split_by_namespace:
         return read_split(spark, folder).where(F.col("locale") == config.source_locale)
-    rows = catalogs.flatten_json(read_json_document(spark, f"{folder}/{config.source_locale}.json"), "document")
-    return rows.select(F.lit(config.source_locale).alias("locale"), "key", "value", F.row_number().over(Window.orderBy("key")).cast("long").alias("seq"))
+    else:
+        rows = catalogs.flatten_json(read_json_document(spark, f"{folder}/{config.source_locale}.json"), "document", place="seq", strict=True)
+    return rows.select(F.lit(config.source_locale).alias("locale"), "key", "value", "seq")
 
 
 def read_split(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Column functions on the examples that fix their meaning."""
 
+import time
+
 import pytest
 from msgspark.functions import text as T
 from pyspark.sql import functions as F
@@ -82,3 +84,15 @@ def test_small_ones(spark):
     assert one(spark, T.strip_json_comments("j"), j='{ /* a */ "x": 1 // b'.replace(" // b", "\n// b")).strip() == '{  "x": 1'
     assert one(spark, T.is_translatable_prop("p"), p="title") and not one(spark, T.is_translatable_prop("p", ["class"]), p="class")
     assert one(spark, T.is_ignored_tag("p"), p="SCRIPT") and one(spark, T.is_content_prop("p"), p="alt") and not one(spark, T.is_content_prop("p"), p="Alt")
+
+
+def test_trim_is_linear(spark):
+    long = spark.range(1).select(F.concat(F.lit("\u3000 a"), F.repeat(F.lit(" "), 1_000_000), F.lit("b\ufeff\u2009\u200a\n")).alias("t")).cache()
+    long.count()
+    took = []
+    for _ in range(3):
+        began = time.perf_counter()
+        assert long.select(F.length(T.trim_unicode("t"))).first()[0] == 1_000_002
+        took.append(time.perf_counter() - began)
+    assert min(took) < 0.5  # most of it Spark's own start of a job; by a regular expression it took minutes
+    assert one(spark, T.trim_unicode("t"), t="\u0085\u200bx\u001c") == "\u0085\u200bx\u001c"  # no spaces by the rule

@@ -164,3 +164,12 @@ def test_runtime_imports():
     foo.import("./k"); const s = 'import "./l"';"""
     assert sorted(jsx.runtime_imports(jsx.read(code))) == ["./c.css", "./d", "./e", "./g", "./h", "./i", "react"]
     assert jsx.imports(jsx.read(code))[0].names == (("default", "React"), ("X", "X"), ("useState", "u"))
+
+
+def test_scan_counts_while_it_runs(spark):
+    rows = [("a.tsx", "export const A = () => <p>One</p>;"), ("b.tsx", "const B = () => <p>{</p>;"), ("c.tsx", None), ("d.tsx", ""), ("e.tsx", "export const E = () => <p>Two<b>three</b></p>;")]
+    strings, seen = X.scan(spark.createDataFrame(rows, "path string, content string"))
+    assert sorted(r.text for r in strings.collect()) == ["One", "Two", "three"]
+    assert seen.get == {"files": 5, "unreadable": 2, "strings": 3}
+    strings, seen = X.scan(spark.createDataFrame([], "path string, content string"))
+    assert strings.collect() == [] and seen.get == {"files": 0, "unreadable": 0, "strings": 0}
