@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import cut, discard, named
 from .wordtable import buffers, chunks, split_words
 
-SEGMENT = 16_000_000  # bytes of text of one language in a segment, about; a longer text is a segment of its own
-HELD = 48_000_000  # bytes of text of all languages that a task holds before it closes its segments
+SEGMENT = 6_000_000  # bytes of text of one language in a segment, about; a longer text is a segment of its own
+HELD = 24_000_000  # bytes of text of all languages that a task holds before it closes its segments
 SLOTS = (1 << 26) - 5  # of the bitmap of frequent pairs, 8 MB: a filter before an exact join, whose false passes the join drops
 SALTS = 64
 #: What parts words, and what ends a piece.
