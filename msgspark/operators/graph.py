@@ -16,9 +16,8 @@ from ..functions import jsx as J
 EXTENSIONS = [".tsx", ".ts", ".jsx", ".js", ".mts", ".cts", ".mjs", ".cjs"]
 
 
-def saved_path(df: DataFrame) -> str:
-    """Writes df to the shared folder in spark.checkpoint.dir; where that is unset, to a temporary folder if the master is local (tests), else ValueError: executors would not share it."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary folder if the master is local (tests), else ValueError: executors would not share it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         master = spark.sparkContext.master
@@ -26,7 +25,12 @@ def saved_path(df: DataFrame) -> str:
             raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="msgspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def saved_path(df: DataFrame) -> str:
+    """Writes df to the shared folder and returns the place."""
+    path = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 

@@ -34,16 +34,14 @@ def token_batches(entries: DataFrame, *by: str, target_tokens: int = 2000, max_e
     """entries (by, order, tokens, ...) with batch_id from 0 in each group of `by` [WIN3].
 
     A new batch begins before an entry if the batch isn't empty and would exceed target_tokens, or holds max_entries. A group is cut into chunks of CHUNK rows in order. A batch holds max_entries at most, so the first batch that begins in a chunk
-    begins at one of its first max_entries rows; for each of these a chunk finds how many batches begin in it and where the first one of the next chunk begins. Chunks are composed by these jumps (only groups of several chunks; max_entries
-    numbers for each chunk), and each chunk then numbers its rows. `order` must tie nothing within a group; null tokens count as 0. Give it the columns of the order and the tokens only, so that texts don't move.
+    begins at one of its first max_entries rows; for each of these a chunk finds how many batches begin in it and where the first one of the next chunk begins. These jumps compose, which is associative, so they are scanned as a tree: FAN neighbours
+    become one, round by round, and then each learns where it begins from the one above (entry_points). Nothing that grows with the rows reaches the driver; groups of one chunk need none of this. `order` must tie nothing within a group; null
+    tokens count as 0. Give it the columns of the order and the tokens only, so that texts don't move.
     """
     by, columns = list(by), entries.columns
     rows = group_index(entries, by, list(order)).withColumn("_c", F.floor(F.col("_i") / CHUNK))
-    spark, taken = entries.sparkSession, max_entries
-    groups = rows.groupBy(*by).agg(F.max("_i").alias("_last")).where(F.col("_last") >= CHUNK)
-    ahead = rows.where((F.col("_c") > 0) & (F.col("_i") % CHUNK < taken)).withColumn("_c", F.col("_c") - 1)
-    light = [*by, "_c", "_i", "tokens"]
-    wide = rows.select(*light).union(ahead.select(*light)).alias("l").join(groups.alias("r"), [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by], "left_semi")
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    taken, several = max_entries, not rows.where(F.col("_c") > 0).isEmpty()
 
     def nexts(tokens: list[int | None]) -> np.ndarray:
         """For every row where the next batch begins if one begins there."""
@@ -59,20 +57,20 @@ def token_batches(entries: DataFrame, *by: str, target_tokens: int = 2000, max_e
             go = at < n
             begun += go
             at = np.where(go, after[np.minimum(at, n)], at)
-        return pa.table({**{c: pa.array([k.as_py()], t.type) for c, k, t in zip([*by, "_c"], key, key, strict=True)}, "to": [(at - n).tolist()], "begun": [begun.tolist()]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    groupings = ", ".join(f"`{c}` {kinds[c]}" for c in by)
-    found = wide.groupBy(*by, "_c").applyInArrow(jumps, f"{groupings}, _c long, to array<long>, begun array<long>").orderBy(*by, "_c").collect() if not groups.isEmpty() else []
-    starts, state = [], {}
-    for r in found:  # one row for each chunk of a group of several
-        group = tuple(r[c] for c in by)
-        entry, base = state.get(group, (0, 0))
-        starts.append((*group, r["_c"], entry, base))
-        state[group] = (r["to"][entry], base + r["begun"][entry]) if r["to"][entry] >= 0 else (0, base)
-    known = spark.createDataFrame(starts, f"{groupings}, _c long, _entry long, _base long")
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*by, "_c")]
-    numbered = rows.alias("l").join(known.alias("r"), same, "left").select("l.*", F.coalesce("r._entry", F.lit(0).cast("long")).alias("_entry"), F.coalesce("r._base", F.lit(0).cast("long")).alias("_base"))
+        return pa.table({**_same(by, key), "_c": [key[-1].as_py()], "to": [(at - n).tolist()], "begun": [begun.tolist()]})
+
+    entry, base = F.lit(0).cast("long").alias("_entry"), F.lit(0).cast("long").alias("_base")
+    if several:
+        groups = rows.where(F.col("_c") > 0).select(*by).distinct()
+        ahead = rows.where((F.col("_c") > 0) & (F.col("_i") % CHUNK < taken)).withColumn("_c", F.col("_c") - 1)
+        light = [*by, "_c", "_i", "tokens"]
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in by]
+        wide = rows.select(*light).union(ahead.select(*light)).alias("l")
+        wide = wide.join(groups.alias("r"), same, "left_semi") if by else wide
+        known = entry_points(saved(wide.groupBy(*by, "_c").applyInArrow(jumps, T.struct_of([(c, kinds[c]) for c in by], "_c long, to array<long>, begun array<long>"))), by)
+        numbered = rows.alias("l").join(known.alias("r"), [*same, F.col("l._c") == F.col("r._c")], "left").select("l.*", F.coalesce("r._entry", F.lit(0)).cast("long").alias("_entry"), F.coalesce("r._base", F.lit(0)).cast("long").alias("_base"))
+    else:
+        numbered = rows.select("*", entry, base)
 
     def number(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("_i")
@@ -83,13 +81,57 @@ def token_batches(entries: DataFrame, *by: str, target_tokens: int = 2000, max_e
             at = int(after[at])
         return table.select(columns).append_column("batch_id", pa.array(base - 1 + np.cumsum(begins)))
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", batch_id long"
-    return numbered.groupBy(*by, "_c").applyInArrow(number, schema)
+    return numbered.groupBy(*by, "_c").applyInArrow(number, T.struct_of([(c, kinds[c]) for c in columns], "batch_id long"))
+
+
+FAN = 64  # neighbouring chunks that one step of the scan composes
+
+
+def _same(by: list[str], key: tuple) -> dict[str, pa.Array]:
+    return {c: pa.array([k.as_py()], k.type) for c, k in zip(by, key, strict=False)}
+
+
+def entry_points(jumps: DataFrame, by: list[str]) -> DataFrame:
+    """by, _c, _entry, _base: at which row of each chunk the first batch begins, and how many begin in the chunks before it. jumps: by, _c (from 0), to and begun, lists by the row at which a batch may begin.
+
+    An exclusive scan over the composition of jumps. Going up, FAN neighbours are composed to one, until each group is one; going down, each learns its entry from the one above and those to its left. Rounds grow with the logarithm of the longest
+    group's chunks; a task holds FAN lists.
+    """
+    head = [(c, jumps.schema[c].dataType) for c in by]
+
+    def compose(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("_c")
+        tos, begins = np.array(table["to"].to_pylist()), np.array(table["begun"].to_pylist())
+        to, begun = tos[0], begins[0]
+        for t, b in zip(tos[1:], begins[1:], strict=True):
+            to, begun = t[to], begun + b[to]
+        return pa.table({**_same(by, key), "_c": [key[-1].as_py()], "to": [to.tolist()], "begun": [begun.tolist()]})
+
+    def spread(key: tuple, table: pa.Table, above: pa.Table) -> pa.Table:
+        table = table.sort_by("_c")
+        entry, base, entries, bases = above["_entry"][0].as_py(), above["_base"][0].as_py(), [], []
+        for to, begun in zip(table["to"].to_pylist(), table["begun"].to_pylist(), strict=True):
+            entries.append(entry)
+            bases.append(base)
+            entry, base = to[entry], base + begun[entry]
+        return table.select([*by, "_c"]).append_column("_entry", pa.array(entries, pa.int64())).append_column("_base", pa.array(bases, pa.int64()))
+
+    block = F.expr(f"_c div {FAN}").alias("_block")
+    levels, most = [jumps], jumps.agg(F.max("_c")).first()[0] or 0
+    while most > 0:
+        most //= FAN
+        composed = levels[-1].groupBy(*by, block).applyInArrow(compose, T.struct_of(head, "_c long, to array<long>, begun array<long>"))
+        levels.append(saved(composed))
+    known = levels[-1].select(*by, "_c", F.lit(0).cast("long").alias("_entry"), F.lit(0).cast("long").alias("_base"))
+    for level in reversed(levels[:-1]):
+        right = known.select(*[F.col(c).alias(f"_of{i}") for i, c in enumerate(by)], F.col("_c").alias("_at"), "_entry", "_base").groupBy(*[f"_of{i}" for i in range(len(by))], "_at")
+        known = saved(level.groupBy(*by, block).cogroup(right).applyInArrow(spread, T.struct_of(head, "_c long, _entry long, _base long")))
+    return known
 
 
 def fixed_batches(df: DataFrame, by: list[str], size: int, order: str = "seq") -> DataFrame:
-    """df with batch_id: each `size` rows of a group in order [WIN4]. The window sorts with spilling; for groups beyond a task use group_index."""
-    return df.withColumn("batch_id", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size))
+    """df with batch_id: each `size` rows of a group in order [WIN4], over group_index, so that no group has to fit in a task. Rows that tie in `order` are neighbours, in any order."""
+    return group_index(df, by, [order]).withColumn("batch_id", F.floor(F.col("_i") / size)).drop("_i")
 
 
 def wave_of(batch: Column | str, concurrency: int) -> Column:
@@ -101,14 +143,13 @@ def wave_context(entries: DataFrame, *by: str, limit: int = 15) -> DataFrame:
     """by, wave_id, key, rank: what each wave is shown of earlier waves' keys [JN13, WIN7].
 
     Keys of the wave's own namespaces come first, both parts in seq order, cut at `limit`; then those without a source value go, so that fewer may be left. Which entries
-    an earlier wave can give is a prefix of the group's order; so for each wave only the first `limit` keys overall and the first `limit` of each of its namespaces are candidates. These
-    ranks are computed once and joined by equality on namespace, and no range join is made.
+    an earlier wave can give is a prefix of the group's order; so for each wave only the first `limit` keys overall and the first `limit` of each of its namespaces are candidates. Each is a bounded top-k: Spark keeps `limit` rows of a group in each task
+    before it shuffles them (WindowGroupLimit), so no group meets whole. The candidates are joined by equality on namespace, and no range join is made.
     """
     e = entries.select(*by, "wave_id", "key", "value", "seq", T.first_segment("key").alias("ns"))
-    order = Window.partitionBy(*by).orderBy("wave_id", "seq")
-    heads = e.withColumn("_all", F.row_number().over(order)).withColumn("_own", F.row_number().over(Window.partitionBy(*by, "ns").orderBy("wave_id", "seq")))
-    first = heads.where(F.col("_all") <= limit).select(*by, F.col("wave_id").alias("from_wave"), "key", "value", "seq", F.col("ns").alias("from_ns"))
-    own = heads.where((F.col("_own") <= limit) & F.col("ns").isNotNull()).select(*by, F.col("wave_id").alias("from_wave"), "key", "value", "seq", F.col("ns").alias("from_ns"))
+    top = lambda rows, *groups: rows.withColumn("_n", F.row_number().over(Window.partitionBy(*groups).orderBy("wave_id", "seq"))).where(F.col("_n") <= limit)
+    first = top(e, *by).select(*by, F.col("wave_id").alias("from_wave"), "key", "value", "seq", F.col("ns").alias("from_ns"))
+    own = top(e.where("ns IS NOT NULL"), *by, "ns").select(*by, F.col("wave_id").alias("from_wave"), "key", "value", "seq", F.col("ns").alias("from_ns"))
     waves = e.select(*by, "wave_id").distinct()
     spaces = e.where("ns IS NOT NULL").select(*by, "wave_id", "ns").distinct()
     same = spaces.join(own.withColumnRenamed("from_ns", "ns"), [*by, "ns"]).where("from_wave < wave_id").withColumn("same", F.lit(1)).drop("ns")

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import keys as K
 from ..operators.graph import saved
 from ..operators.planning import group_index
+from .calls import CallLog
 from .translate import Options
 
 
@@ -56,13 +57,18 @@ def with_fallback(model: KeyModel, fallback: KeyModel | None, strings: list[dict
         return propose(fallback, strings, known, options)
 
 
+def _spelled(answer: tuple[dict[int, str], int, int]) -> tuple[dict[str, str], int, int]:
+    """With names as JSON has them."""
+    return {str(i): k for i, k in answer[0].items()}, answer[1], answer[2]
+
+
 def generate_keys(
     strings: DataFrame, mapping: DataFrame, model: KeyModel, fallback: KeyModel | None = None, options: Options | None = None, all_texts: DataFrame | None = None, shown: int = 30, on_usage: Callable[[int, int], None] | None = None, on_progress: Callable[[int, int], None] | None = None
 ) -> DataFrame:
     """text, key, seq: the map of texts after a run [UDF4]. strings: text, seq and file, component, ... where known; mapping: text, key, seq.
 
     Entries whose text no longer occurs (in all_texts, else in strings) go. Texts without an entry are taken once each, ordered by file, component and seq, and asked for in batches of options.max_entries, all side by side on at most options.concurrency tasks; each is shown the first `shown`
-    entries. The answers are written before anything else, so lost executors never repeat a paid call. If a batch fails, KeyGenerationFailed: nothing is published. Keys of one part get the namespace of their component or file; then collisions get
+    entries. Each answer is written to a log (see calls) before anything else, so a task that is run again, or a run of the same options.run, doesn't repeat a call that was answered. If a batch fails, KeyGenerationFailed: nothing is published. Keys of one part get the namespace of their component or file; then collisions get
     numbers (old keys are never changed by them) and leaves that are branches get 'Label'. on_usage is told the tokens, on_progress the texts asked for and all [UDF7].
     """
     options = options or Options()
@@ -74,11 +80,14 @@ def generate_keys(
     rows = group_index(ordered, [], ["_file", "_component", "seq", "text"], "_place").drop("_file", "_component")
     known = [(r.text, r.key) for r in active.orderBy("seq", "text").limit(shown).collect()]
     names = [c for c in rows.columns if c not in ("_place", "_batch")]
+    log = CallLog.of(strings.sparkSession, options.run)
 
     def call(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("_place")
         try:
-            found, a, b = with_fallback(model, fallback, table.select(names).to_pylist(), known, options)
+            strings = table.select(names).to_pylist()
+            found, a, b = log.once((key[0].as_py(), strings, known), lambda: _spelled(with_fallback(model, fallback, strings, known, options)))
+            found = {int(i): k for i, k in found.items()}
             error = None
         except Exception as e:
             found, a, b, error = {}, 0, 0, str(e) or type(e).__name__

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import threading
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Accumulator
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalogs, planning
-from ..operators.graph import saved
+from ..operators.graph import saved, saved_path
+from .calls import CallLog
 
 
 class Translator(Protocol):
@@ -29,6 +33,13 @@ class StubTranslator:
         return {k: f"translated_{k}" for k in entries}, 100, 50
 
 
+class CountingTranslator:
+    """The number of earlier translations shown, and the key."""
+
+    def __call__(self, entries: dict[str, str], locale: str, context: list[str]) -> tuple[dict[str, str], int, int]:
+        return {k: f"{len(context)}_{k}" for k in entries}, 100, 50
+
+
 @dataclass(frozen=True)
 class Options:
     target_tokens: int = 2000
@@ -37,6 +48,7 @@ class Options:
     concurrency: int = 3
     validate: bool = True
     context_limit: int = 15
+    run: str | None = None  # a name under which a later run finds the answers of one that broke off
     wait: Callable[[float], None] = time.sleep
 
 
@@ -92,8 +104,8 @@ def plan_batches(entries: DataFrame, options: Options) -> DataFrame:
     return joined.select("locale", "key", "value", "batch_id", planning.wave_of("batch_id", options.concurrency).alias("wave_id"))
 
 
-def run_wave(wave: DataFrame, context: DataFrame, model: Translator, fallback: Translator | None, options: Options) -> DataFrame:
-    """One model call for each (locale, batch_id) of a wave; a batch that fails gives one row with error."""
+def run_wave(wave: DataFrame, context: DataFrame, model: Translator, fallback: Translator | None, options: Options, log: CallLog | None = None, tasks: int | None = None, answered: Accumulator | None = None) -> DataFrame:
+    """One model call for each (locale, batch_id) of a wave; a batch that fails gives one row with error. log: where answers are looked up before a call and written after it. tasks: how many tasks the batches are dealt to, all side by side; answered: gets the number of entries of each batch when its task is done."""
 
     def call(key: tuple, table: pa.Table, shown: pa.Table) -> pa.Table:
         locale, batch = key[0].as_py(), key[1].as_py()
@@ -102,15 +114,18 @@ def run_wave(wave: DataFrame, context: DataFrame, model: Translator, fallback: T
         table = table.sort_by("key")
         entries = dict(zip(table["key"].to_pylist(), table["value"].to_pylist(), strict=True))
         examples = [f"{k}: {v}" for k, v in sorted(zip(shown["key"].to_pylist(), shown["value"].to_pylist(), strict=True))]
+        ask = lambda: with_fallback(model, fallback, entries, locale, examples, options)
         try:
-            out, a, b, valid = with_fallback(model, fallback, entries, locale, examples, options)
+            out, a, b, valid = log.once((locale, batch, entries, examples), ask) if log else ask()
         except Exception as e:
             return pa.table({"locale": [locale], "key": [None], "value": [None], "batch_id": [batch], "tokens_in": [0], "tokens_out": [0], "valid": [False], "error": [str(e)]}).cast(_ARROW)
+        if answered is not None:
+            answered.add(len(out))
         n = len(out)
         share = lambda total: [total] + [0] * (n - 1)  # noqa: E731  a batch's tokens stand in its first row
         return pa.table({"locale": [locale] * n, "key": list(out), "value": list(out.values()), "batch_id": [batch] * n, "tokens_in": share(a), "tokens_out": share(b), "valid": [valid] * n, "error": [None] * n}).cast(_ARROW)
 
-    asked = wave.groupBy("locale", "batch_id")
+    asked = (wave.repartition(tasks, "locale", "batch_id") if tasks else wave).groupBy("locale", "batch_id")  # a stated number of tasks isn't coalesced, so calls don't wait for each other
     each = wave.select(F.col("locale").alias("to"), F.col("batch_id").alias("batch")).distinct()
     examples = each.join(context.withColumnRenamed("locale", "to"), "to").groupBy("to", "batch")
     return asked.cogroup(examples).applyInArrow(call, OUT)
@@ -119,24 +134,60 @@ def run_wave(wave: DataFrame, context: DataFrame, model: Translator, fallback: T
 _ARROW = pa.schema([("locale", pa.string()), ("key", pa.string()), ("value", pa.string()), ("batch_id", pa.int64()), ("tokens_in", pa.int64()), ("tokens_out", pa.int64()), ("valid", pa.bool_()), ("error", pa.string())])
 
 
+class _Told:
+    """Tells on_progress of entries answered, while a wave runs: a thread looks at the accumulator that the batches' tasks add to. A task that is repeated may add twice, so what is told never passes the wave's entries, and the end of a wave is told exactly."""
+
+    def __init__(self, spark: SparkSession, on_progress: Callable[[int, int], None] | None) -> None:
+        self.tell, self.answered = on_progress, spark.sparkContext.accumulator(0) if on_progress else None
+        self.said = self.before = self.total = 0
+
+    @contextmanager
+    def wave(self, size: int) -> Iterator[None]:
+        if self.tell is None:
+            yield
+            return
+        start, over = self.answered.value, threading.Event()
+
+        def look() -> None:
+            while not over.wait(0.05):
+                self.say(self.before + min(self.answered.value - start, size))
+
+        thread = threading.Thread(target=look, daemon=True)
+        thread.start()
+        try:
+            yield
+        finally:
+            over.set()
+            thread.join()
+
+    def say(self, n: int) -> None:
+        if self.tell is not None and n > self.said:
+            self.said = n
+            self.tell(n, self.total)
+
+
 def translate(entries: DataFrame, model: Translator, fallback: Translator | None = None, options: Options | None = None, on_progress: Callable[[int, int], None] | None = None, on_usage: Callable[[int, int], None] | None = None) -> DataFrame:
     """Translations of entries (locale, key, value, seq, rank) [UDF1]: OUT's columns.
 
-    Waves run one after another, a wave's batches side by side over the cluster; each wave's answers are written before the next, so lost executors never repeat a
-    paid wave. A wave is shown up to context_limit earlier translations of its locale. After each wave on_progress is told the entries answered and all, at the end on_usage the tokens [UDF7].
+    Waves run one after another, in each `concurrency` batches of every locale side by side over the cluster. Each answer is written to a log as soon as it is there, and each wave's answers before the next wave: neither a task that is run again
+    nor, under options.run, a run after one that broke off calls the model for what was answered. A wave is shown up to context_limit earlier translations of its locale. on_progress is told the entries answered and all after each batch, at the end on_usage the tokens [UDF7].
     """
     options = options or Options()
+    spark = entries.sparkSession
     batches = saved(plan_batches(entries, options))
-    waves = batches.agg(F.max("wave_id")).first()[0]
-    done, answered, total = entries.sparkSession.createDataFrame([], OUT), 0, None
-    for w in range(int(waves) + 1 if waves is not None else 0):
+    sizes = {r.wave_id: (r.entries, r.batches) for r in batches.groupBy("wave_id").agg(F.count("*").alias("entries"), F.count_distinct("locale", "batch_id").alias("batches")).collect()}  # a row for each wave, which are driven from here
+    log, told = CallLog.of(spark, options.run), _Told(spark, on_progress)
+    told.total, done, paths = sum(n for n, _ in sizes.values()), spark.createDataFrame([], OUT), []
+    for w in sorted(sizes):
+        size, calls = sizes[w]
         recent = catalogs.first_by(done.where("key IS NOT NULL").select("locale", "key", "value", "batch_id"), ["locale", "key"], "batch_id")
         shown = recent.withColumn("_n", F.row_number().over(Window.partitionBy("locale").orderBy("batch_id", "key"))).where(F.col("_n") <= options.context_limit).select("locale", "key", "value")
-        wave = saved(run_wave(batches.where(F.col("wave_id") == w), shown, model, fallback, options))
-        done = done.unionByName(wave)
+        with told.wave(size):
+            paths.append(saved_path(run_wave(batches.where(F.col("wave_id") == w), shown, model, fallback, options, log, min(calls, TASKS), told.answered)))
+        done = spark.read.schema(OUT).parquet(*paths)
         if on_progress:
-            answered, total = answered + wave.where("key IS NOT NULL").count(), batches.count() if total is None else total
-            on_progress(answered, total)
+            told.before += spark.read.schema(OUT).parquet(paths[-1]).where("key IS NOT NULL").count()
+            told.say(told.before)
     if on_usage:
         used = done.agg(F.sum("tokens_in"), F.sum("tokens_out")).first()
         if used[0] or used[1]:
@@ -144,6 +195,9 @@ def translate(entries: DataFrame, model: Translator, fallback: Translator | None
     return done
 
 
+TASKS = 10_000  # of a wave at most; more batches than that share tasks
+
+
 @dataclass(frozen=True)
 class Result:
     catalog: DataFrame

@@ -533,6 +533,13 @@ def translate_stub(s, d):
     return plan.translate(catalogs.to_translate(diff_of(s, d)), plan.StubTranslator(), options=options).select("locale", "key", "value")
 
 
+@query("SELECT locale, key, least(15, ((row_number() OVER (PARTITION BY locale ORDER BY status = 'modified', seq, key) - 1) // 160) * 160) || '_' || key AS value FROM dif WHERE status IN ('added', 'modified')", "dif")
+def translate_waves(s, d):
+    """Many waves: each answer tells how many earlier translations its batch was shown."""
+    options = plan.Options(target_tokens=10**9, max_entries=20, concurrency=8)
+    return plan.translate(catalogs.to_translate(diff_of(s, d)), plan.CountingTranslator(), options=options).select("locale", "key", "value")
+
+
 @query("SELECT text, seq, 'gen.k' || substr(sha256(text), 1, 8) AS key FROM (SELECT text, min(seq) AS seq FROM str WHERE text NOT IN (SELECT text FROM map) GROUP BY text) UNION ALL SELECT text, seq, key FROM map", "map str")
 def keygen_stub(s, d):
     found = graph.saved(A.strings(s, d))

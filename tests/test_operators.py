@@ -338,3 +338,24 @@ def test_imports_of_sources(spark):
     edges = graph.import_edges(graph.file_facts(df), aliases)
     assert sorted(map(tuple, edges.collect())) == [("e.mjs", "src/app/a.tsx"), ("src/app/a.tsx", "src/app/b/index.ts"), ("src/app/a.tsx", "src/lib/c.ts"), ("src/app/b/index.ts", "src/d.ts"), ("src/lib/c.ts", "e.mjs")]
     assert {r.path for r in graph.client_files(df, aliases).collect()} == {"src/app/a.tsx", "src/app/b/index.ts", "src/lib/c.ts", "src/d.ts", "e.mjs"}
+
+
+def test_token_batches_scan_of_many_levels(spark, monkeypatch):
+    monkeypatch.setattr(planning, "CHUNK", 60)
+    monkeypatch.setattr(planning, "FAN", 2)
+    rnd = random.Random(4)
+    rows = [(g, i, rnd.choice([1, 5, 30, 120, 400])) for g, n in (("a", 700), ("b", 61), (None, 300)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, seq long, tokens long")
+    got = planning.token_batches(df, "g", target_tokens=900, max_entries=20).collect()
+    assert sorted((r.g or "", r.seq, r.batch_id) for r in got) == greedy([(g or "", i, t) for g, i, t in rows], 900, 20)
+    whole = planning.token_batches(df.where("g = 'a'").select("seq", "tokens"), target_tokens=900, max_entries=20).collect()
+    assert sorted(("", r.seq, r.batch_id) for r in whole) == greedy([("", i, t) for g, i, t in rows if g == "a"], 900, 20)
+
+
+def test_fixed_batches_of_odd_groups(spark):
+    rows = [("a", i) for i in range(7)] + [(None, 1), (None, 2), ("a", None)]
+    got = planning.fixed_batches(spark.createDataFrame(rows, "g string, seq long"), ["g"], 3).collect()
+    assert sorted((r.g or "", r.seq or -1, r.batch_id) for r in got) == sorted([("", 1, 0), ("", 2, 0)] + [("a", -1 if s is None else s or -1, b) for s, b in [(None, 0), (0, 0), (1, 0), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2)]])
+    plan = planning.fixed_batches(spark.createDataFrame(rows, "g string, seq long"), ["g"], 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan or "_part" in plan
+    assert planning.fixed_batches(spark.createDataFrame([], "g string, seq long"), ["g"], 3).collect() == []
