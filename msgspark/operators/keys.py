@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .catalogs import first_by
+from .graph import saved
+from .planning import group_index
 
 
 def dedupe_first(strings: DataFrame) -> DataFrame:
@@ -43,27 +45,60 @@ def bare_strings(strings: DataFrame) -> DataFrame:
 
 
 def family(key: Column) -> Column:
-    """A key without the digits at its end. Suffixes of a key never leave its family, so families are settled on their own."""
+    """A key without the digits at its end. Suffixes of a key never leave its family."""
     return F.regexp_replace(key, "[0-9]+$", "")
 
 
+def free_numbers(proposed: DataFrame, taken: DataFrame) -> DataFrame:
+    """proposed (key, seq, ...) with n: the i-th proposal of a key, by seq, gets the i-th number from 1 on that the key's taken ones (key, n) leave free.
+
+    The j-th taken number t has t - j free ones before it. So proposals at place i and taken numbers at place t - j merge in one order, proposals first where they tie, and a proposal's place in this order is its number. All places come from
+    group_index, that is from range sorts, so neither a key with millions of proposals nor one with millions of taken numbers meets in one task, and all of it runs in the JVM. `seq` must tie nothing within a key.
+    """
+    mine = group_index(proposed, ["key"], ["seq"], "_i")
+    used = group_index(taken.select("key", "n").distinct(), ["key"], ["n"], "_j")
+    places = mine.select("key", (F.col("_i") + 1).alias("_at"), F.lit(0).alias("_kind"), F.col("_i").alias("_tie"))
+    gaps = used.select("key", (F.col("n") - F.col("_j") - 1).alias("_at"), F.lit(1).alias("_kind"), F.col("_j").alias("_tie"))
+    merged = group_index(places.union(gaps), ["key"], ["_at", "_kind", "_tie"], "_p").where("_kind = 0").select(F.col("key").alias("_key"), F.col("_tie").alias("_i"), (F.col("_p") + 1).alias("n"))
+    same = F.col("m.key").eqNullSafe(F.col("p._key")) & (F.col("m._i") == F.col("p._i"))
+    return mine.alias("m").join(merged.alias("p"), same).select(*[F.col(f"m.`{c}`") for c in proposed.columns], "p.n")
+
+
+def number_of(name: Column, key: Column) -> Column:
+    """Which number a name has among key, key2, key3 ...: 1 for the key itself; null if it is none of them. Numbers of over 18 digits are never reached, and null too."""
+    rest = F.substring(name, F.length(key) + 1, F.length(name))
+    return F.when(name == key, F.lit(1).cast("long")).when(F.startswith(name, key) & rest.rlike("^([2-9]|[1-9][0-9]{1,17})$"), rest.try_cast("long"))
+
+
+def numbered(key: Column, n: Column) -> Column:
+    return F.when(n == 1, key).otherwise(F.concat(key, n.cast("string")))
+
+
 def resolve_collisions(proposed: DataFrame, existing: DataFrame) -> DataFrame:
     """proposed (key, seq, ...) with final_key: the first free of k, k2, k3 ... in seq order, existing keys being taken [WIN10].
 
-    Families (see family) of one proposed key without existing keys are numbered by a window in the JVM, which sorts with spilling; so are all keys that collide with nothing. Only families of several different proposed keys, or with existing ones, are settled
-    as streams in seq order, where the names in use are all that a task keeps. Rows with a null key get a null final_key.
+    Keys feed each other only if one is another with digits after it: k2 takes a name of k. All others, however many proposals and taken names they have, get free numbers by sorts in the JVM (free_numbers); if nothing is taken in a key's family
+    those are its places. Keys that feed each other are settled as streams in seq order, one task for each shortest key of such a group. Rows with a null key get a null final_key.
     """
     columns = proposed.columns
-    mine = proposed.withColumn("_f", family(F.col("key")))
-    taken = existing.select(F.col("key").alias("_key")).where("_key IS NOT NULL").distinct().withColumn("_f", family(F.col("_key")))
-    several = mine.groupBy("_f").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("_f")
-    hard = several.union(taken.select("_f")).where("_f IS NOT NULL").distinct()
-    n = F.row_number().over(Window.partitionBy("key").orderBy("seq"))
-    numbered = mine.join(hard, "_f", "left_anti").withColumn("_n", n).select(*columns, F.when(F.col("_n") == 1, F.col("key")).otherwise(F.concat("key", F.col("_n").cast("string"))).alias("final_key"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in proposed.schema.fields) + ", final_key string"
+    kept = [F.col(f"`{c}`") for c in columns]
+    distinct = proposed.where("key IS NOT NULL").select("key").distinct()
+    digits = F.length("key") - F.length(family(F.col("key")))
+    shorter = F.transform(F.sequence(F.lit(1), digits), lambda i: F.substring("key", F.lit(1), F.length("key") - i))
+    pairs = distinct.where(digits > 0).select(F.explode(shorter).alias("_root"), F.col("key").alias("_long")).join(distinct.withColumnRenamed("key", "_root"), "_root", "left_semi")
+    roots = pairs.groupBy("_long").agg(F.min("_root").alias("_root"))  # a prefix sorts before what it begins, so the least is the shortest
+    fed = saved(roots.union(roots.select(F.col("_root").alias("_long"), "_root").distinct()))
+    marked = proposed.join(fed.withColumnRenamed("_long", "key"), "key", "left")
+    names = existing.select(F.col("key").alias("_name")).where("_name IS NOT NULL").distinct().withColumn("_f", family(F.col("_name")))
+    alone = marked.where("_root IS NULL").select(*kept)
+    owners = distinct.join(fed.select(F.col("_long").alias("key")), "key", "left_anti").withColumn("_f", family(F.col("key")))
+    taken = names.join(owners, "_f").select("key", number_of(F.col("_name"), F.col("key")).alias("n")).where("n IS NOT NULL")
+    free = free_numbers(alone, taken)
+    settled = free.select(*kept, F.when(F.col("key").isNotNull(), numbered(F.col("key"), F.col("n"))).alias("final_key"))
+    schema = T.struct_of([(f.name, f.dataType) for f in proposed.schema.fields], "final_key string")
 
     def settle(key: tuple, table: pa.Table, old: pa.Table) -> pa.Table:
-        used, last = set(old["_key"].to_pylist()), {}
+        used, last = set(old["_name"].to_pylist()), {}
         table = table.sort_by("seq")
         final = []
         for k in table["key"].to_pylist():
@@ -78,8 +113,10 @@ def resolve_collisions(proposed: DataFrame, existing: DataFrame) -> DataFrame:
             final.append(name)
         return table.select(columns).append_column("final_key", pa.array(final, pa.string()))
 
-    left, right = mine.join(hard, "_f", "left_semi"), taken.join(mine.select("_f").distinct(), "_f", "left_semi")
-    return numbered.unionByName(left.groupBy("_f").cogroup(right.groupBy("_f")).applyInArrow(settle, schema))
+    left = marked.where("_root IS NOT NULL")
+    tops = fed.select("_root").distinct().withColumn("_f", family(F.col("_root")))
+    right = names.join(tops, "_f").where(F.startswith("_name", F.col("_root"))).select(F.col("_root").alias("_of"), "_name")
+    return settled.unionByName(left.select(*kept, "_root").groupBy("_root").cogroup(right.groupBy("_of")).applyInArrow(settle, schema))
 
 
 def ancestors(key: str = "key") -> F.Column:
@@ -97,15 +134,19 @@ def leaf_branch_conflicts(keys: DataFrame) -> DataFrame:
 def rename_conflicts(mapping: DataFrame) -> DataFrame:
     """mapping (text, key, seq) with final_key: leaves that are branches too become key + 'Label', then with the first free number from 2 on, in seq order [WIN11].
 
-    A conflict takes names of one family only, its key + 'Label' and digits. So each meets that family's keys, and the rows of those that are conflicts too, each of which frees its name; all other rows stay in the JVM.
+    A conflict takes names of its own only: its key + 'Label' and digits. Where none of these names is a conflict itself, it gets free numbers by sorts in the JVM (free_numbers); so does a key of millions of texts. A conflict that frees
+    such a name, by leaving it, makes order matter: those few families are settled as streams in seq order.
     """
     columns = mapping.columns
+    kept = [F.col(f"`{c}`") for c in columns]
     hits = leaf_branch_conflicts(mapping).withColumn("_hit", F.lit(True))
     marked = mapping.join(hits, "key", "left")
-    asked = marked.where("_hit").withColumn("_f", F.concat("key", F.lit("Label")))
+    label = F.concat("key", F.lit("Label"))
+    asked = marked.where("_hit").withColumn("_f", label)
     names = marked.where("_hit IS NULL").select("key", F.lit(None).cast("long").alias("_at")).distinct().union(marked.where("_hit").select("key", F.col("seq").cast("long")))
     names = names.select(F.col("key").alias("_key"), "_at", family(F.col("key")).alias("_f")).join(asked.select("_f").distinct(), "_f", "left_semi")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in mapping.schema.fields) + ", final_key string"
+    freed = names.where("_at IS NOT NULL").select("_f").distinct()
+    schema = T.struct_of([(f.name, f.dataType) for f in mapping.schema.fields], "final_key string")
 
     def settle(key: tuple, table: pa.Table, others: pa.Table) -> pa.Table:
         table = table.sort_by("seq")
@@ -125,8 +166,14 @@ def rename_conflicts(mapping: DataFrame) -> DataFrame:
             final.append(name)
         return table.select(columns).append_column("final_key", pa.array(final, pa.string()))
 
-    touched = asked.groupBy("_f").cogroup(names.groupBy("_f")).applyInArrow(settle, schema)
-    return touched.unionByName(marked.where("_hit IS NULL").select(*columns, F.col("key").alias("final_key")))
+    plain = asked.join(freed, "_f", "left_anti")
+    taken = names.where("_at IS NULL").join(plain.select("_f").distinct(), "_f", "left_semi")
+    numbers = taken.select(F.col("_f").alias("key"), number_of(F.col("_key"), F.col("_f")).alias("n")).where("n IS NOT NULL")
+    # the rows under their new key; the old one beside it
+    renamed = free_numbers(plain.select(*[F.col(f"`{c}`") if c != "key" else F.col("_f").alias("key") for c in columns], F.col("key").alias("_old")), numbers)
+    free = renamed.select(*[F.col(f"`{c}`") if c != "key" else F.col("_old").alias("key") for c in columns], numbered(F.col("key"), F.col("n")).alias("final_key"))
+    touched = asked.join(freed, "_f", "left_semi").groupBy("_f").cogroup(names.join(freed, "_f", "left_semi").groupBy("_f")).applyInArrow(settle, schema)
+    return free.unionByName(touched).unionByName(marked.where("_hit IS NULL").select(*kept, F.col("key").alias("final_key")))
 
 
 def unanimous_namespace(keys: DataFrame, *by: str) -> DataFrame:

@@ -359,3 +359,25 @@ def test_fixed_batches_of_odd_groups(spark):
     plan = planning.fixed_batches(spark.createDataFrame(rows, "g string, seq long"), ["g"], 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan or "_part" in plan
     assert planning.fixed_batches(spark.createDataFrame([], "g string, seq long"), ["g"], 3).collect() == []
+
+
+def test_collisions_of_many_kinds_against_one_stream(spark):
+    rnd = random.Random(9)
+    for bag in (["k", "k2", "k22", "k222", "m", "m02", "m2"], ["a1", "a12", "a2", "b", "c9", "c99", "c10"], ["x", "y", "z7"]):
+        rows = [(rnd.choice(bag), i) for i in range(150)]
+        taken = [rnd.choice(bag) + str(rnd.randint(0, 40)) for _ in range(60)] + ["k", "y", "x02", "x" + "9" * 30, None]
+        got = keys.resolve_collisions(spark.createDataFrame([*rows, (None, 999)], "key string, seq long"), spark.createDataFrame([(t,) for t in taken], "key string"))
+        found = sorted(map(tuple, got.where("key IS NOT NULL").collect()), key=str)
+        assert found == sequential_names(rows, [t for t in taken if t])
+        assert [tuple(r) for r in got.where("key IS NULL").collect()] == [(None, 999, None)]
+
+
+def test_a_million_proposals_with_a_million_taken_names(spark):
+    n = 1_000_000
+    proposed = spark.range(n).select(F.lit("a.key").alias("key"), (n - F.col("id")).alias("seq"))
+    taken = spark.range(n).select(F.concat(F.lit("a.key"), (2 * F.col("id") + 2).cast("string")).alias("key"))  # all even numbers
+    got = keys.resolve_collisions(proposed, taken)
+    row = got.agg(F.count_distinct("final_key").alias("n"), F.max("final_key").alias("x"), F.sum(F.when(F.col("final_key") == "a.key", 1).otherwise(F.substring("final_key", 6, 20).cast("long"))).alias("s"), F.max_by("final_key", "seq").alias("last")).first()
+    assert row.n == n and row.s == n * n and row.last == f"a.key{2 * n - 1}"  # the odd numbers
+    assert "FlatMapCoGroups" in got._jdf.queryExecution().optimizedPlan().toString()  # only for keys that feed each other, of which there are none
+    assert keys.resolve_collisions(proposed.where("false"), taken).collect() == []
