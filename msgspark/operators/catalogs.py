@@ -171,6 +171,27 @@ def type_declarations(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("locale").agg(names.alias("names")).select("locale", lines.alias("declaration"))
 
 
+#: What surrounds the members of a typed message module.
+MODULE_HEAD, MODULE_END = 'declare module "next-intl" {\n  interface AppConfig {\n    Messages: ', ";\n  }\n}\n"
+NO_MESSAGES = "type Messages = Record<string, never>;\n\n"
+
+
+def module_declarations(catalog: DataFrame, locales: DataFrame, split: bool = True) -> DataFrame:
+    """locale, document: the declaration file that types the messages of each locale of `locales` [SNK7]; rows of `catalog` for other locales are left out, null and repeated locales fold.
+
+    split: an import and a member for each namespace, in order, from the locale's folder; a locale without entries has no messages at all. Else one import of the locale's file, whatever it holds.
+    """
+    wanted = locales.select("locale").where("locale IS NOT NULL").distinct()
+    if not split:
+        return wanted.select("locale", F.concat(F.lit('import messages from "./'), "locale", F.lit(f'.json";\n\n{MODULE_HEAD}typeof messages{MODULE_END}')).alias("document"))
+    spaces = catalog.select("locale", T.partition_of("key").alias("ns")).distinct().groupBy("locale").agg(F.array_sort(F.collect_list("ns")).alias("names"))  # a file's members are one value by nature
+    lines = lambda line: F.array_join(F.transform("names", line), "\n")
+    imports = lines(lambda n: F.concat(F.lit("import "), n, F.lit(' from "./'), F.col("locale"), F.lit("/"), n, F.lit('.json";')))
+    members = lines(lambda n: F.concat(F.lit("  "), n, F.lit(": typeof "), n, F.lit(";")))
+    text = F.concat(imports, F.lit("\n\ntype Messages = {\n"), members, F.lit("\n};\n\n"))
+    return wanted.join(spaces, "locale", "left").select("locale", F.concat(F.when(F.col("names").isNull(), F.lit(NO_MESSAGES)).otherwise(text), F.lit(f"{MODULE_HEAD}Messages{MODULE_END}")).alias("document"))
+
+
 def pick_messages(catalog: DataFrame, namespaces: DataFrame) -> DataFrame:
     """Entries whose key is one of the namespaces or lies below one [FLT11]: prefixes are exploded, so the join is an equi-join."""
     parts = F.split("key", r"\.")

@@ -59,6 +59,8 @@ class Extractor:
         self.found: list[Found] = []
         self.tokens: list[J.Token] = []
         self.bodies: dict[int, tuple[list[J.Token], list[J.Token]]] = {}  # of components: parameters and body, by where the body begins
+        self.expressions: dict[int, int] = {}  # of components whose body is an expression: where it ends, by where it begins
+        self.heads: dict[int, int] = {}  # of components: where "async" would stand, by where the body begins
 
     def run(self) -> list[Found]:
         with J.deep(self.reader.code):
@@ -144,6 +146,7 @@ class Extractor:
         inner = replace(scope, component=own or scope.component, carrier=None, function=True, shows=J.has_jsx(body.parts), const=None, tag=None, body=at if own or is_class else scope.body, waits=waits if own else scope.waits)
         if own and at:
             self.bodies[at] = (tokens[params:j], body.parts)
+            self.heads[at] = tokens[i].start
         for t in tokens[params:j]:
             self.token(t, None, inner)
         self.statements(body.parts, inner)
@@ -157,19 +160,26 @@ class Extractor:
             first -= 1
         waits = first > 0 and tokens[first - 1].text == "async"
         inner = replace(scope, component=own or scope.component, carrier=None, function=True, const=None, tag=None, waits=waits if own else scope.waits)
+        params, generic = tokens[max(0, first) : i], first > 0 and tokens[first - 1].text == ">"
         if body is not None and body.kind == "group" and body.text == "{":
             inner = replace(inner, shows=J.has_jsx(body.parts), body=body.start + 1 if own else scope.body)
             if own:
-                self.bodies[body.start + 1] = (tokens[max(0, first) : i], body.parts)
+                self.component(body.start + 1, params, body.parts, generic)
             self.statements(body.parts, inner)
             return i + 2
-        j = i + 1
-        while j < len(tokens) and not (tokens[j].kind == "punct" and tokens[j].text in (";", ",")) and not (tokens[j].kind == "name" and tokens[j].text in ("const", "let", "var", "export", "import")):
-            j += 1
-        own_tokens = tokens[i + 1 : j]
-        self.statements(own_tokens, replace(inner, shows=J.has_jsx(own_tokens), body=None if own else scope.body, tag=scope.tag))
+        j = J.expression_end(tokens, i + 1)
+        parts = tokens[i + 1 : j]
+        if own and parts:
+            self.component(parts[0].start, params, parts, generic)
+            self.expressions[parts[0].start] = parts[-1].end
+        self.statements(parts, replace(inner, shows=J.has_jsx(parts), body=parts[0].start if own and parts else scope.body, tag=scope.tag))
         return j
 
+    def component(self, at: int, params: list[J.Token], parts: list[J.Token], generic: bool) -> None:
+        self.bodies[at] = (params, parts)
+        if params and not generic:  # before type parameters nothing can be put by the reader's tokens alone
+            self.heads[at] = params[0].start
+
     def token(self, t: J.Token, before: J.Token | None, scope: Scope) -> None:
         if t.kind == "jsx":
             self.element(t, scope)
@@ -419,13 +429,14 @@ def one_inline_source(code: str, tokens: list[J.Token], client: bool, module: st
     return code
 
 
-def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: str = "keys", inline_module: str = "@/components/t", client: bool | None = None, factories: set[str] | None = None, uses: set[str] | None = None, typed: bool = True) -> tuple[str, int, bool]:
+def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: str = "keys", inline_module: str = "@/components/t", client: bool | None = None, factories: set[str] | None = None, uses: set[str] | None = None, typed: bool = True, waiting: bool = False) -> tuple[str, int, bool]:
     """(code, replaced, client) with mapped strings as calls of a translator [CG2, CG4-6]: JSX text, attributes, expressions, ternary branches and content properties of components.
 
     mode "inline" [CG3] keeps the source text: <T id="key">text</T> for JSX text and t("text", "key") for the rest, from inline_module, on the server from inline_module-server (one_inline_source). In mode "keys" each component with a replaced string gets a translator at the start of its body, with the namespace if all its keys share one, then without it in the keys.
     A translator that is there is used where it fits, else a new one gets a name of its own (translator_for); imports are reused under their aliases, extended or added. client: whether the file reaches the browser (see graph.client_files); by itself judged by is_client. Async components of other files await their translator.
+    waiting: components of such files that aren't async become so, but for hooks, which cannot (only with the default module, which alone has a server side). A component whose body is an expression gets a block around it, with the translator and a return.
     factories: constants of this file that become functions of a translator, with the mapped texts in them as its calls; uses: names of such functions, imported ones too, that components call with their translator, which then has no namespace (see factories.factory_plan) [CG12]. typed: whether the file may have types.
-    Other strings outside a block body are left. The result is read again; if that fails, or nothing is replaced, the code comes back unchanged. Running twice changes nothing.
+    Strings outside components are left. The result is read again; if that fails, or nothing is replaced, the code comes back unchanged. Running twice changes nothing.
     """
     given, x = code, Extractor(code)
     strings, client, inline = x.run(), is_client(code) if client is None else client, mode == "inline"
@@ -476,15 +487,24 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: st
         else:
             edits.append((f.node.start, f.node.end, call))
     waits = {f.scope.body: f.scope.waits for f in found} | {u.body: u.waits for u in handed}
+    split = not client and (inline or module == "next-intl")  # whether a server side exists
+    hooks = {f.scope.body for f in found if re.match("use[A-Z]", f.scope.component)}
     needed: set[tuple[str, str]] = set()
     for body, tr in translators.items():
         if tr.there or inline and body not in calls:
             continue
-        k = 1 if not client and (inline or waits[body]) else 0
+        if waiting and split and not inline and not waits[body] and body in x.heads and body not in hooks:
+            edits.append((x.heads[body], x.heads[body], "async "))
+            waits[body] = True
+        k = 1 if split and (inline or waits[body]) else 0
         if not makers[hook[k]]:
             needed.add((hook[k], getter[k]))
         argument = f'"{tr.space}"' if tr.space and not inline else ""
-        edits.append((body, body, f"\n\tconst {tr.name} = {'await ' * (k and waits[body])}{(makers[hook[k]] or [hook[k]])[0]}({argument});"))
+        line = f"\n\tconst {tr.name} = {'await ' * (k and waits[body])}{(makers[hook[k]] or [hook[k]])[0]}({argument});"
+        if body in x.expressions:  # a block around the expression and the edits in it
+            edits += [(body, body, f"{{{line}\n\treturn "), (x.expressions[body], x.expressions[body], ";\n}")]
+        else:
+            edits.append((body, body, line))
     if inline and any(f.type == "jsx-text" for f in found):
         needed.add(("T", getter[0 if client else 1]))
     out = code
@@ -499,13 +519,14 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: st
     return out, len(found) + len(held), client
 
 
-def rewrite_sources(files: DataFrame, mapping: DataFrame, path: str = "path", content: str = "content", clients: DataFrame | None = None, factories: DataFrame | None = None, mode: str = "keys") -> DataFrame:
+def rewrite_sources(files: DataFrame, mapping: DataFrame, path: str = "path", content: str = "content", clients: DataFrame | None = None, factories: DataFrame | None = None, mode: str = "keys", waiting: bool = False) -> DataFrame:
     """path, content, replaced, client, modified (whether the content is new) of every file [CG1, SNK8]. Each file meets only the keys of its own texts: its strings are joined with the map (text, key) and gathered by file.
 
-    clients: paths of files that reach the browser over imports (graph.client_files); without it each file is judged by itself. factories: rows of factories.factory_plan, whose constants and uses are rewritten too. mode: see rewrite. Files that cannot be read come back unchanged.
+    clients: paths of files that reach the browser over imports (graph.client_files); without it each file is judged by itself. factories: rows of factories.factory_plan, whose constants and uses are rewritten too. mode, waiting: see rewrite. Of a text that the map has several times the greatest key counts, as in keys.replacement_sites. Files that cannot be read come back unchanged.
     """
     strings = extract_strings(files, path=path, content=content).select(F.col("file").alias(path), "text").distinct()
-    own = strings.join(mapping.select("text", "key"), "text").groupBy(path).agg(F.map_from_entries(F.collect_set(F.struct("text", "key"))).alias("keys"))
+    keyed = mapping.where("text IS NOT NULL AND key IS NOT NULL").groupBy("text").agg(F.max("key").alias("key"))
+    own = strings.join(keyed, "text").groupBy(path).agg(F.map_from_entries(F.collect_set(F.struct("text", "key"))).alias("keys"))
     joined = files.select(path, content).join(own, path, "left")
     known = joined.withColumn("client", F.lit(None).cast("boolean")) if clients is None else joined.join(clients.select(F.col("path").alias(path), F.lit(True).alias("client")).distinct(), path, "left").na.fill(False, ["client"])
     none = F.lit(None).cast("array<string>")
@@ -522,7 +543,7 @@ def rewrite_sources(files: DataFrame, mapping: DataFrame, path: str = "path", co
                 judged = is_client(code or "") if reaches is None else reaches
                 typed = bool(re.search(r"\.[mc]?tsx?$", file or ""))
                 try:
-                    row = rewrite(code, dict(keys or {}), client=judged, mode=mode, factories=set(consts or []), uses=set(uses or []), typed=typed) if code and (keys or uses or mode == "inline") else (code, 0, judged)
+                    row = rewrite(code, dict(keys or {}), client=judged, mode=mode, factories=set(consts or []), uses=set(uses or []), typed=typed, waiting=waiting) if code and (keys or uses or mode == "inline") else (code, 0, judged)
                 except J.Unreadable:
                     row = (code, 0, judged)
                 for col, v in zip(out, (*row, row[0] != code), strict=True):

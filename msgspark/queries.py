@@ -126,6 +126,17 @@ def typegen_split(s, d):
     return catalogs.type_declarations(A.source(s, d))
 
 
+@query("""SELECT locale, CASE WHEN n IS NULL THEN 'type Messages = Record<string, never>;' || chr(10) || chr(10) ELSE imports || chr(10) || chr(10) || 'type Messages = {' || chr(10) || members || chr(10) || '};' || chr(10) || chr(10) END
+  || 'declare module "next-intl" {' || chr(10) || '  interface AppConfig {' || chr(10) || '    Messages: Messages;' || chr(10) || '  }' || chr(10) || '}' || chr(10) AS document
+FROM (SELECT DISTINCT locale FROM src UNION SELECT DISTINCT 'x-' || locale FROM src) LEFT JOIN (SELECT locale, count(*) AS n, string_agg('import ' || ns || ' from "./' || locale || '/' || ns || '.json";', chr(10) ORDER BY ns) AS imports, string_agg('  ' || ns || ': typeof ' || ns || ';', chr(10) ORDER BY ns) AS members
+  FROM (SELECT DISTINCT locale, split_part(key, '.', 1) AS ns FROM src) GROUP BY 1) USING (locale)""", "src")
+def typegen_module(s, d):
+    """Half of the locales have no entries."""
+    catalog = A.source(s, d)
+    locales = catalog.select("locale").distinct()
+    return catalogs.module_declarations(catalog, locales.union(locales.select(F.concat(F.lit("x-"), "locale"))))
+
+
 @query("SELECT doc_id, source || '.lang' AS key, lang AS value FROM documents UNION ALL SELECT doc_id, source || '.deep.inner.name' AS key, source || '/' || lang FROM documents")
 def flatten_json(s, d):
     nested = F.concat(F.lit('{"'), "source", F.lit('": {"lang": "'), "lang", F.lit('", "n": '), "n_chars", F.lit(', "tags": ["x"], "none": null, "on": true, "deep": {"inner": {"name": "'), "source", F.lit("/"), "lang", F.lit('"}, "empty": {}}}}'))
@@ -459,7 +470,15 @@ def client_namespaces(s, d):
 
 @query("SELECT text, key, seq FROM map ORDER BY seq LIMIT 30", "map")
 def map_head(s, d):
-    return A.text_map(s, d).orderBy("seq").limit(30)
+    return keys.map_head(A.text_map(s, d))
+
+
+@query(", t(id) AS (SELECT page_id FROM pages WHERE page_id % 10 = 1 UNION SELECT page_id FROM t JOIN pages ON page_id = 2 * id OR page_id = 3 * id) SELECT namespace, count(*) AS files FROM (SELECT DISTINCT file, 'n' || length(text) % 7 AS namespace FROM str WHERE tag = 'p' AND file IN (SELECT 'src/app/p' || id || '/page.tsx' FROM t)) GROUP BY 1", "str", True)
+def client_namespaces_of_files(s, d):
+    """Namespaces of all files that reach the browser, over imports at any depth."""
+    found = graph.saved(A.strings(s, d))
+    mapping = found.where("tag = 'p'").select("text", F.concat(F.lit("n"), (F.length("text") % 7).cast("string"), F.lit(".k")).alias("key"))
+    return keys.client_namespaces(keys.replacement_sites(found.where("tag = 'p'"), mapping), graph.client_files(A.sources(s, d), A.ALIASES))
 
 
 @query("SELECT file, component, seq, row_number() OVER (PARTITION BY file ORDER BY component, seq) AS rank FROM trn", "trn")
@@ -594,6 +613,19 @@ def rewrite_jsx(s, d):
     return done.where("replaced > 0").select("path", "replaced", F.sha2("content", 256).alias("code"))
 
 
+@query("""SELECT 'p' || page_id || '.tsx' AS path, (page_id % 3 <> 0)::INT AS replaced, page_id % 2 = 1 AS client, CASE WHEN page_id % 2 = 1 THEN '"use client";' || chr(10) ELSE '' END || CASE WHEN page_id % 3 = 0 THEN 'export const Page = () => <p>Page ' || page_id || '</p>;'
+  WHEN page_id % 2 = 1 THEN 'import { useTranslations } from "next-intl";' || chr(10) || 'export const Page = () => {' || chr(10) || chr(9) || 'const t = useTranslations("pages");' || chr(10) || chr(9) || 'return <p>{t("p' || page_id || '")}</p>;' || chr(10) || '};'
+  ELSE 'import { getTranslations } from "next-intl/server";' || chr(10) || 'export const Page = async () => {' || chr(10) || chr(9) || 'const t = await getTranslations("pages");' || chr(10) || chr(9) || 'return <p>{t("p' || page_id || '")}</p>;' || chr(10) || '};' END || chr(10) AS content FROM pages""")
+def rewrite_expressions(s, d):
+    """Components whose body is an expression, on both sides; every third text has no key."""
+    n = F.col("page_id")
+    text, path = F.concat(F.lit("Page "), n.cast("string")), F.concat(F.lit("p"), n.cast("string"), F.lit(".tsx"))
+    code = F.concat(F.when(n % 2 == 1, F.lit('"use client";\n')).otherwise(""), F.lit("export const Page = () => <p>"), text, F.lit("</p>;\n"))
+    pages = A.table(s, d, "pages")
+    mapping = pages.where(n % 3 != 0).select(text.alias("text"), F.concat(F.lit("pages.p"), n.cast("string")).alias("key"))
+    return jsx_strings.rewrite_sources(pages.select(path.alias("path"), code.alias("content")), mapping, waiting=True).select("path", "replaced", "client", "content")
+
+
 @query("SELECT count(*) AS files, count(*) FILTER (WHERE n > 0) AS files_modified, sum(n)::BIGINT AS strings_wrapped, count(*) FILTER (WHERE n = 0) AS files_skipped, 0::BIGINT AS client_files FROM (SELECT file, count(key) AS n FROM str LEFT JOIN map USING (text) GROUP BY 1)", "map str")
 def codegen_totals(s, d):
     found = graph.saved(A.strings(s, d))

@@ -173,3 +173,35 @@ def test_scan_counts_while_it_runs(spark):
     assert seen.get == {"files": 5, "unreadable": 2, "strings": 3}
     strings, seen = X.scan(spark.createDataFrame([], "path string, content string"))
     assert strings.collect() == [] and seen.get == {"files": 0, "unreadable": 0, "strings": 0}
+
+
+MAPPED = {"Welcome to our platform": "hero.welcome", "Search...": "common.search", "Hi": "a.hi", "Bye": "b.bye"}
+WELCOME = "Welcome to our platform"
+
+
+@pytest.mark.parametrize(
+    ("code", "options", "want"),
+    [
+        (f'"use client";\nconst Page = () => <h1>{WELCOME}</h1>;', {}, '"use client";\nimport { useTranslations } from "next-intl";\nconst Page = () => {\n\tconst t = useTranslations("hero");\n\treturn <h1>{t("welcome")}</h1>;\n};'),
+        (f"const Page = () => <h1>{WELCOME}</h1>;", {"waiting": True}, 'import { getTranslations } from "next-intl/server";\nconst Page = async () => {\n\tconst t = await getTranslations("hero");\n\treturn <h1>{t("welcome")}</h1>;\n};'),
+        (f"export default () => <h1>{WELCOME}</h1>;", {"waiting": True}, 'import { getTranslations } from "next-intl/server";\nexport default async () => {\n\tconst t = await getTranslations("hero");\n\treturn <h1>{t("welcome")}</h1>;\n};'),
+        (f"const Hero = () => {{ return <h1>{WELCOME}</h1>; }};", {"waiting": True}, 'import { getTranslations } from "next-intl/server";\nconst Hero = async () => {\n\tconst t = await getTranslations("hero"); return <h1>{t("welcome")}</h1>; };'),
+        ('const Page = () => <input placeholder="Search..." />;', {"mode": "inline"}, 'import { createT } from "@/components/t-server";\nconst Page = () => {\n\tconst t = createT();\n\treturn <input placeholder={t("Search...", "common.search")} />;\n};'),
+        ("export const A = () => (\n  <p>Hi</p>\n)\nfunction B() { return null }\n", {}, 'import { useTranslations } from "next-intl";\nexport const A = () => {\n\tconst t = useTranslations("a");\n\treturn (\n  <p>{t("hi")}</p>\n);\n}\nfunction B() { return null }\n'),
+        ("const A = memo(p => <p title='Hi'>Bye</p>, same), n = 1", {}, 'import { useTranslations } from "next-intl";\nconst A = memo(p => {\n\tconst t = useTranslations();\n\treturn <p title={t("a.hi")}>{t("b.bye")}</p>;\n}, same), n = 1'),
+        ("const A = <T,>(x: T) => <p>Hi</p>\ntype Q = 1", {"waiting": True}, 'import { useTranslations } from "next-intl";\nconst A = <T,>(x: T) => {\n\tconst t = useTranslations("a");\n\treturn <p>{t("hi")}</p>;\n}\ntype Q = 1'),
+        ("const A = () => <B render={() => <p>Hi</p>} />;", {}, 'import { useTranslations } from "next-intl";\nconst A = () => {\n\tconst t = useTranslations("a");\n\treturn <B render={() => <p>{t("hi")}</p>} />;\n};'),
+        ("const A = () => <p>Hi</p>;", {"waiting": True, "module": "my-lib"}, 'import { useTranslations } from "my-lib";\nconst A = () => {\n\tconst t = useTranslations("a");\n\treturn <p>{t("hi")}</p>;\n};'),
+        ("const A = () => <T>none</T>;", {}, "const A = () => <T>none</T>;"),
+    ],
+)
+def test_components_whose_body_is_an_expression(code, options, want):
+    got, replaced, _ = X.rewrite(code, MAPPED, **options)
+    assert got == want
+    assert X.rewrite(got, MAPPED, **options)[0] == got
+
+
+def test_sources_with_a_text_twice_in_the_map(spark):
+    files = spark.createDataFrame([("a.tsx", "export default function P() { return <p>Hi</p>; }")], "path string, content string")
+    mapping = spark.createDataFrame([("Hi", "a.one"), ("Hi", "a.two"), ("Hi", None), (None, "x")], "text string, key string")
+    assert 't("two")' in X.rewrite_sources(files, mapping).first().content

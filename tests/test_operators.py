@@ -381,3 +381,20 @@ def test_a_million_proposals_with_a_million_taken_names(spark):
     assert row.n == n and row.s == n * n and row.last == f"a.key{2 * n - 1}"  # the odd numbers
     assert "FlatMapCoGroups" in got._jdf.queryExecution().optimizedPlan().toString()  # only for keys that feed each other, of which there are none
     assert keys.resolve_collisions(proposed.where("false"), taken).collect() == []
+
+
+def test_module_declarations(spark):
+    catalog = spark.createDataFrame([("en", "b.x"), ("en", "a.y"), ("en", "top"), ("de", "z.z")], "locale string, key string")
+    locales = spark.createDataFrame([("en",), ("en",), ("fr",), (None,)], "locale string")
+    module = 'declare module "next-intl" {\n  interface AppConfig {\n    Messages: %s;\n  }\n}\n'
+    got = dict(map(tuple, catalogs.module_declarations(catalog, locales).collect()))
+    assert got["en"] == 'import _root from "./en/_root.json";\nimport a from "./en/a.json";\nimport b from "./en/b.json";\n\ntype Messages = {\n  _root: typeof _root;\n  a: typeof a;\n  b: typeof b;\n};\n\n' + module % "Messages"
+    assert got["fr"] == "type Messages = Record<string, never>;\n\n" + module % "Messages" and len(got) == 2
+    got = dict(map(tuple, catalogs.module_declarations(catalog, locales, split=False).collect()))
+    assert got["fr"] == 'import messages from "./fr.json";\n\n' + module % "typeof messages" and len(got) == 2
+
+
+def test_client_namespaces(spark):
+    sites = spark.createDataFrame([("a", "x.k"), ("a", "x.l"), ("b", "y.k"), ("c", "x.k"), ("c", "plain"), (None, "z.k"), ("a", None)], "file string, key string")
+    clients = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "path string")
+    assert [tuple(r) for r in keys.client_namespaces(sites, clients).collect()] == [("x", 2)]
