@@ -173,7 +173,20 @@ class ByteBPE:
         return [ranks[t] for t in spelled if t is not None]
 
     def merge_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of many pre-tokens, and where each one's begin: all on one queue, whose buckets are emptied whole.
+        """The ids of many pre-tokens, and where each one's begin. Those that are tokens need no merges."""
+        whole = np.array([self.ranks.get(p, -1) for p in pieces], np.int64)
+        rest = np.flatnonzero(whole < 0)
+        ids, starts = self.merge_together([pieces[i] for i in rest.tolist()])
+        sizes = np.ones(len(pieces), np.int64)
+        sizes[rest] = np.diff(starts)
+        first = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(first[-1], np.int64)
+        out[first[:-1][whole >= 0]] = whole[whole >= 0]
+        out[np.repeat(first[:-1][rest] - starts[:-1], np.diff(starts)) + np.arange(starts[-1])] = ids
+        return out, first
+
+    def merge_together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pre-tokens that are no tokens: all on one queue, whose buckets are emptied whole.
 
         That gives what one after another gives, unless a merge makes a pair of lower rank, which has to come before the rest of its bucket. Pre-tokens in which that happens are merged by themselves.
         """
@@ -183,7 +196,7 @@ class ByteBPE:
         ids = np.full(n + 1, self.most, np.int64)  # of the token that begins at a byte, -1 where none does; place n stands for no neighbour
         ids[:n] = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)])[np.frombuffer(b"".join(pieces), np.uint8)]
         after, before = np.arange(1, n + 2), np.arange(-1, n)
-        after[first[1:] - 1] = before[first[:-1]] = n
+        after[first[1:] - 1] = before[first[:-1]] = n  # pre-tokens are never empty
         after[n] = n
         wanted = np.append(look(ids[:n], ids[after[:n]]), np.int32(-1))
         odd: set[int] = set()
