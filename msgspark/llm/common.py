@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,6 +40,27 @@ def packed_rows(df: DataFrame, *keys: Column) -> DataFrame:
     return df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row"), *keys)
 
 
+def beside(docs: DataFrame, column: str, compute: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.Array]]], kind: DataType) -> DataFrame:
+    """row (all columns of docs, whatever their names) and value: what a function makes of a column. compute() is called once for each task; its result gets batches of one column and gives the values for each in turn, in one array or several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = compute()
+        for batch in batches:
+            at = 0
+            for part in values(batch.select([1])):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), part], ["row", "value"])
+                at += len(part)
+
+    packed = packed_rows(docs, F.col("`" + column.replace("`", "``") + "`").alias("value"))
+    return packed.mapInArrow(run, StructType([packed.schema["row"], StructField("value", kind)]))
+
+
+def unpacked(rows: DataFrame, value: str) -> list[Column]:
+    """The columns of rows made by beside(), of which the one named `value` is new, or replaces one in its place."""
+    names = rows.schema["row"].dataType.fieldNames()
+    return [F.col("value").alias(c) if c == value else F.col("row").getField(c).alias(c) for c in (names if value in names else [*names, value])]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later stages survive the loss of executors and never recompute it."""
     spark = df.sparkSession

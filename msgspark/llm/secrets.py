@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import beside, unpacked
 
 #: The kinds in their order, base kinds first.
 KINDS = ["assign", "access", "hex", "linked_id", "linked_secret", "linked_endpoint"]
@@ -92,16 +95,13 @@ def find_secrets(docs: DataFrame, text: str = "text", reach: int = REACH) -> Dat
     One pass without a shuffle: every row is judged on its own, so that repeated rows, ties and hot sources need no care. Null and empty texts have no
     spans; very long ones are read whole, in time that follows their length and number of parts. A column named spans in docs is replaced, all others stay whatever their names.
     """
-    docs = docs.drop("spans")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, spans array<struct<kind:string,start:bigint,end:bigint>>"
-    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t, reach)] for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _SPANS)], [*batch.schema.names, "spans"])
+    def compute() -> Callable[[pa.RecordBatch], Iterator[pa.Array]]:
+        return lambda batch: iter([pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(t, reach)] for t in batch.column(0).to_pylist()], _SPANS)])
 
-    return docs.mapInArrow(run, schema)
+    span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    found = beside(docs.drop("spans"), text, compute, T.ArrayType(span))
+    return found.select(*unpacked(found, "spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -109,7 +109,7 @@ def joined(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (as one string), n_linked; a row for every row of docs."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans (as one string), n_linked; a row for every row of docs, repeated ones too. Null and empty texts have no spans, and the digest of nothing; texts of any length are read whole; other columns are ignored."""
     found = find_secrets(docs.select(F.col(row_id).alias("doc_id"), F.col(text).alias("text"))).drop("text")
     n = lambda *kinds: F.size(F.filter("spans", lambda x: x["kind"].isin(*kinds))).cast("long")
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
@@ -121,21 +121,17 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     Every row is masked on its own: repeated rows and ids stay repeated, no rows give no rows, a very long text is held whole.
     """
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, t in enumerate(texts):
-                if spans := spans_of(t):
-                    parts, end = [], 0
-                    for _, s, e in spans:
-                        if s >= end:
-                            parts += [t[end:s], mark]
-                        end = max(end, e)
-                    texts[i] = "".join(parts) + t[end:]
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+
+    def masked(t: str | None) -> str | None:
+        parts, end = [], 0
+        for _, start, stop in spans_of(t):
+            if start >= end:
+                parts += [t[end:start], mark]
+            end = max(end, stop)
+        return "".join(parts) + t[end:] if parts else t
+
+    def compute() -> Callable[[pa.RecordBatch], Iterator[pa.Array]]:
+        return lambda batch: iter([pa.array([masked(t) for t in batch.column(0).to_pylist()], batch.schema.field(0).type)])
+
+    found = beside(docs, text, compute, docs.schema[text].dataType)
+    return found.select(*unpacked(found, text))

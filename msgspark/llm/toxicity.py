@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache, reduce
 
@@ -12,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .automata import Machine, compose, machine
-from .common import cut
+from .common import beside, cut, unpacked
 from .wordtable import chunks, split_words
 
 #: Closed word classes of the transducers other than insults, which are learned.
@@ -88,6 +89,7 @@ class Grammar:
     lexicon: dict[str, float] = field(default_factory=dict)
     bias: float = -2.0
     weights: list[float] = field(default_factory=lambda: [0.0] * len(FEATURES))
+    strength: float = 0.0  # of a threat, as an entry's weight is of an insult
 
 
 def beginnings(word: str) -> list[str]:
@@ -141,7 +143,7 @@ class Transducer:
     def of_tags(self, tags: list[tuple[str, float]], of: np.ndarray, ends: np.ndarray, hits: np.ndarray) -> list[float] | None:
         """Features of a text whose words have the tags `of`; ends: words that end a sentence; hits: words that are insults or threats.
 
-        A clause is the words within REACH of insults and threats, in one sentence. Its insults are aimed, plain, denied or reported, whichever of these is the strongest. Only aimed and plain insults add to weight and share.
+        A clause is the words within REACH of insults and threats, in one sentence. Its insults are aimed, plain, denied or reported, whichever of these is the strongest. Only aimed and plain insults, and threats if they have a strength, add to weight and share.
         """
         counts = dict.fromkeys("aijqx", 0)
         best, insults = 0.0, 0
@@ -159,6 +161,8 @@ class Transducer:
             if strongest:
                 counts[strongest] += 1
             counts["x"] += "x" in out
+            if self.grammar.strength and "x" in out:
+                best, insults = max(best, self.grammar.strength), insults + out.count("x")
             for k, w in zip(kept, weights, strict=True):
                 if k in "ai":
                     best, insults = max(best, w), insults + 1
@@ -210,11 +214,51 @@ def _batches(batch: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, n)
 
 
+#: What a unit of each step adds to the weights of FEATURES: plain insults, aimed ones beyond plain ones, threats beyond plain insults, denied ones and reported ones (both downwards), weight, share.
+STEPS = np.array([[1, 1, 0, 0, 1, 0, 0], [0, 1, 0, 0, 0, 0, 0], [0, 0, 0, 0, 1, 0, 0], [0, 0, -1, 0, 0, 0, 0], [0, 0, 0, -1, 0, 0, 0], [0, 0, 0, 0, 0, 1, 0], [0, 0, 0, 0, 0, 0, 1]], float)
+PRIOR = np.array([1.0, 0.5, 0.5, 0.5, 0.5, 0.0, 0.0])  # steps where labelled rows say nothing
+CERTAINTY = 0.05  # of the prior, in rows
+
+
+def ordered_weights(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, list[float]]:
+    """Bias and clause weights of a logistic regression on n rows of features x and label y, under what a clause means: threats and aimed insults weigh at least as much as plain ones, these at least nothing, and denied and reported ones at most nothing.
+
+    The order is kept by steps that cannot be negative (STEPS), each drawn to PRIOR, so a clause that no labelled row holds keeps its place too. Newton's method on the steps that are free, halved until the loss falls.
+    """
+    z = np.hstack([np.ones((len(x), 1)), x @ STEPS.T])
+    drawn, pull = np.concatenate([[0.0], PRIOR]), np.concatenate([[1e-6], np.full(len(STEPS), CERTAINTY)])
+    w = drawn.copy()
+
+    def loss(v: np.ndarray) -> float:
+        t = z @ v
+        return float(n @ (np.logaddexp(0, t) - y * t) + pull @ (v - drawn) ** 2 / 2)
+
+    now = loss(w)
+    for _ in range(200):
+        m = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        slope = z.T @ (n * (m - y)) + pull * (w - drawn)
+        free = np.concatenate([[True], (w[1:] > 0) | (slope[1:] < 0)])
+        bend = (z[:, free] * (n * m * (1 - m))[:, None]).T @ z[:, free] + np.diag(pull[free])
+        step = np.zeros_like(w)
+        step[free] = np.linalg.solve(bend, slope[free])
+        size, was = 1.0, now
+        while size > 1e-9:
+            after = w - size * step
+            after[1:] = np.maximum(after[1:], 0)
+            if (then := loss(after)) < now:
+                w, now = after, then
+                break
+            size /= 2
+        if was - now < 1e-9 * max(1.0, abs(now)):
+            break
+    return float(w[0]), (w[1:] @ STEPS).tolist()
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", max_labelled: int = 30_000, max_entries: int = 2000, candidates: int = 3000, least_g: float = 22.0, max_alike: int = 8000) -> Grammar:
     """Grammar from at most max_labelled labelled rows that aren't held out (those with the least hashes of their ids); a document's label is the largest of its rows'.
 
     Candidates are the words and word beginnings whose presence in distinct texts goes with the label most significantly (G >= least_g). Near copies of one toxic text would make all its rare words telling: candidates
-    that stand in nearly the same texts (of max_alike toxic ones) as those of several other roots are left out. The clause weights are a ridge logistic regression.
+    that stand in nearly the same texts (of max_alike toxic ones) as those of several other roots are left out, and so are entries that a shorter one always outweighs. Words of any length count. The clause weights keep the order of what clauses mean (ordered_weights).
     No labelled rows, or no toxic ones, give a grammar without entries that scores low.
     """
     known = labels.select(F.col(row_id).cast("long").alias("_id"), F.col("toxic").alias("_toxic")).where("_id IS NOT NULL AND _toxic IS NOT NULL")
@@ -231,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
             for batch in _batches(whole, 500):
                 seen: dict[tuple[str, int], int] = {}
                 for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    for b in {b for w in words_of(t or "") if len(w) <= 32 for b in beginnings(w)}:
+                    for b in {b for w in words_of(t or "") for b in beginnings(w)}:
                         seen[b, y] = seen.get((b, y), 0) + 1
                 keys = list(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["entry", "toxic", "n"])
@@ -273,7 +317,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
         roots = {order[j].removeprefix("^")[:3] for j in np.flatnonzero(alike[i])}
         if len(roots) < 6 and len(lexicon) < max_entries:
             lexicon[e] = entries[e]
-    grammar = Grammar(lexicon)
+    lexicon = {e: w for e, w in lexicon.items() if not any(lexicon.get(b, -1.0) >= w for b in beginnings(e.removeprefix("^")) if b.startswith("^") and len(b) < len(e) + (e[0] != "^"))}  # a longer entry that a shorter one outweighs never decides
+    grammar = Grammar(lexicon, strength=float(np.median(list(lexicon.values()))) if lexicon else 0.0)
 
     def matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Transducer(grammar)
@@ -283,36 +328,27 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     sample = distinct.mapInArrow(matched, "x array<double>, y int").groupBy("x", "y").count().collect()  # max_labelled rows at most
-    x, y, n = np.array([r.x for r in sample]), np.array([float(r.y > 0) for r in sample]), np.array([float(r["count"]) for r in sample])
-    scale = np.maximum(x.std(axis=0), 1e-6)
-    z = np.hstack([np.ones((len(x), 1)), x / scale])
-    w, ridge = np.zeros(z.shape[1]), np.diag([1e-6] + [0.5] * len(FEATURES))
-    for _ in range(50):  # Newton
-        m = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (n * m * (1 - m) + 1e-9)[:, None]).T @ z + ridge, z.T @ (n * (y - m)) - ridge @ w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
-            break
-    grammar.bias, grammar.weights = float(w[0]), (w[1:] / scale).tolist()
+    grammar.bias, grammar.weights = ordered_weights(np.array([r.x for r in sample]), np.array([float(r.y > 0) for r in sample]), np.array([float(r["count"]) for r in sample]))
     return grammar
 
 
+def scored_rows(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
+    """row (all columns of docs) and value (the score of the text) for every row; see score_documents."""
+
+    def compute() -> Callable[[pa.RecordBatch], Iterator[pa.Array]]:
+        reader = Transducer(grammar)
+        return lambda whole: (pa.array(reader.scores(batch.column(0)), pa.float64()) for batch in chunks(whole, 0))
+
+    return beside(docs, text, compute, DoubleType())
+
+
 def score_documents(docs: DataFrame, grammar: Grammar, text: str = "text") -> DataFrame:
     """docs with `score` double added (a column of this name is replaced, all others stay whatever their names). Every row is read whole and on its own, so repeated rows score alike; null and empty texts have the bias's score.
 
     Very long texts are one chunk; memory follows the longest text.
     """
-    docs = docs.drop("score")
-    at = docs.columns.index(text)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Transducer(grammar)
-        for whole in batches:
-            for batch in chunks(whole, at):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reader.scores(batch.column(at)), pa.float64())], [*batch.schema.names, "score"])
-
-    return docs.mapInArrow(run, schema)
+    found = scored_rows(docs.drop("score"), grammar, text)
+    return found.select(*unpacked(found, "score"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id", threshold: float = 0.3) -> DataFrame:

@@ -3,6 +3,7 @@ from itertools import combinations
 import corpus_pipeline as C
 import public_tokenizers
 from msgspark.llm import secrets, simhash, toxicity
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 from .brute import contamination, unite
@@ -58,3 +59,16 @@ def test_stages_on_odd_rows(spark):
         assert len(found) == (5 if name == "simhash_dedup" else 7), name
     assert {r.text for r in C.secrets_stage(spark, docs, SF).collect() if r.doc_id == 5} == {"[SECRET]"}
     assert C.packing_stage(spark, docs, SF).select("doc_id").distinct().count() == 6
+
+
+def test_stages_with_names_that_need_quotes(spark):
+    names = ["meta.lang", "row", "a b", "b`t", "n_chars"]
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), *[StructField(n, StringType()) for n in names[:-1]], StructField("in", StructType([StructField("x.y", StringType())])), StructField("n_chars", LongType())])
+    own = ("m", "r", "s", "t", ("z",))
+    docs = spark.createDataFrame([(i, f"some words of row {i} token = abcdefgh{i}", *own, 5) for i in range(6)] + [(6, None, *[None] * 5, None)], schema)
+    for name, stage in C.STAGES[:-1]:
+        got = stage(spark, docs, SF)
+        assert got.schema.simpleString() == docs.schema.simpleString(), name
+        found = got.collect()
+        assert len(found) == 7 and all(tuple(r)[2:7] in (own, (None,) * 5) for r in found if r.text), name
+    assert C.packing_stage(spark, docs, SF).select("doc_id").distinct().count() == 7
