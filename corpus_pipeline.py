@@ -11,7 +11,7 @@ from msgspark.llm.packing import pack, token_pieces
 from msgspark.llm.queries import word_bpe
 from msgspark.llm.secrets import redact
 from msgspark.llm.simhash import one_of_each_group
-from msgspark.llm.toxicity import fit, score_documents
+from msgspark.llm.toxicity import fit, scored_rows
 
 THRESHOLD = 0.3
 
@@ -19,8 +19,7 @@ THRESHOLD = 0.3
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under THRESHOLD stay; the grammar is fitted on these documents' labels. Null and empty texts score low and stay; repeated rows share their fate; other columns pass unchanged."""
     grammar = fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = score_documents(docs.select("text", F.struct(*docs.columns).alias("row")), grammar)  # so that no column of docs clashes with the score
-    return scored.where(f"score < {THRESHOLD}").select("row.*")
+    return scored_rows(docs, grammar).where(F.col("value") < THRESHOLD).select("row.*")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +37,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     masked = redact(docs)
     if "n_chars" not in docs.columns:
         return masked
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
