@@ -311,3 +311,29 @@ class Uses:
         if re.match(r"(?:\+\+|--)", run):
             return "changed by an update"
         return "changed by assignment" if re.match(r"(?:\*\*|<<|>>>?|&&|\|\||\?\?|[-+*/%&|^])?=(?![=>])", run) else None
+
+
+class Calls(Uses):
+    """The uses of local names in the body of a function: keys, the first arguments of their calls where these are plain strings; reasons, why a name has other uses. The same scopes hold: names bound again are others."""
+
+    #: Methods of a translator that take a key.
+    METHODS = frozenset(["rich", "markup", "raw", "has"])
+
+    def __init__(self, code: str, tokens: list[J.Token], names: set[str]) -> None:
+        self.keys: list[J.Token] = []
+        super().__init__(code, tokens, names)
+
+    def use(self, tokens: list[J.Token], i: int, where: _Where) -> None:
+        before, j = tokens[i - 1] if i else None, i + 1
+        begins = before is None or before.kind == "punct" and before.text == ","
+        if where.braces and begins and j < len(tokens) and tokens[j].text == ":":
+            return  # a key
+        if not where.function and before is not None and before.text == "const":
+            return  # its own declaration
+        if j + 1 < len(tokens) and tokens[j].text in (".", "?.") and tokens[j + 1].text in self.METHODS:
+            j += 2
+        args = tokens[j].parts if j < len(tokens) and tokens[j].kind == "group" and tokens[j].text == "(" else []
+        if args and args[0].kind == "string" and (len(args) == 1 or args[1].text == ","):
+            self.keys.append(args[0])
+        else:
+            self.unsafe(tokens[i].text, "used other than in a call with a plain string")

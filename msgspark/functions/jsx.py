@@ -399,40 +399,6 @@ def template_values(t: Token) -> list[tuple[str, str]]:
     return found
 
 
-#: Names that stand before an operand, and names that stand between two.
-_PREFIX, _BETWEEN = frozenset("async await typeof new void delete yield return case keyof function class".split()), frozenset("in instanceof of as satisfies is extends".split())
-
-
-def expression_end(tokens: list[Token], at: int) -> int:
-    """Where the expression that begins at a place of these tokens ends: at a semicolon, a comma, or where an operand follows an operand, as the next statement does when no semicolon stands between."""
-    j = at
-    while j < len(tokens):
-        t, before = tokens[j], tokens[j - 1] if j > at else None
-        if t.kind == "punct" and t.text in (";", ","):
-            break
-        if before is not None and ends_operand(before) and (t.kind in ("number", "string", "jsx", "regex") or t.kind == "name" and t.text not in _BETWEEN or t.kind == "group" and t.text == "{" or t.kind == "punct" and t.text == "@"):
-            if before.kind == "name" and before.text in _BETWEEN | _PREFIX or _declares(tokens, at, j):
-                j += 1
-                continue
-            break
-        if t.kind == "name" and t.text in ("const", "let", "var", "export", "import") and before is not None and not (t.text == "import" and j + 1 < len(tokens) and tokens[j + 1].kind == "group"):
-            break
-        j += 1
-    return j
-
-
-def ends_operand(t: Token) -> bool:
-    return t.kind in ("name", "number", "string", "template", "group", "jsx", "regex")
-
-
-def _declares(tokens: list[Token], at: int, j: int) -> bool:
-    """Whether the operand at j belongs to a function or class expression whose head ends right before it: its name or its body."""
-    k = j - 1
-    while k >= at and (tokens[k].kind == "name" and tokens[k].text not in ("function", "class") or tokens[k].kind == "group" and tokens[k].text == "(" or tokens[k].text in ("*", ".")):
-        k -= 1
-    return k >= at and tokens[k].kind == "name" and tokens[k].text in ("function", "class") and not any(x.kind == "group" and x.text == "{" for x in tokens[k + 1 : j])
-
-
 def unwrap(tokens: list[Token]) -> list[Token]:
     while len(tokens) == 1 and tokens[0].kind == "group" and tokens[0].text == "(":
         tokens = tokens[0].parts

@@ -167,7 +167,7 @@ class Extractor:
                 self.component(body.start + 1, params, body.parts, generic)
             self.statements(body.parts, inner)
             return i + 2
-        j = J.expression_end(tokens, i + 1)
+        j = B.value_end(self.reader.code, tokens, i + 1) if i + 1 < len(tokens) else i + 1
         parts = tokens[i + 1 : j]
         if own and parts:
             self.component(parts[0].start, params, parts, generic)
@@ -351,6 +351,7 @@ class Translator:
     name: str
     space: str | None
     there: bool
+    args: J.Token | None = None  # where it is there, the brackets around its namespace
 
 
 def translator_in(body: list[J.Token], makers: set[str]) -> Translator | None:
@@ -361,20 +362,42 @@ def translator_in(body: list[J.Token], makers: set[str]) -> Translator | None:
             if j + 1 < len(body) and body[j].text in makers and body[j + 1].kind == "group" and body[j + 1].text == "(":
                 args = body[j + 1].parts
                 if not args or len(args) == 1 and args[0].kind == "string":
-                    return Translator(body[i + 1].text, args[0].text if args else None, True)
+                    return Translator(body[i + 1].text, args[0].text if args else None, True, body[j + 1])
     return None
 
 
+def common_space(keys: set[str]) -> str | None:
+    """The namespace that all keys share, None if any has none or two differ [AGG13]."""
+    spaces = {k.split(".")[0] if k.find(".") > 0 else None for k in keys}
+    return spaces.pop() if len(spaces) == 1 else None
+
+
+def retargeted(code: str, body: list[J.Token], own: Translator, keys: set[str]) -> tuple[Translator, list[tuple[int, int, str]]] | None:
+    """The component's own translator under the namespace that its old and new keys share, or under none, and the edits that its declaration and its calls need; None if it can stay as it is, or if any use of it is no call with a plain string, so that its keys aren't known [CG6].
+
+    Uses are found by scopes: a name that a parameter, a block or a function binds again is another one.
+    """
+    calls = B.Calls(code, body, {own.name})
+    if calls.reasons:
+        return None
+    full = [(text, f"{own.space}.{text.text}" if own.space else text.text) for text in calls.keys]
+    space = common_space(keys | {key for _, key in full})
+    if space == own.space:
+        return None
+    edits = [(own.args.start, own.args.end, f'("{space}")' if space else "()")]
+    edits += [(text.start, text.end, json.dumps(key[len(space) + 1 :] if space else key, ensure_ascii=False)) for text, key in full]
+    return Translator(own.name, space, True), edits
+
+
 def translator_for(found: list[J.Token], params: list[J.Token], keys: set[str], makers: set[str], outer: set[str], bare: bool = False) -> Translator:
     """The component's own translator if all keys lie in its namespace (bare: if it has none), else a new one under a name that nothing in the component or around it (outer) binds; existing calls are never touched [CG5, CG6]."""
     own = translator_in(found, makers)
     if own and (own.space is None or not bare and all(k.startswith(own.space + ".") for k in keys)):
         return own
-    spaces = {k.split(".")[0] if k.find(".") > 0 else None for k in keys}
     taken, n, name = J.names_in(params) | J.bound_names(found) | outer, 1, "t"
     while name in taken:
         n, name = n + 1, "tr" if n == 1 else f"tr{n}"
-    return Translator(name, spaces.pop() if len(spaces) == 1 and not bare else None, False)
+    return Translator(name, None if bare else common_space(keys), False)
 
 
 def local_names(imported: list[J.Import], name: str, source: str) -> list[str]:
@@ -429,11 +452,12 @@ def one_inline_source(code: str, tokens: list[J.Token], client: bool, module: st
     return code
 
 
-def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: str = "keys", inline_module: str = "@/components/t", client: bool | None = None, factories: set[str] | None = None, uses: set[str] | None = None, typed: bool = True, waiting: bool = False) -> tuple[str, int, bool]:
+def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: str = "keys", inline_module: str = "@/components/t", client: bool | None = None, factories: set[str] | None = None, uses: set[str] | None = None, typed: bool = True, waiting: bool = False, retarget: bool = False) -> tuple[str, int, bool]:
     """(code, replaced, client) with mapped strings as calls of a translator [CG2, CG4-6]: JSX text, attributes, expressions, ternary branches and content properties of components.
 
     mode "inline" [CG3] keeps the source text: <T id="key">text</T> for JSX text and t("text", "key") for the rest, from inline_module, on the server from inline_module-server (one_inline_source). In mode "keys" each component with a replaced string gets a translator at the start of its body, with the namespace if all its keys share one, then without it in the keys.
     A translator that is there is used where it fits, else a new one gets a name of its own (translator_for); imports are reused under their aliases, extended or added. client: whether the file reaches the browser (see graph.client_files); by itself judged by is_client. Async components of other files await their translator.
+    retarget: a translator that is there gets the namespace that its old and new keys share, or none, with its calls rewritten, if all of them are known (retargeted); else, and without retarget, it stays as it is.
     waiting: components of such files that aren't async become so, but for hooks, which cannot (only with the default module, which alone has a server side). A component whose body is an expression gets a block around it, with the translator and a return.
     factories: constants of this file that become functions of a translator, with the mapped texts in them as its calls; uses: names of such functions, imported ones too, that components call with their translator, which then has no namespace (see factories.factory_plan) [CG12]. typed: whether the file may have types.
     Strings outside components are left. The result is read again; if that fails, or nothing is replaced, the code comes back unchanged. Running twice changes nothing.
@@ -457,11 +481,15 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: st
     translators: dict[int, Translator] = {}
     bare = {u.body for u in handed}
     calls = {f.scope.body for f in found if not (inline and f.type == "jsx-text")} | bare
+    edits: list[tuple[int, int, str]] = []
     for body in {f.scope.body for f in found} | bare:
         params, parts = x.bodies[body]
-        own = translator_in(parts, every) if inline else None
+        own = translator_in(parts, every) if inline or retarget else None
+        if own and not inline:
+            moved = retargeted(code, parts, own, {keys[f.text] for f in found if f.scope.body == body}) if body not in bare and own.args else None
+            own, more = moved or (None, [])
+            edits += more
         translators[body] = own or translator_for(parts, params, set() if inline else {keys[f.text] for f in found if f.scope.body == body}, set() if inline else every, outer, body in bare)
-    edits: list[tuple[int, int, str]] = []
     for d in wrapped:
         kind = code[d.at.end : d.equals.start].strip()
         edits += [(d.at.end, d.value[0], f" = (t{': any' * typed}){kind} => ("), (d.value[1], d.value[1], ")")]
@@ -519,10 +547,10 @@ def rewrite(code: str, keys: dict[str, str], module: str = "next-intl", mode: st
     return out, len(found) + len(held), client
 
 
-def rewrite_sources(files: DataFrame, mapping: DataFrame, path: str = "path", content: str = "content", clients: DataFrame | None = None, factories: DataFrame | None = None, mode: str = "keys", waiting: bool = False) -> DataFrame:
+def rewrite_sources(files: DataFrame, mapping: DataFrame, path: str = "path", content: str = "content", clients: DataFrame | None = None, factories: DataFrame | None = None, mode: str = "keys", waiting: bool = False, retarget: bool = False) -> DataFrame:
     """path, content, replaced, client, modified (whether the content is new) of every file [CG1, SNK8]. Each file meets only the keys of its own texts: its strings are joined with the map (text, key) and gathered by file.
 
-    clients: paths of files that reach the browser over imports (graph.client_files); without it each file is judged by itself. factories: rows of factories.factory_plan, whose constants and uses are rewritten too. mode, waiting: see rewrite. Of a text that the map has several times the greatest key counts, as in keys.replacement_sites. Files that cannot be read come back unchanged.
+    clients: paths of files that reach the browser over imports (graph.client_files); without it each file is judged by itself. factories: rows of factories.factory_plan, whose constants and uses are rewritten too. mode, waiting, retarget: see rewrite. Of a text that the map has several times the greatest key counts, as in keys.replacement_sites. Files that cannot be read come back unchanged.
     """
     strings = extract_strings(files, path=path, content=content).select(F.col("file").alias(path), "text").distinct()
     keyed = mapping.where("text IS NOT NULL AND key IS NOT NULL").groupBy("text").agg(F.max("key").alias("key"))
@@ -543,7 +571,7 @@ def rewrite_sources(files: DataFrame, mapping: DataFrame, path: str = "path", co
                 judged = is_client(code or "") if reaches is None else reaches
                 typed = bool(re.search(r"\.[mc]?tsx?$", file or ""))
                 try:
-                    row = rewrite(code, dict(keys or {}), client=judged, mode=mode, factories=set(consts or []), uses=set(uses or []), typed=typed, waiting=waiting) if code and (keys or uses or mode == "inline") else (code, 0, judged)
+                    row = rewrite(code, dict(keys or {}), client=judged, mode=mode, factories=set(consts or []), uses=set(uses or []), typed=typed, waiting=waiting, retarget=retarget) if code and (keys or uses or mode == "inline") else (code, 0, judged)
                 except J.Unreadable:
                     row = (code, 0, judged)
                 for col, v in zip(out, (*row, row[0] != code), strict=True):

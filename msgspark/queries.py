@@ -626,6 +626,20 @@ def rewrite_expressions(s, d):
     return jsx_strings.rewrite_sources(pages.select(path.alias("path"), code.alias("content")), mapping, waiting=True).select("path", "replaced", "client", "content")
 
 
+@query("""SELECT 'p' || page_id || '.tsx' AS path, '"use client";' || chr(10) || 'import { useTranslations } from "next-intl";' || chr(10) || 'export function Page() {' || chr(10) || ' const t = useTranslations(' || CASE page_id % 3 WHEN 0 THEN '"old"' WHEN 1 THEN '' ELSE '"pages"' END || ');' || chr(10)
+  || ' return <p title={' || CASE page_id % 3 WHEN 0 THEN 't("k' WHEN 1 THEN 't("old.k' ELSE 't("k' END || page_id || '")} lang={list.map(t => t("x"))}>{t("' || CASE page_id % 3 WHEN 1 THEN 'pages.' ELSE '' END || 'p' || page_id || '")}</p>;' || chr(10) || '}' || chr(10) AS content FROM pages""")
+def rewrite_retargeted(s, d):
+    """Translators that are there: their namespace fits, is given up with their calls rewritten, or is given to one that has none."""
+    n = F.col("page_id")
+    number, third = n.cast("string"), n % 3
+    path = F.concat(F.lit("p"), number, F.lit(".tsx"))
+    head = F.lit('"use client";\nimport { useTranslations } from "next-intl";\nexport function Page() {\n const t = useTranslations(')
+    code = F.concat(head, F.when(third == 2, F.lit("")).otherwise(F.lit('"old"')), F.lit(");\n return <p title={t("), F.lit('"'), F.when(third == 2, F.lit("pages.")).otherwise(F.lit("")), F.lit("k"), number, F.lit('")} lang={list.map(t => t("x"))}>Page '), number, F.lit("</p>;\n}\n"))
+    pages = A.table(s, d, "pages")
+    mapping = pages.select(F.concat(F.lit("Page "), number).alias("text"), F.concat(F.when(third == 0, F.lit("old.p")).otherwise(F.lit("pages.p")), number).alias("key"))
+    return jsx_strings.rewrite_sources(pages.select(path.alias("path"), code.alias("content")), mapping, retarget=True).select("path", "content")
+
+
 @query("SELECT count(*) AS files, count(*) FILTER (WHERE n > 0) AS files_modified, sum(n)::BIGINT AS strings_wrapped, count(*) FILTER (WHERE n = 0) AS files_skipped, 0::BIGINT AS client_files FROM (SELECT file, count(key) AS n FROM str LEFT JOIN map USING (text) GROUP BY 1)", "map str")
 def codegen_totals(s, d):
     found = graph.saved(A.strings(s, d))

@@ -205,3 +205,41 @@ def test_sources_with_a_text_twice_in_the_map(spark):
     files = spark.createDataFrame([("a.tsx", "export default function P() { return <p>Hi</p>; }")], "path string, content string")
     mapping = spark.createDataFrame([("Hi", "a.one"), ("Hi", "a.two"), ("Hi", None), (None, "x")], "text string, key string")
     assert 't("two")' in X.rewrite_sources(files, mapping).first().content
+
+
+def hero(declaration, rest, server=False):
+    line = 'import { getTranslations } from "next-intl/server";' if server else 'import { useTranslations } from "next-intl";'
+    return f"{line}\n{'async ' * server}function Hero() {{\n  const t = {declaration};\n{rest}\n}}"
+
+
+KEYED = {"Welcome": "hero.welcome", "Start": "hero.start", "Sign up": "common.signUp"}
+
+
+@pytest.mark.parametrize(
+    ("before", "after"),
+    [
+        (hero("useTranslations()", "  return <p><b>Welcome</b>Start</p>;"), hero('useTranslations("hero")', '  return <p><b>{t("welcome")}</b>{t("start")}</p>;')),
+        (hero('useTranslations("other")', "  return <b>Welcome</b>;"), hero('useTranslations("hero")', '  return <b>{t("welcome")}</b>;')),
+        (hero('useTranslations("hero")', "  return <b>Welcome</b>;"), hero('useTranslations("hero")', '  return <b>{t("welcome")}</b>;')),
+        (hero("await getTranslations()", "  return <b>Welcome</b>;", True), hero('await getTranslations("hero")', '  return <b>{t("welcome")}</b>;', True)),
+        (hero("useTranslations()", "  return <p><b>Welcome</b>Sign up</p>;"), hero("useTranslations()", '  return <p><b>{t("hero.welcome")}</b>{t("common.signUp")}</p>;')),
+        # old calls follow the namespace, by scopes
+        (hero('useTranslations("hero")', '  return <p title={t("old", { n })}>{t.rich(\'a.b\')}Sign up</p>;'), hero("useTranslations()", '  return <p title={t("hero.old", { n })}>{t.rich("hero.a.b")}{t("common.signUp")}</p>;')),
+        (hero('useTranslations("x")', '  function f({ t }) { return t("mine"); }\n  const g = (t) => t("mine");\n  { const t = h; t("mine"); }\n  return <p>{a.t("b")}Welcome{t("own")}</p>;'), hero("useTranslations()", '  function f({ t }) { return t("mine"); }\n  const g = (t) => t("mine");\n  { const t = h; t("mine"); }\n  return <p>{a.t("b")}{t("hero.welcome")}{t("x.own")}</p>;')),
+        (hero('useTranslations("common")', '  return <p>{t("a")}{t("b")}Sign up</p>;'), hero('useTranslations("common")', '  return <p>{t("a")}{t("b")}{t("signUp")}</p>;')),
+    ],
+)
+def test_translators_that_are_there_change_their_namespace(before, after):
+    got, n, _ = X.rewrite(before, KEYED, retarget=True)
+    assert got == after and n
+    assert X.rewrite(got, KEYED, retarget=True)[0] == got
+
+
+@pytest.mark.parametrize("use", ["t(key)", "t(`k${i}`)", "f(t)", "{...t}", "t", "t.call(null)", "t"])
+def test_translators_with_unknown_keys_stay(use):
+    before = hero('useTranslations("x")', f"  const other = [{use}];\n  return <p>Sign up</p>;")
+    got = X.rewrite(before, KEYED, retarget=True)[0]
+    assert 'const t = useTranslations("x")' in got and 'const tr = useTranslations("common")' in got and use in got
+    before = hero("useTranslations(space)", '  return <p>{t("a")}Sign up</p>;')
+    got = X.rewrite(before, KEYED, retarget=True)[0]
+    assert "const t = useTranslations(space)" in got and '{t("a")}{tr("signUp")}' in got
