@@ -59,8 +59,11 @@ def entry_tokens(key: Column | str, value: Column | str) -> Column:
 
 
 def placeholders(c: Column | str) -> Column:
-    """All placeholders and tags of a text, sorted, repeats kept [STR1]."""
-    return F.array_sort(F.regexp_extract_all(lit_any(c), F.lit(f"({PLACEHOLDER})"), 1))
+    """All placeholders and tags of a text, sorted by UTF-16 units, repeats kept [STR1, WIN12]. That is the order of their bytes unless characters beyond U+FFFF stand in them, so only texts with such get sort keys."""
+    text = lit_any(c)
+    found = F.regexp_extract_all(text, F.lit(f"({PLACEHOLDER})"), 1)
+    keyed = F.array_sort(F.transform(found, lambda p: F.struct(F.encode(p, "UTF-16BE").alias("k"), p.alias("p"))))
+    return F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), F.transform(keyed, lambda x: x["p"])).otherwise(F.array_sort(found))
 
 
 def is_ignored_text(c: Column | str, trimmed: bool = False) -> Column:

@@ -188,9 +188,14 @@ def component_keys(sites: DataFrame) -> DataFrame:
     return sites.groupBy("component").agg(F.array_sort(F.collect_set("key")).alias("keys"))
 
 
+def alphabetical(c: Column | str) -> Column:
+    """A name as people sort it: letters before their accents, accents before their case, by Unicode's rules (ICU's root order)."""
+    return F.collate(T.lit_any(c), "UNICODE")
+
+
 def keygen_order(strings: DataFrame) -> DataFrame:
-    """strings with rank in each file: by component, then seq; files are ordered by name, so (file, rank) is the batch order [WIN6]."""
-    return strings.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(F.coalesce("component", F.lit("")), "seq")))
+    """strings with rank in each file: by component in alphabetical order (none first), then seq; (file in alphabetical order, rank) is the batch order [WIN6]. A file's strings are sorted with spilling; rows of one seq and component tie."""
+    return strings.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy(alphabetical(F.coalesce("component", F.lit(""))), "seq")))
 
 
 def replacement_sites(strings: DataFrame, mapping: DataFrame) -> DataFrame:

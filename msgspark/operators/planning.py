@@ -14,7 +14,7 @@ from .graph import saved
 CHUNK = 65_536  # rows of a group that one task takes
 
 
-def group_index(df: DataFrame, by: list[str], order: list[str], name: str = "_i") -> DataFrame:
+def group_index(df: DataFrame, by: list[str], order: list[str | Column], name: str = "_i") -> DataFrame:
     """df, written, with the place (from 0) of each row in its group of `by` by `order`, which must tie nothing within a group. No group needs to fit in a task.
 
     Rows are range-partitioned by group and order and ranked in their partition; the partitions' counts by group give the offsets. So there are as many offsets as partitions and groups, and one sort.

@@ -67,7 +67,7 @@ def generate_keys(
 ) -> DataFrame:
     """text, key, seq: the map of texts after a run [UDF4]. strings: text, seq and file, component, ... where known; mapping: text, key, seq.
 
-    Entries whose text no longer occurs (in all_texts, else in strings) go. Texts without an entry are taken once each, ordered by file, component and seq, and asked for in batches of options.max_entries, all side by side on at most options.concurrency tasks; each is shown the first `shown`
+    Entries whose text no longer occurs (in all_texts, else in strings) go. Texts without an entry are taken once each, ordered by file, component (both in alphabetical order) and seq, and asked for in batches of options.max_entries, all side by side on at most options.concurrency tasks; each is shown the first `shown`
     entries. Each answer is written to a log (see calls) before anything else, so a task that is run again, or a run of the same options.run, doesn't repeat a call that was answered. If a batch fails, KeyGenerationFailed: nothing is published. Keys of one part get the namespace of their component or file; then collisions get
     numbers (old keys are never changed by them) and leaves that are branches get 'Label'. on_usage is told the tokens, on_progress the texts asked for and all [UDF7].
     """
@@ -77,7 +77,7 @@ def generate_keys(
     get = lambda c: F.col(c) if c in strings.columns else F.lit(None).cast("string")
     fresh = K.new_strings(strings.select("text", "seq", get("file").alias("file"), get("component").alias("component"), *extra), active)
     ordered = fresh.withColumn("_file", F.coalesce("file", F.lit(""))).withColumn("_component", F.coalesce("component", F.lit("")))
-    rows = group_index(ordered, [], ["_file", "_component", "seq", "text"], "_place").drop("_file", "_component")
+    rows = group_index(ordered, [], [K.alphabetical("_file"), K.alphabetical("_component"), "seq", "text"], "_place").drop("_file", "_component")
     known = [(r.text, r.key) for r in active.orderBy("seq", "text").limit(shown).collect()]
     names = [c for c in rows.columns if c not in ("_place", "_batch")]
     log = CallLog.of(strings.sparkSession, options.run)

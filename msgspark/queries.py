@@ -486,6 +486,18 @@ def keygen_order(s, d):
     return keys.keygen_order(A.turns(s, d)).select("file", "component", "seq", F.col("rank").cast("long").alias("rank"))
 
 
+NAMES = ["b", "B", "\u00e9", "e", "\u00c9", "Zebra", "_x", "a-b", "ab", "\u00c4pfel", "apfel"]
+
+
+@query(f"SELECT file, component, seq, row_number() OVER (PARTITION BY file ORDER BY component COLLATE en, seq) AS rank FROM (SELECT conv_id % 10 AS file, {NAMES}[1 + (conv_id + turn) % {len(NAMES)}] || (turn % 2) AS component, conv_id * 1000 + turn AS seq FROM conversations)")
+def keygen_order_of_names(s, d):
+    """Components with accents and in both cases, as people sort them."""
+    n = (F.col("conv_id") + F.col("turn")) % len(NAMES)
+    names = F.element_at(F.array(*map(F.lit, NAMES)), (n + 1).cast("int"))
+    rows = A.table(s, d, "conversations").select((F.col("conv_id") % 10).alias("file"), F.concat(names, (F.col("turn") % 2).cast("string")).alias("component"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
+    return keys.keygen_order(rows).select("file", "component", "seq", F.col("rank").cast("long").alias("rank"))
+
+
 # Scanning
 
 

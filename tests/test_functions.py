@@ -96,3 +96,11 @@ def test_trim_is_linear(spark):
         took.append(time.perf_counter() - began)
     assert min(took) < 0.5  # most of it Spark's own start of a job; by a regular expression it took minutes
     assert one(spark, T.trim_unicode("t"), t="\u0085\u200bx\u001c") == "\u0085\u200bx\u001c"  # no spaces by the rule
+
+
+def test_placeholders_in_the_order_of_utf16_units(spark):
+    text = '{b} <b x="\U0001f600"> <b x="￮"> <b x=""> {b} {a} <b x="\U00010000">'
+    found = one(spark, T.placeholders("t"), t=text)
+    assert found == sorted(found, key=lambda p: p.encode("utf-16-be")) and len(found) == 7 and found != sorted(found)
+    plain = one(spark, T.placeholders("t"), t="{b} </i> {a} %s {b}")
+    assert plain == sorted(plain) == ["%s", "</i>", "{a}", "{b}", "{b}"]

@@ -398,3 +398,12 @@ def test_client_namespaces(spark):
     sites = spark.createDataFrame([("a", "x.k"), ("a", "x.l"), ("b", "y.k"), ("c", "x.k"), ("c", "plain"), (None, "z.k"), ("a", None)], "file string, key string")
     clients = spark.createDataFrame([("a",), ("a",), ("c",), (None,)], "path string")
     assert [tuple(r) for r in keys.client_namespaces(sites, clients).collect()] == [("x", 2)]
+
+
+def test_keys_are_asked_for_in_alphabetical_order(spark):
+    names = ["b", "B", "é", "e", "É", "Zebra", "_x", "ab", None, "Äpfel", "apfel"]
+    strings = spark.createDataFrame([(f"t{i}", i, "f.tsx", n) for i, n in enumerate(names)], "text string, seq long, file string, component string")
+    want = [None, "_x", "ab", "apfel", "Äpfel", "b", "B", "e", "é", "É", "Zebra"]
+    assert [r.component for r in keys.keygen_order(strings).orderBy("rank").collect()] == want
+    seen = keygen.generate_keys(strings, spark.createDataFrame([], "text string, key string, seq long"), keygen.StubKeys(), options=P.Options(max_entries=3))
+    assert seen.count() == len(names)
