@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import json_leaves
 from ..functions import text as T
+from .graph import saved
 
 ID = ["locale", "key"]
 
@@ -144,6 +145,72 @@ def unflatten_documents(catalog: DataFrame, *by: str) -> DataFrame:
     return catalog.select(*by, "key", "value", "seq").groupBy(*by).applyInArrow(build, f"{schema}, document string")
 
 
+def document_order(catalog: DataFrame, flat: bool = False) -> DataFrame:
+    """locale, path, value, place: the entries that a nested document has, place (an array) being their order in it.
+
+    An entry stands in the object of its path, an object where its first entry stands. Of a repeated key the last value counts, at the first place. A leaf that is also a branch gives way to a later entry of the branch, as does a branch to a later leaf,
+    each at the other's place; what such a leaf has replaced is gone, whatever comes later. flat: keys are names as they are. All of it is joins on prefixes, so a document of any size meets in no task. `seq` must tie nothing within a locale; rows
+    with a null key or value are left out.
+    """
+    rows = catalog.where("locale IS NOT NULL AND key IS NOT NULL AND value IS NOT NULL").select("locale", "key", "value", "seq", (F.array("key") if flat else F.split("key", r"\.")).alias("path"))
+    if flat:
+        last = rows.groupBy("locale", "key").agg(F.max_by("value", "seq").alias("value"), F.min("seq").alias("first"))
+        return last.select("locale", F.array("key").alias("path"), "value", F.array("first").alias("place"))
+    prefixes = F.transform("path", lambda _, i: F.array_join(F.slice("path", 1, i + 1), "."))
+    each = rows.select("locale", "key", "seq", F.size("path").alias("n"), F.posexplode(prefixes).alias("d", "prefix"))
+    leaves = rows.groupBy("locale", "key").agg(F.max("seq").alias("leaf_at")).select(F.col("locale").alias("of"), F.col("key").alias("prefix"), "leaf_at")
+    met = each.join(leaves, (each.locale == leaves.of) & (each.prefix == leaves.prefix), "left").select("locale", "key", "seq", "n", "d", each.prefix, "leaf_at")
+    gathered = met.groupBy("locale", "key", "seq", "n").agg(F.array_sort(F.collect_list(F.struct("d", "prefix", F.coalesce("leaf_at", F.lit(-1).cast("long")).alias("leaf_at")))).alias("up"))  # as many as the key has parts
+    reset = lambda i: F.coalesce(F.array_max(F.transform(F.slice("up", 1, i), lambda x: x["leaf_at"])), F.lit(-1).cast("long"))  # noqa: E731  when a leaf last took the place of what is above
+    timed = saved(gathered.select("locale", "key", "seq", "n", F.transform("up", lambda x, i: F.struct(x["prefix"].alias("prefix"), x["leaf_at"].alias("leaf_at"), reset(i).alias("reset"))).alias("up")))
+    events = timed.select("locale", "seq", "n", F.posexplode("up").alias("d", "x"))
+    first = events.where("seq > x.reset").groupBy("locale", "x.prefix").agg(F.min("seq").alias("first"), F.max(F.when(F.col("d") + 1 < F.col("n"), F.col("seq"))).alias("branch_at"))
+    alive = timed.where((F.element_at("up", -1)["leaf_at"] == F.col("seq")) & (F.element_at("up", -1)["reset"] < F.col("seq")))
+    asked = alive.select("locale", "key", "seq", "n", F.posexplode(F.transform("up", lambda x: x["prefix"])).alias("d", "prefix"))
+    placed = asked.join(first, ["locale", "prefix"]).groupBy("locale", "key", "seq").agg(F.array_sort(F.collect_list(F.struct("d", "first"))).alias("up"), F.max(F.when(F.col("d") + 1 == F.col("n"), F.col("branch_at"))).alias("branch_at"))
+    kept = placed.where(F.col("branch_at").isNull() | (F.col("branch_at") < F.col("seq"))).select("locale", "key", "seq", F.transform("up", lambda x: x["first"]).alias("place"))
+    return kept.join(rows, ["locale", "key", "seq"]).select("locale", "path", "value", "place")
+
+
+def document_lines(entries: DataFrame) -> DataFrame:
+    """locale, part, n, value: the lines of each locale's document; parts follow each other, and in a part the rows by n. entries: document_order.
+
+    Rows are range-partitioned by locale and place, and each learns the path after its own: within a partition by a window over it, at its end from a list of the partitions' first rows. So a row by itself can write its leaf, the braces that close after
+    it and those that open before the next one, which follow from the common beginning of the two paths.
+    """
+    spark, key = entries.sparkSession, Window.partitionBy("part").orderBy("n")
+    ranged = saved(entries.repartitionByRange("locale", "place").sortWithinPartitions("locale", "place").select("locale", "path", "value", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n")))
+    ends = ranged.groupBy("part").agg(F.min_by(F.struct("locale", "path"), "n").alias("first"), F.max_by("locale", "n").alias("last")).orderBy("part").collect()  # a row for each partition
+    edges = [(x.part, after.first.locale if after else None, after.first.path if after else None, before is None or before.last != x.first.locale) for before, x, after in zip([None, *ends], ends, [*ends[1:], None], strict=False)]
+    known = spark.createDataFrame(edges, "part int, after_locale string, after_path array<string>, begins boolean")
+    near = F.struct("locale", "path")
+    rows = ranged.select("*", F.lead(near).over(key).alias("next"), F.lag("locale").over(key).alias("before")).join(F.broadcast(known), "part")  # as many as partitions
+    follows = F.when(F.col("next").isNotNull(), F.col("next")).otherwise(F.struct(F.col("after_locale").alias("locale"), F.col("after_path").alias("path")))
+    rows = rows.select("locale", "part", "n", "path", F.col("value").alias("text"), F.when(F.col("before").isNull(), F.col("begins")).otherwise(F.col("before") != F.col("locale")).alias("new"), F.when(follows["locale"] == F.col("locale"), follows["path"]).alias("then"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_lines(*row) for row in zip(*(batch.column(c).to_pylist() for c in range(3, 7)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], ["locale", "part", "n", "value"])
+
+    return rows.mapInArrow(run, "locale string, part int, n long, value string")
+
+
+def _opened(path: list[str], depth: int) -> list[str]:
+    return [f"{'  ' * (i + 1)}{json.dumps(path[i], ensure_ascii=False)}: {{" for i in range(depth, len(path) - 1)]
+
+
+def _lines(path: list[str], text: str, new: bool, then: list[str] | None) -> str:
+    """What an entry writes: new, whether it is the document's first; then, the path after it, None for the last."""
+    common, depth = 0, len(path) - 1
+    while then is not None and common < min(depth, len(then) - 1) and path[common] == then[common]:
+        common += 1
+    out = ["{", *_opened(path, 0)] if new else []
+    out.append(f"{'  ' * len(path)}{json.dumps(path[-1], ensure_ascii=False)}: {json.dumps(text, ensure_ascii=False)}" + "," * (then is not None and common == depth))
+    out += [f"{'  ' * d}}}" + "," * (then is not None and d - 1 == common) for d in range(depth, common, -1)]
+    return "\n".join(out + (_opened(then, common) if then is not None else ["}"]))
+
+
 def flat_documents(catalog: DataFrame, *by: str) -> DataFrame:
     """One flat JSON document for each group of `by`, keys as they are, in seq order; of a repeated key the last value [SNK1, SNK4]. A document is one value, so a group must fit in a task by nature."""
 

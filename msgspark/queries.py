@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -116,6 +117,16 @@ def catalog_document(s, d):
     return catalogs.unflatten_documents(parts, "locale", "ns")
 
 
+@query("""SELECT locale, count(*) AS lines, sum(strlen(line))::BIGINT AS bytes, min(md5(line)) AS least, max(md5(line)) AS most FROM (SELECT locale, unnest(string_split('{' || chr(10) || string_agg('  ' || to_json(ns)::VARCHAR || ': {' || chr(10) || body || chr(10) || '  }', ',' || chr(10) ORDER BY first) || chr(10) || '}', chr(10))) AS line
+FROM (SELECT locale, ns, min(seq) AS first, string_agg('    ' || to_json(rest)::VARCHAR || ': ' || to_json(value)::VARCHAR, ',' || chr(10) ORDER BY seq) AS body FROM (SELECT locale, split_part(key, '.', 1) AS ns, substr(key, instr(key, '.') + 1) AS rest, value, seq FROM src) GROUP BY 1, 2) GROUP BY 1) GROUP BY 1""", "src")
+def catalog_files(s, d):
+    """A nested file for each locale, written in parts; its lines are read again."""
+    folder = f"{graph.shared_folder(s)}/catalogs-{uuid.uuid4().hex}"
+    files.write_catalogs(A.source(s, d), folder)
+    lines = s.read.text(folder).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("locale"), "value")
+    return lines.groupBy("locale").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value")).alias("bytes"), F.min(F.md5("value")).alias("least"), F.max(F.md5("value")).alias("most"))
+
+
 @query("SELECT locale, split_part(key, '.', 1) AS ns, count(*) AS entries FROM src GROUP BY ALL", "src")
 def namespace_sizes(s, d):
     return A.source(s, d).groupBy("locale", T.partition_of("key").alias("ns")).agg(F.count("*").alias("entries"))
