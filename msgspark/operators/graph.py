@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,9 +29,34 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_open: list[list[str]] = []
+
+
+def listed(path: str) -> str:
+    """Notes a table for the scratch() around, if there is one."""
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the tables that operators have written to the shared folder inside it, training-data operators too: with scratch(spark): result(...).write... DataFrames made inside cannot be read afterwards. The list of tables so far is
+    what it gives. An inner scratch() deletes its own only."""
+    mine: list[str] = []
+    _open.append(mine)
+    try:
+        yield mine
+    finally:
+        _open.remove(mine)
+        for place in mine:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved_path(df: DataFrame) -> str:
     """Writes df to the shared folder and returns the place."""
-    path = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
+    path = listed(f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return path
 

@@ -12,7 +12,7 @@ from typing import Any
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
-from ..operators.graph import shared_folder
+from ..operators.graph import listed, shared_folder
 
 
 @dataclass(frozen=True)
@@ -27,7 +27,8 @@ class CallLog:
     @classmethod
     def of(cls, spark: SparkSession, run: str | None = None) -> CallLog:
         """The log of a run in spark.checkpoint.dir; runs of one name share their answers. ValueError if pyarrow cannot open that folder."""
-        log = cls(f"{shared_folder(spark)}/calls-{run or uuid.uuid4().hex}")
+        place = f"{shared_folder(spark)}/calls-{run or uuid.uuid4().hex}"
+        log = cls(place if run else listed(place))  # a named log outlives the scratch() around
         try:
             fs, path = log._open()
             fs.create_dir(path, recursive=True)

@@ -98,6 +98,8 @@ def generate_keys(
 
     batches = rows.withColumn("_batch", F.floor(F.col("_place") / options.max_entries)).repartition(options.concurrency, "_batch")
     done = saved(batches.groupBy("_batch").applyInArrow(call, f"text string, _place long, seq {rows.schema['seq'].dataType.simpleString()}, file string, component string, key string, tokens_in long, tokens_out long, error string"))
+    if not options.run:
+        log.drop()  # no other run can find it
     used_in, used_out, failed, n = done.agg(F.sum("tokens_in"), F.sum("tokens_out"), F.min("error"), F.count("*")).first()
     if failed is not None:
         raise KeyGenerationFailed(failed)

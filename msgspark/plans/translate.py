@@ -188,6 +188,8 @@ def translate(entries: DataFrame, model: Translator, fallback: Translator | None
         if on_progress:
             told.before += spark.read.schema(OUT).parquet(paths[-1]).where("key IS NOT NULL").count()
             told.say(told.before)
+    if not options.run:
+        log.drop()  # no other run can find it
     if on_usage:
         used = done.agg(F.sum("tokens_in"), F.sum("tokens_out")).first()
         if used[0] or used[1]:

@@ -10,7 +10,7 @@ import time
 from collections import Counter
 
 import pytest
-from msgspark.operators import planning
+from msgspark.operators import graph, planning
 from msgspark.plans import calls, keygen
 from msgspark.plans import translate as P
 from msgspark.plans.calls import CallLog
@@ -153,3 +153,16 @@ def test_wave_context_keeps_bounded_groups(spark):
     rows = spark.range(1000).select(F.lit("de").alias("locale"), F.floor(F.col("id") / 100).alias("wave_id"), F.concat(F.lit("n."), "id").alias("key"), F.lit("v").alias("value"), F.col("id").alias("seq"))
     plan = planning.wave_context(rows, "locale")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_scratch_deletes_what_operators_have_written(spark):
+    rows = spark.createDataFrame([("de", f"k{i}", "v", i, 0) for i in range(6)], "locale string, key string, value string, seq long, rank int")
+    with graph.scratch(spark) as tables:
+        with graph.scratch(spark) as inner:
+            graph.saved(rows).count()
+        assert len(inner) == 1 and not pathlib.Path(inner[0].removeprefix("file://")).exists()
+        assert P.translate(rows, P.StubTranslator()).count() == 6
+        assert tables and all(pathlib.Path(t.removeprefix("file://")).exists() for t in tables if "calls-" not in t)
+    assert not any(pathlib.Path(t.removeprefix("file://")).exists() for t in tables)
+    kept = graph.saved_path(rows)
+    assert pathlib.Path(kept.removeprefix("file://")).exists()
