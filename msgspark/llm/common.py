@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from ..operators.graph import listed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,7 +66,7 @@ def unpacked(rows: DataFrame, value: str) -> list[Column]:
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later stages survive the loss of executors and never recompute it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = listed(f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
