@@ -40,6 +40,28 @@ class CountingTranslator:
         return {k: f"{len(context)}_{k}" for k in entries}, 100, 50
 
 
+@dataclass(frozen=True)
+class Renaming:
+    """A prefix and the key, 100 tokens in and 50 out."""
+
+    prefix: str
+
+    def __call__(self, entries: dict[str, str], locale: str, context: list[str]) -> tuple[dict[str, str], int, int]:
+        return {k: f"{self.prefix}{k}" for k in entries}, 100, 50
+
+
+@dataclass(frozen=True)
+class Refusing:
+    """Refuses one locale; others as the stub."""
+
+    locale: str
+
+    def __call__(self, entries: dict[str, str], locale: str, context: list[str]) -> tuple[dict[str, str], int, int]:
+        if locale == self.locale:
+            raise ConnectionError(locale)
+        return StubTranslator()(entries, locale, context)
+
+
 @dataclass(frozen=True)
 class Options:
     target_tokens: int = 2000

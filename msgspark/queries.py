@@ -127,6 +127,37 @@ def catalog_files(s, d):
     return lines.groupBy("locale").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value")).alias("bytes"), F.min(F.md5("value")).alias("least"), F.max(F.md5("value")).alias("most"))
 
 
+@query("SELECT text, key, row_number() OVER (ORDER BY seq) - 1 AS seq FROM map", "map")
+def map_file(s, d):
+    """The map as a file, and read again in its order."""
+    folder = f"{graph.shared_folder(s)}/map-{uuid.uuid4().hex}"
+    files.write_map(A.text_map(s, d), folder)
+    return files.read_entries(s, f"{folder}/map.json", strict=True).select(F.col("key").alias("text"), F.col("value").alias("key"), "seq")
+
+
+@query("SELECT 'en' AS locale, key, value, row_number() OVER (ORDER BY first) - 1 AS seq FROM (SELECT 'p.m' || length(text) AS key, arg_max(text, seq) AS value, min(seq) AS first FROM map GROUP BY 1)", "map")
+def source_locale_file(s, d):
+    """The source locale's messages written from the map and read again in their order; of several texts of a key the last."""
+    from .config import Config
+
+    folder, config = f"{graph.shared_folder(s)}/source-{uuid.uuid4().hex}", Config("en", ("de",))
+    files.write_source_locale(A.text_map(s, d), config, folder)
+    return files.read_source_catalog(s, config, folder)
+
+
+@query("SELECT DISTINCT name, regexp_matches(name, '^[A-Z]') OR name = '__default__' AS pascal FROM (SELECT p_brand AS name FROM part UNION ALL SELECT lower(p_brand) FROM part UNION ALL SELECT CASE p_size WHEN 1 THEN '__default__' ELSE '_' || p_name END FROM part)")
+def pascal_case(s, d):
+    names = A.table(s, d, "part").select(F.explode(F.array("p_brand", F.lower("p_brand"), F.when(F.col("p_size") == 1, "__default__").otherwise(F.concat(F.lit("_"), "p_name")))).alias("name")).distinct()
+    return names.select("name", T.is_pascal_case("name").alias("pascal"))
+
+
+@query("SELECT doc_id, chr(10) || '{' || chr(10) || chr(10) || ' \"a\": \"' || lang || '//' || source || '\" ' || chr(10) || '}' AS document FROM documents")
+def json_comments(s, d):
+    """Comments on lines of their own and between stars go, slashes in strings stay."""
+    text = F.concat(F.lit("// "), "source", F.lit("\n{\n  // a \"b\"\n \"a\": \""), "lang", F.lit("//"), "source", F.lit("\" /* "), "lang", F.lit("\n */\n}"))
+    return A.table(s, d, "documents").select("doc_id", T.strip_json_comments(text).alias("document"))
+
+
 @query("SELECT locale, split_part(key, '.', 1) AS ns, count(*) AS entries FROM src GROUP BY ALL", "src")
 def namespace_sizes(s, d):
     return A.source(s, d).groupBy("locale", T.partition_of("key").alias("ns")).agg(F.count("*").alias("entries"))
@@ -582,6 +613,27 @@ def translate_waves(s, d):
     return plan.translate(catalogs.to_translate(diff_of(s, d)), plan.CountingTranslator(), options=options).select("locale", "key", "value")
 
 
+@query("SELECT locale, key, CASE locale WHEN 'de' THEN 'again_' ELSE 'translated_' END || key AS value FROM dif WHERE status IN ('added', 'modified')", "dif")
+def translate_fallback(s, d):
+    """A model that never answers for one locale; another one does."""
+    options = plan.Options(concurrency=256, retries=1, wait=lambda seconds: None)
+    return plan.translate(catalogs.to_translate(diff_of(s, d)), plan.Refusing("de"), plan.Renaming("again_"), options).select("locale", "key", "value")
+
+
+@query("SELECT locale, key, CASE status WHEN 'unchanged' THEN value ELSE 'translated_' || key END AS value FROM dif WHERE status <> 'removed' AND locale <> 'fr' UNION ALL SELECT locale, key, value FROM tgt WHERE locale = 'fr'", "dif")
+def published_catalog(s, d):
+    """What a run publishes: a locale with a failed batch keeps its catalog, removed keys too."""
+    options = plan.Options(concurrency=256, retries=0, wait=lambda seconds: None)
+    return plan.run(A.source(s, d), A.target(s, d), A.lock(s, d), plan.Refusing("fr"), options=options).catalog.select("locale", "key", "value")
+
+
+@query("SELECT locale, key, hash FROM lck JOIN dif USING (locale, key) WHERE status = 'unchanged' OR locale = 'fr' AND status <> 'added' UNION ALL SELECT locale, key, substr(sha256(value), 1, 16) FROM dif WHERE status IN ('added', 'modified') AND locale <> 'fr' AND value IS NOT NULL", "dif")
+def published_lock(s, d):
+    """The lock after that run: no hash of the failed locale changes."""
+    options = plan.Options(concurrency=256, retries=0, wait=lambda seconds: None)
+    return plan.run(A.source(s, d), A.target(s, d), A.lock(s, d), plan.Refusing("fr"), options=options).lock.select("locale", "key", "hash")
+
+
 @query("SELECT text, seq, 'gen.k' || substr(sha256(text), 1, 8) AS key FROM (SELECT text, min(seq) AS seq FROM str WHERE text NOT IN (SELECT text FROM map) GROUP BY text) UNION ALL SELECT text, seq, key FROM map", "map str")
 def keygen_stub(s, d):
     found = graph.saved(A.strings(s, d))
@@ -663,6 +715,61 @@ def rewrite_retargeted(s, d):
     return jsx_strings.rewrite_sources(pages.select(path.alias("path"), code.alias("content")), mapping, retarget=True).select("path", "content")
 
 
+#: Source lines of a component with a string in every place that counts, by what stands before and after the page's number; and what the strings are.
+PLACES = [
+    ('const LABELS = { title: "Const {n}", href: "/x" };', []),
+    ("export default function Page({ ok, name }) {", []),
+    (' const items = [{ label: "Item {n}", id: "a" }];', [("Item {n}", "object-property", "label", None, None)]),
+    (" return <main>", []),
+    ('  <input placeholder="Type {n}" className="c" title={ok ? "Yes {n}" : "No {n}"} />', [("Type {n}", "jsx-attribute", "placeholder", "input", None), ("Yes {n}", "jsx-attribute", "title", "input", None), ("No {n}", "jsx-attribute", "title", "input", None)]),
+    ('  <p>{ok ? "Open {n}" : `Closed ${name} {n}`}</p>', [("Open {n}", "jsx-expression", None, "p", None), ("Closed {name} {n}", "jsx-expression", None, "p", None)]),
+    ('  <p>{"Plain {n}"}</p>', [("Plain {n}", "jsx-expression", None, "p", None)]),
+    ('  <T id="a.b">Wrapped {n}</T>', [("Wrapped {n}", "T-component", None, "main", "a.b")]),
+    ('  <i>{t("Called {n}", "a.c")}</i>', [("Called {n}", "t-call", None, "i", "a.c")]),
+    ("  <code>Ignored {n}</code>", []),
+    (" </main>;", []),
+    ("}", []),
+]
+PLACED = [("Const {n}", "module-object-property", "title", None, None), *[x for _, found in PLACES for x in found]]
+
+
+def numbered(s, d, text):
+    """For each page: page_id, and the text with its number for {n}."""
+    return A.table(s, d, "pages").select("page_id", F.replace(F.lit(text), F.lit("{n}"), F.col("page_id").cast("string")).alias("content"))
+
+
+def quoted(x):
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+@query("SELECT 'p' || page_id AS file, i AS seq, replace(text, '{n}', page_id::VARCHAR) AS text, type, prop, tag, id, CASE WHEN i = 0 THEN NULL ELSE 'Page' END AS component, CASE WHEN i = 0 THEN 'LABELS' END AS const FROM pages, (VALUES " + ", ".join(f"({i}, {quoted(t)}, {quoted(k)}, {quoted(p)}, {quoted(g)}, {quoted(x)})" for i, (t, k, p, g, x) in enumerate(PLACED)) + ") AS v(i, text, type, prop, tag, id)")
+def extract_places(s, d):
+    """Strings in attributes, branches, templates, properties, constants and calls."""
+    files = numbered(s, d, "\n".join(line for line, _ in PLACES)).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("path"), "content")
+    return jsx_strings.extract_strings(files).select("file", F.col("seq"), "text", "type", "prop", "tag", "id", "component", "const")
+
+
+INLINE = [
+    ("export default function Page({ ok, name }) {", 'import { T, useT } from "@/components/t";\nexport default function Page({ ok, name }) {\n\tconst t = useT();'),
+    (" return <main>", " return <main>"),
+    ('  <input placeholder="Type {n}" className="c" />', '  <input placeholder={t("Type {n}", "p.k{n}")} className="c" />'),
+    ('  <b>{ok ? "Open {n}" : `Closed ${name} {n}`}</b>', '  <b>{ok ? t("Open {n}", "p.o{n}") : t("Closed {name} {n}", "p.c{n}", { name })}</b>'),
+    ("  <p>Page {n}</p>", '  <p><T id="p.t{n}">Page {n}</T></p>'),
+    (" </main>;", " </main>;"),
+    ("}", "}"),
+]
+
+
+@query("SELECT 'p' || page_id || '.tsx' AS path, 4 AS replaced, replace(" + quoted("\n".join(["'use client'", *[x for _, x in INLINE]])) + ", '{n}', page_id::VARCHAR) AS content FROM pages")
+def rewrite_inline(s, d):
+    """Client components in inline mode, which keeps the source texts."""
+    files = numbered(s, d, "\n".join(["'use client'", *[x for x, _ in INLINE]])).select(F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".tsx")).alias("path"), "content")
+    forms = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (("Type ", "p.k"), ("Open ", "p.o"), ("Closed {name} ", "p.c"), ("Page ", "p.t"))])).alias("x")
+    n = F.col("page_id").cast("string")
+    mapping = A.table(s, d, "pages").select("page_id", forms).select(F.concat("x.a", n).alias("text"), F.concat("x.b", n).alias("key"))
+    return jsx_strings.rewrite_sources(files, mapping, mode="inline").select("path", "replaced", "content")
+
+
 @query("SELECT count(*) AS files, count(*) FILTER (WHERE n > 0) AS files_modified, sum(n)::BIGINT AS strings_wrapped, count(*) FILTER (WHERE n = 0) AS files_skipped, 0::BIGINT AS client_files FROM (SELECT file, count(key) AS n FROM str LEFT JOIN map USING (text) GROUP BY 1)", "map str")
 def codegen_totals(s, d):
     found = graph.saved(A.strings(s, d))
