@@ -7,15 +7,16 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, discard
 from .simhash import _stars
 
 BLOCKS = 4  # of the rotated coordinates, by which vectors are dealt out; each is halved again within its tasks
-HOME, GUEST = 65_536, 131_072  # vectors of a cell that one task holds as homes and as guests, about
-CELL = 65_536  # vectors at home in a cell, about, as long as the block has coordinates to halve
+HOME, GUEST = 262_144, 524_288  # vectors of a cell that one task holds as homes and as guests, about
+CELL = 262_144  # vectors at home in a cell, about, as long as the block has coordinates to halve
+FLAT, WHOLE = 96_000_000, 192_000_000  # bytes of a task's vectors, by one block's coordinates and by all: both bound HOME and GUEST too
 SAMPLE = 4096  # vectors that the cells' borders are taken from; results don't depend on them
 BOXES = (512, 32)  # vectors of the outer and the inner boxes of a task's tree
 VERIFIED = 65_536  # candidate pairs that are verified at once
@@ -118,18 +119,41 @@ def near_pairs(a: np.ndarray, b: np.ndarray, budget: float, sizes: tuple[int, ..
         yield from go(np.arange(len(a)), np.arange(len(b)), 0)
 
 
+def fitting(bound: int, each: int) -> tuple[int, int]:
+    """Homes and guests, twice as many, of which each takes some bytes of a bound."""
+    return max(1, min(HOME, bound // (3 * each))), max(1, min(GUEST, 2 * bound // (3 * each)))
+
+
+def flat_bytes(dim: int) -> int:
+    """Of a copy that is dealt to a cell: a block's coordinates, the other blocks' lengths, and what names it."""
+    return 4 * (-(-dim // BLOCKS) + BLOCKS) + 40
+
+
+def tiled(rows: DataFrame, homes: Column, guests: Column, names: tuple[str, str]) -> DataFrame:
+    """Rows with home and guest, in a grid of homes by guests chunks, so that each home meets each guest in one tile: every row goes to its tiles, with the part it has there. names: of the tile's two numbers."""
+    mixed = lambda salt, m: F.pmod(F.xxhash64("node", F.lit(salt)), m).cast("int")
+    tile = lambda i, j, h, g: F.struct(i.alias(names[0]), j.alias(names[1]), h.alias("home"), g.alias("guest"))
+    kept = [c for c in rows.columns if c not in ("home", "guest")]
+    rows = rows.withColumn("_hs", homes).withColumn("_gs", guests).withColumn("_i", mixed(names[0], F.col("_hs"))).withColumn("_j", mixed(names[1], F.col("_gs")))
+    as_home = F.transform(F.filter(F.sequence(F.lit(0), F.col("_gs") - 1), lambda j: F.col("home")), lambda j: tile(F.col("_i"), j, F.lit(True), F.col("guest") & (j == F.col("_j"))))
+    as_guest = F.transform(F.filter(F.sequence(F.lit(0), F.col("_hs") - 1), lambda i: F.col("guest") & ~(F.col("home") & (i == F.col("_i")))), lambda i: tile(i, F.col("_j"), F.lit(False), F.lit(True)))
+    return rows.select(*kept, F.explode(F.concat(as_home, as_guest)).alias("_t")).select(*kept, "_t.*")
+
+
 def pigeonhole_links(distinct: DataFrame, dim: int, n: int, width: type, cosine: float) -> DataFrame:
     """distinct: node, x, copies; n rows. Rows (node, links, root): links to other nodes' copies found in one task, and a spanning star of them.
 
     cosine >= c means squared distance <= 2 - 2c, so some block of the rotated vectors is within that block's share, proportional to its width. Over CELL vectors, a block's space is halved along as many coordinates as it takes
-    (at medians of a bounded sample); a vector is at home in one cell and a guest in every cell that its ball reaches, and moves once to each. In a task the block is halved again, by the same argument, and each half is
-    range-joined by boxes (near_pairs); the union of candidates is verified by the full product. A pair counts in the first block and half whose share it meets, so in one place only.
-    Cells with more vectors than a task should hold are split into chunks of homes by chunks of guests. Pairs never leave a task: it gives counts and a spanning star.
+    (at medians of a bounded sample); a vector is at home in one cell and a guest in every cell that its ball reaches. What moves there is the block's coordinates in single precision and the other blocks' lengths, which bound the rest of the
+    distance from below (flat_bytes). In a task the block is halved again, by the same argument, and each half is range-joined by boxes (near_pairs): vectors with a partner within reach are spotted.
+    Only these move whole, to the tiles in which they were spotted, where the union of candidates is verified by the full product. A pair counts in the first block and half whose share it meets, so in one place only.
+    Cells, and what is spotted in them, are split into chunks of homes by chunks of guests wherever a task would hold more than FLAT or WHOLE bytes. Pairs never leave a task: it gives counts and a spanning star.
     """
     turn, blocks = rotation(dim), _split(np.arange(dim), BLOCKS)
     share = lambda part, whole, of: of * len(part) / whole * (1 + SLACK) + SLACK
     shares = [share(b, dim, 2 - 2 * cosine) for b in blocks]
-    depth = max(0, min(*(len(b) for b in blocks), int(np.log2(max(1, n / CELL)))))
+    most_home, most_guest = fitting(FLAT, flat_bytes(dim))
+    depth = max(0, min(*(len(b) for b in blocks), int(np.log2(max(1, n / min(CELL, most_home))))))
     decode = lambda cells: unit(np.frombuffer(b"".join(cells.to_pylist()), width).reshape(-1, dim).astype(np.float64))
     turned_of = lambda x: np.einsum("ij,jk->ik", x, turn)  # noqa: E731  # the same bits for a vector in whatever task
     sample = [r.x for r in distinct.orderBy(F.xxhash64("node")).limit(SAMPLE).select("x").collect()] if depth else []
@@ -140,29 +164,52 @@ def pigeonhole_links(distinct: DataFrame, dim: int, n: int, width: type, cosine:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 turned = turned_of(decode(batch.column(1)))
-                rows, codes, homes = [], [], []
+                lengths = np.sqrt(np.stack([np.einsum("ij,ij->i", turned[:, b], turned[:, b]) for b in blocks], axis=1)).astype(np.float32)
                 for k, (block, border) in enumerate(zip(blocks, borders, strict=True)):
                     off = turned[:, block[: len(border)]] - border
                     own = (off > 0) @ (1 << np.arange(len(border)))
-                    r, cells = reached(off, shares[k])
-                    rows.append(r)
-                    codes.append(k << 32 | cells)
-                    homes.append(own[r] == cells)
-                of = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(of) for c in range(3)), pa.array(np.concatenate(codes)), pa.array(np.concatenate(homes))], ["node", "x", "copies", "cell", "home"])
-
-    dealt = distinct.select("node", "x", "copies").mapInArrow(deal, "node long, x binary, copies long, cell long, home boolean")
-    if depth or n > min(HOME, GUEST):
+                    rows, cells = reached(off, shares[k])
+                    low = np.hstack([turned[:, block].astype(np.float32), np.delete(lengths, k, axis=1)])
+                    for part in range(0, len(rows), 20_000):
+                        r, c = rows[part : part + 20_000], cells[part : part + 20_000]
+                        size = low.shape[1] * 4
+                        flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(r), [None, pa.py_buffer(low[r].tobytes())]).cast(pa.binary())
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), flat, pa.array(k << 32 | c), pa.array(own[r] == c)], ["node", "low", "cell", "home"])
+
+    dealt = distinct.select("node", "x").mapInArrow(deal, "node long, low binary, cell long, home boolean")
+    if depth or n > min(most_home, most_guest):
         sizes = {r.cell: (r.h, r.g) for r in dealt.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("h"), F.count("*").alias("g")).collect()}  # BLOCKS * n / CELL rows, BLOCKS * 2 ** (dim / BLOCKS) at most
     else:
         sizes = {k << 32: (n, n) for k in range(len(blocks))}
-    chunks = distinct.sparkSession.createDataFrame([(c, -(-h // HOME) or 1, -(-g // GUEST)) for c, (h, g) in sizes.items()], "cell long, hs int, gs int")
-    mixed = lambda salt, m: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(m)).cast("int")
-    tile = lambda i, j, h, g: F.struct(i.alias("i"), j.alias("j"), h.alias("home"), g.alias("guest"))
-    dealt = dealt.join(F.broadcast(chunks), "cell").withColumn("i", mixed(1, "hs")).withColumn("j", mixed(2, "gs"))
-    as_home = F.transform(F.filter(F.sequence(F.lit(0), F.col("gs") - 1), lambda j: F.col("home")), lambda j: tile(F.col("i"), j, F.lit(True), j == F.col("j")))
-    as_guest = F.transform(F.filter(F.sequence(F.lit(0), F.col("hs") - 1), lambda i: ~(F.col("home") & (i == F.col("i")))), lambda i: tile(i, F.col("j"), F.lit(False), F.lit(True)))
-    tiles = dealt.select("cell", "node", "x", "copies", F.explode(F.concat(as_home, as_guest)).alias("t")).select("cell", "t.*", "node", "x", "copies")
+    chunks = distinct.sparkSession.createDataFrame([(c, -(-h // most_home) or 1, -(-g // most_guest)) for c, (h, g) in sizes.items()], "cell long, hs int, gs int")
+    tiles = tiled(dealt.join(F.broadcast(chunks), "cell").withColumn("guest", F.lit(True)), F.col("hs"), F.col("gs"), ("i", "j")).drop("hs", "gs")
+
+    def spot(key: tuple, table: pa.Table) -> pa.Table:
+        """The vectors of a tile that have a partner within a half's budget, the block's share and, as far as the other blocks' lengths tell, the whole distance."""
+        k = key[0].as_py() >> 32
+        b = len(blocks[k])
+        node, home, guest = (table[c].to_numpy() for c in ("node", "home", "guest"))
+        low = np.frombuffer(b"".join(table["low"].to_pylist()), np.float32).reshape(len(node), -1)
+        h, g, met = np.flatnonzero(home), np.flatnonzero(guest), np.zeros(len(node), bool)
+        for half in _split(np.arange(b), 2):
+            part = np.ascontiguousarray(low[:, half])
+            for i, j in near_pairs(part[h], part[g], share(half, b, shares[k]), BOXES):
+                p, q = h[i], g[j]
+                new = (node[p] != node[q]) & ~(met[p] & met[q])
+                p, q = p[new], q[new]
+                for at in range(0, len(p), VERIFIED):
+                    x, y = low[p[at : at + VERIFIED]], low[q[at : at + VERIFIED]]
+                    d = (x - y) ** 2
+                    own = d[:, :b].sum(axis=1)
+                    good = (own <= shares[k] + 1e-4) & (own + d[:, b:].sum(axis=1) <= 2 - 2 * cosine + 1e-4)
+                    met[p[at : at + VERIFIED][good]] = met[q[at : at + VERIFIED][good]] = True
+        return table.select(["cell", "i", "j", "node", "home", "guest"]).filter(pa.array(met))
+
+    spotted = cut(tiles.groupBy("cell", "i", "j").applyInArrow(spot, "cell long, i int, j int, node long, home boolean, guest boolean"))
+    whole_home, whole_guest = fitting(WHOLE, dim * 16)
+    held = spotted.groupBy("cell", "i", "j").agg(F.sum(F.col("home").cast("long")).alias("h"), F.sum(F.col("guest").cast("long")).alias("g"))
+    held = held.select("cell", "i", "j", F.greatest(F.lit(1), F.ceil(F.col("h") / whole_home)).cast("int").alias("hs"), F.greatest(F.lit(1), F.ceil(F.col("g") / whole_guest)).cast("int").alias("gs"))
+    parts = tiled(spotted.join(held, ["cell", "i", "j"]), F.col("hs"), F.col("gs"), ("i2", "j2")).join(distinct.select("node", "x", "copies"), "node")
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         k = key[0].as_py() >> 32
@@ -213,7 +260,7 @@ def pigeonhole_links(distinct: DataFrame, dim: int, n: int, width: type, cosine:
         out = (counted > 0) | (to != names)
         return pa.table({"node": names[out], "links": counted[out], "root": to[out]})
 
-    return tiles.groupBy("cell", "i", "j").applyInArrow(meet, "node long, links long, root long")
+    return parts.select("cell", "i", "j", "i2", "j2", "node", "x", "copies", "home", "guest").groupBy("cell", "i", "j", "i2", "j2").applyInArrow(meet, "node long, links long, root long")
 
 
 def embedding_groups(vectors: DataFrame, vector: str = "embedding", row_id: str = "vec_id", cosine: float = 0.95) -> DataFrame:

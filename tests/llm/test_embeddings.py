@@ -89,3 +89,55 @@ def test_doubles(spark):
 def test_empty(spark):
     assert compare(spark, []) == []
     assert compare(spark, [(1, None)]) == [(1, 0, 1)]
+
+
+def copies(dim, n, block_bytes):
+    """Mean number of cells that a vector goes to over all blocks, and the bytes that move for it, at n vectors, from a sample."""
+    rng = np.random.default_rng(11)
+    x = E.unit(rng.normal(size=(8192, dim))) @ E.rotation(dim)
+    blocks = E._split(np.arange(dim), E.BLOCKS)
+    depth = max(0, min(*(len(b) for b in blocks), int(np.log2(max(1, n / min(E.CELL, E.fitting(E.FLAT, E.flat_bytes(dim))[0]))))))
+    borders, total = E.cell_borders(x[:4096], depth), 0
+    for block, border in zip(blocks, borders):
+        off = x[4096:, block[: len(border)]] - border
+        total += sum(len(E.reached(off[i : i + 64], 0.1 * len(block) / dim)[0]) for i in range(0, 4096 if depth < 10 else 512, 64)) / (4096 if depth < 10 else 512)
+    return total, total * block_bytes
+
+
+def test_bytes_that_move_for_a_vector():
+    """At 1, 16 and 256 million vectors of 64 coordinates: before, whole vectors of 256 bytes and 40 of names moved to 35, 230 and about 1,500 cells."""
+    each, found = E.flat_bytes(64), []
+    for millions, before in ((1, 35), (16, 230), (256, 1500)):
+        n, moved = copies(64, millions * 1_048_576, each)
+        found.append(n)
+        print(f"{millions} million vectors: {n:.1f} copies of {each} bytes, {moved / 1000:.1f} kB a vector")
+        assert moved < before * 296 / 5
+    print(f"copies grow with the power {np.log(found[2] / found[1]) / np.log(16):.2f}")
+
+
+def test_real_cells(spark, monkeypatch):
+    """Three levels of cells with tiles of several chunks, by whole results."""
+    monkeypatch.setattr(E, "CELL", 400)
+    monkeypatch.setattr(E, "HOME", 150)
+    monkeypatch.setattr(E, "GUEST", 300)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(2600, 24))
+    near = base[rng.integers(0, 2600, 500)] + rng.normal(size=(500, 24)) * rng.uniform(0.05, 0.4, (500, 1))
+    dense = rng.normal(size=24) + rng.normal(size=(300, 24)) * 0.05
+    rows = np.vstack([base, near, dense]).tolist()
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    u = np.array(rows) / np.linalg.norm(rows, axis=1)[:, None]
+    close = u @ u.T >= 0.95
+    np.fill_diagonal(close, False)
+    root = unite(range(len(rows)), zip(*(x.tolist() for x in np.nonzero(np.triu(close)))))
+    got = E.embedding_groups(df).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(i, int(close[i].sum()), root[i]) for i in range(len(rows))]
+    assert sum(1 for r in got if r.n_links > 200) >= 250
+
+
+def test_wide_vectors_fit_in_tasks():
+    for dim in (8, 64, 768, 4096):
+        home, guest = E.fitting(E.FLAT, E.flat_bytes(dim))
+        assert (home + guest) * E.flat_bytes(dim) <= E.FLAT and guest <= E.GUEST and home >= 1
+        home, guest = E.fitting(E.WHOLE, dim * 16)
+        assert (home + guest) * dim * 16 <= E.WHOLE
