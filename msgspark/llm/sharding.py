@@ -53,7 +53,8 @@ def _smallest(ok, lo: int, hi: int) -> int:
 
 
 def minimax_cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
-    """groups: key long (its order is the groups' order, unique), bytes long. Returns the last key of each shard but the last, and the smallest capacity.
+    """groups: key long (its order is the groups' order, unique), bytes long. Returns the last key of each shard but the last, and the smallest capacity. Neither may be null; a key that repeats counts as
+    several groups, between which a cut may not lie (its shards then hold more than the capacity), so fold them first.
 
     Binary search of the smallest capacity with which greedy filling needs at most `shards` shards. The groups' cumulative ends stay distributed: the driver
     gets, for a grid of CELLS cells, each cell's least and largest end, searches with them as bounds, and asks again with a finer grid
@@ -104,16 +105,16 @@ def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", row_i
 
     Equal texts form an atomic group (keyed by XXH64 and size; a null text counts as empty, size 1), ordered by that hash; the shards are contiguous in this order and the
     largest shard is as small as any such cut makes it. A document's shard follows from its own hash and shards - 1 cut keys, so that no group
-    meets in one task, however large. Slots count from 0 without gaps in each shard, by chunks of rows. Repeated rows get slots of their own; null row_ids are kept; no rows
+    meets in one task, however large. Slots count from 0 without gaps in each shard, by chunks into which rows are salted, equal ones too. Texts of any length are measured and hashed whole, by the JVM. Repeated rows get slots of their own; null row_ids are kept; no rows
     give no rows; other columns are ignored.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = cut(docs.select(F.col(row_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.xxhash64(t).alias("key")))
+    rows = cut(docs.select(F.col(row_id).alias("doc_id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.xxhash64(t).alias("key"), F.rand().alias("salt")))
     keys, _ = minimax_cuts(rows.groupBy("key").agg(F.sum("size").alias("bytes")), shards)
     shard = F.lit(0)
     for k in keys:
         shard = shard + (F.col("key") > F.lit(k)).cast("int")
-    chunk = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CHUNKS)).cast("int")
+    chunk = F.pmod(F.xxhash64("doc_id", "text_crc32", "salt"), F.lit(CHUNKS)).cast("int")
     rows = rows.withColumn("shard", shard).withColumn("chunk", chunk)
     counts = rows.groupBy("shard", "chunk").agg(F.count("*").alias("n"))  # shards * CHUNKS rows at most
     counts = counts.select("shard", "chunk", (F.sum("n").over(Window.partitionBy("shard").orderBy("chunk")) - F.col("n")).alias("base"))

@@ -54,3 +54,17 @@ def test_law_bytes(spark):
 
 def test_empty(spark):
     assert shard_documents(spark.createDataFrame([], SCHEMA), 16).collect() == []
+
+
+def test_very_long_texts_and_many_equal_rows(spark):
+    rows = [(1, "é" * 2_000_000, "", "")] + [(2, "same", "", "")] * 3000 + [(i, f"t{i}", "", "") for i in range(3, 60)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = shard_documents(df, 16).collect()
+    long = [r for r in got if r.doc_id == 1]
+    assert [(r["size"], r.text_crc32) for r in long] == [(4_000_001, zlib.crc32(("é" * 2_000_000).encode()))]
+    same = [r for r in got if r.doc_id == 2]
+    assert len(same) == 3000 and len({r.shard for r in same}) == 1
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
