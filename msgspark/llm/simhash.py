@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, discard, packed_rows
@@ -85,7 +85,7 @@ def near_fingerprints(prints: DataFrame, radius: int = 2) -> DataFrame:
 
     Covering hashing: each fingerprint goes to one bucket of every mask's table, keyed by the bits that the mask keeps. A bucket's members differ only in the dropped 8 * radius bits, so it holds
     2 ** (8 * radius) at most, whatever the input (65,536 at radius 2). Buckets come as sorted runs; in short runs all pairs are compared, in longer ones each member's
-    neighbours are looked up by bisection, which finds the same pairs; a run gives a spanning star for each of its components, never all pairs.
+    neighbours are looked up by bisection, which finds the same pairs; a run gives a spanning star for each of its components, never all pairs. Give each fingerprint once: repeated ones are linked with themselves, which is harmless, but fill buckets. Nulls must not be there; no rows give no edges.
     """
     masks = covering_masks(radius)
     tables = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fingerprint").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("kept")) for i, m in enumerate(masks)])
@@ -147,7 +147,8 @@ def simhash_groups(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     """doc_id, text_hash, fingerprint (16 lowercase hex digits), component_id (smallest doc_id reachable by links of at most `radius` differing bits, itself included), for every row.
 
     Exact copies share a fingerprint and are folded before the search, so a group of any number of copies is one row there. Texts without words have fingerprint 0 and are linked like
-    any other. Repeated doc_ids and rows keep a row each; null doc_ids never become a component_id unless nothing else is in it. Other columns are ignored; no rows give no rows.
+    any other. Repeated doc_ids and rows keep a row each; null doc_ids never become a component_id unless nothing else is in it. Other columns are ignored; no rows give no rows. A text of any length is
+    fingerprinted whole; memory follows the longest text.
     """
     rows = cut(fingerprints(docs, text, row_id))
     prints = cut(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
@@ -166,9 +167,8 @@ def one_of_each_group(docs: DataFrame, text: str = "text", row_id: str = "doc_id
     Null texts and texts without words are one group (fingerprint 0); rows with null ids stay only in groups without other ids, one of each; no rows give no rows; very long texts are fingerprinted whole.
     """
     groups = simhash_groups(docs, text, row_id, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = F.row_number().over(Window.partitionBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint"))).orderBy("text_hash"))
-    keep = cut(groups.withColumn("first", first).where("first = 1").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct())
+    of = F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("of")
+    keep = cut(groups.groupBy(F.col("component_id").alias("id"), of).agg(F.min("text_hash").alias("hash")).select("id", "hash").distinct())
     marked = packed_rows(docs, F.col(row_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"))
     kept = marked.alias("m").join(keep.alias("k"), F.expr("m.id <=> k.id AND m.hash = k.hash"), "left_semi")
-    again = F.row_number().over(Window.partitionBy("id", "hash").orderBy(F.lit(1)))
-    return kept.withColumn("again", again).where("again = 1").select("row.*")
+    return kept.groupBy("id", "hash").agg(F.first("row").alias("row")).select("row.*")  # folded in each task before the shuffle, so a row of any number of copies never meets in one

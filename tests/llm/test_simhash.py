@@ -64,3 +64,19 @@ def test_keeps_one_row_of_each_group(spark):
 def test_empty(spark):
     assert S.simhash_groups(frame(spark, [])).collect() == []
     assert S.one_of_each_group(frame(spark, [])).collect() == []
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 997}" for i in range(300_000))
+    rows = [(1, long), (2, long + " more words at its end"), (3, "x" * 3_000_000), (4, long)]
+    got = {r.doc_id: r for r in S.simhash_groups(frame(spark, rows)).collect()}
+    assert [got[i].fingerprint for i, _ in rows] == [f"{plain(t):016x}" for _, t in rows]
+    assert got[4].component_id == 1
+
+
+def test_copies_fold_before_they_meet(spark):
+    docs = frame(spark, [(5, "a row of many copies")] * 500 + [(None, "no id")] * 300 + [(None, "other words without id")] + [(6, "a row of many copies")])
+    kept = S.one_of_each_group(docs)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == [(5, "a row of many copies"), (None, "no id"), (None, "other words without id")]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
