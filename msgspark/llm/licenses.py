@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pathlib
 import re
 from bisect import bisect_left
 from collections import defaultdict
@@ -29,6 +30,8 @@ TEMPLATES = {
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
 }
+#: Whole public licence texts, a file each beside this module, and what their names end with here.
+TEXTS, FULL = pathlib.Path(__file__).parent / "license_texts", "-full"
 WORD = re.compile(r"\w+")
 GRAM, WINNOW = 3, 2  # words of a fingerprint, k-grams of a window: every shared run of GRAM + WINNOW - 1 words is seen
 INDEX_WORDS = 200_000  # words of the templates of one index, about; more templates make more indexes and passes
@@ -37,6 +40,11 @@ CACHED = 300_000
 _ONE = np.int64(1 << 24)  # a score of 1; matched words are counted below it
 
 
+def all_templates() -> dict[str, str]:
+    """The notices, and the whole texts under their names with FULL."""
+    return TEMPLATES | {p.stem + FULL: p.read_text() for p in sorted(TEXTS.glob("*.txt"))}
+
+
 class Index:
     """Templates as word ids, and the inverted index of their winnowed fingerprints: sorted codes of k-grams beside (template, place), for each k."""
 
@@ -93,13 +101,14 @@ def build_indexes(templates: dict[str, str]) -> list[Index]:
 
 
 def align(template: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.ndarray, shift: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Banded alignments of the whole template, one for each (low, high, shift), with words[low:high] near the diagonal that puts template word i beside word i + shift.
+    """Banded alignments of whole templates, one for each (low, high, shift), with words[low:high] near the diagonal that puts template word i beside word i + shift. template: one for all, or a row for each alignment, all of one length.
 
     Matches score 2, substitutions -1, gaps -1; words before and after the match are free. The best score counts, then more matched words; among equal steps a word beside a word comes before a missing template word, that before a
     word that the template lacks, and among equal ends the one nearest to the diagonal, the lower one first. Returns matched words, and the first and the last word matched, exclusive (0, 0, 0 without a match). Rows advance together, one
     template word at a time; gaps along a row are a running maximum.
     """
-    m, width = len(template), 2 * band + 1
+    template = np.atleast_2d(template)
+    m, width = template.shape[1], 2 * band + 1
     column = np.arange(width)
     place = shift[:, None] + np.arange(-band, m + band)
     inside = (place >= low[:, None]) & (place < high[:, None])
@@ -109,7 +118,7 @@ def align(template: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.nda
     least = np.iinfo(np.int64).min // 4
     for i in range(m):
         here, valid, at = window[:, i : i + width], inside[:, i : i + width], place[:, i : i + width]
-        same = here == template[i]
+        same = here == template[:, i : i + 1]
         beside = np.where(valid, score + np.where(same, 2 * _ONE + 1, -_ONE), least)
         missing = np.full(score.shape, least)
         missing[:, :-1] = score[:, 1:] - _ONE
@@ -134,6 +143,29 @@ def align(template: np.ndarray, words: np.ndarray, low: np.ndarray, high: np.nda
     return matched, np.where(matched > 0, first[row, end], 0), np.where(matched > 0, last[row, end] + 1, 0)
 
 
+def alike(index: Index, asked: np.ndarray, words: np.ndarray, low_of: np.ndarray, high_of: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of what is asked (rows template, text, diagonal) once each, without those that cannot reach the coverage, as their words near the diagonal show: by length of template, so that many templates are aligned together."""
+    if asked.shape[1]:
+        asked = asked[:, np.lexsort(asked[::-1])]
+        asked = asked[:, np.concatenate([[True], (asked[:, 1:] != asked[:, :-1]).any(axis=0)])]
+    kept: dict[int, list[np.ndarray]] = defaultdict(list)
+    starts = np.flatnonzero(np.concatenate([[True], asked[0, 1:] != asked[0, :-1]])) if asked.shape[1] else np.empty(0, np.int64)
+    for part in np.split(asked, starts[1:], axis=1) if len(starts) else []:
+        t, text, shift = int(part[0, 0]), part[1], part[2]
+        m, low, high = len(index.words[t]), low_of[text], high_of[text]
+        band = 2 + m // 8
+        own = np.zeros(index.base, bool)
+        own[index.words[t]] = True
+        near, far = np.clip(shift - band, low, high), np.clip(shift + m + band, low, high)
+        a = int(near.min())
+        some = np.concatenate([[0], np.cumsum(own[words[a : int(far.max())]])])
+        kept[m].append(part[:, (some[far - a] - some[near - a]) / m >= least])  # words that could match
+    for m, parts in kept.items():
+        of, text, shift = np.concatenate(parts, axis=1)
+        if len(of):
+            yield m, of, text, shift
+
+
 def scan_texts(texts: list[str | None], index: Index, least: float) -> list[list[tuple[str, float, int, int, int]]]:
     """Of each text (template, coverage, matched words, start, end) of every aligned occurrence of coverage >= least: code points, end exclusive; of overlapping ones of a template the best (more words, then earlier, then longer)."""
     out: list[list[tuple[str, float, int, int, int]]] = [[] for _ in texts]
@@ -143,35 +175,24 @@ def scan_texts(texts: list[str | None], index: Index, least: float) -> list[list
         ends.append(len(ids))
     words, high_of = np.array(ids, np.int64), np.array(ends, np.int64)
     low_of = np.concatenate([[0], high_of[:-1]])
-    asked: dict[int, list[np.ndarray]] = defaultdict(list)
+    asked = [np.empty((3, 0), np.int64)]  # template, text, diagonal
     for k, (codes, template, place) in index.posting.items():
         grams = index.codes(words, k)
         lo, hi = np.searchsorted(codes, grams, "left"), np.searchsorted(codes, grams, "right")
         hit = np.flatnonzero(hi > lo)
-        text = np.searchsorted(high_of, hit, "right")
-        hit = hit[hit + k <= high_of[text]]
-        for at, a, b in zip(hit.tolist(), lo[hit].tolist(), hi[hit].tolist(), strict=True):
-            for row in range(a, b):
-                asked[int(template[row])].append((at, at - int(place[row])))
+        hit = hit[hit + k <= high_of[np.searchsorted(high_of, hit, "right")]]
+        sizes = hi[hit] - lo[hit]
+        at = np.repeat(hit, sizes)
+        row = np.repeat(lo[hit] - np.cumsum(sizes) + sizes, sizes) + np.arange(len(at))
+        asked.append(np.stack([template[row], np.searchsorted(high_of, at, "right"), at - place[row]]))
     found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
-    for t, pairs in asked.items():
-        m = len(index.words[t])
-        band = 2 + m // 8
-        at, shift = np.array(pairs, np.int64).T
-        text = np.searchsorted(high_of, at, "right")
-        text, shift = np.unique(np.stack([text, shift]), axis=1)
-        low, high = low_of[text], high_of[text]
-        own = np.zeros(index.base, bool)
-        own[index.words[t]] = True
-        some = np.concatenate([[0], np.cumsum(own[words])])
-        enough = (some[np.clip(shift + m + band, low, high)] - some[np.clip(shift - band, low, high)]) / m >= least  # words that could match
-        text, shift, low, high = text[enough], shift[enough], low[enough], high[enough]
-        rows = max(1, CELLS // (m + 4 * band))
+    for m, of, text, shift in alike(index, np.concatenate(asked, axis=1), words, low_of, high_of, least):
+        low, high, band, rows = low_of[text], high_of[text], 2 + m // 8, max(1, CELLS // (m + 4 * (2 + m // 8)))
         for a in range(0, len(text), rows):
             s = slice(a, a + rows)
-            matched, first, end = align(index.words[t], words, low[s], high[s], shift[s], band)
+            matched, first, end = align(np.stack([index.words[t] for t in of[s].tolist()]), words, low[s], high[s], shift[s], band)
             for i in np.flatnonzero((matched > 0) & (matched / m >= least)).tolist():
-                found[int(text[s][i])].append((t, int(matched[i]), int(first[i] - low[s][i]), int(end[i] - low[s][i])))
+                found[int(text[s][i])].append((int(of[s][i]), int(matched[i]), int(first[i] - low[s][i]), int(end[i] - low[s][i])))
     for d, rows in found.items():
         spans = [x.span() for x in WORD.finditer(texts[d])]
         taken: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of each template, sorted
@@ -185,7 +206,7 @@ def scan_texts(texts: list[str | None], index: Index, least: float) -> list[list
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text: str = "text", row_id: str = "doc_id", coverage: float = 0.8) -> DataFrame:
-    """doc_id, template, coverage, matched, start, end for every match in every row of docs; rows without a match give none.
+    """doc_id, template, coverage, matched, start, end for every match (templates: all_templates() unless given) in every row of docs; rows without a match give none.
 
     Passes without a shuffle: rows are judged on their own, so hot sources, repeated rows and ties need no care. Templates of any number are dealt into indexes of about INDEX_WORDS words, one pass each. Words are runs of letters, digits and _, lower-cased; the document's
     k-grams are all looked up, the templates' winnowed, so that every run of GRAM + WINNOW - 1 words in common is seen; every diagonal so found that holds enough of the template's words is aligned. Null and empty texts match nothing.
@@ -206,7 +227,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, text
 
         return rows.mapInArrow(run, schema)
 
-    passes = [scan(index) for index in build_indexes(TEMPLATES if templates is None else templates)]
+    passes = [scan(index) for index in build_indexes(all_templates() if templates is None else templates)]
     if not passes:
         return rows.sparkSession.createDataFrame([], schema)
     return reduce(DataFrame.unionAll, passes)
