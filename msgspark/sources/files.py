@@ -135,8 +135,12 @@ def write_catalogs(catalog: DataFrame, folder: str, flat: bool = False) -> list[
 
     No document meets in a task or on the driver: executors write its lines in parts, and the parts' bytes are then streamed into one file, which is moved to its place. Nothing is replaced before all files are whole.
     """
-    spark = catalog.sparkSession
-    lines = catalogs.document_lines(catalogs.document_order(catalog, flat))
+    return _write_lines(catalogs.document_lines(catalogs.document_order(catalog, flat)), folder, ".json")
+
+
+def _write_lines(lines: DataFrame, folder: str, suffix: str) -> list[str]:
+    """The lines of catalogs.document_lines as one file for each locale, of its name and the suffix."""
+    spark = lines.sparkSession
     beside = f"{folder.rstrip('/')}/_writing-{uuid.uuid4().hex}"
     lines.sortWithinPartitions("locale", "part", "n").select("locale", "part", "value").write.partitionBy("locale", "part").text(beside)
     top, fs = _hadoop(spark, beside)
@@ -160,7 +164,7 @@ def write_catalogs(catalog: DataFrame, folder: str, flat: bool = False) -> list[
                 finally:
                     out.close()
                 parts = [made]
-            whole.append((unescape(outer.getPath().getName().removeprefix("locale=")) + ".json", parts[0]))
+            whole.append((unescape(outer.getPath().getName().removeprefix("locale=")) + suffix, parts[0]))
         for name, made in whole:
             _replace(spark, fs, made, f"{folder.rstrip('/')}/{name}")
     finally:
@@ -169,12 +173,9 @@ def write_catalogs(catalog: DataFrame, folder: str, flat: bool = False) -> list[
 
 
 def write_map(mapping: DataFrame, folder: str, name: str = "map.json") -> list[str]:
-    """The map text -> key as one flat JSON file in seq order [SNK4]; an empty map is {}."""
-    rows = mapping.select(F.lit(name).alias("name"), F.col("text").alias("key"), F.col("key").alias("value"), "seq")
-    documents = catalogs.flat_documents(rows, "name")
-    if documents.isEmpty():
-        documents = mapping.sparkSession.createDataFrame([(name, "{}")], "name string, document string")
-    return write_documents(documents, folder)
+    """The map text -> key as one flat JSON file in seq order, written as catalogs are [SNK4]; an empty map is {}."""
+    rows = mapping.select(F.lit(name).alias("locale"), F.col("text").alias("key"), F.col("key").alias("value"), "seq")
+    return _write_lines(catalogs.document_lines(catalogs.document_order(rows, flat=True)), folder, "") or write_documents(mapping.sparkSession.createDataFrame([(name, "{}")], "name string, document string"), folder)
 
 
 def write_split(catalog: DataFrame, path: str, delete_stale: bool = True) -> list[tuple[str, str]]:
