@@ -17,15 +17,17 @@ from ..functions import jsx as J
 EXTENSIONS = [".tsx", ".ts", ".jsx", ".js", ".mts", ".cts", ".mjs", ".cjs"]
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, a temporary folder if the master is local (tests), else ValueError: executors would not share it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary folder for each local application (tests), else ValueError: executors would not share it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
     if not base:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-        base = "file://" + tempfile.mkdtemp(prefix="msgspark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="msgspark-")
     return base.rstrip("/")
 
 
