@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from ..operators.graph import listed
+from ..operators.graph import listed, shared_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -25,18 +24,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a temporary folder if the master is local (tests), else ValueError: executors would not see the driver's folders."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-        found = "file://" + tempfile.mkdtemp(prefix="msgspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def packed_rows(df: DataFrame, *keys: Column) -> DataFrame:
     """Keys beside a struct `row` of all columns of df: helper columns cannot clash with the caller's names. select("row.*") gives the rows again."""
     return df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row"), *keys)
@@ -66,7 +53,7 @@ def unpacked(rows: DataFrame, value: str) -> list[Column]:
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: later stages survive the loss of executors and never recompute it."""
     spark = df.sparkSession
-    path = listed(f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}")
+    path = listed(f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
