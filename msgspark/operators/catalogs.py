@@ -20,7 +20,7 @@ def catalog_diff(source: DataFrame, target: DataFrame, lock: DataFrame) -> DataF
     """locale, key, status, value, seq: which entries are added, modified, unchanged (with the target's value) or removed [JN1].
 
     One full outer join on (locale, key), the lock joined on the same keys, so all three meet in one partitioning. Added goes before modified; a missing,
-    empty or other hash means modified. Keys only in the lock give nothing.
+    empty or other hash means modified. Keys only in the lock give nothing. Null locales and keys meet nothing, so they are added or removed; a key that repeats on a side gives a row for each pair.
     """
     s = source.select(*ID, F.col("value").alias("s_value"), "seq", F.lit(True).alias("in_s"))
     t = target.select(*ID, F.col("value").alias("t_value"), F.lit(True).alias("in_t"))
@@ -43,31 +43,31 @@ def diff_counts(diff: DataFrame) -> DataFrame:
 
 
 def merge(kept: DataFrame, translated: DataFrame) -> DataFrame:
-    """kept, overlaid with translated; keys in neither fall away [JN4]."""
+    """kept, overlaid with translated; keys in neither fall away [JN4]. Null values of translated count; null keys meet nothing; keys should stand once on each side, else each pair is a row."""
     new = translated.select(*ID, F.col("value").alias("new"), F.lit(True).alias("is_new"))
     return kept.select(*ID, F.col("value").alias("old")).join(new, ID, "full_outer").select(*ID, F.when(F.col("is_new"), F.col("new")).otherwise(F.col("old")).alias("value"))
 
 
 def lock_upsert(source: DataFrame, lock: DataFrame, translated: DataFrame) -> DataFrame:
-    """The lock after a run: translated keys of the source get its hash, others keep theirs, keys that left the source go [SNK3]."""
+    """The lock after a run: translated keys of the source get its hash, others keep theirs, keys that left the source go [SNK3]. Translated keys that the source lacks, and null keys, give nothing; repeated translated keys count once."""
     done = translated.select(*ID, F.lit(True).alias("done")).distinct()
     out = source.select(*ID, "value").join(lock.select(*ID, "hash"), ID, "left").join(done, ID, "left")
     return out.select(*ID, F.when(F.col("done"), T.source_hash("value")).otherwise(F.col("hash")).alias("hash")).where("hash IS NOT NULL")
 
 
 def overlay(existing: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """existing overwritten by new [SET4]."""
+    """existing overwritten by new, null values too [SET4]. Null keys meet nothing; keys should stand once on each side."""
     n = new.select(key, F.col(value).alias("_new"), F.lit(True).alias("_is"))
     return existing.select(key, F.col(value).alias("_old")).join(n, key, "full_outer").select(key, F.when(F.col("_is"), F.col("_new")).otherwise(F.col("_old")).alias(value))
 
 
 def invert_map(mapping: DataFrame) -> DataFrame:
-    """text -> key turned to key -> value; of several texts with a key the last by seq wins [SRC8]."""
+    """text -> key turned to key -> value; of several texts with a key the last by seq wins, of equal seq any [SRC8]. Null keys are one key; no rows give none."""
     return mapping.groupBy("key").agg(F.max_by("text", "seq").alias("value"))
 
 
 def split(catalog: DataFrame) -> DataFrame:
-    """catalog with ns (the file of a split catalog) and rest (the key in it) [SNK2]."""
+    """catalog with ns (the file of a split catalog) and rest (the key in it) [SNK2]. A null key has ns _root and stays null."""
     return catalog.withColumn("ns", T.partition_of("key")).withColumn("rest", T.key_in_partition("key"))
 
 
@@ -76,7 +76,7 @@ def rejoin(parts: DataFrame) -> DataFrame:
 
 
 def stale_partitions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Partitions (locale, ns) of old that new no longer has [SET5]."""
+    """Partitions (locale, ns) of old that new no longer has, once each [SET5]. Null locales never match, so they are stale."""
     return old.select("locale", "ns").distinct().join(new.select("locale", "ns").distinct(), ["locale", "ns"], "left_anti")
 
 
@@ -260,7 +260,7 @@ def module_declarations(catalog: DataFrame, locales: DataFrame, split: bool = Tr
 
 
 def pick_messages(catalog: DataFrame, namespaces: DataFrame) -> DataFrame:
-    """Entries whose key is one of the namespaces or lies below one [FLT11]: prefixes are exploded, so the join is an equi-join."""
+    """Entries whose key is one of the namespaces or lies below one [FLT11]: prefixes are exploded, so the join is an equi-join. Null keys and namespaces match nothing; repeated ones count once."""
     parts = F.split("key", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
     wanted = catalog.select("key", F.explode(prefixes).alias("ns")).join(namespaces.select("ns").distinct(), "ns", "left_semi").select("key").distinct()
@@ -268,7 +268,7 @@ def pick_messages(catalog: DataFrame, namespaces: DataFrame) -> DataFrame:
 
 
 def runtime_lookup(sites: DataFrame, catalog: DataFrame) -> DataFrame:
-    """sites (id, children, ...) with text: the message of the id, else the children [JN14]."""
+    """sites (id, children, ...) with text: the message of the id, else the children [JN14]. A null id, an unknown one and a null message give the children; keys should stand once in the catalog."""
     return sites.join(catalog.select(F.col("key").alias("id"), F.col("value").alias("_message")), "id", "left").withColumn("text", F.coalesce("_message", "children")).drop("_message")
 
 

@@ -13,19 +13,19 @@ from .planning import group_index
 
 
 def dedupe_first(strings: DataFrame) -> DataFrame:
-    """The first occurrence of each text, by seq [AGG11]. Map-side minima: a text of a third of all rows folds before the shuffle."""
+    """The first occurrence of each text, by seq [AGG11]. Map-side minima: a text of a third of all rows folds before the shuffle. Null texts are one text; of equal seq the row with the least other columns stays; no rows give none."""
     others = [c for c in strings.columns if c not in ("text", "seq")]
     best = strings.groupBy("text").agg(F.min(F.struct("seq", *others)).alias("_b"))
     return best.select("text", "_b.*").select(*strings.columns)
 
 
 def active_entries(mapping: DataFrame, strings: DataFrame) -> DataFrame:
-    """Entries whose text still occurs [FLT12]."""
+    """Entries whose text still occurs [FLT12]. Null texts match nothing; repeated entries stay repeated."""
     return mapping.join(strings.select("text").distinct(), "text", "left_semi")
 
 
 def new_strings(strings: DataFrame, mapping: DataFrame) -> DataFrame:
-    """First occurrences of texts that the map lacks [JN8, AGG11]."""
+    """First occurrences of texts that the map lacks [JN8, AGG11]; see dedupe_first. A null text is always new."""
     return dedupe_first(strings).join(mapping.select("text").distinct(), "text", "left_anti")
 
 
@@ -40,7 +40,7 @@ def supplement_map(mapping: DataFrame, strings: DataFrame) -> DataFrame:
 
 
 def bare_strings(strings: DataFrame) -> DataFrame:
-    """Strings that nothing wraps yet: no t call, no T component with an id [FLT7]."""
+    """Strings that nothing wraps yet: no t call, no T component with an id [FLT7]. Rows with a null type are left out."""
     return strings.where((F.col("type") != "t-call") & ~((F.col("type") == "T-component") & F.col("id").isNotNull()))
 
 
@@ -126,7 +126,7 @@ def ancestors(key: str = "key") -> F.Column:
 
 
 def leaf_branch_conflicts(keys: DataFrame) -> DataFrame:
-    """Keys that are also a branch of another key [JN11]: ancestors are exploded, so the prefix join is an equi semi join."""
+    """Keys that are also a branch of another key [JN11]: ancestors are exploded, so the prefix join is an equi semi join. Null keys are left out, repeated ones come once."""
     branches = keys.where(F.instr("key", ".") > 0).select(F.explode(ancestors()).alias("key")).distinct()
     return keys.select("key").distinct().join(branches, "key", "left_semi")
 
@@ -177,7 +177,7 @@ def rename_conflicts(mapping: DataFrame) -> DataFrame:
 
 
 def unanimous_namespace(keys: DataFrame, *by: str) -> DataFrame:
-    """by, ns: the namespace that all keys share, null if any has none or two differ [AGG13]."""
+    """by, ns: the namespace that all keys share, null if any has none or two differ [AGG13]. A null key has none; repeated keys and other columns make no difference."""
     ns = T.namespace("key")
     same = (F.count("*") == F.count(ns)) & (F.min(ns) == F.max(ns))
     return keys.groupBy(*by).agg(F.when(same, F.min(ns)).alias("ns"))
@@ -199,7 +199,7 @@ def keygen_order(strings: DataFrame) -> DataFrame:
 
 
 def replacement_sites(strings: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Occurrences whose text has a key [JN10]; Spark broadcasts the map if it is small."""
+    """Occurrences whose text has a key [JN10]; Spark broadcasts the map if it is small. Null texts match nothing; of a text that the map repeats the greatest key counts; repeated occurrences stay."""
     return strings.join(first_by(mapping.select("text", "key"), ["text"], F.desc("key")), "text")
 
 

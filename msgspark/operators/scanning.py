@@ -15,7 +15,7 @@ ATTRIBUTE = r"""\s([a-zA-Z-]+)="([^"<>]*)\""""
 def text_nodes(pages: DataFrame, html: str = "html", row_id: str = "page_id") -> DataFrame:
     """row_id, pos, tag, text of each text node that anyone may translate [EXT1]. tag: the mark right before the text; a closing one has a slash.
 
-    Built-in functions only, so the scan, the regular expression (one pass, of whole matches) and the filters run in the JVM. Text inside ignored tags (script, style, code ...) is left out.
+    Built-in functions only, so the scan, the regular expression (one pass, of whole matches) and the filters run in the JVM. Text inside ignored tags (script, style, code ...) is left out. Null markup has no nodes; repeated rows give theirs each; markup of any length is one value.
     """
     mark = lambda n: F.lower(F.regexp_extract(n, r"^<(/?[\w-]+)", 1))
     node = lambda n: F.struct(mark(n).alias("tag"), T.trim_unicode(F.substring(n, F.instr(n, ">") + 1, F.length(n))).alias("text"))
@@ -25,7 +25,7 @@ def text_nodes(pages: DataFrame, html: str = "html", row_id: str = "page_id") ->
 
 
 def attributes(pages: DataFrame, html: str = "html", row_id: str = "page_id", custom: list[str] | None = None) -> DataFrame:
-    """row_id, pos, name, value of each attribute that may be translated [EXT2]; values are not trimmed."""
+    """row_id, pos, name, value of each attribute that may be translated [EXT2]; values are not trimmed. Null markup has none; repeated rows give theirs each."""
     both = F.arrays_zip(F.regexp_extract_all(html, F.lit(ATTRIBUTE), 1).alias("name"), F.regexp_extract_all(html, F.lit(ATTRIBUTE), 2).alias("value"))
     rows = pages.select(row_id, F.posexplode(both).alias("pos", "a")).select(row_id, (F.col("pos") + 1).cast("long").alias("pos"), "a.name", "a.value")
     return rows.where(T.is_translatable_prop("name", custom) & ~T.is_ignored_text("value"))
@@ -46,7 +46,7 @@ def sibling_texts(strings: DataFrame, file: str = "file", component: str = "comp
 
 
 def section_headings(strings: DataFrame, file: str = "file", tag: str = "tag") -> DataFrame:
-    """strings with heading: the file's first text of h1 to h3, null where it is the text itself [WIN2]."""
+    """strings with heading: the file's first text of h1 to h3, null where it is the text itself [WIN2]. Rows with a null file have none; of equal seq any."""
     first = strings.where(F.col(tag).rlike("^h[1-3]$")).groupBy(file).agg(F.min_by("text", "seq").alias("_h"))
     return strings.join(first, file, "left").withColumn("heading", F.when(F.col("_h") != F.col("text"), F.col("_h"))).drop("_h")
 
@@ -57,7 +57,7 @@ def enrich(strings: DataFrame) -> DataFrame:
 
 
 def context_entries(mapping: DataFrame, strings: DataFrame) -> DataFrame:
-    """key, context: the first occurrence of each mapped text as JSON without empty fields [SNK5, JN7]."""
+    """key, context: the first occurrence of each mapped text as JSON without empty fields [SNK5, JN7]. Null texts match nothing; of equal seq the least other fields; a text that the map repeats gives a row for each key."""
     fields = [c for c in ("type", "component", "prop", "tag", "route", "composite") if c in strings.columns]
     first = strings.groupBy("text").agg(F.min(F.struct("seq", *fields)).alias("_f"))
     filled = [F.when(F.length(F.col("_f").getField(c)) > 0, F.col("_f").getField(c)).alias(c) for c in fields]
