@@ -53,15 +53,26 @@ def free_numbers(proposed: DataFrame, taken: DataFrame) -> DataFrame:
     """proposed (key, seq, ...) with n: the i-th proposal of a key, by seq, gets the i-th number from 1 on that the key's taken ones (key, n) leave free.
 
     The j-th taken number t has t - j free ones before it. So proposals at place i and taken numbers at place t - j merge in one order, proposals first where they tie, and a proposal's place in this order is its number. All places come from
-    group_index, that is from range sorts, so neither a key with millions of proposals nor one with millions of taken numbers meets in one task, and all of it runs in the JVM. `seq` must tie nothing within a key.
+    group_index, that is from range sorts, so neither a key with millions of proposals nor one with millions of taken numbers meets in one task, and all of it runs in the JVM. Keys of one proposal and nothing taken get 1 at once. `seq` must tie nothing within a key; rows with a null key get 1.
     """
-    mine = group_index(proposed, ["key"], ["seq"], "_i")
-    used = group_index(taken.select("key", "n").distinct(), ["key"], ["n"], "_j")
-    places = mine.select("key", (F.col("_i") + 1).alias("_at"), F.lit(0).alias("_kind"), F.col("_i").alias("_tie"))
-    gaps = used.select("key", (F.col("n") - F.col("_j") - 1).alias("_at"), F.lit(1).alias("_kind"), F.col("_j").alias("_tie"))
+    kept = [F.col(f"`{c}`") for c in proposed.columns]
+    used = taken.select("key", "n").where("key IS NOT NULL").distinct()
+    several = proposed.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
+    busy = saved(several.select("key", F.lit(False).alias("_taken")).union(used.select("key", F.lit(True))).groupBy("key").agg(F.max("_taken").alias("_taken")))
+    out = proposed.join(busy.select("key"), "key", "left_anti").select(*kept, F.lit(1).cast("long").alias("n"))
+    known = {r._taken for r in busy.select("_taken").distinct().collect()}
+    if not known:
+        return out
+    mine = group_index(proposed.join(busy, "key").select(*kept, "_taken"), ["key"], ["seq"], "_i")
+    out = out.unionByName(mine.where("NOT _taken").select(*kept, (F.col("_i") + 1).alias("n")))
+    if known == {False}:
+        return out
+    numbers = group_index(used.join(mine.select("key").distinct(), "key", "left_semi"), ["key"], ["n"], "_j")
+    places = mine.where("_taken").select("key", (F.col("_i") + 1).alias("_at"), F.lit(0).alias("_kind"), F.col("_i").alias("_tie"))
+    gaps = numbers.select("key", (F.col("n") - F.col("_j") - 1).alias("_at"), F.lit(1).alias("_kind"), F.col("_j").alias("_tie"))
     merged = group_index(places.union(gaps), ["key"], ["_at", "_kind", "_tie"], "_p").where("_kind = 0").select(F.col("key").alias("_key"), F.col("_tie").alias("_i"), (F.col("_p") + 1).alias("n"))
-    same = F.col("m.key").eqNullSafe(F.col("p._key")) & (F.col("m._i") == F.col("p._i"))
-    return mine.alias("m").join(merged.alias("p"), same).select(*[F.col(f"m.`{c}`") for c in proposed.columns], "p.n")
+    same = (F.col("m.key") == F.col("p._key")) & (F.col("m._i") == F.col("p._i"))
+    return out.unionByName(mine.where("_taken").alias("m").join(merged.alias("p"), same).select(*[F.col(f"m.`{c}`") for c in proposed.columns], "p.n"))
 
 
 def number_of(name: Column, key: Column) -> Column:
