@@ -13,6 +13,7 @@ from .common import ascii_lower, cut, discard, named
 
 ARITY = 8
 LEAVES, FAN = 4096, 64  # leaves of a part, and parts that one merge takes
+SORTED = 262_144  # leaves that one task sorts at most, about; fewer where spark.sql.shuffle.partitions asks for more tasks
 TOP = 0  # the tree of the languages' subroots; languages are trees from 1
 Run = tuple[int, int, int]  # tree, level, place: the nodes ARITY * place and after on that level
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -177,7 +178,8 @@ def manifest(docs: DataFrame) -> DataFrame:
     rows = cut(docs.select("doc_id", "lang", leaf_of(F.col("text")).alias("leaf"), other.alias("other"), F.rand().alias("salt")))
     n = rows.count()
     order = ["lang", "doc_id", "leaf", "salt"]
-    ordered = named(rows.repartitionByRange(-(-n // LEAVES) or 1, *order).sortWithinPartitions(*order).drop("salt"))
+    tasks = min(-(-n // LEAVES), max(-(-n // SORTED), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))) or 1
+    ordered = named(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).drop("salt"))
     groups = cut(ordered.groupBy("lang").agg(F.min("name").alias("start"), F.count("*").alias("leaves")))
     trees = groups.count()
     ranked = named(groups.repartitionByRange("lang").sortWithinPartitions("lang"))
