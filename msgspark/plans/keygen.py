@@ -112,4 +112,4 @@ def generate_keys(
     settled = K.resolve_collisions(asked.select("text", "key", F.col("_place").alias("seq"), F.col("seq").alias("first")), active)
     late = 1 << 61  # new entries come after all old ones
     both = active.select("text", "key", "seq", F.col("seq").alias("first")).unionByName(settled.select("text", F.col("final_key").alias("key"), (F.col("seq") + late).alias("seq"), "first"))
-    return K.rename_conflicts(both).select("text", F.col("final_key").alias("key"), F.col("first").alias("seq"))
+    return K.rename_conflicts(saved(both)).select("text", F.col("final_key").alias("key"), F.col("first").alias("seq"))
