@@ -675,8 +675,8 @@ def scan_report(s, d):
     code = F.when(n % 14 != 3, F.concat(F.lit("export default () => <p>Page "), n.cast("string"), F.when(n % 7 != 3, F.lit("</p>;\n")).otherwise("{</p>;\n")))
     strings, seen = jsx_strings.scan(A.table(s, d, "pages").select(F.concat(F.lit("p"), n.cast("string")).alias("path"), code.alias("content")))
     written = graph.saved(strings)
-    counts = s.createDataFrame([(seen.get["files"], seen.get["unreadable"], seen.get["strings"])], "files long, unreadable long, strings long")
-    return counts.crossJoin(written.agg(F.min("text").alias("first"), F.max("text").alias("last")))  # one row each
+    counts = [F.lit(seen.get[c]).alias(c) for c in ("files", "unreadable", "strings")]
+    return written.agg(F.min("text").alias("first"), F.max("text").alias("last")).select(*counts, "first", "last")
 
 
 @query(f"""SELECT file AS path, count(key)::INT AS replaced, sha256('import {{ useTranslations }} from "next-intl";' || chr(10) || 'export default function Page() {{' || chr(10) || chr(9) || 'const t = useTranslations("p");' || chr(10) || ' return <main>' || chr(10)
