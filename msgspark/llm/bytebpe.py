@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -305,12 +305,12 @@ def byte_bpe(path: str) -> ByteBPE:
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of rows whose last value is bytes."""
+    """Arrow batches of rows of a key and bytes."""
     held: list[tuple] = []
     size = 0
     for row in rows:
         held.append(row)
-        size += len(row[-1]) + 64
+        size += sum(len(x or b"") for x in row[1:]) + 64
         if size >= BATCH:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
             held, size = [], 0
@@ -318,43 +318,41 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-def encode_documents(docs: DataFrame, ranks: str, key: str = "doc_id") -> DataFrame:
-    """The token ids of every whole text, without special tokens.
-
-    docs: `key` and text, other columns are left out; ranks: the path of a file of ranks that all executors have. Returns `key` as it is and ids binary, little-endian
-    unsigned 32-bit integers. Null and empty texts have no ids; rows repeated are encoded each; bytes that are no UTF-8 count as U+FFFD; texts and pre-tokens of any
-    length are encoded whole, in time that grows with their length (times its logarithm where one rank has many positions).
-    """
+def _run(docs: DataFrame, ranks: str, key: str, column: str, names: list[str], compute: Callable[[ByteBPE, pa.Array], Iterable[tuple[bytes, ...]]]) -> DataFrame:
+    """`key` and binary columns: what compute makes of a binary column, in chunks of about TEXT bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe(ranks)
         for whole in batches:
-            schema = pa.schema([whole.schema.field(0), pa.field("ids", pa.binary())])
+            schema = pa.schema([whole.schema.field(0), *[pa.field(n, pa.binary()) for n in names]])
             for batch in chunks(whole, 1, TEXT):
-                ids = bpe.encode(t.as_py().decode("utf-8", "replace") if t.is_valid else "" for t in batch.column(1))
-                yield from _batches(zip(batch.column(0).to_pylist(), ids, strict=True), schema)
+                yield from _batches(((k, *row) for k, row in zip(batch.column(0).to_pylist(), compute(bpe, batch.column(1)), strict=True)), schema)
 
-    kind = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("ids", T.BinaryType())])
+    kind = T.StructType([T.StructField("key", docs.schema[key].dataType), *[T.StructField(n, T.BinaryType()) for n in names]])
     name = "`" + key.replace("`", "``") + "`"
-    return docs.select(F.col(name).alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(run, kind).withColumnRenamed("key", key)
+    return docs.select(F.col(name).alias("key"), F.col(column).cast("binary").alias("value")).mapInArrow(run, kind).withColumnRenamed("key", key)
 
 
-def decode_documents(encoded: DataFrame, ranks: str, key: str = "doc_id") -> DataFrame:
-    """The bytes that token ids stand for: `key`, ids and decoded binary. Null ids decode to nothing; an id that the file has not raises KeyError."""
+def _encoded(bpe: ByteBPE, texts: pa.Array) -> list[bytes]:
+    return bpe.encode(t.as_py().decode("utf-8", "replace") if t.is_valid else "" for t in texts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(ranks)
-        for batch in batches:
-            schema = pa.schema([pa.field("key", batch.schema.field(0).type), pa.field("ids", pa.binary()), pa.field("decoded", pa.binary())])
-            rows = ((k.as_py(), i.as_py(), bpe.decode(i.as_py() or b"")) for k, i in zip(batch.column(0), batch.column(1), strict=True))
-            yield from _batches(rows, schema)
 
-    kind = T.StructType([T.StructField("key", encoded.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
-    name = "`" + key.replace("`", "``") + "`"
-    return encoded.select(F.col(name).alias("key"), "ids").mapInArrow(run, kind).withColumnRenamed("key", key)
+def encode_documents(docs: DataFrame, ranks: str, key: str = "doc_id") -> DataFrame:
+    """The token ids of every whole text, without special tokens.
+
+    docs: `key` and text, other columns are left out; ranks: the path of a file of ranks that all executors have. Returns `key` as it is and ids binary, little-endian
+    unsigned 32-bit integers. Null and empty texts have no ids; rows repeated are encoded each; bytes that are no UTF-8 count as U+FFFD; texts and pre-tokens of any
+    length are encoded whole, in time that grows with their length (times its logarithm where one rank has many positions).
+    """
+    return _run(docs, ranks, key, "text", ["ids"], lambda bpe, texts: ((ids,) for ids in _encoded(bpe, texts)))
+
+
+def decode_documents(encoded: DataFrame, ranks: str, key: str = "doc_id") -> DataFrame:
+    """The bytes that token ids stand for: `key`, ids and decoded binary. Null ids decode to nothing; an id that the file has not raises KeyError."""
+    return _run(encoded, ranks, key, "ids", ["ids", "decoded"], lambda bpe, ids: ((i.as_py(), bpe.decode(i.as_py() or b"")) for i in ids))
 
 
 def token_report(docs: DataFrame, ranks: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, then decoded again from the ids alone. Odd rows as in encode_documents; the digests of a null or empty text are those of no bytes."""
-    done = decode_documents(encode_documents(docs, ranks), ranks)
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row: encoded, and decoded again from the ids alone, in one pass. Odd rows as in encode_documents; the digests of a null or empty text are those of no bytes."""
+    done = _run(docs, ranks, "doc_id", "text", ["ids", "decoded"], lambda bpe, texts: ((ids, bpe.decode(ids)) for ids in _encoded(bpe, texts)))
     return done.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
