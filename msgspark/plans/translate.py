@@ -126,19 +126,21 @@ def plan_batches(entries: DataFrame, options: Options) -> DataFrame:
     return joined.select("locale", "key", "value", "batch_id", planning.wave_of("batch_id", options.concurrency).alias("wave_id"))
 
 
-def run_wave(wave: DataFrame, context: DataFrame, model: Translator, fallback: Translator | None, options: Options, log: CallLog | None = None, tasks: int | None = None, answered: Accumulator | None = None) -> DataFrame:
-    """One model call for each (locale, batch_id) of a wave; a batch that fails gives one row with error. log: where answers are looked up before a call and written after it. tasks: how many tasks the batches are dealt to, all side by side; answered: gets the number of entries of each batch when its task is done."""
+def run_wave(wave: DataFrame, context: dict[str, list[tuple[str, str]]], model: Translator, fallback: Translator | None, options: Options, log: CallLog | None = None, tasks: int | None = None, answered: Accumulator | None = None) -> DataFrame:
+    """One model call for each (locale, batch_id) of one or more waves; a batch that fails gives one row with error. context: what each locale is shown, keys and translations. log: where answers are looked up before a call and written after it.
 
-    def call(key: tuple, table: pa.Table, shown: pa.Table) -> pa.Table:
-        locale, batch = key[0].as_py(), key[1].as_py()
-        if not table.num_rows:
-            return pa.table({c: [] for c in ("locale", "key", "value", "batch_id", "tokens_in", "tokens_out", "valid", "error")}).cast(_ARROW)
+    Batches are dealt to options.concurrency lanes a locale, and a lane to one task, which takes its batches in order; so no more calls of a locale are under way at once, however many batches there are. tasks: how many tasks the lanes are dealt to, all side by side; answered: gets the number of entries of each batch when its call is done.
+    """
+    examples = {locale: [f"{k}: {v}" for k, v in sorted(shown)] for locale, shown in context.items()}
+
+    def call(key: tuple, table: pa.Table) -> pa.Table:
+        locale, batch = key[0].as_py(), key[2].as_py()
         table = table.sort_by("key")
         entries = dict(zip(table["key"].to_pylist(), table["value"].to_pylist(), strict=True))
-        examples = [f"{k}: {v}" for k, v in sorted(zip(shown["key"].to_pylist(), shown["value"].to_pylist(), strict=True))]
-        ask = lambda: with_fallback(model, fallback, entries, locale, examples, options)
+        shown = examples.get(locale, [])
+        ask = lambda: with_fallback(model, fallback, entries, locale, shown, options)
         try:
-            out, a, b, valid = log.once((locale, batch, entries, examples), ask) if log else ask()
+            out, a, b, valid = log.once((locale, batch, entries, shown), ask) if log else ask()
         except Exception as e:
             return pa.table({"locale": [locale], "key": [None], "value": [None], "batch_id": [batch], "tokens_in": [0], "tokens_out": [0], "valid": [False], "error": [str(e)]}).cast(_ARROW)
         if answered is not None:
@@ -147,10 +149,9 @@ def run_wave(wave: DataFrame, context: DataFrame, model: Translator, fallback: T
         share = lambda total: [total] + [0] * (n - 1)  # noqa: E731  a batch's tokens stand in its first row
         return pa.table({"locale": [locale] * n, "key": list(out), "value": list(out.values()), "batch_id": [batch] * n, "tokens_in": share(a), "tokens_out": share(b), "valid": [valid] * n, "error": [None] * n}).cast(_ARROW)
 
-    asked = (wave.repartition(tasks, "locale", "batch_id") if tasks else wave).groupBy("locale", "batch_id")  # a stated number of tasks isn't coalesced, so calls don't wait for each other
-    each = wave.select(F.col("locale").alias("to"), F.col("batch_id").alias("batch")).distinct()
-    examples = each.join(context.withColumnRenamed("locale", "to"), "to").groupBy("to", "batch")
-    return asked.cogroup(examples).applyInArrow(call, OUT)
+    laned = wave.withColumn("_lane", F.pmod("batch_id", F.lit(options.concurrency)))
+    dealt = laned.repartition(tasks, "locale", "_lane") if tasks else laned  # a stated number of tasks isn't coalesced, so calls don't wait for each other
+    return dealt.groupBy("locale", "_lane", "batch_id").applyInArrow(call, OUT)
 
 
 _ARROW = pa.schema([("locale", pa.string()), ("key", pa.string()), ("value", pa.string()), ("batch_id", pa.int64()), ("tokens_in", pa.int64()), ("tokens_out", pa.int64()), ("valid", pa.bool_()), ("error", pa.string())])
@@ -188,27 +189,70 @@ class _Told:
             self.tell(n, self.total)
 
 
+@dataclass
+class _Course:
+    """How far a locale has come: its waves and batches, the next wave, how many waves the next round takes, what is shown."""
+
+    waves: int
+    batches: int
+    at: int = 0
+    step: int = 1
+    shown: tuple[tuple[int, str, str], ...] = ()  # batch_id, key, value, in order
+
+    def settled(self, limit: int) -> bool:
+        return len(self.shown) >= limit
+
+    def end(self, limit: int) -> int:
+        return self.waves if self.settled(limit) else min(self.waves, self.at + self.step)
+
+    def lanes(self, concurrency: int) -> int:
+        """Of the next round."""
+        return min(concurrency, self.batches - self.at * concurrency)
+
+    def learn(self, found: list[tuple[int, str, str]], limit: int) -> None:
+        """The first keys by batch and name, each as its first batch has it. A round that adds nothing doubles the next one."""
+        first: dict[str, tuple[int, str, str]] = {}
+        for row in sorted([*self.shown, *found]):
+            first.setdefault(row[1], row)
+        shown = tuple(sorted(first.values())[:limit])
+        self.step, self.shown = 2 * self.step if shown == self.shown else 1, shown
+
+
 def translate(entries: DataFrame, model: Translator, fallback: Translator | None = None, options: Options | None = None, on_progress: Callable[[int, int], None] | None = None, on_usage: Callable[[int, int], None] | None = None) -> DataFrame:
     """Translations of entries (locale, key, value, seq, rank) [UDF1]: OUT's columns.
 
-    Waves run one after another, in each `concurrency` batches of every locale side by side over the cluster. Each answer is written to a log as soon as it is there, and each wave's answers before the next wave: neither a task that is run again
-    nor, under options.run, a run after one that broke off calls the model for what was answered. A wave is shown up to context_limit earlier translations of its locale. on_progress is told the entries answered and all after each batch, at the end on_usage the tokens [UDF7].
+    A wave is `concurrency` batches of a locale side by side over the cluster, and is shown up to context_limit earlier translations of its locale: the first ones by batch and key. Once there are as many, no later wave changes them, so all waves that
+    are left run as one round, still with at most `concurrency` calls of a locale at once. Until then waves run one after another; where one has added nothing to what is shown (a model that refuses a locale), the next round takes twice as many, all
+    shown the same. So rounds don't grow with the waves, but with context_limit and the logarithm of the waves. Each answer is written to a log as soon as it is there, and each round's answers before the next: neither a task that is run again
+    nor, under options.run, a run after one that broke off calls the model for what was answered. on_progress is told the entries answered and all after each batch, at the end on_usage the tokens [UDF7].
     """
     options = options or Options()
-    spark = entries.sparkSession
+    spark, limit = entries.sparkSession, options.context_limit
     batches = saved(plan_batches(entries, options))
-    sizes = {r.wave_id: (r.entries, r.batches) for r in batches.groupBy("wave_id").agg(F.count("*").alias("entries"), F.count_distinct("locale", "batch_id").alias("batches")).collect()}  # a row for each wave, which are driven from here
+    sizes = batches.groupBy("locale").agg((F.max("wave_id") + 1).alias("waves"), (F.max("batch_id") + 1).alias("batches"), F.count("*").alias("entries")).collect()  # a row for each locale
+    courses = {r.locale: _Course(r.waves, r.batches) for r in sizes}
     log, told = CallLog.of(spark, options.run), _Told(spark, on_progress)
-    told.total, done, paths = sum(n for n, _ in sizes.values()), spark.createDataFrame([], OUT), []
-    for w in sorted(sizes):
-        size, calls = sizes[w]
-        recent = catalogs.first_by(done.where("key IS NOT NULL").select("locale", "key", "value", "batch_id"), ["locale", "key"], "batch_id")
-        shown = recent.withColumn("_n", F.row_number().over(Window.partitionBy("locale").orderBy("batch_id", "key"))).where(F.col("_n") <= options.context_limit).select("locale", "key", "value")
-        with told.wave(size):
-            paths.append(saved_path(run_wave(batches.where(F.col("wave_id") == w), shown, model, fallback, options, log, min(calls, TASKS), told.answered)))
+    told.total, done, paths = sum(r.entries for r in sizes), spark.createDataFrame([], OUT), []
+    while going := {name: c for name, c in courses.items() if c.at < c.waves}:
+        ends = {name: c.end(limit) for name, c in going.items()}
+        spans = spark.createDataFrame([(name, c.at, ends[name]) for name, c in going.items()], "_of string, _from long, _to long")
+        wave = batches.join(F.broadcast(spans), F.col("locale").eqNullSafe(F.col("_of")) & (F.col("wave_id") >= F.col("_from")) & (F.col("wave_id") < F.col("_to"))).select(batches.columns)  # a row for each locale
+        lanes = sum(c.lanes(options.concurrency) for c in going.values())
+        context = {name: [(k, v) for _, k, v in c.shown] for name, c in going.items() if name is not None}
+        with told.wave(wave.count() if on_progress else 0):
+            paths.append(saved_path(run_wave(wave, context, model, fallback, options, log, min(lanes, TASKS), told.answered)))
         done = spark.read.schema(OUT).parquet(*paths)
+        latest = spark.read.schema(OUT).parquet(paths[-1]).where("key IS NOT NULL")
+        open_ = [name for name, c in going.items() if ends[name] < c.waves and not c.settled(limit)]
+        learned = latest.where(F.col("locale").isin(open_)).select("locale", "batch_id", "key", "value")
+        first = learned.groupBy("locale", "key").agg(F.min_by(F.struct("batch_id", "key", "value"), "batch_id").alias("x")) if open_ else None
+        found = first.withColumn("_n", F.row_number().over(Window.partitionBy("locale").orderBy("x.batch_id", "key"))).where(F.col("_n") <= limit).collect() if open_ else []  # context_limit rows of a locale at most
+        for name, c in going.items():
+            if name in open_:
+                c.learn([tuple(r.x) for r in found if r.locale == name], limit)
+            c.at = ends[name]
         if on_progress:
-            told.before += spark.read.schema(OUT).parquet(paths[-1]).where("key IS NOT NULL").count()
+            told.before += latest.count()
             told.say(told.before)
     if not options.run:
         log.drop()  # no other run can find it
@@ -219,7 +263,7 @@ def translate(entries: DataFrame, model: Translator, fallback: Translator | None
     return done
 
 
-TASKS = 10_000  # of a wave at most; more batches than that share tasks
+TASKS = 10_000  # of a round at most; more lanes than that share tasks
 
 
 @dataclass(frozen=True)
