@@ -68,6 +68,14 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(saved_path(df))
 
 
+SMALL = 100_000  # nodes that are broadcast at most
+
+
+def _sized(nodes: DataFrame, n: int) -> DataFrame:
+    """n nodes for a join: broadcast if they are few by count, else never; compressed files say little of a table's size."""
+    return F.broadcast(nodes) if n <= SMALL else nodes.hint("merge")
+
+
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """node: all that can be reached from roots (node) over edges (src, dst), the roots included; cycles, nulls and repeated edges are fine [CG8].
 
@@ -75,15 +83,18 @@ def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """
     spark = roots.sparkSession
     frontier = roots.select("node").where("node IS NOT NULL").distinct()
-    schema, paths = frontier.schema, []
+    schema, paths, total = frontier.schema, [], 0
     edges = saved(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst"))
     while True:
         paths.append(saved_path(frontier))
         now = spark.read.schema(schema).parquet(paths[-1])
         seen = spark.read.schema(schema).parquet(*paths)
-        if now.isEmpty():
+        n = now.count()
+        if not n:
             return seen
-        frontier = now.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
+        total += n
+        ahead = edges.join(_sized(now, n), F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
+        frontier = ahead.join(_sized(seen, total), "node", "left_anti")
 
 
 def file_facts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -133,12 +144,13 @@ def import_bases(importer: Column, source: Column, aliases: list[tuple[str, bool
 
 
 def resolved_imports(facts: DataFrame, aliases: list[tuple[str, bool, list[str]]] | None = None) -> DataFrame:
-    """src, source, dst: the file of facts (path, sources) that each import means: the first place, then the first candidate file, that is a known file [JN12]. Two equi-joins; nothing is broadcast by hand."""
+    """src, source, dst: the file of facts (path, sources) that each import means: the first place, then the first candidate file, that is a known file [JN12]. One equi-join by sorting: neither side is ever broadcast."""
     asked = facts.select(F.col("path").alias("src"), F.explode("sources").alias("source"))
     places = asked.select("src", "source", F.posexplode(import_bases(F.col("src"), F.col("source"), aliases or [])).alias("p", "base"))
     files = places.select("src", "source", "p", F.posexplode(candidates(F.col("base"))).alias("q", "file"))
     known = facts.select(F.col("path").alias("file")).distinct()
-    return files.join(known, "file").groupBy("src", "source").agg(F.min_by("file", F.struct("p", "q")).alias("dst"))
+    found = files.join(known.hint("merge"), "file")  # both grow with the files, and Spark takes the exploded candidates to be as small as the compressed paths
+    return found.groupBy("src", "source").agg(F.min_by("file", F.struct("p", "q")).alias("dst"))
 
 
 def import_edges(facts: DataFrame, aliases: list[tuple[str, bool, list[str]]] | None = None) -> DataFrame:
