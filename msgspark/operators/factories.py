@@ -56,7 +56,7 @@ def file_facts(files: DataFrame) -> DataFrame:
         text = pa.string()
         const = pa.struct([("name", text), ("exported", pa.bool_()), ("texts", pa.list_(text)), ("reason", text)])
         link = pa.struct([("source", text), ("name", text), ("local", text), ("reason", text)])
-        for batch in batches:
+        for batch in J.pieces(batches):
             rows = []
             for path, code, included in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:

@@ -102,7 +102,7 @@ def file_facts(files: DataFrame, path: str = "path", content: str = "content") -
     from .jsx_strings import is_client
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in J.pieces(batches):
             out: list[list] = [[], [], []]
             for file, code in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
