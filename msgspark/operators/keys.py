@@ -210,14 +210,14 @@ def keygen_order(strings: DataFrame) -> DataFrame:
 
 
 def replacement_sites(strings: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Occurrences whose text has a key [JN10]; Spark broadcasts the map if it is small. Null texts match nothing; of a text that the map repeats the greatest key counts; repeated occurrences stay."""
-    return strings.join(first_by(mapping.select("text", "key"), ["text"], F.desc("key")), "text")
+    """Occurrences whose text has a key [JN10]; by sorting, as a map can be far larger than its files. Null texts match nothing; of a text that the map repeats the greatest key counts; repeated occurrences stay."""
+    return strings.join(first_by(mapping.select("text", "key"), ["text"], F.desc("key")).hint("merge"), "text")
 
 
 def client_namespaces(sites: DataFrame, clients: DataFrame) -> DataFrame:
     """namespace, files: which namespaces the files that reach the browser use, and how many of these files use each [AGG14]. sites: file and key of each use (replacement_sites); clients: path (graph.client_files). Keys without a namespace, null files and repeated rows add nothing."""
     used = sites.select("file", T.namespace("key").alias("namespace")).where("namespace IS NOT NULL").distinct()
-    return used.join(clients.select(F.col("path").alias("file")).distinct(), "file", "left_semi").groupBy("namespace").agg(F.count("*").alias("files"))
+    return used.join(clients.select(F.col("path").alias("file")).distinct().hint("merge"), "file", "left_semi").groupBy("namespace").agg(F.count("*").alias("files"))
 
 
 def map_head(mapping: DataFrame, n: int = 30) -> DataFrame:
