@@ -68,12 +68,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(saved_path(df))
 
 
-SMALL = 100_000  # nodes that are broadcast at most
+SMALL = 100_000  # nodes that are broadcast in any case
 
 
 def _sized(nodes: DataFrame, n: int) -> DataFrame:
-    """n nodes for a join: broadcast if they are few by count, else never; compressed files say little of a table's size."""
-    return F.broadcast(nodes) if n <= SMALL else nodes.hint("merge")
+    """n nodes for a join: broadcast if they are few by count, else left to Spark's size check, as sorting would shuffle all edges in a round."""
+    return F.broadcast(nodes) if n <= SMALL else nodes
 
 
 def reachable(roots: DataFrame, edges: DataFrame) -> DataFrame:
