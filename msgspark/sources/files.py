@@ -14,6 +14,7 @@ from ..config import Config
 from ..functions import json_leaves
 from ..functions import text as T
 from ..operators import catalogs
+from . import large_json
 
 
 def glob_pattern(glob: str) -> str:
@@ -66,7 +67,17 @@ def read_json_document(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_entries(spark: SparkSession, path: str, strict: bool) -> DataFrame:
-    """key, value, seq of the strings of a flat JSON object, in the order of the file; of a repeated key the last value at the first place. Missing files are empty. strict: malformed files, and objects below the top, raise; else malformed files are empty and such objects are left out."""
+    """key, value, seq of the strings of a flat JSON object, in the order of the file; of a repeated key the last value at the first place. Missing files are empty. strict: malformed files, and objects below the top, raise; else malformed files are empty and such objects are left out.
+
+    Files above large_json.WHOLE are read at once, in parts, and no task holds one; smaller ones in one task, when rows are asked for.
+    """
+    if large_json.is_large(spark, path):
+        try:
+            return large_json.entries(spark, path, strict)
+        except json_leaves.Malformed as e:
+            if strict:
+                raise json_leaves.Malformed(f"malformed map {path}: {e}") from None
+            return spark.createDataFrame([], "key string, value string, seq long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,13 +237,15 @@ def read_context(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_source_catalog(spark: SparkSession, config: Config, folder: str, map_file: str | None = None) -> DataFrame:
-    """locale, key, value, seq of the source locale, seq being the place in its file [SRC8]: in inline mode from the map (the last text of a key, at the place of its first), split from partitions, else from the locale's nested JSON file. A file that is there but malformed raises."""
+    """locale, key, value, seq of the source locale, seq being the place in its file [SRC8]: in inline mode from the map (the last text of a key, at the place of its first), split from partitions, else from the locale's nested JSON file. A file that is there but malformed raises. Large files are read as read_entries reads them."""
     if config.mode == "inline":
         rows = read_entries(spark, map_file or f"{folder}/map.json", strict=False).groupBy(F.col("value").alias("key")).agg(F.max_by("key", "seq").alias("value"), F.min("seq").alias("seq"))
     elif config.split_by_namespace:
         return read_split(spark, folder).where(F.col("locale") == config.source_locale)
+    elif large_json.is_large(spark, path := f"{folder}/{config.source_locale}.json"):
+        rows = large_json.leaves(spark, path)
     else:
-        rows = catalogs.flatten_json(read_json_document(spark, f"{folder}/{config.source_locale}.json"), "document", place="seq", strict=True)
+        rows = catalogs.flatten_json(read_json_document(spark, path), "document", place="seq", strict=True)
     return rows.select(F.lit(config.source_locale).alias("locale"), "key", "value", "seq")
 
 
